@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import kernel
+from tessera.llm import frames, kernel
 
 SPAN, GRAM = 13, 7
 BITS = 24
@@ -51,7 +51,7 @@ def _fingerprints(span: int, k: int, short: list[int], bitmap):
             yield n, start, h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if bitmap is None else np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
+        bits = None if bitmap is None else frames.bits(bitmap)
         for batch in batches:
             key = kernel.column(batch, "key")
             for texts in kernel.slices(kernel.column(batch, "text")):
@@ -108,7 +108,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 
     Gives doc_id, mark (xxhash64 of the text), n_words, n_hit, items (sorted strings).
     """
-    spark = docs.sparkSession
     mark = F.coalesce(F.xxhash64("text"), F.lit(0))
     keyed = docs.select(F.struct(F.col("doc_id").cast("string").alias("id"), mark.alias("mark")).alias("key"), F.col("text").cast("string").alias("text"))
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.struct(F.col("item_id").cast("string").alias("id"), F.lit(0).cast("long").alias("mark")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -118,12 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         .groupBy("hash", "n", "gram", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
         .agg(F.collect_set("key.id").alias("items"))
     )
-    at = F.col("hash").bitwiseAND((1 << BITS) - 1)
-    words = known.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, int(hash & 63)))").alias("bits")).collect()  # at most 2**(BITS - 6) rows
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for r in words:
-        bitmap[r.i] = r.bits
-    cast = spark.sparkContext.broadcast(bitmap.tobytes())
+    cast = frames.bitmap(known, "hash", BITS)
     found = keyed.mapInArrow(_fingerprints(span, k, short, cast), _SCHEMA)
     # Rows with pos -1 meet no fingerprint; the key spreads them over the join's partitions.
     found = found.withColumn("hash", F.when(F.col("pos") < 0, F.xxhash64("key")).otherwise(F.col("hash")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def range_of(key: Column, cuts: list) -> Column:
         return F.when(key >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(cuts))
+
+
+def bitmap(df: DataFrame, hashed: str, bits: int = 24):
+    """A broadcast set of the hashes' low ``bits`` bits: a filter of fixed size, 2**(bits - 3) bytes."""
+    at = F.col(hashed).bitwiseAND((1 << bits) - 1)
+    rows = df.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, int({hashed} & 63)))").alias("bits")).collect()  # at most 2**(bits - 6)
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in rows:
+        out[r.i] = r.bits
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def bits(bitmap) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
