@@ -36,7 +36,7 @@ U = np.uint64
 _CHECK = U(0xA24BAED4963EE407)
 #: Share of a set's shingles that unrelated sets are taken to have in common, for the cost model.
 COMMON = 0.3
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 
 
 @dataclass(frozen=True)
