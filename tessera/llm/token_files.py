@@ -31,6 +31,10 @@ from tessera.llm import frames, kernel
 #: Fixed values of the zstandard formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
+LETTER, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
 ENCODED = "doc_id long, n_tokens long, width int, frame binary, check long"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
@@ -38,17 +42,19 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 class Encoder:
     """Tokenizer over slices of texts with a bounded memory of pieces it has seen.
 
-    A text is cut where a character that isn't white space is followed by ASCII white space. The
-    byte-level pattern never matches across such a place, so a text's ids are its pieces' ids in a
-    row, and each distinct piece is given to the tokenizer once. Forgetting pieces changes no id.
+    A text is cut where a character that isn't white space is followed by ASCII white space, and
+    where a Latin letter is followed by ASCII punctuation. The byte-level pattern never matches
+    across such places, so a text's ids are its pieces' ids in a row, and each distinct piece is
+    given to the tokenizer once. Forgetting pieces changes no id.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 1_000_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remember, self.longest = remember, longest
         self.forget()
 
@@ -66,15 +72,25 @@ class Encoder:
         space = ~kernel.NONSPACE[d]
         cut = np.zeros(n + 1, bool)
         if n > 1:
-            cut[1:n] = space[1:] & ~space[:-1]
+            letter = LETTER[d]
+            latin = np.flatnonzero(d == 0xC3)
+            latin = latin[latin + 1 < n] + 1
+            letter[latin] = (d[latin] != 0x97) & (d[latin] != 0xB7)
+            cut[1:n] = space[1:] & ~space[:-1] | PUNCTUATION[d[1:]] & letter[:-1]
         if n > 2:  # not after other white space of Unicode
-            at = np.flatnonzero(cut[:n] & (np.concatenate(([0], d[:-1])) >= 0x80))
+            at = np.flatnonzero(cut[:n] & space & (np.concatenate(([0], d[:-1])) >= 0x80))
             if len(at):
                 a, b, c = (d[np.maximum(at - k, 0)].astype(np.int64) for k in (1, 2, 3))
                 two, three = b << 8 | a, c << 16 | b << 8 | a
                 odd = np.isin(two, [0xC285, 0xC2A0]) | np.isin(three, [0xE19A80, 0xE1A08E, 0xE2819F, 0xE38080, 0xEFBBBF])
                 odd |= (three >> 8 == 0xE280) & ((a <= 0x8F) | (a >= 0xA8) & (a <= 0xAF))
                 cut[at[odd]] = False
+        raw = d.tobytes()
+        for word in self.added:  # strings that stand for one id stay whole
+            i = raw.find(word)
+            while i >= 0:
+                cut[i + 1 : i + len(word)] = False
+                i = raw.find(word, i + 1)
         cut[texts.offsets] = True
         return np.flatnonzero(cut[:n])
 
@@ -84,11 +100,14 @@ class Encoder:
     def learn(self, hashes: list[int], strings: list[str]) -> None:
         m, n = len(self.known), len(self.known) + len(hashes)
         self.at, self.size = self.grown(self.at, n), self.grown(self.size, n)
-        for i, e in enumerate(self.tokenizer.encode_batch(strings, add_special_tokens=False)):
-            ids = e.ids
+        for a in range(0, len(strings), 2048):  # a piece counts as a word of one long sequence
+            got = self.tokenizer.encode(strings[a : a + 2048], is_pretokenized=True, add_special_tokens=False)
+            ids, size = np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(strings[a : a + 2048]))
             self.ids = self.grown(self.ids, self.used + len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.at[m + i], self.size[m + i] = self.used, len(ids)
+            to = slice(m + a, m + a + len(size))
+            self.size[to] = size
+            self.at[to] = self.used + np.cumsum(size) - size
             self.used += len(ids)
         self.known.update(zip(hashes, range(m, n), strict=True))
 
