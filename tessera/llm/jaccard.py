@@ -325,3 +325,20 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, bucket_bytes:
     final = named.join(of_key, named.key == of_key.k, "left").select(F.col("key").alias("k"), F.coalesce("component", named.root).alias("component"))
     out = info.join(final, (info.key == F.col("k")) & (info.n_shingles > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group: that of the least doc_id, of rows with it the one of least text.
+
+    Rows with null doc_id, and empty sets, which link with nothing, all stay.
+    """
+    groups = jaccard_groups(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_id"], "left_anti")
+    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_many"))
+    if many.isEmpty():
+        return kept
+    single = kept.join(many, kept["doc_id"] == many["_many"], "left_anti")
+    rest = kept.join(many, kept["doc_id"] == many["_many"], "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = rest.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min_by(c, F.struct(F.col("text").isNotNull(), "text")).alias(c) for c in others))
+    return single.unionByName(first.select(*docs.columns))

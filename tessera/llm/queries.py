@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, frames, jaccard, substrings, token_files, toxicity
+from tessera.llm import decontaminate, frames, jaccard, mixing, secret_scan, sketch, substrings, token_files, toxicity, url_lists
 
 #: Fixed values of the token contract.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -54,12 +54,56 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.made_findings()))
+    return found.withColumn("is_secret", F.col("probability") >= 0.5)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no dates: fetch days and list entries are derived from page_id and hosts by rule."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    captures = pages.withColumn("fetched", day(((F.col("page_id") * 37) % 730).cast("int")))
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    names = hosts.union(hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))).distinct()
+    digit = lambda i, n: F.conv(F.substring(F.sha2("host", 256), i, n), 16, 10).cast("int")
+    named = names.where("host <> ''").select("host", digit(1, 1).alias("a"), (digit(2, 3) % 365).alias("b"), (digit(5, 3) % 300).alias("c"))
+    entries = named.where("a < 8").select("host", F.lit("block").alias("action"), day(F.col("b")).alias("listed"))
+    entries = entries.union(named.where("a < 5").select("host", F.lit("allow"), day(F.col("b") + F.col("c") + 1)))
+    return url_lists.judged(captures, entries).drop("url")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "copy", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketch.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_text(F.col("sketch")).alias("fingerprint"), sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_fingerprints": op10_fingerprints,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +120,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op4_url_filter": r"""
+        WITH p AS (SELECT page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host,
+                          DATE '2024-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS fetched FROM pages),
+        h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL UNION SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM p WHERE host IS NOT NULL),
+        n AS (SELECT host, CAST('0x' || substr(sha256(host), 1, 1) AS INTEGER) AS a, CAST('0x' || substr(sha256(host), 2, 3) AS INTEGER) % 365 AS b, CAST('0x' || substr(sha256(host), 5, 3) AS INTEGER) % 300 AS c FROM h WHERE host <> ''),
+        e AS (SELECT host, 'block' AS action, DATE '2024-01-01' + b AS listed FROM n WHERE a < 8 UNION ALL SELECT host, 'allow', DATE '2024-01-01' + b + c + 1 FROM n WHERE a < 5),
+        i AS (SELECT host AS matched, action, listed AS valid_from, lead(listed) OVER (PARTITION BY host ORDER BY listed) AS valid_to FROM e),
+        m AS (SELECT p.page_id, i.*, row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.matched) DESC) AS r
+              FROM p JOIN i ON (p.host = i.matched OR ends_with(p.host, '.' || i.matched)) AND p.fetched >= i.valid_from AND (i.valid_to IS NULL OR p.fetched < i.valid_to))
+        SELECT p.page_id, p.fetched, p.host, m.action, m.matched, m.valid_from FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
+    "op9_mix_sources": r"""
+        WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+        r AS (SELECT source, (SELECT sum(n) FROM c) * pow(n, 0.7) / (SELECT sum(pow(n, 0.7)) FROM c) / n AS mean FROM c),
+        k AS (SELECT source, j, sum(exp(-mean + j * ln(mean) - lgamma(j + 1))) OVER (PARTITION BY source ORDER BY j) AS cut FROM r, (SELECT unnest(range(0, 60)) AS j)),
+        d AS (SELECT doc_id, source, text, CAST('0x' || substr(sha256('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+        n AS (SELECT doc_id, any_value(d.source) AS source, any_value(text) AS text, count(*) FILTER (WHERE cut <= u) AS copies FROM d JOIN k ON d.source = k.source GROUP BY doc_id),
+        x AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
+        SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, sha256('mix:' || doc_id || ':' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256 FROM x""",
 }
