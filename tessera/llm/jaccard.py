@@ -35,7 +35,7 @@ from tessera.llm import frames, graph, kernel
 U = np.uint64
 _CHECK = U(0xA24BAED4963EE407)
 #: Share of a set's shingles that unrelated sets are taken to have in common, for the cost model.
-COMMON = 0.3
+COMMON = 0.05
 FLUSH = 1 << 20
 
 
@@ -187,8 +187,8 @@ def _index(n: int, plan: list[Band], buckets: int):
                     own, sig = signatures(h, first, level, plan)
                     if len(own):
                         held.append((key[own], sig))
-            if sum(len(x[0]) for x in held) >= FLUSH:
-                yield from flush()
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield from flush()
         if held:
             yield from flush()
 
