@@ -81,24 +81,24 @@ def ordered_bucket(df: DataFrame, key: str, buckets: int) -> Column:
     return F.coalesce(tree(0, len(edges) - 1), F.lit(-1)).cast("long")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: str, buckets: int) -> DataFrame:
-    """df with ``next_<column>`` of the row that follows by (key, tie); the first row follows the last.
+def with_next(df: DataFrame, key: str, text: str, derive, buckets: int) -> DataFrame:
+    """derive(df) with its columns of the row that follows by (key, text), as a struct ``next``; the first row follows the last.
 
-    One shuffle of df. Only the first row of each bucket is looked up apart, by its key.
+    One shuffle of derive(df). Only the first row of each bucket is looked up apart, by its key.
     """
     df = df.withColumn("_bucket", ordered_bucket(df, key, buckets))
-    w = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), tie)
-    here = df.withColumn("_next", F.lead(F.struct(*columns)).over(w))
-    # One row a bucket, bounded by ``buckets``: which key does the next bucket start with?
+    # A row for each bucket, whose number the caller bounds: which key does it start with, which the next?
     starts = df.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("key"))).alias("k"))
     ring = Window.orderBy("_bucket")
     after = starts.select("_bucket", F.coalesce(F.lead("k").over(ring), F.first("k").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("k"))
-    first = df.join(starts.select(F.col("k.key").alias("_key")).distinct(), F.col(key).eqNullSafe(F.col("_key")))
-    first = first.groupBy("_key").agg(F.min_by(F.struct(*columns), tie).alias("_first"))
-    over = after.join(first, F.col("k.key").eqNullSafe(F.col("_key"))).select(F.col("_bucket").alias("_b"), "_first")
-    out = here.join(over, (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
-    out = out.withColumn("_next", F.coalesce("_next", "_first"))
-    return out.select(*(c for c in df.columns if c != "_bucket"), *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns))
+    wanted = F.broadcast(starts.select(F.col("k.key").alias("_key")).distinct())
+    first = derive(df.join(wanted, F.col(key).eqNullSafe(F.col("_key"))).groupBy("_key").agg(F.min(text).alias(text)))
+    columns = [c for c in first.columns if c != "_key"]
+    over = after.join(first, F.col("k.key").eqNullSafe(F.col("_key"))).select(F.col("_bucket").alias("_b"), F.struct(*columns).alias("_first"))
+    w = Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), text)
+    here = derive(df).withColumn("next", F.lead(F.struct(*columns)).over(w))
+    out = here.join(over, (F.col("_bucket") == F.col("_b")) & F.col("next").isNull(), "left")
+    return out.withColumn("next", F.coalesce("next", "_first")).drop("_bucket", "_b", "_first")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -110,8 +110,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Sketches of (doc_id, text), of its edited text, and their likeness, one row each."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = with_sketch(base, "text", "sketch")
     n = buckets or max(2048, frames.parts_for(docs, 1 << 20))
-    out = with_next(base, "doc_id", ["text", "sketch"], "text", n)
-    out = out.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("n_chars", F.char_length("text").cast("long")).drop("text", "next_text")
+    out = with_next(base, "doc_id", "text", lambda df: with_sketch(df, "text", "sketch"), n)
+    out = out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next.text")).alias("edited"))
     return with_sketch(out, "edited", "edited_sketch")
