@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, frames, jaccard, mixing, secret_scan, sketch, substrings, token_files, toxicity, url_lists
+from tessera.llm import byte_repeats, decontaminate, frames, jaccard, mixing, secret_scan, sketch, substrings, token_files, toxicity, url_lists
 
 #: Fixed values of the token contract.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -73,6 +73,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judged(captures, entries).drop("url")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "copy", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_fingerprints": op10_fingerprints,
     "pipeline": pipeline,

@@ -11,7 +11,8 @@ An anchor that a block of one task holds several times goes to its bucket once,
 other places are known to be repeated already and pass through buckets of their own texts. So an
 anchor of many documents costs its bucket one entry a block, not one a document.
 
-Texts are named by a 64-bit mark. All work of a bucket is on numpy arrays; the number of buckets
+Texts are named by the low 40 bits of a 64-bit mark, anchors by 40 bits within their bucket; what two
+of either have in common by chance is one more place to verify. All work of a bucket is on numpy arrays; the number of buckets
 grows with the input, so a task's share doesn't.
 """
 
@@ -21,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import frames, kernel
 
 U = np.uint64
 RUN = "bucket int, hashes binary, marks binary, places binary, flags binary, known_marks binary, known_places binary"
-KINDS = (("hashes", U), ("marks", U), ("places", np.uint32), ("flags", bool), ("known_marks", U), ("known_places", np.uint32))
+KINDS = (("hashes", 5), ("marks", 5), ("places", np.uint32), ("flags", bool), ("known_marks", 5), ("known_places", np.uint32))
+LOW = U((1 << 40) - 1)
 HITS = "part int, marks binary, places binary"
 
 
@@ -92,9 +94,9 @@ def anchors(grams_of, w: int, buckets: int):
                 h, mark, place = h[order], mark[order], place[order]
                 first = np.concatenate(([True], h[1:] != h[:-1]))
                 flag = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
-                yield packed(bucket_of(h[first], buckets), "bucket", NAMES, hashes=h[first], marks=mark[first], places=place[first], flags=flag)
+                yield packed(bucket_of(h[first], buckets), "bucket", NAMES, hashes=five(h[first]), marks=five(mark[first]), places=place[first], flags=flag)
                 if not first.all():
-                    yield packed(part_of(mark[~first], buckets), "bucket", NAMES, known_marks=mark[~first], known_places=place[~first])
+                    yield packed(part_of(mark[~first], buckets), "bucket", NAMES, known_marks=five(mark[~first]), known_places=place[~first])
 
         for batch in batches:
             marks = kernel.column(batch, "mark").to_numpy().view(U)
@@ -110,8 +112,22 @@ def anchors(grams_of, w: int, buckets: int):
     return run
 
 
-def loaded(rows: pa.Table, *kinds: tuple[str, type]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column(c).chunks for x in chunk), kind) for c, kind in kinds]
+def five(x: np.ndarray) -> np.ndarray:
+    """The low 40 bits, five bytes a row."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def loaded(rows: pa.Table, *kinds: tuple) -> list[np.ndarray]:
+    """Columns of packed bytes as arrays; kind 5: of 40-bit numbers."""
+    out = []
+    for c, kind in kinds:
+        raw = np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column(c).chunks for x in chunk), np.uint8 if kind == 5 else kind)
+        if kind == 5:
+            wide = np.zeros((len(raw) // 5, 8), np.uint8)
+            wide[:, :5] = raw.reshape(-1, 5)
+            raw = wide.reshape(-1).view(U)
+        out.append(raw)
+    return out
 
 
 def _merge(parts: int):
@@ -140,7 +156,7 @@ def _merge(parts: int):
             out.append((old_mark[seen], old_place[seen]))
         mark, place = (np.concatenate(x) for x in zip(*out, (mark[twin], place[twin]), (known, known_place), strict=True))
         if len(mark):
-            yield packed(part_of(mark, parts), "part", ["marks", "places"], marks=mark, places=place)
+            yield packed(part_of(mark, parts), "part", ["marks", "places"], marks=five(mark), places=place)
 
     return run
 
@@ -153,7 +169,12 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def part_of(mark: np.ndarray, parts: int) -> np.ndarray:
-    return ((mark >> U(8)) % U(parts)).astype(np.int64)
+    return (((mark & LOW) >> U(8)) % U(parts)).astype(np.int64)
+
+
+def part_column(mark: str, parts: int) -> Column:
+    """part_of for a column of marks."""
+    return (F.shiftrightunsigned(F.col(mark).bitwiseAND((1 << 40) - 1), 8) % parts).cast("int").alias("part")
 
 
 class Index:
@@ -205,6 +226,6 @@ class Index:
             h, mark, place, flag = h[order], mark[order], place[order], flag[order]
             first = np.concatenate(([True], h[1:] != h[:-1]))
             many = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
-            yield packed(np.full(first.sum(), rows["bucket"][0].as_py()), "bucket", NAMES, hashes=h[first], marks=mark[first], places=place[first], flags=many | flag[first])
+            yield packed(np.full(first.sum(), rows["bucket"][0].as_py()), "bucket", NAMES, hashes=five(h[first]), marks=five(mark[first]), places=place[first], flags=many | flag[first])
 
         self.runs = [self._write(self._by_bucket(self._read(self.runs)).mapInArrow(run, RUN))]

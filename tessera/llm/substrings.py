@@ -43,8 +43,7 @@ def joined(docs: DataFrame, side: DataFrame, parts: int) -> DataFrame:
     """Both tables dealt by part, the side's rows before the texts: a task streams its texts past them."""
     names = [f for f in side.schema if f.name != "part"]
     left = side.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("string").alias("text"), *(f.name for f in names))
-    part = (F.shiftrightunsigned("mark", 8) % parts).cast("int").alias("part")
-    right = docs.select(part, F.lit(1).alias("kind"), "doc_id", "mark", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in names))
+    right = docs.select(runs.part_column("mark", parts), F.lit(1).alias("kind"), "doc_id", "mark", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in names))
     return left.union(right).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
 
@@ -59,7 +58,7 @@ def split_sides(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, type]) ->
         if n < batch.num_rows:
             if got is None:
                 table = pa.Table.from_batches(side) if side else None
-                got = runs.loaded(table, *kinds) if table is not None else [np.zeros(0, t) for _, t in kinds]
+                got = runs.loaded(table, *kinds) if table is not None else [np.zeros(0, U if t == 5 else t) for _, t in kinds]
                 side.clear()
             yield got, batch.slice(n)
 
@@ -109,14 +108,14 @@ def _windows(span: int, k: int, buckets: int):
                 a, b, c = spans(mark[~first], start[~first], span)
                 yield runs.packed(runs.part_of(a, buckets), "bucket", WINDOWS, known_marks=a, known_starts=b, known_ends=c)
 
-        for side, batch in split_sides(batches, ("marks", U), ("places", np.uint32)):
+        for side, batch in split_sides(batches, ("marks", 5), ("places", np.uint32)):
             if index is None:
                 index = by_mark(side)
             names, edges, (places,) = index
             marks = kernel.column(batch, "mark").to_numpy().view(U)
             for texts in kernel.slices(kernel.column(batch, "text")):
                 mine = marks[texts.first : texts.first + texts.n]
-                doc, entry = entries_of(names, edges, mine)
+                doc, entry = entries_of(names, edges, mine & runs.LOW)
                 if not len(doc):
                     continue
                 words = kernel.Words(texts, kernel.NONSPACE, lower=False)
