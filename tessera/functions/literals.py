@@ -56,7 +56,7 @@ def evidence(texts: Column, most: int = 128) -> Column:
     """Literals of all groups within each group's cap, distinct, in group order; texts: one string."""
     out = []
     for i, (pattern, group, cap) in enumerate(EVIDENCE):
-        found = F.filter(F.transform(all_of(texts, pattern, group), literal), lambda t: F.length(t) >= 2)
+        found = F.filter(F.transform(all_of(texts, pattern, group), lambda t: literal(t)), lambda t: F.length(t) >= 2)
         found = F.array_distinct(found)
         if i == 5:  # absolute ones first, then longer ones
             keyed = F.transform(found, lambda t: F.struct((~t.startswith("/")).alias("a"), (-F.length(t)).alias("b"), t.alias("t")))

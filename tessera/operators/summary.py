@@ -39,7 +39,11 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 def texts(df: DataFrame) -> Column:
     """All anchored texts, in the order of their arrays."""
-    return F.concat(*(F.coalesce(F.transform(a, lambda x, t=t: x[t]), F.array().cast("array<string>")) for a, t in TEXTS.items()))
+    return F.concat(*(F.coalesce(F.transform(a, field(t)), F.array().cast("array<string>")) for a, t in TEXTS.items()))
+
+
+def field(name: str):
+    return lambda x: x[name]
 
 
 def with_derived(df: DataFrame) -> DataFrame:
@@ -88,9 +92,10 @@ def first_error(df: DataFrame, lines: Column) -> DataFrame:
         (some("summary_blocks", lambda b: (b["format"] == "bullet") & (F.contains(b["body"], F.lit("\n")) | b["body"].rlike(LIST_MARK))), "a bullet must be one line without a marker"),
     ]
     for a, t in (("summary_blocks", "body"), ("rules_and_invariants", "rule"), ("plans_and_task_state", "item"), ("promises_made", "promise")):
-        rules.append((some(a, lambda x, t=t: blank(x[t])), f"{a} has a blank {t}"))
-        if a in STATUSES:
-            rules.append((some(a, lambda x, a=a: ~x["status"].isin(*STATUSES[a])), f"{a} has an unknown status"))
+        own = field(t)
+        rules.append((some(a, lambda x: blank(own(x))), f"{a} has a blank {t}"))
+        if known := STATUSES.get(a):
+            rules.append((some(a, lambda x: ~x["status"].isin(*known)), f"{a} has an unknown status"))
         rules.append((some(a, lambda x: bad_spans(x["source_spans"], lines)), f"{a} has a bad span"))
     error = F.lit(None).cast("string")
     for broken, message in reversed(rules):
