@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import compact, first_distinct, trim_ws, word
 
 #: Tools that begin commands, script endings, project folders, stop words.
-TOOLS = "npm|pnpm|yarn|bun|node|python3?|pytest|cargo|go|just|make|bash|sh|git|npx|uv|ruff|biome|tsc|vitest|jest|wrangler|patchpress|claude"
+TOOLS = "npm|pnpm|yarn|bun|node|python3?|pytest|cargo|go|just|make|bash|sh|git|npx|uv|ruff|biome|tsc|vitest|jest|wrangler|claude"
 RUNNERS = "npm|pnpm|yarn|bun|node|python3?|pytest|cargo|go|just|make|bash|sh|npx|uv"
 ENDINGS = "sh|mjs|js|ts|py|rb|go|rs"
 FOLDERS = r"scripts|src|test|tests|docs|runs|transcripts|references|plugins|packages|apps|\.agents|\.github"
