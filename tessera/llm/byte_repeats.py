@@ -29,7 +29,7 @@ from tessera.llm.suffix_groups import suffix_arrays
 U = np.uint64
 SPAN, GRAM = 50, 16
 #: Symbols of one batch of strings.
-BATCH = 1 << 20
+BATCH = 1 << 19
 CONTEXTS = (("anchors", 5), ("marks", U), ("docs", np.int64), ("places", np.uint32), ("lefts", np.uint8), ("sizes", np.uint8), ("bytes", np.uint8))
 CUTS = ["marks", "starts", "ends"]
 
@@ -159,7 +159,9 @@ def _decide(span: int, parts: int):
         later = doc > least[number]
         out = [(mark[later], place[later].astype(np.int64), (place + size)[later])]
         group = np.cumsum(np.concatenate(([True], anchor[one][1:] != anchor[one][:-1]))) - 1
-        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        groups = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        mixed = np.minimum.reduceat(least, groups) < np.maximum.reduceat(least, groups)
+        several = np.flatnonzero(mixed[group])  # others hold no string of a smaller doc_id
         weight = np.bincount(group, size[one] + 1)[group]
         several = several[np.lexsort((group[several], weight[several]))]  # strings of about equal length side by side
         ends = np.cumsum(size[one[several]] + 1)

@@ -64,7 +64,7 @@ def packed(number: np.ndarray, name: str, schema: list[str], **columns: np.ndarr
 class Buffer:
     """Collects arrays and gives them back joined once there are many rows."""
 
-    def __init__(self, rows: int = 2 << 20):
+    def __init__(self, rows: int = 1 << 20):
         self.limit, self.parts, self.rows = rows, [], 0
 
     def add(self, *columns: np.ndarray) -> bool:
