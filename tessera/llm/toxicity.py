@@ -73,11 +73,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top + self.bias, -60, 60)))
 
 
-def fit(column: pa.Array, label: np.ndarray, size: int = 8, rounds: int = 300, rate: float = 0.5, decay: float = 5e-7, share_of_texts: float = 0.02, buckets: int = 8192) -> Model:
+def fit(column: pa.Array, label: np.ndarray, size: int = 8, rounds: int = 300, rate: float = 0.5, decay: float = 5e-7) -> Model:
     """Trains embeddings of the given size and the softmax layer on the texts of column.
 
-    Buckets that fewer than share_of_texts of the texts have, and those after the most frequent
-    ``buckets``, keep an embedding of zero; they count in the mean all the same.
+    Every bucket that two or more of the texts have is trained; one that a single text has, or none,
+    keeps an embedding of zero and counts in the mean all the same.
     """
     share = float(label.mean()) if len(label) else 0.0
     if not 0 < share < 1:
@@ -99,28 +99,36 @@ def fit(column: pa.Array, label: np.ndarray, size: int = 8, rounds: int = 300, r
         total[texts.first : texts.first + texts.n] = np.maximum(1, np.bincount(d, amount, texts.n))
         texts_with += np.bincount(b, minlength=BUCKETS)
         triples.append(((d + texts.first).astype(np.int32), b.astype(np.int32), amount))
-    order = np.argsort(-texts_with, kind="stable")[:buckets]
-    used = order[texts_with[order] >= max(2, share_of_texts * len(label))]
-    column_of = np.full(BUCKETS, -1)
+    used = np.flatnonzero(texts_with >= 2)
+    column_of = np.full(BUCKETS, -1, np.int32)
     column_of[used] = np.arange(len(used))
-    x = np.zeros((len(label), len(used)), np.float32)
+    # The matrix of each bucket's share in each text, kept sparse: by slice, once in order of texts and once of buckets.
+    x = []
     while triples:
         d, b, amount = triples.pop()
         c = column_of[b]
-        x[d[c >= 0], c[c >= 0]] = amount[c >= 0]
-    x /= total[:, None]
+        d, c, amount = d[c >= 0], c[c >= 0], amount[c >= 0]
+        if len(d):
+            amount /= total[d]
+            order = np.argsort(c, kind="stable")
+            begins = [np.concatenate(([0], np.flatnonzero(np.diff(v)) + 1)) for v in (d, c[order])]
+            x.append((d[begins[0]], begins[0], c, amount, c[order][begins[1]], begins[1], d[order], amount[order]))
     y = np.asarray(label, np.float32)
     rng = np.random.default_rng(7)
     e = rng.uniform(-1 / size, 1 / size, (len(used), size)).astype(np.float32)
     layer, bias = rng.uniform(-0.1, 0.1, (size, 2)).astype(np.float32), np.array([np.log(1 - share), np.log(share)], np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, layer, bias)]
-    target = np.stack([1 - y, y], 1)
     for t in range(1, rounds + 1):
-        mean = x @ e
-        z = mean @ layer + bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        off = (z / z.sum(1, keepdims=True) - target) / np.float32(len(y))
-        slopes = [x.T @ (off @ layer.T) + decay * e, mean.T @ off + decay * layer, off.sum(0)]
+        # Of two classes only the margin counts, and slopes of theirs differ in sign only: one product of x each way does.
+        across = layer[:, 1] - layer[:, 0]
+        weight, margin = e @ across, np.full(len(y), bias[1] - bias[0], np.float64)
+        for text, begin, c, amount, *_ in x:
+            margin[text] += np.add.reduceat(amount * weight.take(c, mode="clip"), begin)
+        off = ((1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y) / len(y)).astype(np.float32)
+        pull = np.zeros(len(used), np.float32)
+        for *_, bucket, begin, d, amount in x:
+            pull[bucket] += np.add.reduceat(amount * off.take(d, mode="clip"), begin)
+        slopes = [np.outer(pull, across) + decay * e, np.outer(e.T @ pull, np.float32([-1, 1])) + decay * layer, off.sum() * np.float32([-1, 1])]
         for p, slope, s in zip((e, layer, bias), slopes, moments, strict=True):
             s[0] += 0.1 * (slope - s[0])
             s[1] += 0.01 * (slope**2 - s[1])

@@ -222,6 +222,20 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_toxicity_trains_rare_words():
+    """Forty words in five of a thousand texts each, and more than 8,192 buckets."""
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(8))
+    plain, bad = [word("abcdefghijklmnop") for _ in range(60)], [word("qrstuvwxyz") for _ in range(40)]
+    texts = [" ".join([*r.choices(plain, k=40), *([bad[i % 40]] if i < 200 else [])]) for i in range(1000)]
+    model = toxicity.fit(pa.array(texts), np.arange(1000) < 200)
+    base = [" ".join(r.choices(plain, k=40)) for _ in range(40)]
+    got = model.scores(next(kernel.slices(pa.array([*base, *(f"{t} {w}" for t in base for w in bad)]))))
+    assert (got[:40] < 0.3).mean() > 0.9 and (got[40:] >= 0.3).mean() > 0.9
+    many = " ".join(word("abcdefghijklmnop") for _ in range(1500))
+    assert np.count_nonzero(toxicity.fit(pa.array([many, f"{many} {bad[0]}"] * 2), np.array([0, 1, 0, 1]), rounds=2).weight) > 8192
+
+
 def test_toxicity_with_one_class_or_no_labels(spark, docs):
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(x.score < 0.01 for x in toxicity.score(docs, none).collect())
