@@ -28,27 +28,27 @@ from tessera.llm import frames, kernel
 SPAN, GRAM = 13, 7
 BITS = 24
 
-_SCHEMA = "key struct<id:string,mark:long>, n_words long, pos int, n int, hash long, gram string, before string, after string"
+_SCHEMA = "key struct<id:string,mark:long>, n_words long, pos int, n int, whole boolean, hash long, gram string, before string, after string"
 
 
 def _fingerprints(span: int, k: int, short: list[int], bitmap):
     """Rows of chosen k-grams; with a bitmap only those in it, and a row with pos -1 for each text."""
     w = span - k + 1
 
-    def chosen(words: kernel.Words, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, first word and hash of k-grams."""
+    def chosen(words: kernel.Words, hashes: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """Length, whether it is sought as a whole short item, first word and hash of k-grams."""
         h, start, at = kernel.grams(hashes, words.first, k)
         if len(h) >= w:
             least = kernel.sliding_min_pos(h, w)
             own = np.repeat(np.arange(words.texts.n), np.diff(at))
             least = np.unique(least[own[: len(least)] == own[w - 1 :]])  # windows inside one text
-            yield k, start[least], h[least]
+            yield k, False, start[least], h[least]
         for n in short:
             h, start, _ = kernel.grams(hashes, words.first, n)
             if bitmap is None:  # of items just whole ones
                 whole = words.counts[np.searchsorted(words.first, start, "right") - 1] == n
                 h, start = h[whole], start[whole]
-            yield n, start, h
+            yield n, True, start, h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else frames.bits(bitmap)
@@ -57,26 +57,27 @@ def _fingerprints(span: int, k: int, short: list[int], bitmap):
             for texts in kernel.slices(kernel.column(batch, "text")):
                 words = kernel.Words(texts, kernel.ALNUM, lower=True)
                 rows: list[tuple] = []
-                doc, pos, size, hashes = [np.arange(texts.n)], [np.full(texts.n, -1)], [np.zeros(texts.n, int)], [np.zeros(texts.n, np.uint64)]
+                doc, pos, size, short_item, hashes = [np.arange(texts.n)], [np.full(texts.n, -1)], [np.zeros(texts.n, int)], [np.zeros(texts.n, bool)], [np.zeros(texts.n, np.uint64)]
                 rows = [(None, None, None)] * texts.n
-                for n, start, h in chosen(words, words.hashes()):
+                for n, alone, start, h in chosen(words, words.hashes()):
                     if bits is not None:
                         take = bits[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                         start, h = start[take], h[take]
                     own = np.searchsorted(words.first, start, "right") - 1
                     for s, d in zip(start.tolist(), own.tolist(), strict=True):
-                        lo, hi, more = int(words.first[d]), int(words.first[d + 1]), span - n if n == k else 0
+                        lo, hi, more = int(words.first[d]), int(words.first[d + 1]), 0 if alone else span - n
                         before = words.join(max(lo, s - more), s)
                         rows.append((words.join(s, s + n), b" ".join(before.split(b" ")[::-1]), words.join(s + n, min(hi, s + n + more))))
                     doc.append(own)
                     pos.append(start - words.first[own])
                     size.append(np.full(len(h), n))
+                    short_item.append(np.full(len(h), alone))
                     hashes.append(h)
                 d = np.concatenate(doc)
                 gram, before, after = ([None if x is None else x.decode("utf-8", "replace") for x in side] for side in zip(*rows, strict=True)) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [key.take(pa.array(d + texts.first)), pa.array(words.counts[d]), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(gram, pa.string()), pa.array(before, pa.string()), pa.array(after, pa.string())],
-                    names=["key", "n_words", "pos", "n", "hash", "gram", "before", "after"],
+                    [key.take(pa.array(d + texts.first)), pa.array(words.counts[d]), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(short_item)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(gram, pa.string()), pa.array(before, pa.string()), pa.array(after, pa.string())],
+                    names=["key", "n_words", "pos", "n", "whole", "hash", "gram", "before", "after"],
                 )
 
     return run
@@ -114,16 +115,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     short = _short_lengths(items, span)
     known = (
         items.mapInArrow(_fingerprints(span, k, short, None), _SCHEMA).where("pos >= 0")
-        .groupBy("hash", "n", "gram", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
+        .groupBy("hash", "n", "whole", "gram", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
         .agg(F.collect_set("key.id").alias("items"))
     )
     cast = frames.bitmap(known, "hash", BITS)
     found = keyed.mapInArrow(_fingerprints(span, k, short, cast), _SCHEMA)
     # Rows with pos -1 meet no fingerprint; the key spreads them over the join's partitions.
     found = found.withColumn("hash", F.when(F.col("pos") < 0, F.xxhash64("key")).otherwise(F.col("hash")))
-    joined = found.join(known.withColumnRenamed("gram", "item_gram").withColumnRenamed("n", "item_n"), (found.hash == known.hash) & (found.pos >= 0) & (found.n == F.col("item_n")) & (found.gram == F.col("item_gram")), "left").drop(known.hash)
+    joined = found.join(known.withColumnRenamed("gram", "item_gram").withColumnRenamed("n", "item_n").withColumnRenamed("whole", "item_whole"), (found.hash == known.hash) & (found.pos >= 0) & (found.n == F.col("item_n")) & (found.whole == F.col("item_whole")) & (found.gram == F.col("item_gram")), "left").drop(known.hash)
     left, right = _matched(F.col("before"), F.col("item_before")), _matched(F.col("after"), F.col("item_after"))
-    hit = F.when(F.col("items").isNotNull() & ((F.col("n") != k) | (left + right + F.col("n") >= span)), F.struct((F.col("pos") - left).alias("a"), (F.col("pos") + F.col("n") + right).alias("b")))
+    hit = F.when(F.col("items").isNotNull() & (F.col("whole") | (left + right + F.col("n") >= span)), F.struct((F.col("pos") - left).alias("a"), (F.col("pos") + F.col("n") + right).alias("b")))
     grouped = (
         joined.select("key", "n_words", "pos", "items", hit.alias("hit"))
         .groupBy("key")

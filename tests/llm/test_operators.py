@@ -146,6 +146,15 @@ def test_decontamination_matches_brute_force(spark, rows):
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in [*rows, *extra]} - flagged
 
 
+def test_decontamination_finds_items_of_every_length(spark):
+    item = [f"w{i}x" for i in range(1, 14)]
+    bench = spark.createDataFrame([(n, " ".join(f"{w}{n}" for w in item[:n])) for n in range(1, 14)], "item_id long, text string")
+    texts = [(n, "before it " + " ".join(f"{w}{n}" for w in item[:n]) + " and after") for n in range(1, 14)]
+    texts += [(20, " ".join(f"{w}13" for w in item[:12])), (21, " ".join(f"{w}7" for w in item[:6]))]
+    got = {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
+    assert got == {n: (n + 4, n, [str(n)]) for n in range(1, 14)} | {20: (12, 0, []), 21: (6, 0, [])}
+
+
 def brute_groups(rows, n, percent):
     sets = {}
     for i, t in rows:
