@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, frames, jaccard, mixing, queries, token_files, toxicity
 
-#: Documents with at least this score go; stricter than the label threshold, to keep clean documents.
-REJECT = 0.5
+#: Documents with at least this score go: all that op6 calls toxic.
+REJECT = queries.TOXIC
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,21 @@
 
 import random
 
-from tessera.llm import queries
+import numpy as np
+import pytest
+
+from tessera.llm import queries, toxicity
+
+
+@pytest.mark.parametrize(("score", "kept"), [(0.29, 1), (0.31, 0), (0.4, 0)])
+def test_pipeline_rejects_what_op6_calls_toxic(spark, tmp_path, monkeypatch, score, kept):
+    import corpus_pipeline
+
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), float(np.log(score / (1 - score))))
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: model)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == kept
 
 
 def test_pipeline_stages(spark, tmp_path):
