@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LABELS = 8
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host of an absolute URL without user, port and trailing dot; null if there is none."""
@@ -39,9 +37,8 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: s
     captures = captures.drop("host", "action", "matched", "valid_from").withColumn("host", host_of(F.col(url)))
     asked = captures.select("host", F.col(fetched).alias("t")).where("host IS NOT NULL AND t IS NOT NULL").distinct()
     labels = F.split("host", r"\.")
-    # A host and the domains above it, down to two labels and at most LABELS of them.
-    tails = F.transform(F.sequence(F.greatest(F.lit(0), F.size(labels) - LABELS), F.greatest(F.lit(0), F.size(labels) - 2)), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    names = F.array_union(F.array("host"), tails)
+    # A host and all domains above it, down to one label.
+    names = F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     asked = asked.withColumn("name", F.explode(names))
     known = intervals(entries).withColumnRenamed("host", "name")
     met = asked.join(known, "name").where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))

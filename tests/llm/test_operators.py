@@ -344,6 +344,14 @@ def test_url_lists(spark):
     assert got == Counter([(1, None, None), (2, "block", "bad.example.com"), (2, "block", "bad.example.com"), (3, "allow", "bad.example.com"), (4, "block", "example.com"), (5, None, None), (6, None, None), (7, None, None)])
 
 
+def test_url_lists_know_parents_of_any_depth(spark):
+    deep = ".".join(f"l{i}" for i in range(12)) + ".example.zip"
+    entries = spark.createDataFrame([("zip", "block", 1), (deep.split(".", 1)[1], "allow", 1)], "host string, action string, listed int")
+    captures = spark.createDataFrame([(1, f"http://{deep}/", 2), (2, "http://other.zip/", 2), (3, "http://zip/", 2), (4, "http://a.gzip/", 2)], "page_id int, url string, fetched int")
+    got = {x.page_id: (x.action, x.matched) for x in url_lists.judged(captures, entries).collect()}
+    assert got == {1: ("allow", deep.split(".", 1)[1]), 2: ("block", "zip"), 3: ("block", "zip"), 4: (None, None)}
+
+
 def test_secret_scan(spark):
     found = secret_scan.made_findings(1200, seed=1)
     forest = secret_scan.fit(found)
