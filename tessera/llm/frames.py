@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,22 +12,37 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the cluster's shared folder (spark.checkpoint.dir).
-
-    Only where the session names none, as in tests, a folder of this machine is used.
-    """
+    """A fresh folder name below the cluster's shared folder (spark.checkpoint.dir)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")  # one machine: all its folders are shared
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends there."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def drop(*written_frames: DataFrame) -> None:
+    """Deletes the folders of frames that ``written`` gave and that no later job reads."""
+    for df in written_frames:
+        delete(df.sparkSession, _FOLDERS.pop(df))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

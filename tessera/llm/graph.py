@@ -27,11 +27,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every key in links of (a, b); root is the least key of the component."""
+    """(node, root) for every key in links of (a, b); root is the least key of the component.
+
+    Links of a key with itself and null keys count for nothing; repeated links count once; without links there are no rows.
+    """
     at = frames.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     state = None
     while True:
-        at = frames.written(_star(_star(at, True), False), "links")
+        next_at = frames.written(_star(_star(at, True), False), "links")
+        frames.drop(at)
+        at = next_at
         new = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1000003)).first()
         if new == state:
             break

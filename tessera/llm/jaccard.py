@@ -7,16 +7,24 @@ indexed too. Sets are put into bands of sizes; a pair meets at the band of its s
 band an allocation with n0 plain segments and n1 with neighbourhoods, n0 + 2 * n1 > H, is chosen by
 estimated cost: signatures written and false candidates expected from the band's number of sets.
 
-Sets that are equal are one set from the start. Sets that share a signature form a list. Lists
-are worked off in rounds: some of a list's members are compared with those after them, unless
-links found so far join the two already; that loses no link between components and spares groups of
-copies their pairs. A list's members come in order of how many lists they are in, so the text that
-others were copied from comes first. Candidates are verified on whole sets of 64-bit hashes.
+Sets that are equal (128 bits of two sums of hashes) are one node, named by their least doc_id. Sets
+that share a signature form a list. Work on lists is in three steps, none of which loses a link between
+components:
+
+1. Each list's members are compared with one of them, the one that is in most lists, which tends to be
+   the text that others were copied from. So a list of k members costs k candidates.
+2. What the links so far don't join is left of each list. All of its pairs are held against a bound in
+   numpy, from sketches that count differing cells of a partition of the universe: a pair whose cells
+   differ more often than its sizes allow can't link. Lists of more than BLOCK members are dealt to
+   pairs of blocks.
+3. What is left is compared too, and all links together give the components.
+
+Candidates are verified on the texts: 64-bit shingle hashes first, and where those suffice the words.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and link with
 nothing; texts of fewer words than n have one shingle; rows of equal texts are linked; rows with
 equal doc_id are one node; rows with null doc_id have no component_id; an empty table gives no rows;
-columns other than those named are ignored.
+columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import frames, graph, kernel
+from tessera.llm import frames, graph, kernel, runs
 
 U = np.uint64
 _CHECK = U(0xA24BAED4963EE407)
 #: Share of a set's shingles that unrelated sets are taken to have in common, for the cost model.
 COMMON = 0.05
 FLUSH = 1 << 20
+#: Members of a list that one task compares with each other, or with as many others.
+BLOCK = 2048
+#: Up to so many nodes are broadcast to pick their texts; more are joined by a shuffle.
+FEW = 500_000
+INDEX = (("keys", U), ("sizes", np.uint32), ("sigs", 5), ("flags", bool), ("known_keys", U), ("known_sigs", U))
+LOW = U((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
@@ -87,7 +101,8 @@ def shingle_sets(texts: kernel.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     words = kernel.Words(texts, kernel.NONSPACE, lower=True)
     h, _, at = kernel.grams(words.hashes(), words.first, n, whole_if_short=True)
     doc = np.repeat(np.arange(texts.n), np.diff(at))
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16 if texts.n <= 1 << 16 else np.int64), kind="stable")]
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -95,15 +110,15 @@ def shingle_sets(texts: kernel.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(texts.n + 1))
 
 
-def set_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set; 0 for an empty one."""
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(kernel.mix(h), out=sums[1:])
-    more = np.zeros(len(h) + 1, U)
-    np.cumsum(kernel.mix(h ^ _CHECK), out=more[1:])
+def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set; (0, 0) for an empty one."""
     n = np.diff(first).astype(U)
-    key = kernel.mix((sums[first[1:]] - sums[first[:-1]]) ^ kernel.mix(more[first[1:]] - more[first[:-1]] + n))
-    return np.where(n > 0, key, U(0))
+    out = []
+    for salt in (U(0), _CHECK):
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(kernel.mix(h ^ salt), out=sums[1:])
+        out.append(np.where(n > 0, kernel.mix(sums[first[1:]] - sums[first[:-1]] + n), U(0)))
+    return out[0], out[1]
 
 
 def _infos(n: int):
@@ -112,7 +127,8 @@ def _infos(n: int):
             doc = kernel.column(batch, "doc_id")
             for texts in kernel.slices(kernel.column(batch, "text")):
                 h, first = shingle_sets(texts, n)
-                yield pa.RecordBatch.from_arrays([doc.slice(texts.first, texts.n), pa.array(np.diff(first)), pa.array(set_keys(h, first).view(np.int64))], names=["doc_id", "n_shingles", "key"])
+                key, check = set_keys(h, first)
+                yield pa.RecordBatch.from_arrays([doc.slice(texts.first, texts.n), pa.array(np.diff(first)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))], names=["doc_id", "n_shingles", "key", "check"])
 
     return run
 
@@ -149,181 +165,286 @@ def signatures(h: np.ndarray, first: np.ndarray, level: np.ndarray, plan: list[B
     return np.concatenate((own[keep], doc[cut])), np.concatenate((whole, less))
 
 
+def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig >> U(40)) % U(buckets)).astype(np.int64)
+
+
 def _index(n: int, plan: list[Band], buckets: int):
-    """Rows of one bucket each: set keys, signatures of each, and the signatures' low 40 bits."""
+    """Rows of one bucket each: set keys, signatures of each, and the signatures' low 40 bits.
+
+    A signature that several sets of a task's block have goes to its bucket once, with a flag; the
+    others are known to be shared already and go to buckets by their keys.
+    """
     tops = np.array([b.high for b in plan])
+    names = [c for c, _ in INDEX]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = runs.Buffer(FLUSH)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            bucket = (sig >> U(40)) % U(buckets)
+            if (got := held.take()) is None:
+                return
+            key, sig = got
+            order = np.argsort(sig, kind="stable")
+            key, sig = key[order], sig[order]
+            first = np.concatenate(([True], sig[1:] != sig[:-1]))
+            flag = np.diff(np.append(np.flatnonzero(first), len(sig))) > 1
+            if not first.all():
+                k, x = key[~first], sig[~first]
+                yield runs.packed(_bucket(kernel.mix(k), buckets), "bucket", names, known_keys=k, known_sigs=x & LOW | _bucket(x, buckets).astype(U) << U(40))
+            key, sig = key[first], sig[first]
+            bucket = _bucket(sig, buckets)
             order = np.lexsort((key, bucket))
-            key, sig, bucket = key[order], sig[order], bucket[order]
-            low = (sig & U((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
-            run_at = np.append(np.flatnonzero(new), len(key))
-            names = np.unique(bucket)
-            edges, runs = np.searchsorted(bucket, names), np.searchsorted(bucket[run_at[:-1]], names)
-            edges, runs = np.append(edges, len(key)), np.append(runs, len(run_at) - 1)
-            sizes = np.diff(run_at).astype(np.uint32)
-            keys = key[run_at[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names.astype(np.int32)), kernel.binary([keys[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)]), kernel.binary([sizes[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)]), kernel.binary([low[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)])],
-                names=["bucket", "keys", "sizes", "sigs"],
-            )
+            key, sig, flag, bucket = key[order], sig[order], flag[order], bucket[order]
+            head = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
+            size = np.diff(np.append(np.flatnonzero(head), len(key))).astype(np.uint32)
+            a, b = runs.packed(bucket[head], "bucket", names[:2], keys=key[head], sizes=size), runs.packed(bucket, "bucket", names[2:], sigs=runs.five(sig), flags=flag)
+            yield pa.RecordBatch.from_arrays([*a.columns, *b.columns[1:]], names=["bucket", *names])
 
         for batch in batches:
             for texts in kernel.slices(kernel.column(batch, "text")):
                 h, first = shingle_sets(texts, n)
-                key = set_keys(h, first)
+                key, _ = set_keys(h, first)
                 _, one = np.unique(key, return_index=True)  # copies at hand count once
                 size = np.diff(first)
                 band = np.where(np.isin(np.arange(texts.n), one) & (size > 0), np.searchsorted(tops, size), -1)
                 for level in (band, np.where(band > 0, band - 1, -1)):
                     own, sig = signatures(h, first, level, plan)
-                    if len(own):
-                        held.append((key[own], sig))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield from flush()
-        if held:
-            yield from flush()
+                    if held.add(key[own], sig):
+                        yield from flush()
+        yield from flush()
 
     return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lists of two and more sets that share a signature of the partition's bucket."""
-    keys, sigs = [], []
-    for batch in batches:
-        for k, s, x in zip(*(kernel.column(batch, c) for c in ("keys", "sizes", "sigs")), strict=True):
-            keys.append(np.repeat(np.frombuffer(k.as_py(), U), np.frombuffer(s.as_py(), np.uint32)))
-            low = np.zeros((len(keys[-1]), 8), np.uint8)
-            low[:, :5] = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
-            sigs.append(low.reshape(-1).view(U))
-    if not keys:
+    """(list, key): sets of the partition's bucket whose signature others have too."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    key, sig = np.concatenate(keys), np.concatenate(sigs)
-    keys.clear(), sigs.clear()
+    rows = pa.Table.from_batches(batches)
+    batches.clear()
+    key, size, sig, flag, known, known_sig = runs.loaded(rows, *INDEX)
+    bucket = U(rows["bucket"][0].as_py())
+    key = np.repeat(key, size)
     order = np.argsort(sig, kind="stable")
-    key, sig = key[order], sig[order]
-    twin = np.zeros(len(sig), bool)
-    twin[1:] = sig[1:] == sig[:-1]
-    twin[:-1] |= twin[1:]
-    key, sig = key[twin], sig[twin]
-    order = np.lexsort((key, sig))
-    key, sig = key[order], sig[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-    key, sig = key[keep], sig[keep]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(sig)))
-    first, size = first[size > 1], size[size > 1]
-    if not len(first):
-        return
-    sums = np.zeros(len(key) + 1, U)
-    np.cumsum(kernel.mix(key), out=sums[1:])
-    name = kernel.mix(sums[first + size] - sums[first] + size.astype(U))
-    name, one = np.unique(name, return_index=True)
-    first, size = first[one], size[one]
-    for at in range(0, len(name), 4096):
-        f, s = first[at : at + 4096], size[at : at + 4096]
-        total = np.concatenate(([0], np.cumsum(s)))
-        members = key[np.arange(total[-1]) + np.repeat(f - total[:-1], s)].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(name[at : at + 4096].view(np.int64)), pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(members))], names=["list", "members"])
-
-
-def _sets(n: int, bitmap):
+    key, sig, flag = key[order], sig[order], flag[order]
+    head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    if len(head):
+        shared = (np.maximum.reduceat(key, head) != np.minimum.reduceat(key, head)) | np.logical_or.reduceat(flag, head)
+        shared = np.repeat(shared, np.diff(np.append(head, len(sig))))
+        key, sig = key[shared], sig[shared]
+    key, sig = np.concatenate((key, known)), np.concatenate((sig | bucket << U(40), known_sig))
+    for a in range(0, len(key), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 16)].view(np.int64)), pa.array(key[a : a + (1 << 16)].view(np.int64))], names=["list", "key"])
+
+
+_LOWER = bytes(kernel.LOWER.tolist())
+
+
+def _shingles(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    w = text.translate(_LOWER).split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def _verify(n: int, percent: int):
+    """Pairs of (a, b) whose texts link; rows of one a stand side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, left = kernel.column(batch, "a").to_numpy(), kernel.column(batch, "text_a")
+            good, last, exact = [], None, None
+            for texts in kernel.slices(kernel.column(batch, "text_b")):
+                h, first = shingle_sets(texts, n)
+                for i in range(texts.n):
+                    row = texts.first + i
+                    if last is None or a[row] != a[last] or left[row] != left[last]:
+                        last, exact = row, None
+                        one = next(kernel.slices(left.slice(row, 1)))
+                        x, _ = shingle_sets(one, n)
+                    y = h[first[i] : first[i + 1]]
+                    if not len(x) or not len(y):
+                        continue
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * both < percent * (len(x) + len(y) - both):
+                        continue
+                    if exact is None:
+                        exact = _shingles(one.text(0), n)
+                    other = _shingles(texts.text(i), n)
+                    both = len(exact & other)
+                    if 100 * both >= percent * (len(exact) + len(other) - both):
+                        good.append(row)
+            yield pa.RecordBatch.from_arrays([kernel.column(batch, c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def cells(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each set the sums, modulo 256, of its hashes in the cells of a partition of the universe.
+
+    There are as many cells as the least power of two that is at least the set's size. A cell that differs holds at least one
+    element that only one of two sets has. Neighbouring cells add up to those of a coarser partition.
+    """
+    size = np.maximum(np.diff(first), 1)
+    log = np.ceil(np.log2(size)).astype(np.int64)
+    edge = np.concatenate(([0], np.cumsum(1 << log)))
+    doc = np.repeat(np.arange(len(size)), np.diff(first))
+    at = (h >> (U(63) - log[doc].astype(U)) >> U(1)).astype(np.int64) + edge[doc]
+    out = np.bincount(at, (kernel.mix(h) & U(255)).astype(np.float64), edge[-1]).astype(np.int64).astype(np.uint8)
+    return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _sketches(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = frames.bits(bitmap)
         for batch in batches:
             doc = kernel.column(batch, "doc_id")
             for texts in kernel.slices(kernel.column(batch, "text")):
                 h, first = shingle_sets(texts, n)
-                key = set_keys(h, first)
-                take = np.flatnonzero(bits[(key & U(len(bits) - 1)).astype(np.int64)] & (np.diff(first) > 0))
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(take + texts.first)), pa.array(key[take].view(np.int64)), kernel.binary([h[first[i] : first[i + 1]].tobytes() for i in take])], names=["doc_id", "key", "set"])
+                take = np.flatnonzero(np.diff(first) > 0)
+                sketch = cells(h, first)
+                yield pa.RecordBatch.from_arrays([doc.slice(texts.first, texts.n).take(pa.array(take)), pa.array(np.diff(first)[take]), kernel.binary([sketch[i].tobytes() for i in take])], names=["doc_id", "size", "cells"])
 
     return run
 
 
-def _verify(percent: int):
+def _possible(label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the rows after it that may link with it: other label, fitting size, few differing cells.
+
+    side: 0 and 1 for two blocks that are compared with each other only, 2 for one block by itself.
+    """
+    order = np.argsort(size, kind="stable")
+    label, side, size = label[order], side[order], size[order]
+    log = np.array([len(sketch[i]) for i in order])
+    whole = {w: np.stack([sketch[i] for i in order[log == w]]) for w in np.unique(log).tolist()}
+    row_of = np.zeros(len(order), np.int64)
+    for w in whole:
+        row_of[log == w] = np.arange((log == w).sum())
+    to = np.searchsorted(size, size * 100 // percent, "right")
+    for i in range(len(order) - 1):
+        j = np.arange(i + 1, to[i])
+        j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 2))]
+        for w in np.unique(log[j]).tolist() if len(j) else []:
+            part = j[log[j] == w]
+            rows = whole[w][row_of[part]]
+            mine = whole[int(log[i])][row_of[i]]
+            if w > log[i]:
+                rows = rows.reshape(len(part), log[i], -1).sum(2, dtype=np.uint8)
+            elif w < log[i]:
+                mine = mine.reshape(w, -1).sum(1, dtype=np.uint8)
+            total = int(size[i]) + size[part]
+            fine = part[np.count_nonzero(rows != mine, axis=1) <= total * (100 - percent) // (100 + percent)]
+            if len(fine):
+                yield int(order[i]), order[fine]
+
+
+def _rest(percent: int):
+    """Candidates of lists, from rows (list, lo, hi, side, node, label, size, cells) sorted by the first three."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            node, label, side, size = (rows[c].to_numpy() for c in ("node", "label", "side", "size"))
+            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["cells"]]
+            a, b = [], []
+            for i, j in _possible(label, side, size, raw, percent):
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        last = None
         for batch in batches:
-            good, last, x = [], None, None
-            for i, (a, s, t) in enumerate(zip(kernel.column(batch, "a").to_numpy(), kernel.column(batch, "set_a"), kernel.column(batch, "set_b"), strict=True)):
-                if a != last:
-                    last, x = a, np.frombuffer(s.as_buffer(), U)
-                y = np.frombuffer(t.as_buffer(), U)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([kernel.column(batch, c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+            names = np.stack([kernel.column(batch, c).to_numpy().astype(np.int64) for c in ("list", "lo", "hi")], 1)
+            edge = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(1)))) if len(names) else []
+            for a, b in zip(edge, np.append(edge[1:], len(names)) if len(names) else [], strict=True):
+                if held and tuple(names[a]) != last:
+                    yield from block()
+                last = tuple(names[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from block()
 
     return run
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) of the nodes (a column node, distinct)."""
+    if nodes.count() <= FEW:
+        nodes = F.broadcast(nodes)
+    return docs.join(nodes, docs.doc_id == nodes.node, "left_semi")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    pairs = frames.written(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = frames.written(_texts_of(docs, nodes), "texts")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    links = frames.written(both.mapInArrow(_verify(n, percent), "a long, b long").distinct(), "links")
+    frames.drop(pairs, texts)
+    return links
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text).
 
     Documents link when their sets' similarity is at least percent / 100; component_id is the least
     doc_id that links reach.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spark = docs.sparkSession
-    info = frames.written(docs.mapInArrow(_infos(n), "doc_id long, n_shingles long, key long"), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    info = frames.written(docs.mapInArrow(_infos(n), "doc_id long, n_shingles long, key long, check long"), "sets")
     # A row for each size that occurs; sizes are bounded by the longest text.
     band = F.floor(F.log("n_shingles") / math.log(100 / percent))
     sizes = info.where("n_shingles > 0").groupBy(band.alias("scale")).agg(F.max("n_shingles").alias("most"), F.approx_count_distinct("key").alias("sets")).collect()
     largest = max((r.most for r in sizes), default=0)
     plan = bands(largest, percent, {})
-    counts = {int(np.searchsorted([b.high for b in plan], r.most)): r.sets for r in sizes}
-    plan = bands(largest, percent, counts)
-    named = info.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("root"))
     if not plan:
         return info.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    counts = {int(np.searchsorted([b.high for b in plan], r.most)): r.sets for r in sizes}
+    plan = bands(largest, percent, counts)
+    known = info.where("doc_id IS NOT NULL AND n_shingles > 0")
+    named = frames.written(known.groupBy("key", "check").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")), "named")
     buckets = frames.parts_for(docs, bucket_bytes)
-    index = docs.where("doc_id IS NOT NULL").mapInArrow(_index(n, plan, buckets), "bucket int, keys binary, sizes binary, sigs binary")
-    lists = index.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, members array<long>")
-    lists = frames.written(lists.dropDuplicates(["list"]), "lists")
-    exploded = lists.select("list", F.explode("members").alias("key"))
-    rank = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("lists")).join(info.groupBy("key").agg(F.max("n_shingles").alias("size")), "key")
-    rank = frames.written(rank, "rank")
-    cast = frames.bitmap(rank, "key", 24)
-    reps = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(n, cast), "doc_id long, key long, set binary")
-    sets = frames.written(reps.join(named.withColumnRenamed("key", "k"), (reps.key == F.col("k")) & (reps.doc_id == F.col("root"))).select("key", "set").dropDuplicates(["key"]), "sets")
-    ordered = exploded.join(rank, "key").groupBy("list").agg(F.sort_array(F.collect_list(F.struct((-F.col("lists")).alias("w"), "key", "size"))).alias("m"))
-    members = frames.written(ordered.select("list", F.posexplode("m").alias("pos", "m")).select("list", "pos", "m.key", "m.size"), "members")
-
-    found, label, start, width = None, None, 0, 2
-    while True:
-        if label is not None:
-            at = members.join(label, members.key == label.node, "left").select("list", "pos", "key", "size", F.coalesce("root", "key").alias("label"))
-            # Lists whose members are all joined by now are done.
-            live = at.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("pos").alias("last")).where((F.col("lo") != F.col("hi")) & (F.col("last") > start)).select("list")
-            at = frames.written(at.join(live, "list"), "live")
-            if at.isEmpty():
-                break
-        else:
-            at = members.withColumn("label", F.col("key"))
-        left = at.where((F.col("pos") >= start) & (F.col("pos") < start + width)).select("list", F.col("pos").alias("p"), F.col("key").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx"))
-        fits = (F.col("size") * 100 >= F.col("sx") * percent) & (F.col("sx") * 100 >= F.col("size") * percent)
-        pairs = at.join(left, "list").where((F.col("pos") > F.col("p")) & (F.col("label") != F.col("lx")) & fits)
-        pairs = pairs.select(F.least("x", "key").alias("lo"), F.greatest("x", "key").alias("hi"), F.col("x").alias("a"), F.col("key").alias("b")).groupBy("lo", "hi").agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-        with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-        with_both = with_b.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
-        new = frames.written(with_both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), "found")
-        found = new if found is None else found.union(new)
-        label = frames.written(graph.components(found), "labels")
-        start, width = start + width, width * 2
-    roots = label.join(named, label.node == named.key).groupBy(label.root.alias("label")).agg(F.min(named.root).alias("component"))
-    of_key = label.join(roots, label.root == roots.label).select(F.col("node").alias("k"), "component")
-    final = named.join(of_key, named.key == of_key.k, "left").select(F.col("key").alias("k"), F.coalesce("component", named.root).alias("component"))
-    out = info.join(final, (info.key == F.col("k")) & (info.n_shingles > 0), "left")
+    index = docs.where("doc_id IS NOT NULL").mapInArrow(_index(n, plan, buckets), "bucket int, " + ", ".join(f"{c} binary" for c, _ in INDEX))
+    lists = index.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, key long")
+    lists = frames.written(lists.join(named, "key").select("list", "node", "size").distinct(), "lists")
+
+    often = lists.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
+    centre = lists.join(often, "node").groupBy("list").agg(F.max(F.struct("often", "node", "size")).alias("c")).select("list", F.col("c.node").alias("a"), F.col("c.size").alias("size_a"))
+    fits = (F.col("size") * 100 >= F.col("size_a") * percent) & (F.col("size_a") * 100 >= F.col("size") * percent)
+    star = lists.join(centre, "list").where(fits & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
+    links = _links(docs, star, n, percent)
+    # Rows of one doc_id are one node.
+    rooted = known.join(named, ["key", "check"]).select("doc_id", "node")
+    several = rooted.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
+    links = links.union(rooted.join(several, "doc_id").where("doc_id <> node").select("doc_id", "node"))
+
+    label = graph.components(links)
+    at = lists.join(label.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("list", "node", "size", F.coalesce("root", "node").alias("label"))
+    at = frames.written(at, "labelled")
+    hashed = F.xxhash64("node")
+    live = at.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 20)).alias("s"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    # Lists of the same members are one; should names of different ones agree, it holds the members of both.
+    rest = at.join(live.select("list", F.xxhash64("x", "s", "m").alias("name")), "list").select(F.col("name").alias("list"), "node", "label").distinct()
+    rest = frames.written(rest, "rest")
+    blocks = rest.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    placed = rest.join(blocks, "list").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.select("list", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"), "node", "label")
+    sketches = _texts_of(docs, rest.select("node").distinct()).mapInArrow(_sketches(n), "doc_id long, size long, cells binary")
+    tasks = placed.join(sketches, placed.node == sketches.doc_id).select("list", "lo", "hi", "side", "node", "label", "size", "cells")
+    more = tasks.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi").mapInArrow(_rest(percent), "a long, b long").distinct()
+    found = _links(docs, more, n, percent)
+    frames.drop(at, rest)
+    label = graph.components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+
+    component = label.select(F.col("node").alias("k"), F.col("root").alias("component"))
+    final = named.join(component, F.col("node") == F.col("k"), "left").select(F.col("key").alias("k"), F.col("check").alias("c"), F.coalesce("component", "node").alias("component"))
+    out = info.join(final, (info.key == F.col("k")) & (info.check == F.col("c")) & (info.n_shingles > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

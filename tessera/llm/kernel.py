@@ -5,8 +5,9 @@ so no Python string is made for a word. Batches are cut into slices of about ``S
 (never inside a text) to bound memory: a slice needs some forty bytes of work space for each byte
 of text, so one single enormous text is the only thing that can raise it.
 
-Hashes are 64 bits wide: polynomials modulo 2**64 over bytes or words, then mixed. They are the same
-on every machine and in every run.
+Hashes are 64 bits wide and the same on every machine and in every run. None is a polynomial: bytes
+go through ``mix`` eight at a time and hashes are folded pairwise, so no pattern of a text (such as
+Thue-Morse strings) makes two strings share one.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE2 = 0xC2B2AE3D27D4EB4F | 1
+LONG = 64
+_SEED = 0x5EED
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _U = np.uint64
 
 
@@ -33,37 +37,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(a * _FIRST ^ (b * _SECOND ^ b >> _U(32)))
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, _U), np.ones(1, _U)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                    p = np.full(size, b, _U)
-                    p[0] = 1
-                    setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; beyond the end they are zero."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), held, 0, (1,))
 
 
-_BYTE_POWERS, _WORD_POWERS = Powers(_BASE), Powers(_BASE2)
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[s:e]; equal bytes have equal hashes wherever they stand.
 
-
-def prefix_sums(values: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers.upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out, down
+    Up to LONG bytes go eight at a time through ``mix``, so different strings of one size of up to eight
+    bytes never share a hash; longer ones are given to xxh3.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    size = ends - starts
+    at = eights(data)
+    most = int(size.max())
+    h = mix(size.astype(_U) * _FIRST ^ (at[starts] & _MASKS[np.minimum(size, 8)]))
+    live = np.arange(len(size))
+    for k in range(8, min(most, LONG), 8):
+        live = live[size[live] > k]
+        part = at[starts[live] + k] & _MASKS[np.minimum(size[live] - k, 8)]
+        h[live] = mix(h[live] * _SECOND ^ part)
+    if most > LONG:
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=_SEED)
+    return h
+
+
+def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k values from each place on: overlapping halves folded, doubling in size."""
+    out, size = h, 1
+    while size < k:
+        step = min(size, k - size)
+        if len(out) <= step:
+            return np.zeros(0, _U)
+        out, size = fold(out[:-step], out[step:]), size + step
+    return out
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """Hashes of values[s:e]; equal spans have equal hashes wherever they stand."""
-    sums, down = prefix_sums(values, powers)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k >= 8 bytes from each place on."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    at = eights(data)
+    h = mix(at[:n] ^ _U(k))
+    for j in range(8, k, 8):
+        h = mix(h * _SECOND ^ at[min(j, k - 8) : min(j, k - 8) + n])
+    return h
 
 
 class Texts:
@@ -135,7 +164,7 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return span_hash(self.bytes.astype(_U) + _U(1), self.starts, self.ends, _BYTE_POWERS)
+        return bytes_hash(self.bytes, self.starts, self.ends)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.texts.n), self.counts)
@@ -153,12 +182,19 @@ def grams(hashes: np.ndarray, first: np.ndarray, k: int, whole_if_short: bool =
     """
     counts = np.diff(first)
     many = np.maximum(counts - k + 1, 0)
-    if whole_if_short:
-        many = np.where((counts > 0) & (counts < k), 1, many)
+    short = np.flatnonzero((counts > 0) & (counts < k)) if whole_if_short else np.zeros(0, np.int64)
+    many[short] = 1
     at = np.concatenate(([0], np.cumsum(many)))
     start = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], many)
-    end = np.minimum(start + k, np.repeat(first[1:], many))
-    return span_hash(hashes, start, end, _WORD_POWERS), start, at
+    every = gram_hash(hashes, k)
+    out = every[np.minimum(start, len(every) - 1)] if len(every) else np.zeros(len(start), _U)
+    if len(short):
+        whole = mix(counts[short].astype(_U) * _FIRST)
+        for j in range(k - 1):
+            more = np.flatnonzero(counts[short] > j)
+            whole[more] = fold(whole[more], hashes[first[short[more]] + j])
+        out[at[short]] = whole
+    return out, start, at
 
 
 def sliding_min_pos(values: np.ndarray, w: int) -> np.ndarray:

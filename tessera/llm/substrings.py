@@ -121,6 +121,7 @@ def _windows(span: int, k: int, buckets: int):
                 words = kernel.Words(texts, kernel.NONSPACE, lower=False)
                 hashes = words.hashes()
                 h, _, at = kernel.grams(hashes, words.first, k)
+                every = kernel.gram_hash(hashes, span)
                 window, least = runs.chosen(h, at, span - k + 1)
                 wanted = np.zeros(len(h), bool)
                 wanted[at[doc] + places[entry]] = True
@@ -129,8 +130,7 @@ def _windows(span: int, k: int, buckets: int):
                 own = np.searchsorted(at, window, "right") - 1
                 start = window - at[own]
                 s = words.first[own] + start
-                full = kernel.span_hash(hashes, s, s + span, kernel._WORD_POWERS)
-                if held.add(full, h[least], mine[own], start):
+                if held.add(every[s], h[least], mine[own], start):
                     yield from block()
         yield from block()
 

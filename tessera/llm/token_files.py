@@ -117,8 +117,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(texts.n + 1, np.int64)
         ends = np.append(starts[1:], len(texts.data))
-        h = kernel.span_hash(texts.data.astype(np.uint64) + np.uint64(1), starts, ends, kernel._BYTE_POWERS)
-        h ^= (ends - starts).astype(np.uint64) << np.uint64(40)
+        h = kernel.bytes_hash(texts.data, starts, ends)
         distinct, one, where = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.remember:
             self.forget()
