@@ -213,6 +213,21 @@ def sliding_min_pos(values: np.ndarray, w: int) -> np.ndarray:
     return at[:n]
 
 
+def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the rightmost least hash of each window of w, by the hashes' high bits: as sliding_min_pos, but faster.
+
+    Positions travel in the low bits, so windows with equal hashes choose equal places wherever they stand.
+    """
+    low = _U((1 << max(1, len(h)).bit_length()) - 1)
+    best, span = h & ~low | low - np.arange(len(h), dtype=_U), 1
+    if len(h) < w:
+        return np.zeros(0, np.int64)
+    while span < w:
+        step = min(span, w - span)
+        best, span = np.minimum(best[:-step], best[step:]), span + step
+    return (low - (best & low)).astype(np.int64)
+
+
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))

@@ -39,7 +39,7 @@ def chosen(h: np.ndarray, at: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarra
 
     h: gram hashes; at: first gram of each text. Gives window numbers and positions, both ascending.
     """
-    least = kernel.sliding_min_pos(h, w)
+    least = kernel.sliding_least(h, w)
     own = np.repeat(np.arange(len(at) - 1), np.diff(at))
     window = np.flatnonzero(own[: len(least)] == own[w - 1 :]) if len(least) else np.zeros(0, np.int64)
     return window, least[window]
