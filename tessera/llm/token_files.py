@@ -39,13 +39,46 @@ ENCODED = "doc_id long, n_tokens long, width int, frame binary, check long"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
+class Table:
+    """Numbers by 64-bit hash: open addressing in numpy arrays, looked up many at a time."""
+
+    def __init__(self, log: int):
+        self.low, self.shift = (1 << log) - 1, np.uint64(64 - log)
+        self.hash, self.number = np.zeros(1 << log, np.uint64), np.full(1 << log, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out, live, at = np.full(len(h), -1, np.int32), None, (h >> self.shift).astype(np.int64)
+        while True:
+            number = self.number[at]
+            hit = self.hash[at] == h
+            out[live if live is not None else slice(None)] = np.where(hit, number, -1)
+            go = np.flatnonzero((number >= 0) & ~hit)
+            if not len(go):
+                return out
+            live = go if live is None else live[go]
+            h, at = h[go], at[go] + 1 & self.low
+
+    def add(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Distinct hashes that it doesn't hold yet."""
+        at = (h >> self.shift).astype(np.int64)
+        while len(h):
+            free = self.number[at] < 0
+            self.number[at[free]] = number[free]
+            go = self.number[at] != number  # taken before, or by another of these
+            won = ~go
+            self.hash[at[won]] = h[won]
+            h, number, at = h[go], number[go], at[go] + 1 & self.low
+
+
 class Encoder:
     """Tokenizer over slices of texts with a bounded memory of pieces it has seen.
 
     A text is cut where a character that isn't white space is followed by ASCII white space, and
     where a Latin letter is followed by ASCII punctuation. The byte-level pattern never matches
     across such places, so a text's ids are its pieces' ids in a row, and each distinct piece is
-    given to the tokenizer once. Forgetting pieces changes no id.
+    given to the tokenizer once. Pieces are looked up by hash and then compared byte by byte; those
+    whose hash another piece has are given to the tokenizer anew. Forgetting pieces changes no id.
     """
 
     def __init__(self, path: str, remember: int = 1_000_000, longest: int = 64):
@@ -58,12 +91,13 @@ class Encoder:
         self.remember, self.longest = remember, longest
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
+    def forget(self, room: int = 0) -> None:
+        self.known = Table(max(8, (2 * max(self.remember, room) - 1).bit_length()))
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.text = np.zeros(1 << 16, np.uint8)  # bytes of the pieces, and eight more
+        self.text_at, self.text_size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.many = self.used = self.written = 0
 
     def pieces(self, texts: kernel.Texts) -> np.ndarray:
         """Where pieces start."""
@@ -97,9 +131,12 @@ class Encoder:
     def grown(self, a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
 
-    def learn(self, hashes: list[int], strings: list[str]) -> None:
-        m, n = len(self.known), len(self.known) + len(hashes)
-        self.at, self.size = self.grown(self.at, n), self.grown(self.size, n)
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Gives pieces to the tokenizer; their numbers."""
+        m, n = self.many, self.many + len(starts)
+        self.at, self.size, self.text_at, self.text_size = (self.grown(x, n) for x in (self.at, self.size, self.text_at, self.text_size))
+        raw = data.tobytes()
+        strings = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         for a in range(0, len(strings), 2048):  # a piece counts as a word of one long sequence
             got = self.tokenizer.encode(strings[a : a + 2048], is_pretokenized=True, add_special_tokens=False)
             ids, size = np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(strings[a : a + 2048]))
@@ -109,7 +146,28 @@ class Encoder:
             self.size[to] = size
             self.at[to] = self.used + np.cumsum(size) - size
             self.used += len(ids)
-        self.known.update(zip(hashes, range(m, n), strict=True))
+        size = np.where(ends - starts <= self.longest, ends - starts, 0)  # longer ones are rare and not worth keeping
+        at = np.cumsum(size) - size
+        self.text = self.grown(self.text, self.written + int(size.sum()) + 8)
+        self.text[self.written : self.written + size.sum()] = data[np.arange(size.sum()) + np.repeat(starts - at, size)]
+        self.text_at[m:n], self.text_size[m:n] = self.written + at, ends - starts
+        self.written += int(size.sum())
+        self.many = n
+        return np.arange(m, n)
+
+    def same(self, eights: np.ndarray, starts: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Is each piece, byte by byte, the known one of that number?"""
+        mine = np.ndarray(len(self.text) - 7, np.dtype("<u8"), self.text, 0, (1,))
+        out = (size == self.text_size[number]) & (size <= self.longest)
+        live = np.flatnonzero(out)
+        for k in range(0, self.longest, 8):
+            live = live[size[live] > k]
+            if not len(live):
+                break
+            differ = (eights[starts[live] + k] ^ mine[self.text_at[number[live]] + k]) & kernel._MASKS[np.minimum(size[live] - k, 8)] != 0
+            out[live[differ]] = False
+            live = live[~differ]
+        return out
 
     def encode(self, texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids before each text and at the end."""
@@ -117,33 +175,46 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(texts.n + 1, np.int64)
         ends = np.append(starts[1:], len(texts.data))
+        size = ends - starts
+        if self.many + len(starts) > self.remember:
+            self.forget(len(starts))
         h = kernel.bytes_hash(texts.data, starts, ends)
-        distinct, one, where = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.remember:
-            self.forget()
-        got = np.array([self.known.get(x, -1) for x in distinct.tolist()])
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            raw = texts.data.tobytes()
-            n = len(self.known)
-            self.learn(distinct[new].tolist(), [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in one[new].tolist()])
-            got[new] = np.arange(n, n + len(new))
-            for x in distinct[new[(ends - starts)[one[new]] > self.longest]].tolist():  # rare and long: not worth keeping
-                self.known.pop(x)
-                self.known[-1 - len(self.known)] = 0
-        piece = got[where]
+        piece = self.known.find(h).astype(np.int64)
+        new = np.flatnonzero(piece < 0)
+        keep = new[size[new] <= self.longest]
+        if len(keep):
+            hashes, one, where = np.unique(h[keep], return_index=True, return_inverse=True)
+            numbers = self.learn(texts.data, starts[keep[one]], ends[keep[one]])
+            self.known.add(hashes, numbers)
+            piece[keep] = numbers[where]
+        eights = kernel.eights(texts.data)
+        short = np.flatnonzero(size <= self.longest)
+        other = np.concatenate((short[~self.same(eights, starts[short], size[short], piece[short])], np.flatnonzero(size > self.longest)))
+        if len(other):
+            piece[other] = self.learn(texts.data, starts[other], ends[other])
         size = self.size[piece]
-        total = np.concatenate(([0], np.cumsum(size)))
+        total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.at[piece] - total[:-1], size)]
         return ids, total[np.searchsorted(starts, texts.offsets)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder: what it remembers serves all tasks that it runs."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _encode(tokenizer: str, end_id: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         wide = max(encoder.vocabulary, end_id + 1) > 1 << 16
         kind = np.dtype("<u4") if wide else np.dtype("<u2")
         packer = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)

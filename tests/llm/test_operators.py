@@ -69,6 +69,43 @@ def test_kernel_words_and_minima():
         assert kernel.sliding_min_pos(v, w).tolist() == expected
 
 
+def thue_morse(n):
+    """Two words of 2**n bytes that polynomials modulo 2**64 give one hash."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 10, 12])
+def test_no_hash_takes_two_words_for_one(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, a), (4, b)]
+    texts = next(kernel.slices(pa.array([a, b])))
+    assert len(set(kernel.bytes_hash(texts.data, texts.offsets[:-1], texts.offsets[1:]).tolist())) == 2
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    ids, first = token_files.Encoder(queries.tokenizer_path()).encode(next(kernel.slices(pa.array([t for _, t in rows]))))
+    assert [ids[first[i] : first[i + 1]].tolist() for i in range(4)] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs_of(spark, rows), 4, 85).collect()}
+    assert got == brute_groups(rows, 4, 85)
+    kept = substrings.remove_repeats([docs_of(spark, [(1, " ".join([a] * 40)), (2, " ".join([b] * 3 + [a] * 30 + [b] * 3))])], with_text=True).collect()
+    assert {r.doc_id: r.n_removed for r in kept} == {1: 40, 2: 0}
+
+
+def test_encoder_compares_bytes_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(kernel, "bytes_hash", lambda data, starts, ends: np.minimum(ends - starts, 3).astype(np.uint64) << np.uint64(60))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["alpha beta gamma alpha delta", "be ta alpha " + "x" * 90, "gamma gamma " + "y" * 90]
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    for _ in range(2):
+        ids, first = encoder.encode(next(kernel.slices(pa.array(texts))))
+        assert [ids[first[i] : first[i + 1]].tolist() for i in range(3)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_matches_tokenizer():
     path = queries.tokenizer_path()
     encoder = token_files.Encoder(path, remember=300)
@@ -286,19 +323,22 @@ def test_suffix_arrays_match_sorting():
     assert len(suffix_groups.suffix_arrays(np.zeros(0, int), np.zeros(1, int))) == 0
 
 
-def test_byte_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("span,k,longest", [(50, 24, 1 << 12), (50, 24, 60), (200, 24, 1 << 12), (50, 50, 1 << 12)])
+def test_byte_repeats_match_brute_force(spark, span, k, longest, monkeypatch):
+    """Equal contexts, near copies and overlaps; with strings of suffix arrays so short that anchors are split."""
     rows = corpus(60, seed=13)
+    monkeypatch.setattr(byte_repeats, "LONGEST", longest)
     rows += [(200, rows[5][1]), (5, rows[5][1][300:900]), (201, "ab" * 100), (202, "xab" + "ab" * 60)]
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in byte_repeats.remove_repeats(docs_of(spark, [*rows, (None, rows[5][1])])).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in byte_repeats.remove_repeats(docs_of(spark, [*rows, (None, rows[5][1])]), span, k).collect())
     first = {}
     for i, t in sorted(rows, key=lambda x: x[0]):
         b = (t or "").encode()
-        for k in range(len(b) - 49):
-            first.setdefault(b[k : k + 50], i)
+        for j in range(len(b) - span + 1):
+            first.setdefault(b[j : j + span], i)
     want = Counter()
     for i, t in rows:
         b = (t or "").encode()
-        gone = sorted({j for k in range(len(b) - 49) if first[b[k : k + 50]] < i for j in range(k, k + 50)})
+        gone = sorted({j for x in range(len(b) - span + 1) if first[b[x : x + span]] < i for j in range(x, x + span)})
         kept = bytes(x for j, x in enumerate(b) if j not in set(gone))
         want[i, len(b), len(gone), sum(1 for n, j in enumerate(gone) if n == 0 or gone[n - 1] != j - 1), hashlib.sha256(kept).hexdigest()] += 1
     b = rows[5][1].encode()
@@ -306,6 +346,17 @@ def test_byte_repeats_match_brute_force(spark):
     assert got == want
 
 
+def test_windows_are_decided_by_bytes_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(kernel, "bytes_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = [b"one string of bytes", b"two string of bytes", b"one string of bytes"]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([19, 19, 19])
+    number, one = byte_repeats.distinct(data, np.array([0, 19, 38]), size, np.zeros(3, np.int64))
+    assert number[0] == number[2] != number[1] and len(one) == 2
+    gone = byte_repeats.decided(np.zeros(3, np.int64), np.array([4, 5, 6]), size, data, 10)
+    want = [texts[1][i : i + 10] in texts[0] for i in range(10)]
+    assert gone.tolist() == [False] * 10 + want + [True] * 10
+
+
 def test_sketches(spark, rows):
     docs = docs_of(spark, rows).repartition(3)
     got = {r.doc_id: r for r in sketch.fingerprints(docs, buckets=128).collect()}
