@@ -39,36 +39,41 @@ from tessera.llm.suffix_groups import suffix_arrays
 U = np.uint64
 SPAN, GRAM = 50, 24
 #: Symbols of one batch of strings, and of one string at most.
-BATCH, LONGEST = 1 << 17, 1 << 12
+BATCH, LONGEST = 1 << 17, 1 << 9
+#: Bytes of text whose anchors are sought at a time.
+PART = 1 << 16
 CONTEXTS = (("anchors", 5), ("files", np.int32), ("rows", np.uint32), ("docs", np.int64), ("places", np.uint32), ("sizes", np.uint16), ("bytes", np.uint8))
 CUTS = (("rows", np.uint32), ("starts", np.uint32), ("ends", np.uint32))
 
 
 def anchors(texts: kernel.Texts, usable: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
     """Of each anchor of the usable texts, in order: hash, text, first byte of its first string in the text, number of its strings."""
-    h = kernel.byte_grams(texts.data, k)
-    many = np.where(usable, np.maximum(np.diff(texts.offsets) - k + 1, 0), 0)
-    at = np.concatenate(([0], np.cumsum(many)))
-    if at[-1] == 0:
-        return (np.zeros(0, U), *(np.zeros(0, np.int64),) * 3)
-    h = h[np.arange(at[-1]) + np.repeat(texts.offsets[:-1] - at[:-1], many)]
-    window, least = runs.chosen(h, at, span - k + 1)
-    if not len(least):
-        return (np.zeros(0, U), *(np.zeros(0, np.int64),) * 3)
-    head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    own = np.searchsorted(at, window[head], "right") - 1
-    return h[least[head]], own, window[head] - at[own], np.diff(np.append(head, len(least)))
-
-
-def _sorted(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes by bucket and low 40 bits: bucket and low bits of each, which of them each hash is, how often it occurs."""
-    bucket, low = runs.bucket_of(h, buckets), h & runs.LOW
-    order = np.lexsort((low, bucket))
-    b, x = bucket[order], low[order]
-    new = np.concatenate(([True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])))
+    found = [(np.zeros(0, U), *(np.zeros(0, np.int64),) * 3)]
+    for part in texts.parts(PART):
+        many = np.where(usable[part.first : part.first + part.n], np.maximum(np.diff(part.offsets) - k + 1, 0), 0)
+        at = np.concatenate(([0], np.cumsum(many)))
+        h = kernel.byte_grams(part.data, k)
+        if at[-1] != len(h):
+            h = h[flat(part.offsets[:-1], many)]
+        window, least = runs.chosen(h, at, span - k + 1)
+        if len(least):
+            head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+            own = np.searchsorted(at, window[head], "right") - 1
+            found.append((h[least[head]], own + part.first, window[head] - at[own], np.diff(np.append(head, len(least)))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _sorted(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes by bucket: bucket and hash of each, which of them each hash is, whether documents of several ids have it."""
+    order = np.argsort(h)
+    order = order[np.argsort(runs.bucket_of(h[order], buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
+    x = h[order]
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    first = np.flatnonzero(new)
     which = np.empty(len(h), np.int64)
     which[order] = np.cumsum(new) - 1
-    return b[new], x[new], which, np.diff(np.append(np.flatnonzero(new), len(h)))
+    several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+    return runs.bucket_of(x[first], buckets), x[first], which, several
 
 
 def _edges(sorted_numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -77,17 +82,17 @@ def _edges(sorted_numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def _asked(folder: str, span: int, k: int, buckets: int):
-    """Rows of a bucket each: distinct anchors of one block, and which of them it holds several times."""
+    """Rows of a bucket each: distinct anchors of one block, and which of them several of its documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, name, _ in text_files.each_file(batches):
-            for number, _, _, null, texts in text_files.blocks(folder, name):
-                h, *_ = anchors(texts, ~null, span, k)
+            for number, _, ids, null, texts in text_files.blocks(folder, name):
+                h, own, *_ = anchors(texts, ~null, span, k)
                 if not len(h):
                     continue
-                bucket, low, _, times = _sorted(h, buckets)
+                bucket, low, _, several = _sorted(h, ids[own], buckets)
                 names, edge = _edges(bucket)
-                low, several = runs.five(low), times > 1
+                low = runs.five(low)
                 ends = list(zip(edge[:-1], edge[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names.astype(np.int32)), pa.array(np.full(len(names), file, np.int32)), pa.array(np.full(len(names), number, np.int32)), kernel.binary([low[a:b].tobytes() for a, b in ends]), kernel.binary([np.packbits(several[a:b]).tobytes() for a, b in ends])],
@@ -168,7 +173,7 @@ def _contexts(folder: str, span: int, k: int, buckets: int):
                 if number not in told:
                     continue
                 h, own, start, many = anchors(texts, ~null, span, k)
-                bucket, _, which, _ = _sorted(h, buckets)
+                bucket, _, which, _ = _sorted(h, ids[own], buckets)
                 shared = np.zeros(len(bucket), bool)
                 of_bucket, edge = _edges(bucket)
                 for b, i, j in zip(of_bucket.tolist(), edge[:-1], edge[1:], strict=True):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 LONG = 64
 _SEED = 0x5EED
@@ -83,16 +83,25 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+_LINEAR = mix(np.arange(1, 1 << 13, dtype=_U)) | _U(1)
+
+
 def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k >= 8 bytes from each place on."""
+    """Hashes of the k >= 8 bytes from each place on: eights times odd numbers, summed and mixed.
+
+    For finding candidates only; what they decide is compared afterwards.
+    """
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    at = eights(data)
-    h = mix(at[:n] ^ _U(k))
-    for j in range(8, k, 8):
-        h = mix(h * _SECOND ^ at[min(j, k - 8) : min(j, k - 8) + n])
-    return h
+    at, out = eights(data), np.empty(n, _U)
+    for a in range(0, n, 1 << 14):  # by parts that stay in the cache
+        b = min(n, a + (1 << 14))
+        h = at[a:b] * _LINEAR[0]
+        for i, j in enumerate(range(8, k, 8), 1):
+            h += at[a + min(j, k - 8) : b + min(j, k - 8)] * _LINEAR[i]
+        out[a:b] = mix(h)
+    return out
 
 
 class Texts:
@@ -105,6 +114,15 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+    def parts(self, size: int) -> Iterator[Texts]:
+        """The texts in pieces of about ``size`` bytes, never cut; ``first`` counts from this one's first text."""
+        at = 0
+        while at < self.n:
+            to = max(at + 1, min(self.n, int(np.searchsorted(self.offsets, self.offsets[at] + size, "right")) - 1))
+            yield Texts(self.data[self.offsets[at] : self.offsets[to]], self.offsets[at : to + 1] - self.offsets[at], at)
+            at = to
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column, nulls as empty texts."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -122,12 +140,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[Texts]:
     """The texts of a column in slices of about ``size`` bytes, in order."""
-    data, offsets = texts_of(column)
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, min(n, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
-        yield Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
-        at = to
+    yield from Texts(*texts_of(column), 0).parts(size)
 
 
 def byte_class(separators: str) -> np.ndarray:

@@ -323,7 +323,7 @@ def test_suffix_arrays_match_sorting():
     assert len(suffix_groups.suffix_arrays(np.zeros(0, int), np.zeros(1, int))) == 0
 
 
-@pytest.mark.parametrize("span,k,longest", [(50, 24, 1 << 12), (50, 24, 60), (200, 24, 1 << 12), (50, 50, 1 << 12)])
+@pytest.mark.parametrize("span,k,longest", [(50, 24, 1 << 9), (50, 24, 60), (200, 24, 1 << 12), (50, 50, 1 << 9)])
 def test_byte_repeats_match_brute_force(spark, span, k, longest, monkeypatch):
     """Equal contexts, near copies and overlaps; with strings of suffix arrays so short that anchors are split."""
     rows = corpus(60, seed=13)
