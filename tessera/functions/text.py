@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space as JavaScript has it, and as rendered bodies have it (with U+200B).
 WS = r"[\t-\r    -     　﻿]"
 RENDER_WS = r"[\t-\r    -​    　﻿]"
+#: White space of rendered bodies within a line.
+BLANK = "[" + r"\t\x0b-\r" + RENDER_WS.removeprefix(r"[\t-\r")
 #: Fixed value: the box-drawing characters of visual separators.
 BOX = "┌┐└┘├┤┬┴┼─│┏┓┗┛┣┫┳┻╋━┃╭╮╰╯╔╗╚╝╠╣╦╩╬═║╞╡╤╧╪╟╢╥╨╫╒╕╘╛╓╖╙╜┄┅┈┉┆┇┊┋╎╏"
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import drop_newline_end, sha256
+from tessera.functions.text import drop_newline_end, or_else, sha256, trim_ws
 from tessera.sources.transcripts import get, part_text, text_of
 
 #: Fixed values of the formats.
@@ -16,9 +22,10 @@ PAIRS = "array<struct<type:string,line:string,count:int>>"
 
 
 def relative(path: Column, prefix: Column) -> Column:
-    """path below a folder, without it; others as they are."""
-    base = F.concat(F.regexp_replace(prefix, "/+$", ""), F.lit("/"))
-    return F.when((F.coalesce(prefix, F.lit("")) != "") & F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(F.coalesce(path, F.lit("")))
+    """A path without the prefix and the slashes behind it; others, and the prefix itself, as they are; (unknown) where there is none."""
+    path, prefix = trim_ws(F.coalesce(path, F.lit(""))), F.coalesce(prefix, F.lit(""))
+    rest = F.regexp_replace(F.substring(path, F.length(prefix) + 1, F.length(path)), "^/+", "")
+    return or_else(F.when((prefix != "") & F.startswith(path, prefix), or_else(rest, path)).otherwise(path), F.lit("(unknown)"))
 
 
 def first_of(v: Column, *names: str) -> Column:
@@ -27,7 +34,8 @@ def first_of(v: Column, *names: str) -> Column:
 
 def edits(input_: Column) -> Column:
     """array<struct<old,new>> of an edit input, under any of its names; several where it has ``edits``."""
-    one = lambda v: F.struct(first_of(v, "old_str", "old_string", "oldString").alias("old"), first_of(v, "new_str", "new_string", "newString").alias("new"))
+    some = lambda v, *names: F.coalesce(*(get(v, f"$.{n}") for n in names), F.lit(""))
+    one = lambda v: F.struct(some(v, "old_str", "old_string", "oldString").alias("old"), some(v, "new_str", "new_string", "newString").alias("new"))
     many = F.try_variant_get(input_, "$.edits", "array<variant>")
     return F.when(F.size(many) > 0, F.transform(many, one)).otherwise(F.array(one(input_)))
 
@@ -36,60 +44,74 @@ def file_of(input_: Column) -> Column:
     return first_of(input_, "file_path", "path", "filePath")
 
 
-def _split(text: str) -> list[str]:
-    return (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+def _codes(*texts: str) -> tuple[list[str], list[np.ndarray]]:
+    """The texts' distinct lines, and each text as numbers of its lines."""
+    number: dict[str, int] = {}
+    coded = [np.array([number.setdefault(x, len(number)) for x in re.split("\r\n|\r|\n", t or "")]) for t in texts]
+    return list(number), coded
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading values agree."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
 
+def _above(x: int, b: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x + (the lines of below) with each end of b, from those without x."""
+    best = np.where(b == x, below[1:] + 1, below[:-1])
+    return np.append(np.maximum.accumulate(best[::-1])[::-1], 0)
 
-def _middle(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Longest common subsequence; where two are as long, removals come first."""
+
+def _script(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Kinds and lines that turn a into b by a longest common subsequence; where a removal and an addition leave equally much in common, the removal is first.
+
+    Rows of lengths are kept at every root-th line and made again between them, so memory is the root of the work.
+    """
     m, n = len(a), len(b)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
+    step = max(1, math.isqrt(m))
+    saved, row = {m: np.zeros(n + 1, np.int32)}, np.zeros(n + 1, np.int32)
     for i in range(m - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(n - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i = j = 0
-    out = []
-    while i < m or j < n:
-        if i < m and j < n and a[i] == b[j]:
-            out.append(("same", a[i]))
-            i, j = i + 1, j + 1
-        elif i < m and (j == n or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("remove", a[i]))
-            i += 1
-        else:
-            out.append(("add", b[j]))
-            j += 1
-    return out
+        row = _above(a[i], b, row)
+        if i % step == 0:
+            saved[i] = row
+    j = 0
+    for top in range(0, m, step):
+        end = min(m, top + step)
+        rows = [saved.pop(end) if end < m else saved[m]]
+        for i in range(end - 1, top - 1, -1):
+            rows.append(_above(a[i], b, rows[-1]))
+        for i in range(top, end):
+            here, below = rows[end - i], rows[end - i - 1]
+            while j < n and a[i] != b[j] and below[j] < here[j + 1]:
+                yield "add", b[j]
+                j += 1
+            same = j < n and a[i] == b[j]
+            yield "same" if same else "remove", a[i]
+            j += same
+    for x in b[j:]:
+        yield "add", x
 
 
 def line_pairs(old: str, new: str, context: int = CONTEXT) -> list[dict]:
     """Lines in order with what became of them; long unchanged runs between changes shrink to their ends."""
-    a, b = _split(old), _split(new)
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    trail = 0
-    while trail < min(len(a), len(b)) - lead and a[-1 - trail] == b[-1 - trail]:
-        trail += 1
-    out = [{"type": "context", "line": x, "count": None} for x in a[:lead]]
-    run: list[str] = []
-
-    def flush() -> None:
-        shown = [{"type": "context", "line": x, "count": None} for x in run]
-        if len(run) > 2 * context:
-            shown[context : len(shown) - context] = [{"type": "elide", "line": None, "count": len(run) - 2 * context}]
-        out.extend(shown)
-        run.clear()
-
-    for kind, x in _middle(a[lead : len(a) - trail], b[lead : len(b) - trail]):
-        if kind == "same":
-            run.append(x)
-            continue
-        flush()
-        out.append({"type": kind, "line": x, "count": None})
-    flush()
-    return out + [{"type": "context", "line": x, "count": None} for x in a[len(a) - trail :]]
+    names, (a, b) = _codes(old, new)
+    lead = _common(a, b)
+    trail = _common(a[lead:][::-1], b[lead:][::-1])
+    pair = lambda kind, x: {"type": kind, "line": names[x], "count": None}
+    out = [pair("context", x) for x in a[:lead]]
+    for kind, run in groupby(_script(a[lead : len(a) - trail], b[lead : len(b) - trail]), lambda s: s[0]):
+        out += shrunk([pair("context" if kind == "same" else kind, x) for _, x in run], context)
+    return out + [pair("context", x) for x in a[len(a) - trail :]]
+
+
+def shrunk(run: list[dict], context: int = CONTEXT) -> list[dict]:
+    """A run of context without its middle, if it is long; another run as it is."""
+    left_out = len(run) - 2 * context
+    if left_out <= 0 or run[0]["type"] != "context":
+        return run
+    return [*run[:context], {"type": "elide", "line": None, "count": left_out}, *run[len(run) - context :]]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("line", T.StringType()), T.StructField("count", T.IntegerType())])))
@@ -117,73 +139,56 @@ def footer(added: Column, removed: Column, digest: Column) -> Column:
     return F.concat(F.lit("stats: +"), added.cast("string"), F.lit(" -"), removed.cast("string"), F.lit(" lines | input_sha256="), digest)
 
 
-def edit_block(name: Column, path: Column, old: Column, new: Column, pairs: Column, line: Column | None = None, record_hash: Column | None = None) -> Column:
+def file_lines(path: Column, prefix: Column | None) -> list[Column]:
+    """The line that names a file, and one with its whole path where the first shows less."""
+    shown, whole = relative(path, F.lit(None).cast("string") if prefix is None else prefix), trim_ws(path)
+    return [F.concat(F.lit("@@file "), shown), F.when((whole != "") & (whole != shown), F.concat(F.lit("@@file_abs "), whole))]
+
+
+def edit_block(name: Column, path: Column, old: Column, new: Column, pairs: Column, line: Column | None = None, record_hash: Column | None = None, prefix: Column | None = None) -> Column:
     """A small edit as its lines, a larger one as its difference (pairs)."""
     small = F.length(old) + F.length(new) <= SMALL_EDIT
     ls = lambda x, sign: F.transform(F.split(x, "\r\n|\r|\n"), lambda y: F.concat(F.lit(sign), y))
     plain = F.array_join(F.concat(ls(old, "-"), ls(new, "+")), "\n")
     digest = sha256(F.to_json(F.struct(path.alias("filePath"), old.alias("oldText"), new.alias("newText"))))
     count = lambda kind, x: F.when(small, F.size(F.split(x, "\r\n|\r|\n"))).otherwise(counted(pairs, kind))
-    return F.concat_ws("\n", header(name, line, record_hash), F.concat(F.lit("@@file "), path), F.when(small, plain).otherwise(diff_body(pairs, path)), footer(count("add", new), count("remove", old), digest))
+    shown = relative(path, F.lit(None).cast("string") if prefix is None else prefix)
+    return F.concat_ws("\n", header(name, line, record_hash), *file_lines(path, prefix), F.when(small, plain).otherwise(diff_body(pairs, shown)), footer(count("add", new), count("remove", old), digest))
 
 
-def write_block(name: Column, path: Column, contents: Column, line: Column | None = None, record_hash: Column | None = None) -> Column:
-    """Contents of a written file: all lines if few, else the first 40 and last 10."""
+def write_block(name: Column, path: Column, contents: Column, line: Column | None = None, record_hash: Column | None = None, prefix: Column | None = None) -> Column:
+    """Contents of a written file: all lines if few, else the first 40 and last 10. Null contents are empty."""
+    contents = F.coalesce(contents, F.lit(""))
     ls = F.split(contents, "\r\n|\r|\n")
     n = F.size(ls)
     short = F.concat_ws("\n", F.array_join(F.slice(ls, 1, WRITE_HEAD), "\n"), F.concat(F.lit("[... "), (n - WRITE_HEAD - WRITE_TAIL).cast("string"), F.lit(" lines omitted ...]")), F.array_join(F.slice(ls, F.greatest(n - WRITE_TAIL + 1, F.lit(1)), F.lit(WRITE_TAIL)), "\n"))
     body = F.when(n <= WRITE_HEAD + WRITE_TAIL, drop_newline_end(contents)).otherwise(short)
     digest = sha256(F.to_json(F.struct(path.alias("filePath"), contents.alias("contents"))))
-    return F.concat_ws("\n", header(name, line, record_hash), F.concat(F.lit("@@file "), path), F.lit("```"), body, F.lit("```"), F.concat(F.lit("stats: lines="), n.cast("string"), F.lit(" | input_sha256="), digest))
+    return F.concat_ws("\n", header(name, line, record_hash), *file_lines(path, prefix), F.lit("```"), body, F.lit("```"), F.concat(F.lit("stats: lines="), n.cast("string"), F.lit(" | input_sha256="), digest))
 
 
 def patch_block(name: Column, patch: Column, line: Column | None = None, record_hash: Column | None = None) -> Column:
     return F.concat_ws("\n", header(name, line, record_hash), F.lit("```diff"), drop_newline_end(patch), F.lit("```"), F.concat(F.lit("stats: input_sha256="), sha256(patch)))
 
 
-def result_pairs(diff_lines: Column) -> Column:
-    """Pairs of a structured result's lines (type unchanged, removed, added; content), runs shrunk."""
-    last = F.size(diff_lines) - 1
-
-    def pair(x: Column, i: Column) -> Column:
-        kind = F.when(x["type"] == "removed", "remove").when(x["type"] == "added", "add").otherwise("context")
-        return F.struct(kind.alias("type"), x["content"].alias("line"), F.lit(None).cast("int").alias("count"), i.alias("i"))
-
-    all_ = F.transform(diff_lines, pair)
-    changed = F.concat(F.array(F.lit(-1)), F.transform(F.filter(all_, lambda p: p["type"] != "context"), lambda p: p["i"]), F.array(last + 1))
+RESULT_LINES = "array<struct<type string,content string>>"
 
-    def shrunk(p: Column) -> Column:
-        before = F.array_max(F.filter(changed, lambda c: c <= p["i"]))
-        after = F.array_min(F.filter(changed, lambda c: c >= p["i"]))
-        run = after - before - 1
-        away, left = p["i"] - before, after - p["i"]
-        whole = F.array(F.struct(p["type"].alias("type"), p["line"].alias("line"), p["count"].alias("count")))
-        note = F.array(F.struct(F.lit("elide").alias("type"), F.lit(None).cast("string").alias("line"), (run - 2 * CONTEXT).cast("int").alias("count")))
-        hidden = (p["type"] == "context") & (run > 2 * CONTEXT) & (away > CONTEXT) & (left > CONTEXT)
-        return F.when(~hidden, whole).when(away == CONTEXT + 1, note).otherwise(F.array().cast(PAIRS))
 
-    return F.flatten(F.transform(all_, shrunk))
-
-
-def tool_use(part: Column, line: Column | None = None, record_hash: Column | None = None) -> Column:
-    """A tool call as text, but for edits that need a difference: those show their input."""
-    name, given = get(part, "$.name"), F.try_variant_get(part, "$.input", "variant")
-    digest = sha256(F.to_json(given))
-    other = F.concat_ws("\n", header(name, line, record_hash), F.to_json(given), F.concat(F.lit("stats: input_sha256="), digest))
-    wrote = F.coalesce(text_of(given, "$.contents"), text_of(given, "$.content"), F.lit(""))
-    patch = F.coalesce(text_of(given, "$.patch"), text_of(given, "$.input"), F.lit(""))
-    out = F.when(F.lower(name).isin("write", "create_file"), write_block(name, file_of(given), wrote, line, record_hash))
-    return out.when(F.lower(name) == "apply_patch", patch_block(name, patch, line, record_hash)).otherwise(other)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("line", T.StringType()), T.StructField("count", T.IntegerType())])))
+def result_pairs(diff_lines: pd.Series) -> pd.Series:
+    """Pairs of a structured result's lines (type unchanged, removed, added or another; content); unchanged runs shrink."""
+    kind = {"unchanged": "context", "removed": "remove", "added": "add"}
 
+    def of(rows) -> list[dict] | None:
+        if rows is None:
+            return None
+        rows = [((x["type"] or "unchanged"), {"type": kind.get(x["type"] or "unchanged", "plain"), "line": x["content"] or "", "count": None}) for x in rows]
+        return [p for _, run in groupby(rows, lambda r: r[0] == "unchanged") for p in shrunk([p for _, p in run])]
 
-def tool_result(content: Column) -> Column:
-    """A result's text: a string, or its parts by blank line; a JSON object with diffLines as a difference."""
-    parts = F.try_variant_get(content, "$.content", "array<variant>")
-    text = F.coalesce(text_of(content, "$.content"), F.array_join(F.filter(F.transform(parts, part_text), lambda t: t != ""), "\n\n"), F.lit(""))
-    v = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
-    raw = F.try_variant_get(v, "$.diffLines", "array<struct<type string,content string>>")
-    pairs = result_pairs(raw)
-    body = diff_body(pairs, F.coalesce(file_of(v), F.lit("")))
-    return F.when(raw.isNotNull(), body).otherwise(text)
+    return pd.Series([of(x) for x in diff_lines])
 
 
+def result_block(path: Column, pairs: Column, digest: Column, line: Column | None = None, record_hash: Column | None = None, prefix: Column | None = None) -> Column:
+    """A structured result as a difference."""
+    shown = relative(path, F.lit(None).cast("string") if prefix is None else prefix)
+    return F.concat_ws("\n", header(F.lit("EditResult"), line, record_hash), *file_lines(path, prefix), diff_body(pairs, shown), footer(counted(pairs, "add"), counted(pairs, "remove"), digest))

@@ -1,84 +1,130 @@
 """Selection of a long body's telling sentences by inverse document frequency, in two stages.
 
-Works on rows of (key, text); every step is a grouping or window on the key, and scores that a tie
-can turn on are summed in token order.
+Works on rows of (key, text), a row a body. Texts are dealt by key once; all that follows are windows
+and groupings within a key on that partitioning. Scores are rounded to nine digits before they are
+compared, so terms and sentences that tie in exact arithmetic tie here. Null texts count as empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines
+from tessera.functions.text import WS, lines, sha256, trim_ws
 
+#: Query terms, share kept by the first stage, weights of attention, information and place, and the shape of the place's bell.
 QUERY_TERMS, KEEP = 12, 0.7
 WEIGHTS = (0.6, 0.3, 0.1)
 LAMBDA, SIGMA = 1.0, 0.25
+DIGITS = 9
+
+
+def sentences(text: Column) -> Column:
+    """Lines cut after . ! ? with blanks behind; blank pieces are left out, others stay as they are."""
+    cut = F.flatten(F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.split(x, f"(?<=[.!?]){WS}+")))
+    return F.filter(cut, lambda s: trim_ws(s) != "")
 
 
 def segments(df: DataFrame) -> DataFrame:
-    """(key, seg, sentence, tokens): lines cut after . ! ? with blanks behind, blank ones left out."""
-    cut = F.flatten(F.transform(lines(F.col("text")), lambda x: F.split(x, r"(?<=[.!?])\s+")))
-    kept = F.filter(F.transform(cut, F.trim), lambda s: s != "")
-    out = df.select("key", F.posexplode(kept).alias("seg", "sentence"))
-    return out.withColumn("tokens", F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    """(key, seg, n, size, tokens) of each sentence; size in characters, n the key's sentences."""
+    cut = df.repartition("key").select("key", sentences(F.col("text")).alias("s"))
+    out = cut.select("key", F.size("s").alias("n"), F.posexplode("s").alias("seg", "sentence"))
+    return out.select("key", "seg", "n", F.length("sentence").alias("size"), F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("tokens"))
+
+
+def occurrences(segs: DataFrame) -> DataFrame:
+    """(key, seg, n, term, times, tf, df, idf, salience): each term of each sentence."""
+    flat = segs.select("key", "seg", "n", F.explode("tokens").alias("term"))
+    counted = flat.groupBy("key", "seg", "term").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"))
+    w = Window.partitionBy("key", "term")
+    out = counted.withColumn("tf", F.sum("times").over(w)).withColumn("df", F.count(F.lit(1)).over(w))
+    out = out.withColumn("idf", F.log(F.col("n") / F.col("df")))
+    return out.withColumn("salience", F.round(F.col("tf") * F.col("idf"), DIGITS))
+
+
+def with_rank(terms: DataFrame) -> DataFrame:
+    """Terms ranked within their key by salience, ties in term order."""
+    return terms.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy(F.col("salience").desc(), "term")))
 
 
 def terms(segs: DataFrame) -> DataFrame:
     """(key, term, tf, df, n, idf, salience)."""
-    count = segs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    flat = segs.select("key", "seg", F.explode("tokens").alias("term"))
-    stats = flat.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("seg").alias("df"))
-    out = stats.join(count, "key").withColumn("idf", F.log(F.col("n") / F.col("df")))
-    return out.withColumn("salience", F.col("tf") * F.col("idf"))
+    return occurrences(segs).groupBy("key", "term").agg(*(F.first(c).alias(c) for c in ("tf", "df", "n", "idf", "salience")))
 
 
 def query_terms(stats: DataFrame, most: int = QUERY_TERMS) -> DataFrame:
-    """The most salient terms of each key, ties in term order."""
-    w = Window.partitionBy("key").orderBy(F.col("salience").desc(), "term")
-    return stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """The most salient terms of each key."""
+    return with_rank(stats).where(F.col("rank") <= most)
 
 
 def scored(segs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """segs with info, attention, stage1 and its rank, and alpha for those the first stage keeps."""
-    stats = terms(segs)
-    query = query_terms(stats).select("key", "term", F.lit(True).alias("asked"))
-    weight = stats.join(query, ["key", "term"], "left").groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.struct("idf", "salience", F.coalesce("asked", F.lit(False)).alias("asked"))))).alias("w"), F.first("n").alias("n"))
-    df = segs.join(weight, "key")
-    add = lambda f: F.aggregate("tokens", F.lit(0.0), lambda s, t: s + f(F.col("w")[t]))
-    size = F.size("tokens")
-    df = df.withColumn("attention", add(lambda x: F.when(x["asked"], x["idf"]).otherwise(0.0))).withColumn("info", add(lambda x: x["idf"]))
-    df = df.withColumn("stage1", F.when(size > 0, F.col("attention") / F.sqrt(size)).otherwise(0.0))
+    """(key, seg, n, size, stage1, rank1, kept1, attention, info, alpha) of each sentence.
+
+    stage1: idf of its query terms over the root of its tokens. attention and info: salience and idf
+    of its tokens over their number; alpha weighs both, as shares of the key's greatest, with the place.
+    """
+    of = with_rank(occurrences(segs))
+    add = lambda x: F.sum(F.col("times") * x)
+    sums = of.groupBy("key", "seg").agg(
+        F.sum("times").alias("m"), add(F.when(F.col("rank") <= QUERY_TERMS, F.col("idf")).otherwise(0.0)).alias("asked"),
+        add(F.col("tf") * F.col("idf")).alias("salient"), add(F.col("idf")).alias("told"),
+    )
+    share = lambda x: F.round(F.coalesce(x, F.lit(0.0)), DIGITS)
+    df = segs.drop("tokens").join(sums, ["key", "seg"], "left")
+    df = df.withColumn("stage1", share(F.col("asked") / F.sqrt("m"))).withColumn("attention", share(F.col("salient") / F.col("m"))).withColumn("info", share(F.col("told") / F.col("m")))
     by = Window.partitionBy("key")
-    df = df.withColumn("rank1", F.row_number().over(by.orderBy(F.col("stage1").desc(), "seg")))
-    df = df.withColumn("kept1", F.greatest(F.lit(1), F.floor(F.col("n") * keep))).drop("w")
-    live = F.when(F.col("rank1") <= F.col("kept1"), F.lit(1.0))
-    norm = lambda c: F.coalesce(F.col(c) / F.nullif(F.greatest(F.max(F.col(c) * live).over(by), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    top = lambda c: F.coalesce(F.col(c) / F.nullif(F.max(c).over(by), F.lit(0.0)), F.lit(0.0))
     sigma = F.greatest(F.col("n") * SIGMA, F.lit(1.0))
     near = 1 + LAMBDA * F.exp(-F.pow(F.col("seg") - F.col("n") / 2, F.lit(2)) / (2 * sigma * sigma))
     a, b, c = WEIGHTS
-    df = df.withColumn("_i", F.when(size > 0, F.col("info") / F.sqrt(size)).otherwise(0.0)).withColumn("_a", F.col("stage1"))
-    return df.withColumn("alpha", live * (a * norm("_a") + b * norm("_i") + c * near)).drop("_i", "_a")
+    df = df.withColumn("alpha", F.round(a * top("attention") + b * top("info") + c * near, DIGITS))
+    df = df.withColumn("rank1", F.row_number().over(by.orderBy(F.col("stage1").desc(), "seg")))
+    df = df.withColumn("kept1", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(keep))).cast("int"))
+    return df.drop("m", "asked", "salient", "told")
+
+
+def chosen(df: DataFrame, budget: int, keep: float = KEEP) -> DataFrame:
+    """(key, n, kept1, segs): sentences by alpha while the budget lasts; ones too long are passed over, the first always stays."""
+    s = scored(segments(df), keep).where("rank1 <= kept1")
+    rows = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("alpha")).alias("a"), "seg", "size"))).alias("s"), F.first("n").alias("n"), F.first("kept1").alias("kept1"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        used = acc["used"] + x["size"] + 1
+        return F.when((acc["used"] == 0) | (used <= budget), F.struct(used.alias("used"), F.concat(acc["out"], F.array(x["seg"])).alias("out"))).otherwise(acc)
+
+    return rows.select("key", "n", "kept1", F.array_sort(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("segs"))
+
+
+def joined(text: Column, n: Column, segs: Column) -> Column:
+    """The chosen sentences in order, with [...] wherever some are left out."""
+    all_ = sentences(text)
+
+    def piece(i, k):
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.element_at(segs, F.greatest(k, F.lit(1))))
+        return F.when(i > before + 1, F.concat(F.lit("[...]\n"), F.element_at(all_, i + 1))).otherwise(F.element_at(all_, i + 1))
+
+    return F.concat_ws("\n", F.array_join(F.transform(segs, piece), "\n"), F.when(F.element_at(segs, -1) < n - 1, F.lit("[...]")))
 
 
 def selected(df: DataFrame, budget: int = 1400, least: int = 2400, keep: float = KEEP) -> DataFrame:
-    """(key, kept, kept_segments, kept1, n): sentences by alpha while the budget lasts; ones too long are passed over.
+    """(key, text, kept, kept_segments, kept1, n) of texts that are longer than ``least`` and have two sentences or more."""
+    long = df.where(F.length("text") > least).select("key", "text")
+    out = long.join(chosen(long, budget, keep), "key").where("n > 1")
+    return out.select("key", "text", joined(F.col("text"), F.col("n"), F.col("segs")).alias("kept"), F.size("segs").alias("kept_segments"), "kept1", "n")
 
-    The first always stays; kept joins them in order with [...] where something is left out.
-    """
-    s = scored(segments(df.where(F.length("text") > least)), keep).where("alpha IS NOT NULL")
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("alpha")).alias("a"), "seg", "sentence")))
-    rows = s.groupBy("key").agg(ordered.alias("s"), F.first("n").alias("n"), F.first("kept1").alias("kept1"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<seg:int,sentence:string>>").alias("out"))
 
-    def step(acc, x):
-        cost = F.length(x["sentence"]) + 1
-        take = (F.size(acc["out"]) == 0) | ((acc["used"] < budget) & (acc["used"] + cost <= budget))
-        more = F.array(F.struct(x["seg"].alias("seg"), x["sentence"].alias("sentence")))
-        return F.when(take, F.struct((acc["used"] + cost).alias("used"), F.concat(acc["out"], more).alias("out"))).otherwise(acc)
-
-    rows = rows.withColumn("k", F.array_sort(F.aggregate("s", start, step, lambda acc: acc["out"])))
-    gaps = F.transform("k", lambda x, i: F.when((i > 0) & (x["seg"] > F.element_at("k", F.greatest(i, F.lit(1)))["seg"] + 1) | (i == 0) & (x["seg"] > 0), F.concat(F.lit("[...]\n"), x["sentence"])).otherwise(x["sentence"]))
-    tail = F.when(F.element_at("k", -1)["seg"] < F.col("n") - 1, F.lit("[...]"))
-    return rows.select("key", F.concat_ws("\n", F.array_join(gaps, "\n"), tail).alias("kept"), F.size("k").alias("kept_segments"), "kept1", "n")
+def compressed(df: DataFrame, least: int = 2400, head: int = 900, tail: int = 500, keep: float = KEEP) -> DataFrame:
+    """(key, c) of rows (key, text, line, hash) whose text is long and has two sentences or more; c as compress.result gives it.
+
+    Other rows are left to head and tail.
+    """
+    out = selected(df, max(head + tail, 1), least, keep).join(df.select("key", "line", "hash"), "key")
+    n, text = lambda c: F.col(c).cast("string"), F.col("text")
+    omitted = F.greatest(F.length("text") - F.length("kept"), F.lit(0))
+    marker = F.concat(
+        F.lit("[tool output compressed: strategy=dspc original_chars="), F.length("text").cast("string"), F.lit(" omitted_chars="), omitted.cast("string"), F.lit(" line="), n("line"), F.lit(" body_sha256="), sha256(text),
+        F.lit(" record_sha256="), F.col("hash"), F.lit(" stage1_kept="), n("kept1"), F.lit("/"), n("n"), F.lit(" stage2_kept="), n("kept_segments"), F.lit("]"),
+    )
+    c = F.struct(F.concat_ws("\n", marker, F.lit(""), F.col("kept")).alias("body"), F.lit(True).alias("compressed"), F.length("text").cast("long").alias("original_chars"), omitted.cast("long").alias("omitted_chars"))
+    return out.select("key", c.alias("c"))

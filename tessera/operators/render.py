@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import BOX, RENDER_WS, lines, or_else, row_field, trim_ws
-from tessera.operators import compress
+from tessera.functions.text import BLANK, BOX, RENDER_WS, lines, or_else, row_field, trim_ws
+from tessera.operators import compress, dspc, tools
 from tessera.sources import transcripts
 
 
@@ -28,65 +29,57 @@ def without_separators(ls: Column) -> Column:
     return F.filter(ls, lambda x: ~is_separator(x))
 
 
-def short_blank_runs(ls: Column, most: int = 2) -> Column:
-    """At most ``most`` blank lines in a row, and those empty."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("run"))
+def short_blank_runs(x: Column, most: int = 2) -> Column:
+    """At most ``most`` blank lines in a row, and those empty; two substitutions over the whole text."""
+    x = F.regexp_replace(x, f"(?md)^{BLANK}+$", "")
+    run, end = "\n" * (most + 1), "\n" * most
+    x = F.regexp_replace(x, f"\n{{{most + 2},}}", run)
+    x = F.regexp_replace(F.regexp_replace(x, f"\\A\n{{{most + 1},}}", end), f"\n{{{most + 1},}}\\z", end)
+    return F.regexp_replace(x, f"\\A\n{{{most},}}\\z", "\n" * (most - 1))
 
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(is_blank(x), s["run"] + 1).otherwise(F.lit(0))
-        keep = F.when(run == 0, F.array(x)).when(run <= most, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(s["out"], keep).alias("out"), run.alias("run"))
 
-    return F.aggregate(ls, start, step, lambda s: s["out"])
+#: Where code starts, words first; which lines end it; which lines a list or quote has.
+CODE_START = r"(?:match|if|else|for|while|switch|case|return|let|fn|Ok|Err|None|Some)(?![A-Za-z0-9_])|sub_[A-Za-z0-9_]+|[^\n]*(?:[{};]|=>|::|->)"
+CODE_END = r"```|\d+\||@@(?:RECORD|END_RECORD)(?![A-Za-z0-9_])|</?record(?![A-Za-z0-9_])"
+LISTED = r"[-*+]|\d+[.)]|>|#{1,6}\s"
+#: Lines that a block has at least, and columns it must stand from the left, as a whole or from its first line on.
+BLOCK_LINES, BLOCK_INDENT, CODE_INDENT = 3, 8, 12
+
+_PARAGRAPH = re.compile(rf"(?:^(?!{BLANK}*$)[^\n]*(?:\n|\Z))+", re.M)
+_CODE = re.compile(rf"^( {{{CODE_INDENT},}})(?![ \t])(?:{CODE_START})[^\n]*(?:\n(?!\s*$)(?![^\S\n]*(?:{CODE_END}))[^\n]*)*", re.M)
+_FIXED = re.compile(rf"^[ \t]*\t|\A(?:\s*\|[^\n]*\|[^\S\n]*(?:\n|\Z))+\Z|\A(?:[^\S\n]*(?:{LISTED})[^\n]*(?:\n|\Z))+\Z", re.M)
+
+
+def _moved(block: str, most: int | None, least: int = 1) -> str:
+    """The block moved to the left by the smallest indent of its lines, or each line by up to ``most``; as it is if it mustn't move."""
+    body = block.removesuffix("\n")
+    if body.count("\n") + 1 < BLOCK_LINES or _FIXED.search(body):
+        return block
+    if most is None:
+        most = min(len(m) for m in re.findall("^ *", body, re.M))
+    return re.sub(f"^ {{1,{most}}}", "", block, flags=re.M) if most >= least else block
 
 
 def _dedented(text: str) -> tuple[str, int]:
     """Moves blocks of code to the left; gives the text and the number of blocks moved."""
-    import re
-
-    blank = re.compile(f"{RENDER_WS}*")
-    tab = re.compile(r"[ \t]*\t")
-    code = re.compile(r"(?:match|if|else|for|while|switch|case|return|let|fn|Ok|Err|None|Some)(?![A-Za-z0-9_])|sub_[A-Za-z0-9_]+|.*(?:[{};]|=>|::|->)")
-    boundary = re.compile(r"```|\d+\||@@(?:RECORD|END_RECORD)(?![A-Za-z0-9_])|</?record(?![A-Za-z0-9_])")
-    listed = re.compile(r"[-*+]|\d+[.)]|>|#{1,6}\s")
-    indent = lambda x: len(x) - len(x.lstrip(" "))
-
-    def movable(block: list[str]) -> bool:
-        own = [x.strip() for x in block if x.strip()]
-        structural = bool(own) and (all(x.startswith("|") and x.endswith("|") and len(x) > 1 for x in own) or all(listed.match(x) for x in own))
-        return len(block) >= 3 and not any(tab.match(x) for x in block) and not structural
-
-    out, moved, i = text.split("\n"), 0, 0
-    is_empty = lambda x: blank.fullmatch(x) is not None
-    while i < len(out):
-        j = i
-        while j < len(out) and not is_empty(out[j]):
-            j += 1
-        block = out[i:j]
-        if block and movable(block) and (least := min(map(indent, block))) >= 8:
-            out[i:j] = [x[least:] for x in block]
-            moved += 1
-        i = j + 1
-    i = 0
-    while i < len(out):
-        first = out[i]
-        if tab.match(first) or indent(first) < 12 or not code.match(first.strip()):
-            i += 1
-            continue
-        j = i + 1
-        while j < len(out) and out[j].strip() and not boundary.match(out[j].strip()):
-            j += 1
-        if movable(out[i:j]):
-            base, before = indent(first), out[i:j]
-            out[i:j] = [x if is_empty(x) else x[min(base, indent(x)) :] for x in before]
-            moved += out[i:j] != before
-        i = j
-    return "\n".join(out), moved
+    moved = 0
+
+    def by(most) -> Callable[[re.Match], str]:
+        def move(m: re.Match) -> str:
+            nonlocal moved
+            out = most(m)
+            moved += out != m[0]
+            return out
+
+        return move
+
+    text = _PARAGRAPH.sub(by(lambda m: _moved(m[0], None, BLOCK_INDENT)), text)
+    return _CODE.sub(by(lambda m: _moved(m[0], len(m[1]))), text), moved
 
 
 @F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("blocks", T.IntegerType())]))
 def dedented(texts: pd.Series) -> pd.DataFrame:
-    """Second pass of clean-up: indented code moved to the left. Sequential, hence in Python."""
+    """Second pass of clean-up: indented code moved to the left."""
     return pd.DataFrame([_dedented(t or "") for t in texts], columns=["body", "blocks"])
 
 
@@ -96,19 +89,19 @@ def with_clean(df: DataFrame, text: str, out: str = "clean") -> DataFrame:
     Texts without a line indented by eight spaces skip the Python pass.
     """
     kept = without_separators(lines(F.col(text)))
-    df = df.withColumn("_kept", kept).withColumn("_short", short_blank_runs(F.col("_kept")))
-    df = df.withColumn("_joined", F.array_join("_short", "\n"))
-    indented = F.col("_joined").rlike(r"(?m)^ {8}")
+    df = df.withColumn("_kept", kept).withColumn("_joined", short_blank_runs(F.array_join("_kept", "\n")))
+    indented = F.col("_joined").rlike(rf"(?m)^ {{{BLOCK_INDENT}}}")
     df = df.withColumn("_moved", F.when(indented, dedented(F.when(indented, F.col("_joined")))).otherwise(F.struct(F.col("_joined").alias("body"), F.lit(0).alias("blocks"))))
     fewer = F.length(text) - F.length("_moved.body")
     counted = lambda x: F.when(fewer > 0, x).otherwise(0).cast("long")
-    stats = F.struct(counted(fewer).alias("removed_chars"), counted(F.size(lines(F.col(text))) - F.size("_short")).alias("removed_lines"), counted(F.col("_moved.blocks")).alias("dedented_blocks"))
-    return df.withColumn(f"{out}_stats", stats).withColumn(out, F.col("_moved.body")).drop("_kept", "_short", "_joined", "_moved")
+    left = F.when(F.size("_kept") > 0, F.size(lines(F.col("_joined")))).otherwise(0)
+    stats = F.struct(counted(fewer).alias("removed_chars"), counted(F.size(lines(F.col(text))) - left).alias("removed_lines"), counted(F.col("_moved.blocks")).alias("dedented_blocks"))
+    return df.withColumn(f"{out}_stats", stats).withColumn(out, F.col("_moved.body")).drop("_kept", "_joined", "_moved")
 
 
 def with_clean_lines(df: DataFrame, text: str, out: str = "clean") -> DataFrame:
-    """The first two steps alone: separators and blank runs."""
-    return df.withColumn(out, F.array_join(short_blank_runs(without_separators(lines(F.col(text)))), "\n"))
+    """The first two steps alone: separators and blank runs. Null texts stay null."""
+    return df.withColumn(out, short_blank_runs(F.array_join(without_separators(lines(F.col(text))), "\n")))
 
 
 def padded(line: Column) -> Column:
@@ -155,11 +148,17 @@ def rendered(entries: DataFrame, renderer: str = "onto", after: int = 64, strate
         raise ValueError(f"unknown renderer {renderer!r}")
     r, line, digest = F.col("record"), F.col("line"), F.col("hash")
     kind = F.when(r.isNull(), "unparsed").otherwise(or_else(transcripts.get(r, "$.type"), F.lit("unknown")))
-    text = or_else(trim_ws(transcripts.prompt_text(r)), or_else(F.col("preview"), F.lit("[no textual content extracted]")))
-    df = with_old(entries, after).withColumn("_kind", kind).withColumn("_text", F.when(r.isNull(), F.col("raw")).otherwise(text))
+    text = or_else(trim_ws(F.col("_prompt")), or_else(F.col("preview"), F.lit("[no textual content extracted]")))
+    df = tools.with_prompt_text(with_old(entries, after), "_prompt").withColumn("_kind", kind).withColumn("_text", F.when(r.isNull(), F.col("raw")).otherwise(text))
     none = F.struct(F.col("_text").alias("body"), F.lit(False).alias("compressed"), F.lit(None).cast("long").alias("original_chars"), F.lit(None).cast("long").alias("omitted_chars"))
     if renderer in COMPRESSING:
-        output = F.when(F.col("old") & transcripts.is_tool_output(r), compress.compressed(strategy, F.col("_text"), line, digest, **limits))
+        stale = F.col("old") & transcripts.is_tool_output(r)
+        output = F.when(stale, compress.compressed("headtail" if strategy == "dspc" else strategy, F.col("_text"), line, digest, **limits))
+        if strategy == "dspc":
+            key = F.struct("session_id", "line")
+            bodies = dspc.compressed(df.where(stale).select(key.alias("key"), F.col("_text").alias("text"), "line", "hash"), **limits)
+            df = df.join(bodies.withColumnRenamed("c", "_dspc"), key == F.col("key"), "left").drop("key")
+            output = F.coalesce(F.when(stale, F.col("_dspc")), output)
         use = F.when(F.col("old") & transcripts.is_tool_use(r), compress.shortened_edit(F.col("_text"), line, digest))
         df = df.withColumn("_c", F.coalesce(output, use, none))
     else:
@@ -168,7 +167,7 @@ def rendered(entries: DataFrame, renderer: str = "onto", after: int = 64, strate
     df = df.withColumn("body", F.when(r.isNull(), F.col("raw")).otherwise(F.col("body")))
     made = RENDERERS[renderer](line, F.col("_kind"), F.coalesce(transcripts.get(r, "$.message.role"), F.lit("")), F.coalesce(transcripts.get(r, "$.timestamp"), F.lit("")), F.col("body"), F.col("raw"), digest)
     stats = F.struct(F.col("_c.compressed"), F.col("_c.original_chars"), F.col("_c.omitted_chars"), F.col("body_stats.*"))
-    return df.withColumn("rendered", made).withColumn("stats", stats).drop("_kind", "_text", "_c", "_body", "body_stats")
+    return df.withColumn("rendered", made).withColumn("stats", stats).drop("_kind", "_prompt", "_text", "_c", "_body", "_dspc", "body_stats")
 
 
 def wrapped(rendered_entries: DataFrame, renderer: str = "onto") -> DataFrame:

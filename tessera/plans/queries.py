@@ -166,39 +166,53 @@ def render_stripped(spark, sf_dir):
     return render.wrapped(render.rendered(entries(spark, sf_dir), "stripped"), "stripped").select("session_id", sha256(F.col("transcript")).alias("transcript_sha256"))
 
 
-#: Sentences of documents, with their tokens.
+#: Sentences of documents, with their tokens and terms; scores are rounded before they are compared.
 _SEG = """l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM documents WHERE length(text) > 2400),
-    p AS (SELECT key, li, unnest(string_split(regexp_replace(x, '([.!?])[ \\t\\r\\f\\x0b]+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(x, '([.!?])[ \\t\\r\\f\\x0b]+', '\\1' || chr(1), 'g'), chr(1)), 1) AS si FROM l),
-    seg AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY li, si) - 1 AS seg, s FROM p WHERE trim(s) <> ''),
+    p AS (SELECT key, li, unnest(string_split(regexp_replace(x, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(x, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), 1) AS si FROM l),
+    seg AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY li, si) - 1 AS seg, s FROM p WHERE NOT regexp_full_match(s, '{WS}*')),
     tok AS (SELECT key, seg, unnest(regexp_extract_all(lower(s), '[a-z0-9_]+')) AS term FROM seg),
     n AS (SELECT key, count(*) AS n FROM seg GROUP BY key),
-    st AS (SELECT key, term, count(*) AS tf, count(DISTINCT seg) AS df, any_value(n) AS n FROM tok JOIN n USING (key) GROUP BY key, term)"""
+    st AS (SELECT key, term, count(*) AS tf, count(DISTINCT seg) AS df, any_value(n) AS n FROM tok JOIN n USING (key) GROUP BY key, term),
+    q AS (SELECT *, ln(n / df) AS idf, row_number() OVER (PARTITION BY key ORDER BY round(tf * ln(n / df), 9) DESC, term) AS rank FROM st),
+    a AS (SELECT t.key, t.seg, count(*) AS size, sum(CASE WHEN q.rank <= 12 THEN idf ELSE 0 END) AS asked, sum(tf * idf) AS salient, sum(idf) AS told FROM tok t JOIN q ON q.key = t.key AND q.term = t.term GROUP BY t.key, t.seg),
+    sc AS (SELECT seg.key, seg.seg, s, n, round(coalesce(asked / sqrt(size), 0), 9) AS stage1, round(coalesce(salient / size, 0), 9) AS attention, round(coalesce(told / size, 0), 9) AS info
+           FROM seg JOIN n ON n.key = seg.key LEFT JOIN a ON a.key = seg.key AND a.seg = seg.seg),
+    al AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY stage1 DESC, seg) AS rank1, CAST(greatest(1, floor(0.7::DOUBLE * n)) AS INTEGER) AS kept1,
+           round(0.6 * coalesce(attention / nullif(max(attention) OVER (PARTITION BY key), 0), 0) + 0.3 * coalesce(info / nullif(max(info) OVER (PARTITION BY key), 0), 0)
+               + 0.1 * (1 + exp(-pow(seg - n / 2, 2) / (2 * pow(greatest(n * 0.25::DOUBLE, 1), 2)))), 9) AS alpha FROM sc)"""
 
 
 def _long(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.length("text") > 2400).select(F.col("doc_id").alias("key"), "text")
 
 
-@query(f"WITH {_SEG} SELECT key, term, tf, df, n, round(ln(n / df), 9) AS idf FROM st")
+@query(f"WITH {_SEG} SELECT key, term, tf, df, n, round(idf, 9) AS idf FROM q")
 def dspc_tokens_df_idf(spark, sf_dir):
-    return dspc.terms(dspc.segments(_long(spark, sf_dir))).select("key", "term", "tf", "df", "n", F.round("idf", 9).alias("idf"))
+    return dspc.terms(dspc.segments(_long(spark, sf_dir))).select("key", "term", "tf", "df", F.col("n").cast("long").alias("n"), F.round("idf", 9).alias("idf"))
 
 
-@query(f"""WITH {_SEG}, q AS (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY tf * ln(n / df) DESC, term) AS INTEGER) AS rank FROM st) SELECT key, term, rank FROM q WHERE rank <= 12""")
+@query(f"""WITH {_SEG} SELECT key, term, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 12""")
 def dspc_query_terms(spark, sf_dir):
     return dspc.query_terms(dspc.terms(dspc.segments(_long(spark, sf_dir)))).select("key", "term", "rank")
 
 
-@query(f"""WITH {_SEG}, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tf * ln(n / df) DESC, term) AS r FROM st),
-    a AS (SELECT t.key, t.seg, count(*) AS size, sum(CASE WHEN q.r <= 12 THEN ln(q.n / q.df) ELSE 0 END) AS att, sum(ln(q.n / q.df)) AS info FROM tok t JOIN q ON q.key = t.key AND q.term = t.term GROUP BY t.key, t.seg)
-    SELECT seg.key, seg.seg, round(coalesce(att / sqrt(size), 0), 6) AS stage1, round(coalesce(info, 0), 6) AS info FROM seg LEFT JOIN a ON a.key = seg.key AND a.seg = seg.seg""")
+@query(f"""WITH {_SEG} SELECT key, seg, round(stage1, 6) AS stage1, round(attention, 6) AS attention, round(info, 6) AS info, round(alpha, 6) AS alpha FROM al""")
 def dspc_stage1(spark, sf_dir):
-    return dspc.scored(dspc.segments(_long(spark, sf_dir))).select("key", F.col("seg").cast("long").alias("seg"), F.round("stage1", 6).alias("stage1"), F.round("info", 6).alias("info"))
+    return dspc.scored(dspc.segments(_long(spark, sf_dir))).select("key", F.col("seg").cast("long").alias("seg"), *(F.round(c, 6).alias(c) for c in ("stage1", "attention", "info", "alpha")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SEG}, r AS (SELECT key, seg, s, n, kept1, length(s) + 1 AS cost, row_number() OVER (PARTITION BY key ORDER BY alpha DESC, seg) AS k FROM al WHERE rank1 <= kept1 AND n > 1),
+    w AS (SELECT key, seg, s, n, kept1, k, cost AS used, true AS take FROM r WHERE k = 1
+          UNION ALL SELECT r.key, r.seg, r.s, r.n, r.kept1, r.k, CASE WHEN w.used + r.cost <= 1400 THEN w.used + r.cost ELSE w.used END, w.used + r.cost <= 1400 FROM w JOIN r ON r.key = w.key AND r.k = w.k + 1),
+    g AS (SELECT *, coalesce(lag(seg) OVER (PARTITION BY key ORDER BY seg), -1) AS before FROM w WHERE take),
+    kept AS (SELECT key, any_value(n) AS n, any_value(kept1) AS kept1, count(*) AS many, string_agg(CASE WHEN seg > before + 1 THEN '[...]' || chr(10) ELSE '' END || s, chr(10) ORDER BY seg) || CASE WHEN max(seg) < any_value(n) - 1 THEN chr(10) || '[...]' ELSE '' END AS t FROM g GROUP BY key),
+    d AS (SELECT doc_id, text, sha256(text) AS h, length(text) AS c FROM documents WHERE length(text) > 2400)
+    SELECT key, length(t) AS kept_chars, sha256('[tool output compressed: strategy=dspc original_chars=' || c || ' omitted_chars=' || greatest(c - length(t), 0) || ' line=' || key || ' body_sha256=' || h || ' record_sha256=' || h
+        || ' stage1_kept=' || kept1 || '/' || n || ' stage2_kept=' || many || ']' || chr(10) || chr(10) || t) AS body_sha256 FROM kept JOIN d ON d.doc_id = kept.key""")
 def dspc_selected(spark, sf_dir):
-    return dspc.selected(_long(spark, sf_dir))
+    rows = _long(spark, sf_dir).select("key", "text", F.col("key").alias("line"), sha256(F.col("text")).alias("hash"))
+    marked = F.regexp_replace("c.body", r"\A[^\n]*\n\n", "")
+    return dspc.compressed(rows).select("key", F.length(marked).cast("long").alias("kept_chars"), sha256(F.col("c.body")).alias("body_sha256"))
 
 
 _KIND = """CASE WHEN regexp_matches(lower(text), '\\b(do not|don''t|never|must|always|required|require|preserve|keep|avoid|only)\\b') THEN 'constraint'

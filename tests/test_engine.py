@@ -1,14 +1,19 @@
 """The engine's operators on records made by hand."""
 
+import functools
 import hashlib
 import json
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions import intents, literals, text
-from tessera.operators import compress, diff, dspc, judging, ledger, prompts, ranking, render, scoring, spans, stats, summary
+from tessera.functions.text import RENDER_WS
+from tessera.operators import compress, diff, dspc, judging, ledger, prompts, ranking, render, scoring, spans, stats, summary, tools
 from tessera.plans import compact
 from tessera.sources import artifacts, sse, transcripts
 from tessera.streaming import sse_stream
@@ -244,3 +249,98 @@ def test_manifest_and_prompts(spark):
     table = stats.markdown(a, ["kind", "content"], [F.col("kind")]).first().markdown
     assert table.split("\n")[2] == "| odd | x |"
     assert value(spark, stats.between_markers(F.col("x"), "<a>", "<b>", F.lit("new")), x="1<a>old<b>2") == "1<a>\nnew\n<b>2"
+
+
+def test_tool_calls_and_results_are_rendered(spark):
+    old, new = "\n".join(f"line {i} of a file that is long enough" for i in range(30)), "\n".join(f"line {i} of a file that is {'changed' if i == 15 else 'long enough'}" for i in range(30))
+    call = lambda name, given: {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "t", "name": name, "input": given}]}}
+    result = lambda content: {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": content}]}}
+    diff_lines = [{"type": "unchanged", "content": f"u{i}"} for i in range(9)] + [{"type": "removed", "content": "a"}, {"type": "added", "content": "b"}]
+    structured = json.dumps({"path": "/w/a.py", "diffLines": diff_lines}, separators=(",", ":"))
+    given = {"command": "ls -l", "a": [1, {}], "e": []}
+    records = [
+        call("Bash", given), call("Edit", {"file_path": "/w/a.py", "old_string": "x", "new_string": "y\nz"}), call("Edit", {"file_path": "/w/a.py", "old_string": old, "new_string": new}),
+        call("MultiEdit", {"file_path": "/w/a.py", "edits": [{"old_string": "1", "new_string": "2"}, {"old_string": "3", "new_string": ""}]}), call("Write", {"file_path": "b.txt", "content": "one\ntwo\n"}),
+        call("apply_patch", {"patch": "*** Begin\n"}), result([{"type": "text", "text": "first"}, "second", {"content": "third"}]), result(structured), result(""), result("plain"),
+    ]
+    raw = [json.dumps(r, separators=(",", ":")) for r in records]
+    e = transcripts.numbered(spark.createDataFrame([("s", i, x) for i, x in enumerate(raw)], "session_id string, ord int, raw string"))
+    got = {r.line: r.p for r in tools.with_prompt_text(e, "p", F.lit("/w")).collect()}
+    head = lambda name, i: f"@@tool {name} line={i:06d} sha256={sha(raw[i - 1])}"
+    compact = lambda x: json.dumps(x, separators=(",", ":"))
+    edit = lambda path, a, b: sha(compact({"filePath": path, "oldText": a, "newText": b}))
+    nl = "\n"
+    assert got[1] == f"{head('Bash', 1)}\n{json.dumps(given, indent=2)}\nstats: input_sha256={sha(compact(given))}"
+    assert got[2] == f"{head('Edit', 2)}\n@@file a.py\n@@file_abs /w/a.py\n-x\n+y\n+z\nstats: +2 -1 lines | input_sha256={edit('/w/a.py', 'x', 'y' + nl + 'z')}"
+    assert got[3].split("\n")[:5] == [head("Edit", 3), "@@file a.py", "@@file_abs /w/a.py", "--- a/a.py", "+++ b/a.py"]
+    assert f"stats: +1 -1 lines | input_sha256={edit('/w/a.py', old, new)}" in got[3]
+    assert got[4].split("\n\n")[1].startswith(f"{head('MultiEdit[1]', 4)}\n@@file a.py\n@@file_abs /w/a.py\n-3\n+\nstats: +1 -1 lines")
+    assert got[5].split("\n")[1:6] == ["@@file b.txt", "```", "one", "two", "```"] and "stats: lines=3 |" in got[5]
+    assert got[6] == f"{head('apply_patch', 6)}\n```diff\n*** Begin\n```\nstats: input_sha256={sha('*** Begin' + nl)}"
+    assert got[7] == "[tool_result]\nfirst\nsecond\nthird"
+    body = "\n".join([" u0", " u1", " u2", "[... 3 unchanged lines ...]", " u6", " u7", " u8", "-a", "+b"])
+    assert got[8] == f"[tool_result]\n{head('EditResult', 8)}\n@@file a.py\n@@file_abs /w/a.py\n--- a/a.py\n+++ b/a.py\n{body}\nstats: +1 -1 lines | input_sha256={sha(structured)}"
+    assert (got[9], got[10]) == ("[tool_result]", "[tool_result]\nplain")
+    stale = {r.line: r for r in render.rendered(e, "onto", after=1).collect()}
+    assert stale[1].rendered.startswith("1|assistant\n@@tool Bash line=000001") and stale[7].rendered == "7|user\n[tool_result]\nfirst\nsecond\nthird"
+
+
+def test_long_calls_and_outputs_are_compressed(spark):
+    body = "\n".join(f"Sentence {i} tells of thing {i % 7}. It goes on for some time!" for i in range(100))
+    records = [
+        {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "name": "Write", "input": {"file_path": "a", "content": "\n".join(f"new line {i}" + "-" * 30 for i in range(200))}}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": body}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": "x" * 5000}]}},
+        *({"type": "user", "message": {"role": "user", "content": "go"}} for _ in range(3)),
+    ]
+    e = transcripts.numbered(spark.createDataFrame([("s", i, json.dumps(r)) for i, r in enumerate(records)], "session_id string, ord int, raw string"))
+    got = {r.line: r for r in render.rendered(e, "onto", after=2, strategy="dspc").collect()}
+    assert "edit compressed:" in got[1].rendered and got[1].stats.compressed
+    assert "strategy=dspc" in got[2].rendered and "stage1_kept=" in got[2].rendered and len(got[2].rendered) < 2500 and got[2].stats.compressed
+    assert "stage1_kept=1/2 stage2_kept=1]" in got[3].rendered  # "[tool_result]" and one more sentence
+    assert not got[4].stats.compressed and len(got) == 6
+
+
+def test_scripts_match_their_definition():
+    def script(a, b):
+        @functools.cache
+        def common(x, y):
+            return 0 if not x or not y else max(common(x[1:], y), common(x, y[1:]), (x[0] == y[0]) + common(x[1:], y[1:]) if x[0] == y[0] else 0)
+
+        if not a or not b:
+            return [("remove", x) for x in a] + [("add", x) for x in b]
+        if a[0] == b[0]:
+            return [("same", a[0]), *script(a[1:], b[1:])]
+        return [("remove", a[0]), *script(a[1:], b)] if common(a[1:], b) >= common(a, b[1:]) else [("add", b[0]), *script(a, b[1:])]
+
+    r = random.Random(4)
+    for _ in range(150):
+        a, b = (tuple(r.randrange(4) for _ in range(r.randrange(10))) for _ in range(2))
+        assert [(k, int(x)) for k, x in diff._script(np.array(a, int), np.array(b, int))] == script(a, b)
+
+
+def test_dedenting():
+    deep = " " * 12
+    cases = {
+        f"{deep}if x {{\n{deep}  y;\n{deep}}}": ("if x {\n  y;\n}", 1),
+        f"intro\n{deep}return 1\n{deep}  + 2\n{deep}  + 3": ("intro\nreturn 1\n  + 2\n  + 3", 1),
+        f"intro\n{deep}return 1\n\n{deep}two": (f"intro\n{deep}return 1\n\n{deep}two", 0),
+        "        - a\n        - b\n        - c": ("        - a\n        - b\n        - c", 0),
+        "        a\n\t\tb\n        c": ("        a\n\t\tb\n        c", 0),
+        "        | a |\n        | b |\n        | c |": ("        | a |\n        | b |\n        | c |", 0),
+        f"x\n{deep}for a\n{deep}  b\n{deep}12|c\n{deep}d": (f"x\n{deep}for a\n{deep}  b\n{deep}12|c\n{deep}d", 0),
+        f"a\nb\n\n{deep}c\n{deep} d\n{deep}e\n\nf": ("a\nb\n\nc\n d\ne\n\nf", 1),
+    }
+    for text, want in cases.items():
+        assert render._dedented(text) == want, text
+
+
+@pytest.mark.parametrize("text", ["", "\n", "\n\n\n\n", "a", "\n\n\n\na\n \n\t\n​\n\nb\n\n\n\n", " \n \n ", "a\n\n\nb", "a\r\n\r\n\r\n\r\nb", "\n\n\na"])
+def test_blank_runs_match_a_loop(spark, text):
+    out, run = [], 0
+    for line in text.split("\n"):
+        blank = re.fullmatch(RENDER_WS + "*", line) is not None
+        run = run + 1 if blank else 0
+        if run <= 2:
+            out.append("" if blank else line)
+    assert value(spark, render.short_blank_runs(F.col("x")), x=text) == "\n".join(out)
