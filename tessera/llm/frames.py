@@ -45,6 +45,11 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def plan_bytes(df: DataFrame) -> int:
     """A frame's size, for choosing numbers of partitions only: Catalyst's estimate, measured where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -84,10 +84,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sketch.fingerprints(table(spark, sf_dir, "documents"))
+    like = lambda other: F.coalesce(sketch.resemblance(F.col("sketch"), F.col(other)), F.lit(0.0))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         sketch.as_text(F.col("sketch")).alias("fingerprint"), sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        like("edited_sketch").alias("near_edited"), like("next_sketch").alias("near_next"),
     )
 
 
@@ -136,11 +137,11 @@ ORACLES: dict[str, str] = {
               FROM p JOIN i ON (p.host = i.matched OR ends_with(p.host, '.' || i.matched)) AND p.fetched >= i.valid_from AND (i.valid_to IS NULL OR p.fetched < i.valid_to))
         SELECT p.page_id, p.fetched, p.host, m.action, m.matched, m.valid_from FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
     "op9_mix_sources": r"""
-        WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+        WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         r AS (SELECT source, (SELECT sum(n) FROM c) * pow(n, 0.7) / (SELECT sum(pow(n, 0.7)) FROM c) / n AS mean FROM c),
         k AS (SELECT source, j, sum(exp(-mean + j * ln(mean) - lgamma(j + 1))) OVER (PARTITION BY source ORDER BY j) AS cut FROM r, (SELECT unnest(range(0, 60)) AS j)),
         d AS (SELECT doc_id, source, text, CAST('0x' || substr(sha256('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
-        n AS (SELECT doc_id, any_value(d.source) AS source, any_value(text) AS text, count(*) FILTER (WHERE cut <= u) AS copies FROM d JOIN k ON d.source = k.source GROUP BY doc_id),
+        n AS (SELECT doc_id, any_value(d.source) AS source, any_value(text) AS text, count(*) FILTER (WHERE cut <= u) AS copies FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY doc_id),
         x AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
         SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, sha256('mix:' || doc_id || ':' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256 FROM x""",
 }

@@ -1,14 +1,17 @@
 """Operators against brute force on small tables with nulls, empty and repeated texts, and extra columns."""
 
+import functools
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tessera.llm import byte_repeats, decontaminate, frames, jaccard, kernel, mixing, queries, secret_scan, sketch, substrings, suffix_groups, token_files, toxicity, url_lists
 
@@ -367,14 +370,61 @@ def test_sketches(spark, rows):
         half = len(t) // 2
         assert got[i].n_chars == len(t) and got[i].edited == t[: len(t) - half] + n[:half]
         assert got[i].next_sketch == got[ids[(k + 1) % len(ids)]].sketch
-        assert (len(got[i].sketch) == 0) == (not words(t))
+        assert got[i].sketch.low == [h for h in shingle_hashes(t) if h < -(1 << 62)] and got[i].edited_sketch.low == [h for h in shingle_hashes(got[i].edited) if h < -(1 << 62)]
+        assert got[i].sketch.all == (shingle_hashes(t) if len(words(t)) <= 68 else None)
     pair = spark.createDataFrame([(" ".join(str(k) for k in range(3000)), " ".join(str(k) for k in range(1000)))], "a string, b string")
     from pyspark.sql import functions as F
 
-    s = sketch.with_sketch(sketch.with_sketch(pair, "a", "x"), "b", "y").select(sketch.containment(F.col("y"), F.col("x")).alias("in"), sketch.resemblance(F.col("x"), F.col("y")).alias("like"), F.size(sketch.merged(F.col("x"), F.col("y"))).alias("m"), F.size("x").alias("n")).first()
+    s = sketch.with_sketch(sketch.with_sketch(pair, "a", "x"), "b", "y").select(sketch.containment(F.col("y"), F.col("x")).alias("in"), sketch.resemblance(F.col("x"), F.col("y")).alias("like"), F.size(sketch.merged(F.col("x"), F.col("y"))["low"]).alias("m"), F.size("x.low").alias("n")).first()
     assert s["in"] == 1.0 and abs(s["like"] - 1 / 3) < 0.08 and s["m"] == s["n"]
 
 
+def shingle_hashes(text):
+    """The hashes as the sketch takes them: xxhash64 of five words' xxhash64, each seeding the next."""
+    fold = lambda h, w: xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42)), seed=h)
+    w = words(text)
+    hashes = {functools.reduce(fold, w[i : i + 5], 42) for i in range(max(1, len(w) - 4))} if w else set()
+    return sorted(h - (1 << 64) if h >> 63 else h for h in hashes)
+
+
+def test_likeness_matches_brute_force(spark, rows):
+    got = {r.doc_id: r for r in queries.sketch.fingerprints(docs_of(spark, rows)).collect()}
+    ids = sorted(got)
+    lows = lambda t: {h for h in shingle_hashes(t) if h < -(1 << 62)}
+
+    def near(a, b):
+        x, y = (set(shingle_hashes(t)) if len(words(t)) <= 68 else None for t in (a, b))
+        if x is None or y is None:
+            x, y = lows(a), lows(b)
+            return len(x & y) / len(x | y) if x | y else None
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    from pyspark.sql import functions as F
+
+    like = {r.doc_id: (r.e, r.n) for r in sketch.fingerprints(docs_of(spark, rows)).select("doc_id", sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("e"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("n")).collect()}
+    texts = {i: t or "" for i, t in rows}
+    for k, i in enumerate(ids):
+        assert like[i] == (near(texts[i], got[i].edited), near(texts[i], texts[ids[(k + 1) % len(ids)]]))
+
+
+def test_small_texts_are_found_inside_large_ones(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    large = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+    rows = [(k, " ".join(large[k * 9 : k * 9 + 6]), " ".join(large)) for k in range(60)]
+    df = sketch.with_sketch(sketch.with_sketch(spark.createDataFrame(rows, "i int, a string, b string"), "a", "x"), "b", "y")
+    got = [r.c for r in df.select(sketch.containment(F.col("x"), F.col("y")).alias("c")).collect()]
+    assert set(got) <= {1.0, None} and got.count(1.0) > 15
+
+
+def test_order_keys_at_the_ends_of_their_range(spark):
+    rows = [(-(1 << 63), "a b c d e"), ((1 << 63) - 1, "f g h i j"), (0, "k l m n o"), (None, "p q r s t"), (0, "k l m n o")]
+    got = [(r.doc_id, r.edited) for r in sketch.fingerprints(docs_of(spark, rows)).collect()]
+    order = [rows[3], rows[0], rows[2], rows[4], rows[1]]
+    assert Counter(got) == Counter((i, t[:5] + order[(k + 1) % 5][1][:4]) for k, (i, t) in enumerate(order))
+
+
 def test_mixing_rates(spark):
     docs = docs_of(spark, [(i, f"t{i}") for i in range(6000)])
     out = mixing.mixed(docs, {"src0": 3.0, "src1": 1.0, "src2": 0.0})
@@ -384,8 +434,30 @@ def test_mixing_rates(spark):
     again = mixing.mixed(docs.repartition(7), {"src0": 3.0, "src1": 1.0})
     assert Counter(r.doc_id for r in again.collect()) == Counter(r.doc_id for r in out.collect())
     assert mixing.mixed(docs.limit(0)).count() == 0
-    cuts = mixing.poisson_cuts(2.5)
-    assert abs(cuts[0] - np.exp(-2.5)) < 1e-12 and cuts == sorted(cuts)
+    first, cuts = mixing.poisson_cuts(2.5)
+    assert first == 0 and abs(cuts[0] - np.exp(-2.5)) < 1e-12 and cuts == sorted(cuts)
+
+
+def test_poisson_cuts_of_any_mean():
+    for mean in (0.01, 1.0, 50.0, 699.0, 746.0, 800.0, 5000.0, 1e6):
+        first, cuts = mixing.poisson_cuts(mean)
+        u = (np.arange(4000) + 0.5) / 4000
+        n = first + np.searchsorted(cuts, u, "right")
+        assert abs(n.mean() - mean) < 0.02 * mean + 0.01 and abs(n.var() - mean) < 0.1 * mean + 0.02, mean
+    assert mixing.poisson_cuts(0.0) == (0, []) and mixing.poisson_cuts(-1.0) == (0, [])
+
+
+def test_mixing_keeps_columns_and_null_sources(spark):
+    rows = [(i, f"t{i}", None if i % 3 == 0 else "a", 1, 2, 3) for i in range(900)] + [(None, "x", "a", 1, 2, 3), (5, "t5", "a", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _u int, _n int, many int")
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"]
+    n = Counter(r.source for r in out.collect())
+    assert n[None] > 200 and n["a"] > 400
+    only = mixing.mixed(docs, {None: 1.0, "gone": 5.0}, rows=1000.0).collect()
+    assert {r.source for r in only} == {None} and abs(len(only) - 1000) < 120
+    high = mixing.mixed(docs.where("doc_id < 30"), {None: 1.0}, rows=8000.0).collect()
+    assert abs(len(high) - 8000) < 600
 
 
 def test_url_lists(spark):
@@ -403,6 +475,26 @@ def test_url_lists_know_parents_of_any_depth(spark):
     assert got == {1: ("allow", deep.split(".", 1)[1]), 2: ("block", "zip"), 3: ("block", "zip"), 4: (None, None)}
 
 
+def test_url_lists_as_of_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(url_lists, "SHARE", 5)  # so that names are dealt to several places
+    r = random.Random(9)
+    hosts = [".".join(r.choice(["a", "b", "c"]) for _ in range(r.randrange(1, 5))) + r.choice([".com", ".org"]) for _ in range(40)]
+    entries = [(r.choice([*hosts, "com", "org", "A.com"]), r.choice(["block", "allow"]), r.randrange(50)) for _ in range(120)] + [(None, "block", 1), ("com", None, 1), ("com", "block", None)]
+    captures = [(i, f"http://{r.choice(hosts)}/", r.randrange(60), "x", "y") for i in range(200)] + [(None, None, 3, "x", "y"), (900, "http://a.com", None, "x", "y"), (901, "", 3, "x", "y")]
+    got = Counter(tuple(x) for x in url_lists.judged(spark.createDataFrame(captures, "page_id int, url string, fetched int, name string, place string"), spark.createDataFrame(entries, "host string, action string, listed int")).select("page_id", "action", "matched", "valid_from", "name", "place").collect())
+    want = Counter()
+    for i, url, t, name, place in captures:
+        host = url[7:].rstrip("/") if url else ""
+        best = None
+        for h, action, listed in entries:
+            if None not in (h, action, listed, t) and host and listed <= t and (host == h.lower() or host.endswith("." + h.lower())):
+                best = max(filter(None, (best, (len(h), listed, action, h.lower()))))
+        want[(i, best and best[2], best and best[3], best and best[1], name, place)] += 1
+    assert got == want
+    empty = url_lists.judged(spark.createDataFrame([], "page_id int, url string, fetched int"), spark.createDataFrame([], "host string, action string, listed int"))
+    assert empty.count() == 0
+
+
 def test_secret_scan(spark):
     found = secret_scan.made_findings(1200, seed=1)
     forest = secret_scan.fit(found)
