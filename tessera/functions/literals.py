@@ -14,6 +14,7 @@ ENDINGS = "sh|mjs|js|ts|py|rb|go|rs"
 FOLDERS = r"scripts|src|test|tests|docs|runs|transcripts|references|plugins|packages|apps|\.agents|\.github"
 STOP = "the and for with from that this into after current summary state".split()
 
+#: What paths, scripts and commands that test look like, and the words of errors and of solving.
 PATH = r"""(?:^|[\s("'`])((?:/[A-Za-z0-9._~+@:%-]+)+|(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.@:%+-]+)(?=$|[\s)"'`,;:])"""
 PICKUP_PATH = rf"""(?:^|[\s("'`])((?:/[A-Za-z0-9._~+@:%-]+)+|(?:\.{{1,2}}/[A-Za-z0-9._~+@:%/-]+)|(?:(?:{FOLDERS})/[A-Za-z0-9._~+@:%/-]+))(?=$|[\s)"'`,;:])"""
 SCRIPT = rf"(?:\.{{0,2}}/|[A-Za-z0-9_.-]+/)[A-Za-z0-9_./:@%+-]+\.(?:{ENDINGS})(?![A-Za-z0-9_])"
@@ -31,6 +32,12 @@ EVIDENCE = [
 ]
 
 
+ERRORS = "error|failed|failure|bug|fix|fixed|blocked|exception|regression|root cause"
+SOLVING = "decision|because|root cause|discovered|verified|implemented|active|pending|blocked|next"
+#: Characters of text around a path.
+AROUND = 240
+
+
 def all_of(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
@@ -40,12 +47,28 @@ def paths(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(all_of(text, PATH, 1)), 1, most)
 
 
-def concepts(text: Column, most: int = 16) -> Column:
-    """Backticked spans, then identifier-like tokens."""
+def paths_of(texts: Column, most: int = 20) -> Column:
+    """array<struct<path,context>>: paths of an array of texts by first appearance, each with its text's first characters."""
+    each = F.flatten(F.transform(texts, lambda t: F.transform(F.array_distinct(all_of(t, PATH, 1)), lambda p: F.struct(p.alias("path"), F.left(compact(t), F.lit(AROUND)).alias("context")))))
+    names = F.transform(each, lambda x: x["path"])
+    first = F.filter(each, lambda x, i: F.array_position(names, x["path"]) == i + 1)
+    return F.slice(first, 1, most)
+
+
+def _named(text: Column) -> Column:
+    """Backticked spans, then identifier-like tokens, of one text."""
     inline = all_of(text, r"`([^`\n]{2,80})`", 1)
     tokens = all_of(text, r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_.:/-]{2,}(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", 0)
-    wanted = F.filter(tokens, lambda t: ~F.lower(t).isin(*STOP) & (t.rlike("[A-Z0-9_./:-]") | (F.length(t) >= 10)))
-    return first_distinct(F.concat(inline, wanted), most)
+    return F.concat(inline, F.filter(tokens, lambda t: ~F.lower(t).isin(*STOP) & (t.rlike("[A-Z0-9_./:-]") | (F.length(t) >= 10))))
+
+
+def concepts(text: Column, most: int = 16) -> Column:
+    return first_distinct(_named(text), most)
+
+
+def concepts_of(texts: Column, most: int = 16) -> Column:
+    """Concepts of an array of texts, text by text."""
+    return first_distinct(F.flatten(F.transform(texts, _named)), most)
 
 
 def literal(x: Column, longest: int = 180) -> Column:
@@ -114,13 +137,12 @@ def legacy_arrays(texts: Column, plans: Column, current: Column, following: Colu
     """The six derived arrays; plans: array of struct(item, status)."""
     active = F.transform(F.filter(plans, lambda p: p["status"].isin("active", "pending", "blocked")), lambda p: p["item"])
     items = F.transform(plans, lambda p: p["item"])
-    errors = F.filter(texts, lambda t: t.rlike("(?i)" + word("error|failed|failure|bug|fix|fixed|blocked|exception|regression|root cause")))
-    solving = F.filter(texts, lambda t: t.rlike("(?i)" + word("decision|because|root cause|discovered|verified|implemented|active|pending|blocked|next")))
-    joined = F.array_join(texts, "\n")
+    errors = F.filter(texts, lambda t: t.rlike("(?i)" + word(ERRORS)))
+    solving = F.filter(texts, lambda t: t.rlike("(?i)" + word(SOLVING)))
     return {
         "primary_request_and_intent": first_distinct(F.concat(F.array(current), active, F.array(following)), 8),
-        "key_technical_concepts": concepts(joined),
-        "files_and_code_sections": paths(joined),
+        "key_technical_concepts": concepts_of(texts),
+        "files_and_code_sections": paths_of(texts),
         "errors_and_fixes": first_distinct(errors, 12),
         "problem_solving": first_distinct(F.concat(solving, items), 12),
         "pending_tasks": first_distinct(F.concat(active, F.array(following)), 12),

@@ -25,11 +25,10 @@ def points(condition: Column, n: int) -> Column:
 def density_counts(items: DataFrame) -> DataFrame:
     """By session, of items (kind, spans): spans, distinct end points they cite, promises."""
     flat = items.select("session_id", "kind", "anchor", F.explode_outer("spans").alias("s"))
-    ends = F.array("s.start_line", "s.end_line")
-    return flat.groupBy("session_id").agg(
-        F.count("s").alias("evidence_capsules"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("s").isNotNull(), ends))))).cast("long").alias("cited_unique_lines"),
-        F.count_distinct(F.when(F.col("kind") == "promises", F.col("anchor"))).alias("promises"),
-    )
+    ends = F.when(F.col("s").isNotNull(), F.array("s.start_line", "s.end_line"))
+    counted = flat.groupBy("session_id").agg(F.count("s").alias("evidence_capsules"), F.count_distinct(F.when(F.col("kind") == "promises", F.col("anchor"))).alias("promises"))
+    cited = flat.select("session_id", F.explode(ends).alias("line")).groupBy("session_id").agg(F.count_distinct("line").alias("cited_unique_lines"))
+    return counted.join(cited, "session_id", "left").select("session_id", "evidence_capsules", F.coalesce("cited_unique_lines", F.lit(0).cast("long")).alias("cited_unique_lines"), "promises")
 
 
 def density(counts: DataFrame, least: dict[str, int] = DENSITY) -> DataFrame:
@@ -43,8 +42,9 @@ def density(counts: DataFrame, least: dict[str, int] = DENSITY) -> DataFrame:
 def span_metrics(spans: DataFrame) -> DataFrame:
     """By session: spans, invalid ones, distinct lines over whole spans."""
     good = is_range(F.col("start_line") - 1, F.col("end_line") - 1)
-    lines = F.when(good, F.sequence("start_line", "end_line"))
-    return spans.groupBy("session_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(~good).alias("invalid"), F.size(F.array_distinct(F.flatten(F.collect_list(lines)))).cast("long").alias("unique_lines"))
+    counted = spans.groupBy("session_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if(~good).alias("invalid"))
+    lines = spans.where(good).select("session_id", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("session_id").agg(F.count_distinct("line").alias("unique_lines"))
+    return counted.join(lines, "session_id", "left").withColumn("unique_lines", F.coalesce("unique_lines", F.lit(0).cast("long")))
 
 
 def evidence_metrics(capsules: DataFrame) -> DataFrame:
@@ -57,13 +57,39 @@ def evidence_metrics(capsules: DataFrame) -> DataFrame:
     )
 
 
+#: Up to so many literals are held in the plan; a fixture lists some dozens.
+FEW_LITERALS = 1_000
+#: Of more, so many first characters are looked for.
+PROBE = 12
+
+
 def literal_hits(literals: DataFrame, texts: DataFrame) -> DataFrame:
-    """(run_id, literal) pairs where the text holds the literal; the fixture's literals are a short list."""
-    return texts.join(F.broadcast(literals), F.contains(F.col("text"), F.col("literal"))).select("run_id", "literal").distinct()
+    """(run_id, literal) pairs where the text holds the literal; empty and null literals are found nowhere.
+
+    A few literals are an array in the plan, filtered by each text. Many meet texts by equality of
+    their first characters with those at every place of a text.
+    """
+    lits = literals.where("literal <> ''").select("literal").distinct()
+    few = [r.literal for r in lits.limit(FEW_LITERALS + 1).collect()]
+    if len(few) <= FEW_LITERALS:
+        found = F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda x: F.contains(F.col("text"), x))
+        return texts.select("run_id", F.explode(found).alias("literal")).distinct()
+    lits = lits.withColumn("probe", F.left("literal", F.lit(PROBE)))
+    sizes = [r[0] for r in lits.select(F.length("probe")).distinct().collect()]  # at most PROBE numbers
+    at = F.flatten(F.array(*(F.transform(F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")), _piece(n)) for n in sizes)))
+    probes = texts.select("run_id", "text", F.explode(F.array_distinct(at)).alias("probe"))
+    return probes.join(lits, "probe").where(F.contains("text", "literal")).select("run_id", "literal").distinct()
+
+
+def _piece(n: int):
+    return lambda i: F.substring(F.col("text"), i, F.lit(n))
 
 
 def missing_literals(literals: DataFrame, texts: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(literals), ~F.coalesce(F.contains(F.col("text"), F.col("literal")), F.lit(False))).select("run_id", "literal")
+    """(run_id, literal) that a run's text lacks; literals are of one run each: (run_id, literal)."""
+    wanted = literals.select("run_id", "literal").distinct()
+    met = wanted.join(texts.select("run_id", "text"), "run_id", "left")
+    return met.where(~F.coalesce(F.contains("text", "literal"), F.lit(False))).select("run_id", "literal")
 
 
 def bad_hashes(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -114,6 +114,6 @@ def capsules(spans: DataFrame) -> DataFrame:
 
 
 def cited_lines(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("session_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("start_line", "end_line"))))).alias("lines"))
-
-
+    """(session_id, lines): the distinct lines that spans cover, in order."""
+    each = spans.select("session_id", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    return each.groupBy("session_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import literals
-from tessera.functions.text import first_distinct, is_range, is_sha256, or_else, sha256
+from tessera.functions.text import compact, first_distinct, is_range, is_sha256, or_else, sha256
 
 SPAN = "struct<start_line:int,end_line:int>"
 SCHEMA = f"""session_id string,
@@ -55,7 +55,8 @@ def with_derived(df: DataFrame) -> DataFrame:
 def with_pickup(df: DataFrame, cwd: Column, branch: Column) -> DataFrame:
     """Pickup fields: cwd and branch as measured, work and next step where missing, files, tests and command from texts."""
     p = F.col("pickup_state")
-    corpus = F.filter(F.concat(F.array("current_work", "optional_next_step"), texts(df)), lambda t: F.trim(t) != "")
+    own = [F.coalesce(F.transform(a, field(t)), F.array().cast("array<string>")) for a, t in (("summary_blocks", "body"), ("plans_and_task_state", "item"), ("promises_made", "promise"))]
+    corpus = F.filter(F.transform(F.concat(F.array("current_work", "optional_next_step"), *own), compact), lambda t: t != "")  # rules name what not to do, too
     none = F.array().cast("array<string>")
     list_of = lambda n: F.coalesce(p[n], none)
     conflicts = F.slice(F.filter(F.coalesce(p["status_conflicts"], F.array().cast("array<struct<older_state:string,latest_state:string,resolution:string>>")), lambda c: (F.trim(c["older_state"]) != "") & (F.trim(c["latest_state"]) != "")), 1, 8)
@@ -118,15 +119,21 @@ def capsule_errors(capsules: DataFrame) -> DataFrame:
     return capsules.select("session_id", "id", error.alias("error")).where("error IS NOT NULL")
 
 
-def sections(items: DataFrame) -> DataFrame:
-    """Markdown of blocks (session_id, ord, section, format, body); a heading where the section changes."""
-    from pyspark.sql import Window
+def line_rules(lines: Column) -> Column:
+    """The schema's rules on spans as a table: array<struct<field,least,most>>, bound to a transcript's lines."""
+    fields = [f"{a}[].source_spans[].{end}" for a in ("summary_blocks", *STATUSES) for end in ("start_line", "end_line")]
+    return F.array(*(F.struct(F.lit(f).alias("field"), F.lit(1).alias("least"), lines.cast("int").alias("most")) for f in [*fields, "source_integrity.transcript_lines_seen"]))
+
+
+def intent_errors(events: DataFrame) -> DataFrame:
+    """First error of each intent event (session_id, id, kind, priority, status, line, text_sha256, text)."""
+    from tessera.functions.intents import RANKS
 
-    w = Window.partitionBy("session_id").orderBy("ord")
-    new = ~F.col("section").eqNullSafe(F.lag("section").over(w)) | (F.row_number().over(w) == 1)
-    text = F.concat(F.when(new, F.concat(F.lit("## "), F.col("section"), F.lit("\n"))).otherwise(F.lit("")), F.when(F.col("format") == "bullet", F.concat(F.lit("- "), F.col("body"))).otherwise(F.col("body")))
-    rows = items.select("session_id", "ord", text.alias("t"))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda s: s["t"]), "\n").alias("markdown"))
+    kinds = ["constraint", "safety", "correction", "preference", "request"]
+    good = lambda x: F.coalesce(x, F.lit(False))
+    error = F.when(~good(F.col("id").rlike("^intent-[0-9]{4,}$")), "bad id").when(~good(F.col("kind").isin(*kinds)), "unknown kind").when(~good(F.col("priority").isin(*RANKS)), "unknown priority")
+    error = error.when(~good(F.col("line") >= 1), "bad line").when(~good(is_sha256(F.col("text_sha256"))), "bad sha256").when(~good(F.col("text_sha256") == sha256(F.col("text"))), "text sha256 differs")
+    return events.select("session_id", "id", error.alias("error")).where("error IS NOT NULL")
 
 
 def timeline(messages: DataFrame, items: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def pretty(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in texts])
 
 
+def bare(part: Column) -> Column:
+    """A part that has an input, but is no call or result and has no text."""
+    plain = F.coalesce(text_of(part, "$.text"), text_of(part, "$.content")).isNull() & (transcripts.deep_text(part) == "")
+    return F.coalesce(~F.coalesce(get(part, "$.type"), F.lit("")).isin(CALL, RESULT) & is_kind(part, "$.input", "OBJECT") & plain, F.lit(False))
+
+
 def has_tools(record: Column) -> Column:
     return F.coalesce(F.exists(transcripts.parts(record), lambda p: F.coalesce(get(p, "$.type").isin(CALL, RESULT), F.lit(False))), F.lit(False))
 
@@ -48,14 +54,14 @@ def part_rows(entries: DataFrame) -> DataFrame:
     at = F.when(F.try_variant_get(r, "$.message.content", "variant").isNotNull(), "$.message.content").otherwise("$.content")
     rows = entries.select("session_id", "line", "hash", "raw", "prefix", at.alias("at"), F.posexplode(transcripts.parts(r)).alias("part", "p"))
     given = F.expr("get_json_object(raw, concat(at, '[', part, '].input'))")
-    return rows.withColumn("given", F.when(get(F.col("p"), "$.type") == CALL, F.coalesce(given, F.lit("{}")))).drop("raw", "at")
+    return rows.withColumn("given", F.when((get(F.col("p"), "$.type") == CALL) | bare(F.col("p")), F.coalesce(given, F.lit("{}")))).drop("raw", "at")
 
 
-def texts(parts: DataFrame) -> DataFrame:
-    """part_rows with the text of each part."""
+def texts(parts: DataFrame, evidence: bool = False) -> DataFrame:
+    """part_rows with the text of each part; as evidence a result without text has none, and any part with an input is a call."""
     p, meta = F.col("p"), (F.col("line"), F.col("hash"), F.col("prefix"))
-    kind, name = F.coalesce(get(p, "$.type"), F.lit("")), or_else(get(p, "$.name"), F.lit("unknown"))
-    call, edit = kind == CALL, (kind == CALL) & name.isin(EDIT_TOOLS)
+    kind, name = F.coalesce(get(p, "$.type"), F.lit("")), or_else(F.when(get(p, "$.type") == CALL, get(p, "$.name")), F.lit("unknown"))
+    call, edit = (kind == CALL) | (bare(p) if evidence else F.lit(False)), (kind == CALL) & name.isin(EDIT_TOOLS)
     v = F.try_variant_get(p, "$.input", "variant")
     path, several = diff.file_of(v), F.coalesce(F.size(F.try_variant_get(v, "$.edits", "array<variant>")) > 0, F.lit(False))
 
@@ -76,8 +82,10 @@ def texts(parts: DataFrame) -> DataFrame:
     rest = rest.withColumn("changed", changed).withColumn("pairs", diff.result_pairs(F.col("changed")))
     shown = F.when(F.col("changed").isNotNull(), diff.result_block(where, F.col("pairs"), sha256(F.get_json_object("told", "$")), *meta)).otherwise(F.col("told"))
     result = F.concat_ws("\n", F.lit("[tool_result]"), F.nullif(shown, F.lit("")))
+    if evidence:
+        result = F.when(shown != "", result).otherwise("")
     text = F.when(call & (name == "Write"), diff.write_block(F.lit("Write"), path, wrote, *meta)).when(call & (name == "apply_patch"), diff.patch_block(name, patch, *meta[:2])).when(call, other)
-    rest = rest.withColumn("text", text.when(kind == RESULT, result).otherwise(transcripts.part_text(p)))
+    rest = rest.withColumn("text", text.when(kind == RESULT, result).otherwise(transcripts.deep_text(p) if evidence else transcripts.part_text(p)))
     return calls.select(*key, "text").union(rest.select(*key, "text"))
 
 
@@ -91,4 +99,26 @@ def with_prompt_text(entries: DataFrame, out: str, prefix: Column | None = None)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), "\n\n")
     made = texts(part_rows(with_tools)).groupBy("session_id", "line").agg(joined.alias("_made"))
     own = F.when(has_tools(r), or_else(F.col("_made"), transcripts.fallback(r))).otherwise(transcripts.prompt_text(r))
+    return entries.join(made, ["session_id", "line"], "left").withColumn(out, F.when(r.isNotNull(), own)).drop("_made")
+
+
+def with_evidence_text(entries: DataFrame, out: str = "text", prefix: Column | None = None) -> DataFrame:
+    """entries with the text that spans are rehydrated from, tool calls and results formatted; empty for records that can't be cited."""
+    r = F.col("record")
+    has = F.coalesce(F.exists(transcripts.parts(r), lambda p: F.coalesce(get(p, "$.type").isin(CALL, RESULT), F.lit(False)) | bare(p)), F.lit(False)) & is_kind(r, "$.message.content", "ARRAY")
+    with_tools = entries.where(has).withColumn("prefix", F.lit(None).cast("string") if prefix is None else prefix)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), "\n\n")
+    made = texts(part_rows(with_tools), evidence=True).groupBy("session_id", "line").agg(joined.alias("_made"))
+    plain = transcripts.evidence_text(r)
+    attached = F.to_json(F.try_variant_get(r, "$.attachment", "variant"))
+    plain = F.when(transcripts.truthy(r, "$.attachment") & (plain == attached), pretty(F.when(transcripts.truthy(r, "$.attachment"), F.get_json_object("raw", "$.attachment")))).otherwise(plain)
+    own = F.coalesce(F.when(has, F.coalesce(text_of(r, "$.content"), F.nullif("_made", F.lit("")))), plain, F.lit(""))
     return entries.join(made, ["session_id", "line"], "left").withColumn(out, own).drop("_made")
+
+
+def citable(lines: DataFrame, prefix: Column | None = None) -> DataFrame:
+    """Entries that can be cited, numbered among themselves: lines (session_id, ord, raw) whose record has evidence text."""
+    from pyspark.sql import Window
+
+    own = with_evidence_text(transcripts.numbered(lines), "text", prefix).where("text <> ''")
+    return own.withColumn("line", F.row_number().over(Window.partitionBy("session_id").orderBy("ord")))

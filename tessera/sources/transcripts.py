@@ -98,19 +98,20 @@ def prompt_text(record: Column, part: object = part_text) -> Column:
     return F.coalesce(content_text(record), or_else(rendered, fallback(record)))
 
 
-def evidence_text(record: Column, part: object = None) -> Column:
+def deep_text(part: Column) -> Column:
+    """A part's text, or those of the parts that its content lists."""
+    inner = F.when(is_kind(part, "$.content", "ARRAY"), F.try_variant_get(part, "$.content", "array<variant>"))
+    nested = F.array_join(F.filter(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), part_text), lambda t: t != ""), "\n\n")
+    return or_else(part_text(part), nested)
+
+
+def evidence_text(record: Column) -> Column:
     """Text that spans are rehydrated from; a record without any can't be cited.
 
     The record's own content comes first, then the message's; parts may nest once.
     """
-    flat = part or part_text
-
-    def deep(p: Column) -> Column:
-        inner = F.when(is_kind(p, "$.content", "ARRAY"), F.try_variant_get(p, "$.content", "array<variant>"))
-        nested = F.array_join(F.filter(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), flat), lambda t: t != ""), "\n\n")
-        return or_else(flat(p), nested)
-
-    rendered = F.array_join(F.filter(F.transform(F.coalesce(F.when(is_kind(record, "$.message.content", "ARRAY"), F.try_variant_get(record, "$.message.content", "array<variant>")), F.array().cast("array<variant>")), deep), lambda t: t != ""), "\n\n")
+    inner = F.when(is_kind(record, "$.message.content", "ARRAY"), F.try_variant_get(record, "$.message.content", "array<variant>"))
+    rendered = F.array_join(F.filter(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), deep_text), lambda t: t != ""), "\n\n")
     result = F.when(truthy(record, "$.toolUseResult"), F.coalesce(text_of(record, "$.toolUseResult"), F.to_json(F.try_variant_get(record, "$.toolUseResult", "variant"))))
     attached = F.when(truthy(record, "$.attachment"), F.to_json(F.try_variant_get(record, "$.attachment", "variant")))
     return F.coalesce(text_of(record, "$.content"), text_of(record, "$.message.content"), F.nullif(rendered, F.lit("")), result, attached, fallback(record))

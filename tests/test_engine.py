@@ -243,8 +243,8 @@ def test_manifest_and_prompts(spark):
     m = {r.kind: r for r in artifacts.manifest(a).collect()}
     assert m["state"].authority == "authoritative" and m["odd"].authority == "derived" and m["odd"].sha256 == sha("x")
     assert scoring.bad_hashes(artifacts.manifest(a), a).count() == 0
-    t = prompts.adaptations(prompts.traits(spark.createDataFrame([("gemini-flash", 300000)], "model string, tokens long"))).first()
-    assert t.adaptation_ids == ["dense-evidence", "strict-json", "no-code-blocks", "span-bounds"]
+    t = prompts.adaptations(prompts.traits(spark.createDataFrame([("gemini", "gemini-3.5-flash", "onto")], "provider string, model string, renderer string"))).first()
+    assert t.adaptation_ids == ["final-state-first", "continuation-coverage", "preserve-literals", "flash-sectional-depth"]
     assert "[redacted]" in value(spark, prompts.redacted(F.col("x")), x='{"api_key": "abc123"}')
     table = stats.markdown(a, ["kind", "content"], [F.col("kind")]).first().markdown
     assert table.split("\n")[2] == "| odd | x |"

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import Row
 
-from tessera.plans import queries
+from tessera.plans import catalogue as queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
