@@ -92,8 +92,6 @@ def evidence_section(literals: Column) -> Column:
 
 def blocks_section(blocks: Column, rules: Column, plans: Column, promises: Column) -> Column:
     """Blocks under a heading wherever the section changes, then current rules, plans and promises."""
-    blocks = F.coalesce(blocks, F.array().cast("array<struct<section:string,format:string,body:string>>"))
-
     def one(b: Column, i: Column) -> Column:
         before = F.when(i > 0, trim_ws(F.element_at(blocks, F.greatest(i, F.lit(1)))["section"]))
         new = ~trim_ws(b["section"]).eqNullSafe(before)

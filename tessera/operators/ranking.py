@@ -41,12 +41,16 @@ def tokens_used(usage: Column, names: list[str]) -> Column:
 def ranked(rows: DataFrame) -> DataFrame:
     """quality, speed, combined, and rank from 1: combined, quality, less time, lane; unranked where combined is null.
 
-    Lanes are a short list, so one window orders them.
+    Two steps, so no partition holds all lanes: places among lanes of one combined index, added to the
+    number of lanes before that index. Indices have one decimal, so there are some thousands at most.
     """
     out = rows.withColumn("quality", quality(F.col("deterministic_score"), F.col("judge_score"), F.col("gate_pass")))
     out = out.withColumn("speed", speed(F.col("wall_seconds"))).withColumn("combined", combined(F.col("quality"), F.col("speed")))
-    w = Window.partitionBy(F.col("combined").isNull()).orderBy(F.col("combined").desc(), F.col("quality").desc(), "wall_seconds", "lane_id")
-    return out.withColumn("rank", F.when(F.col("combined").isNotNull(), F.row_number().over(w)))
+    counts = out.where("combined IS NOT NULL").groupBy(F.col("combined").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_c", (F.sum("_n").over(Window.orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("combined").orderBy(F.col("quality").desc(), "wall_seconds", "lane_id"))
+    out = out.join(before, out.combined == before["_c"], "left").withColumn("rank", F.when(F.col("combined").isNotNull(), (within + F.col("_before")).cast("int")))
+    return out.drop("_c", "_before")
 
 
 def shown(x: Column) -> Column:
@@ -56,6 +60,6 @@ def shown(x: Column) -> Column:
 
 def table(rows: DataFrame) -> DataFrame:
     """Ranked rows first, then the others by lane id, as cells."""
-    dash = lambda n, f="%.1f": F.coalesce(F.format_string(f, F.col(n)), F.lit("—"))
+    dash = lambda n, f="%.1f": F.when(F.col(n).isNull(), "—").otherwise(F.format_string(f, F.col(n)))
     cells = rows.select("rank", "lane_id", F.coalesce(F.col("rank").cast("string"), F.lit("—")).alias("place"), cell(F.col("lane_id")).alias("lane"), dash("combined").alias("combined"), dash("quality").alias("quality"), dash("speed").alias("speed"), F.when(F.col("gate_pass"), "pass").when(~F.col("gate_pass"), "fail").otherwise("—").alias("gate"))
     return cells.orderBy(F.col("rank").asc_nulls_last(), "lane_id").drop("rank", "lane_id")
