@@ -49,8 +49,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    kept = substrings.remove_repeats([docs.where(old), docs.where(~old)])
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    kept = substrings.remove_repeats([docs.where(third == i) for i in range(3)], fanout=2)
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 

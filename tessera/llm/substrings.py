@@ -3,8 +3,11 @@
 Texts come in batches. Each batch's anchors (see runs) become a sorted run that is merge-joined with
 the runs before; the hits name the places, old and new, whose windows may be repeated. Those windows
 are then verified: hashes of whole windows meet by anchor, and windows that occur twice or more are
-removed. A window of ``span`` words holds span - k + 1 grams of k words, so equal windows always
-choose equal anchors.
+removed. Windows are one if their 64-bit hash and 40 bits of their anchor's, in one bucket of anchors,
+agree. A window of ``span`` words holds span - k + 1 grams of k words, so equal windows always choose
+equal anchors.
+
+An index may be opened again later, given more batches, and asked for what is kept of all of them.
 
 Defined cases: null texts have no words; texts of fewer than ``span`` words lose none; rows that
 repeat a text, with or without its doc_id, are repetitions of each other; an empty table gives no
@@ -14,188 +17,170 @@ rows; columns other than those named are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import frames, kernel, runs
+from tessera.llm import frames, kernel, runs, text_files
 
 U = np.uint64
 SPAN, GRAM = 35, 17
-WINDOWS = ["hashes", "flags", "run_marks", "run_starts", "run_sizes", "known_marks", "known_starts", "known_ends"]
-KINDS = (("hashes", U), ("flags", bool), ("run_marks", U), ("run_starts", np.uint32), ("run_sizes", np.uint32), ("known_marks", U), ("known_starts", np.uint32), ("known_ends", np.uint32))
-CUTS = ["marks", "starts", "ends"]
-
-
-def word_grams(k: int) -> Callable:
-    def of(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
-        words = kernel.Words(texts, kernel.NONSPACE, lower=False)
-        h, _, at = kernel.grams(words.hashes(), words.first, k)
-        return h, at
+#: Bytes of text whose words are sought at a time.
+PART = 1 << 18
+WINDOWS = (("hashes", U), ("flags", bool), ("anchors", 5), ("files", np.int32), ("rows", np.uint32), ("starts", np.uint32), ("sizes", np.uint32))
+CUTS = (("rows", np.uint32), ("starts", np.uint32), ("ends", np.uint32))
+
+
+def grams(texts: kernel.Texts, span: int, k: int) -> Iterator[tuple[kernel.Texts, kernel.Words, np.ndarray, tuple]]:
+    """For each part of the texts: the part, its words, their hashes, and hashes, firsts, windows and anchors of its grams."""
+    for part in texts.parts(PART):
+        words = kernel.Words(part, kernel.NONSPACE, lower=False)
+        hashes = words.hashes()
+        h, _, at = kernel.grams(hashes, words.first, k)
+        window, least = runs.chosen(h, at, span - k + 1)
+        yield part, words, hashes, (h, at, window, least)
+
+
+def anchors(span: int, k: int):
+    """For runs.Index.add: blocks of a run from files."""
+
+    def of(folder: str, buckets: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for file, name, _ in text_files.each_file(batches):
+                for _, first, _, _, texts in text_files.blocks(folder, name):
+                    found = [(np.zeros(0, U), *(np.zeros(0, np.int64),) * 2)]
+                    for part, _, _, (h, at, _, least) in grams(texts, span, k):
+                        least = np.unique(least)
+                        own = np.searchsorted(at, least, "right") - 1
+                        found.append((h[least], first + part.first + own, least - at[own]))
+                    h, row, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if len(h):
+                        yield from runs.blocks_of(h, file, row, place, buckets)
+
+        return run
 
     return of
 
 
-def joined(docs: DataFrame, side: DataFrame, parts: int) -> DataFrame:
-    """Both tables dealt by part, the side's rows before the texts: a task streams its texts past them."""
-    names = [f for f in side.schema if f.name != "part"]
-    left = side.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("string").alias("text"), *(f.name for f in names))
-    right = docs.select(runs.part_column("mark", parts), F.lit(1).alias("kind"), "doc_id", "mark", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in names))
-    return left.union(right).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
-
-
-def split_sides(batches: Iterator[pa.RecordBatch], *kinds: tuple[str, type]) -> Iterator[tuple[list[np.ndarray], pa.RecordBatch]]:
-    """The side's columns, and the batches of texts one by one."""
-    side, got = [], None
-    for batch in batches:
-        kind = kernel.column(batch, "kind").to_numpy()
-        n = int((kind == 0).sum())
-        if n:
-            side.append(batch.slice(0, n))
-        if n < batch.num_rows:
-            if got is None:
-                table = pa.Table.from_batches(side) if side else None
-                got = runs.loaded(table, *kinds) if table is not None else [np.zeros(0, U if t == 5 else t) for _, t in kinds]
-                side.clear()
-            yield got, batch.slice(n)
-
-
-def by_mark(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct marks of the first column, where each begins, and the other columns in that order."""
-    order = np.argsort(columns[0], kind="stable")
-    mark = columns[0][order]
-    names = np.unique(mark)
-    return names, np.append(np.searchsorted(mark, names), len(mark)), [c[order] for c in columns[1:]]
-
-
-def entries_of(names: np.ndarray, edges: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts with the given marks: the text's number and the entry's number, for each entry of each."""
-    if not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(names, marks), len(names) - 1)
-    size = np.where(names[at] == marks, edges[at + 1] - edges[at], 0)
-    before = np.cumsum(size) - size
-    return np.repeat(np.arange(len(marks)), size), np.arange(size.sum()) + np.repeat(edges[at] - before, size)
-
-
-def _windows(span: int, k: int, buckets: int):
+def _windows(folder: str, span: int, k: int, buckets: int):
+    names, cut_names = [c for c, _ in WINDOWS], [f"cut_{c}" for c, _ in CUTS]
+
+    def whole(rows: pa.RecordBatch, file: int) -> pa.RecordBatch:
+        have, none = {c: kernel.column(rows, c) for c in rows.schema.names}, kernel.binary([b""] * rows.num_rows)
+        return pa.RecordBatch.from_arrays([have["bucket"], pa.array(np.full(rows.num_rows, file, np.int32)), *(have.get(c, none) for c in (*names, *cut_names))], names=["bucket", "file", *names, *cut_names])
+
+    def block(file: int, h: np.ndarray, anchor: np.ndarray, row: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Each window once, by bucket and place, as runs of windows that follow each other; the others' spans are cut already."""
+        order = np.lexsort((anchor, h))
+        new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])))
+        first = np.zeros(len(h), bool)
+        first[order[new]] = True
+        flag = np.zeros(len(h), bool)
+        flag[order[new]] = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
+        bucket = runs.bucket_of(anchor[first], buckets)
+        a, b, c, d = row[first], start[first], h[first], anchor[first]
+        order = np.lexsort((b, a, bucket))
+        bucket, a, b, c, d, f = bucket[order], a[order], b[order], c[order], d[order], flag[first][order]
+        head = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1] + 1) | (d[1:] != d[:-1])))
+        size = np.diff(np.append(np.flatnonzero(head), len(head)))
+        one = runs.packed(bucket, "bucket", names[:2], hashes=c, flags=f)
+        more = runs.packed(bucket[head], "bucket", names[2:], anchors=runs.five(d[head]), files=np.full(head.sum(), file, np.int32), rows=a[head].astype(np.uint32), starts=b[head].astype(np.uint32), sizes=size.astype(np.uint32))
+        yield whole(pa.RecordBatch.from_arrays([*one.columns, *more.columns[1:]], names=["bucket", *names]), file)
+        if not first.all():
+            a, b, c = spans(row[~first], start[~first], span)
+            yield whole(runs.packed(np.full(len(a), file % buckets), "bucket", cut_names, cut_rows=a.astype(np.uint32), cut_starts=b.astype(np.uint32), cut_ends=c.astype(np.uint32)), file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = runs.Buffer()
-        index = None
-
-        def block() -> Iterator[pa.RecordBatch]:
-            if (got := held.take()) is None:
-                return
-            h, anchor, mark, start = got
-            order = np.argsort(h, kind="stable")
-            first = np.zeros(len(h), bool)
-            new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-            first[order[new]] = True
-            flag = np.zeros(len(h), bool)
-            flag[order[new]] = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-            bucket = runs.bucket_of(anchor[first], buckets)
-            a, b, c = mark[first], start[first], h[first]
-            order = np.lexsort((b, a, bucket))
-            bucket, a, b, c, flag = bucket[order], a[order], b[order], c[order], flag[first][order]
-            head = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1] + 1)))
-            size = np.diff(np.append(np.flatnonzero(head), len(head)))
-            yield runs.packed(bucket, "bucket", WINDOWS, hashes=c, flags=flag)
-            yield runs.packed(bucket[head], "bucket", WINDOWS, run_marks=a[head], run_starts=b[head].astype(np.uint32), run_sizes=size.astype(np.uint32))
-            if not first.all():
-                a, b, c = spans(mark[~first], start[~first], span)
-                yield runs.packed(runs.part_of(a, buckets), "bucket", WINDOWS, known_marks=a, known_starts=b, known_ends=c)
-
-        for side, batch in split_sides(batches, ("marks", 5), ("places", np.uint32)):
-            if index is None:
-                index = by_mark(side)
-            names, edges, (places,) = index
-            marks = kernel.column(batch, "mark").to_numpy().view(U)
-            for texts in kernel.slices(kernel.column(batch, "text")):
-                mine = marks[texts.first : texts.first + texts.n]
-                doc, entry = entries_of(names, edges, mine & runs.LOW)
-                if not len(doc):
-                    continue
-                words = kernel.Words(texts, kernel.NONSPACE, lower=False)
-                hashes = words.hashes()
-                h, _, at = kernel.grams(hashes, words.first, k)
-                every = kernel.gram_hash(hashes, span)
-                window, least = runs.chosen(h, at, span - k + 1)
-                wanted = np.zeros(len(h), bool)
-                wanted[at[doc] + places[entry]] = True
-                take = wanted[least]
-                window, least = window[take], least[take]
-                own = np.searchsorted(at, window, "right") - 1
-                start = window - at[own]
-                s = words.first[own] + start
-                if held.add(every[s], h[least], mine[own], start):
-                    yield from block()
-        yield from block()
+        for file, name, side in text_files.each_file(batches):
+            hit_row, hit_place = runs.loaded(side, ("rows", np.uint32), ("places", np.uint32))
+            order = np.argsort(hit_row, kind="stable")
+            hit_row, hit_place = hit_row[order], hit_place[order]
+            for _, row, _, _, texts in text_files.blocks(folder, name):
+                found = []
+                for part, words, hashes, (h, at, window, least) in grams(texts, span, k):
+                    mine = slice(*np.searchsorted(hit_row, [row + part.first, row + part.first + part.n]))
+                    if mine.start == mine.stop:
+                        continue
+                    wanted = np.zeros(len(h), bool)
+                    wanted[at[hit_row[mine].astype(np.int64) - row - part.first] + hit_place[mine]] = True
+                    take = wanted[least]
+                    window, least = window[take], least[take]
+                    own = np.searchsorted(at, window, "right") - 1
+                    start = window - at[own]
+                    found.append((kernel.gram_hash(hashes, span)[words.first[own] + start], h[least], row + part.first + own, start))
+                if found:
+                    yield from block(file, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
-def spans(mark: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(row: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows in a row as one span of their text."""
-    order = np.lexsort((start, mark))
-    mark, start = mark[order], start[order]
-    head = np.concatenate(([True], (mark[1:] != mark[:-1]) | (start[1:] > start[:-1] + 1))) if len(mark) else np.zeros(0, bool)
-    last = np.append(np.flatnonzero(head)[1:], len(mark)) - 1 if len(mark) else np.zeros(0, np.int64)
-    return mark[head], start[head].astype(np.uint32), (start[last] + span).astype(np.uint32)
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    head = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1))) if len(row) else np.zeros(0, bool)
+    last = np.append(np.flatnonzero(head)[1:], len(row)) - 1 if len(row) else np.zeros(0, np.int64)
+    return row[head], start[head], start[last] + span
 
 
-def _repeated(span: int, parts: int):
+def _repeated(span: int):
     """Spans of the windows of one bucket that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        h, flag, mark, start, size, known, known_start, known_end = runs.loaded(pa.Table.from_batches(batches), *KINDS)
+        rows = pa.Table.from_batches(batches)
+        batches.clear()
+        names = [c for c, _ in CUTS]
+        is_cut = np.array([len(x.as_buffer()) > 0 for chunk in rows["cut_rows"].chunks for x in chunk], bool)
+        if is_cut.any():
+            yield from rows.filter(pa.array(is_cut)).select(["file", *(f"cut_{c}" for c in names)]).rename_columns(["file", *names]).to_batches()
+        h, flag, anchor, file, row, start, size = runs.loaded(rows, *WINDOWS)
+        del rows
+        if not len(h):
+            return
         start, size = start.astype(np.int64), size.astype(np.int64)
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twin = np.zeros(len(h), bool)
+        of_run = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((anchor[of_run], h))
+        same = (h[order][1:] == h[order][:-1]) & (anchor[of_run[order]][1:] == anchor[of_run[order]][:-1])
+        twin = flag.copy()
         twin[order[1:][same]] = True
         twin[order[:-1][same]] = True
-        twin |= flag
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(h))
-        a, b, c = spans(np.repeat(mark, size)[twin], at[twin], span)
-        a, b, c = np.concatenate((a, known)), np.concatenate((b, known_start)), np.concatenate((c, known_end))
+        key = file[of_run].astype(np.int64) << 32 | row[of_run]
+        a, b, c = spans(key[twin], at[twin], span)
         if len(a):
-            yield runs.packed(runs.part_of(a, parts), "part", CUTS, marks=a, starts=b, ends=c)
+            yield runs.packed(a >> 32, "file", names, rows=(a & 0xFFFFFFFF).astype(np.uint32), starts=b.astype(np.uint32), ends=c.astype(np.uint32))
 
     return run
 
 
-def removed_mask(texts: kernel.Texts, first: np.ndarray, marks: np.ndarray, index: tuple, size: int) -> np.ndarray:
-    """True for the items (words, bytes) of the slice that spans of their texts cover."""
-    names, edges, (starts, ends) = index
-    doc, entry = entries_of(names, edges, marks)
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, first[doc] + starts[entry], 1)
-    np.add.at(step, first[doc] + ends[entry], -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _kept(with_text: bool):
+def _kept(folder: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
-        for side, batch in split_sides(batches, ("marks", U), ("starts", np.uint32), ("ends", np.uint32)):
-            if index is None:
-                index = by_mark(side)
-            marks = kernel.column(batch, "mark").to_numpy().view(U)
-            for texts in kernel.slices(kernel.column(batch, "text")):
-                words = kernel.Words(texts, kernel.NONSPACE, lower=False)
-                gone = removed_mask(texts, words.first, marks[texts.first : texts.first + texts.n], index, len(words.starts))
-                total = np.concatenate(([0], np.cumsum(gone)))
-                kept = joined_words(words, ~gone)
-                yield pa.RecordBatch.from_arrays(
-                    [kernel.column(batch, "doc_id").slice(texts.first, texts.n), pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), pa.array([x.decode() if with_text else hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
-                )
+        for _, name, side in text_files.each_file(batches):
+            row, a, b = runs.loaded(side, *CUTS)
+            order = np.argsort(row, kind="stable")
+            row, a, b = row[order].astype(np.int64), a[order].astype(np.int64), b[order].astype(np.int64)
+            for _, first, ids, null, texts in text_files.blocks(folder, name):
+                for part in texts.parts(1 << 20):
+                    words = kernel.Words(part, kernel.NONSPACE, lower=False)
+                    base = first + part.first
+                    mine = slice(*np.searchsorted(row, [base, base + part.n]))
+                    step = np.zeros(len(words.starts) + 1, np.int32)
+                    np.add.at(step, words.first[row[mine] - base] + a[mine], 1)
+                    np.add.at(step, words.first[row[mine] - base] + b[mine], -1)
+                    gone = np.cumsum(step[:-1]) > 0
+                    total = np.concatenate(([0], np.cumsum(gone)))
+                    kept = joined_words(words, ~gone)
+                    own = slice(part.first, part.first + part.n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[own], mask=null[own]), pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), pa.array([x.decode("utf-8", "replace") if with_text else hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
+                        names=["doc_id", "n_words", "n_removed", "kept"],
+                    )
 
     return run
 
@@ -213,28 +198,25 @@ def joined_words(words: kernel.Words, keep: np.ndarray) -> Iterator[bytes]:
         yield out[a : max(a, b - 1)].tobytes()
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+def kept(index: runs.Index, span: int = SPAN, k: int = GRAM, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every text of the index, judged on all of them."""
+    names = ", ".join(f"{c} binary" for c in (*(c for c, _ in WINDOWS), *(f"cut_{c}" for c, _ in CUTS)))
+    files = index.files()
+    windows = text_files.with_files(files, index.hits()).mapInArrow(_windows(index.folder, span, k, index.buckets), f"bucket int, file int, {names}")
+    cuts = windows.repartitionById(index.buckets, F.col("bucket")).mapInArrow(_repeated(span), "file int, " + ", ".join(f"{c} binary" for c, _ in CUTS))
+    cuts = frames.written(cuts, "cuts")
+    return text_files.with_files(files, cuts).mapInArrow(_kept(index.folder, with_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(batches: list[DataFrame], span: int = SPAN, k: int = GRAM, with_text: bool = False, part_bytes: int = 2 << 20, folder: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row of (doc_id, text) of all batches.
+def remove_repeats(batches: list[DataFrame], span: int = SPAN, k: int = GRAM, with_text: bool = False, bucket_bytes: int = 2 << 20, folder: str | None = None, fanout: int = 4) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for each row of (doc_id, text) of all batches, and of those the folder's index has already.
 
     Batches are taken in one after the other; kept is the kept words joined by one space, or without
     with_text the SHA-256 of that. Windows are judged on all of the input.
     """
     spark = batches[0].sparkSession
-    batches = [marked(b) for b in batches]
-    docs = batches[0]
-    for b in batches[1:]:
-        docs = docs.unionAll(b)
-    parts = max(64, frames.parts_for(docs, part_bytes))
-    index = runs.Index(spark, folder or frames.scratch(spark, "index"), parts, parts)
-    hits = None
+    buckets = max(64, sum(frames.parts_for(b, bucket_bytes, 1) for b in batches))
+    index = runs.Index(spark, folder or frames.scratch(spark, "index"), buckets, fanout)
     for b in batches:
-        found = index.add(b.select("mark", "text").mapInArrow(runs.anchors(word_grams(k), span - k + 1, parts), runs.RUN))
-        hits = found if hits is None else hits.unionAll(found)
-    windows = joined(docs, hits, parts).mapInArrow(_windows(span, k, parts), "bucket int, " + ", ".join(f"{c} binary" for c in WINDOWS))
-    cuts = windows.repartitionById(parts, F.col("bucket")).mapInArrow(_repeated(span, parts), "part int, marks binary, starts binary, ends binary")
-    cuts = frames.written(cuts, "cuts")
-    return joined(docs, cuts, parts).mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
+        index.add(b, anchors(span, k))
+    return kept(index, span, k, with_text)

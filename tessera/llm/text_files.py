@@ -29,11 +29,11 @@ def store(uri: str):
     return fs.FileSystem.from_uri(("s3" if head in ("s3a", "s3n") else head) + sep + rest if sep else uri)
 
 
-def write(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes (doc_id, text) and gives (file, name): a number from 0 on and a name for each file."""
+def write(docs: DataFrame, folder: str, first: int = 0) -> DataFrame:
+    """Writes (doc_id, text) and gives (file, name): a number from ``first`` on and a name for each file."""
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).write.option("maxRecordsPerFile", ROWS).option("compression", "zstd").parquet(folder)
     names = docs.sparkSession.read.schema("doc_id long, text string").parquet(folder).select(F.col("_metadata.file_name").alias("name")).distinct()
-    return frames.written(names.select((F.row_number().over(Window.orderBy("name")) - 1).alias("file"), "name"), "files")  # a row for each file
+    return frames.written(names.select((F.row_number().over(Window.orderBy("name")) - 1 + first).cast("int").alias("file"), "name"), "files")  # a row for each file
 
 
 def blocks(folder: str, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, kernel.Texts]]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import byte_repeats, decontaminate, frames, jaccard, kernel, mixing, queries, secret_scan, sketch, substrings, suffix_groups, token_files, toxicity, url_lists
+from tessera.llm import byte_repeats, decontaminate, frames, jaccard, kernel, mixing, queries, runs, secret_scan, sketch, substrings, suffix_groups, token_files, toxicity, url_lists
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(LETTERS, LETTERS.lower())
@@ -311,7 +311,11 @@ def test_index_compacts_and_stays_right(spark):
     docs = docs_of(spark, rows)
     parts = [docs.where(f"doc_id % 5 = {k}") for k in range(5)]
     folder = frames.scratch(spark, "index")
-    many = substrings.remove_repeats(parts, with_text=True, folder=folder)
+    substrings.remove_repeats(parts[:3], folder=folder, fanout=2).count()
+    again = runs.Index(spark, folder)
+    assert len(again.paths("run")) == 1 and len(again.paths("files")) == 3
+    many = substrings.remove_repeats(parts[3:], with_text=True, folder=folder, fanout=3)  # another process would go on like this
+    assert len(runs.Index(spark, folder).paths("run")) == 1
     one = substrings.remove_repeats([docs], with_text=True)
     assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
 
