@@ -55,7 +55,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.made_findings()))
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit([*secret_scan.made_findings(), *secret_scan.labelled(docs)]))
     return found.withColumn("is_secret", F.col("probability") >= 0.5)
 
 

@@ -511,7 +511,27 @@ def test_secret_scan(spark):
     got = secret_scan.scan(docs, forest).collect()
     hits = [r for r in got if r.probability >= 0.5]
     assert [(r.doc_id, r.start, r.n_chars) for r in hits] == [(1, 11, 40)] * 2
-    assert hits[0].value_sha256 == hashlib.sha256(key.encode()).hexdigest() and 5 not in {r.doc_id for r in got}
+    assert hits[0].value_sha256 == hashlib.sha256(key.encode()).hexdigest() and 5 in {r.doc_id for r in got}
+
+
+def test_secret_candidates_of_any_length_and_kind():
+    texts = ["password = 'correcthorse' end", "x=" + "a1" * 400 + "== tail", "token=abc123def456ghij7890 z", "secret: ", "hunter2", "api_key: \"K!9$#x\"", "PASSWORD", "= notassigned here", None, ""]
+    part = next(kernel.slices(pa.array(texts)))
+    got = [(int(i), part.data[a:b].tobytes().decode()) for i, a, b in zip(*secret_scan.candidates(part), strict=True)]
+    assert got == [(0, "correcthorse"), (1, "a1" * 400 + "=="), (2, "abc123def456ghij7890"), (5, "K!9$#x")]
+
+
+def test_secret_scan_learns_from_documents(spark):
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"some words {'token = ' if i % 2 else 'commit '}{chr(34) if i % 2 else ''}{key()}{chr(34) if i % 2 else ''} and more") for i in range(200)]
+    docs = docs_of(spark, rows)
+    found = secret_scan.labelled(docs)
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert len(found) == 200 - len(held) and {y for *_, y in found} == {0, 1}
+    hits = {x.doc_id for x in secret_scan.scan(docs, secret_scan.fit(found)).collect() if x.probability >= 0.5}
+    assert hits & held == {i for i in held if i % 2}
+    assert secret_scan.scan(docs, secret_scan.fit([])).where("probability > 0").count() == 0
 
 
 @pytest.mark.parametrize("run", [
