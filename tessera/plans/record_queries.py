@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sha256, tokens
 from tessera.operators import compress, handoff, ledger, render, reports, spans, stats, tools
 from tessera.plans.queries import query, table
-from tessera.sources import artifacts, transcripts
+from tessera.sources import artifacts, folders, transcripts
 
 PREFIX = "/w"
 
@@ -286,3 +286,26 @@ def compaction_metrics(spark, sf_dir):
 def record_sizes(spark, sf_dir):
     e = tools.with_prompt_text(records(spark, sf_dir), "prompt").where("record IS NOT NULL")
     return e.select("session_id", "line", tokens(F.length("raw")).alias("tokens"), F.octet_length("raw").cast("long").alias("bytes"), compress.is_formatted_edit(F.col("prompt")).alias("formatted_edit"))
+
+
+@query(f"""WITH {R} SELECT session_id, line - 1 AS ord, raw, k <> 7 AS parsed FROM r""")
+def lines_round_trip(spark, sf_dir):
+    """Transcripts written as files of lines, a folder a session, and read again."""
+    folder = folders.scratch(spark, "lines")
+    rows = lines(spark, sf_dir).repartition("session_id").sortWithinPartitions("session_id", "ord")
+    rows.select("session_id", "raw").write.partitionBy("session_id").text(folder)
+    again = transcripts.parsed(transcripts.read_lines(spark, folder, F.regexp_extract(F.col("_metadata.file_path"), "session_id=([^/]+)", 1)))
+    return again.select("session_id", "ord", "raw", F.col("record").isNotNull().alias("parsed"))
+
+
+@query(f"""WITH {R} SELECT session_id, 'parse' AS stage, 'line ' || line AS error FROM r WHERE k = 7""")
+def rejected_lines(spark, sf_dir):
+    """Lines that are not JSON, as rejects."""
+    e = records(spark, sf_dir)
+    return artifacts.rejects(e, "parse", F.when(F.col("record").isNull(), F.concat(F.lit("line "), F.col("line").cast("string"))))
+
+
+@query(f"""WITH {R}, f AS (SELECT session_id, min(CASE WHEN k = 0 THEN 'u-' || session_id || '-' || turn END) AS x, max_by('u-' || session_id || '-' || turn, CASE WHEN k = 0 THEN line END) AS last_user_uuid FROM r GROUP BY session_id) SELECT session_id, last_user_uuid FROM f""")
+def session_metadata(spark, sf_dir):
+    """The last user record of each session."""
+    return transcripts.metadata(records(spark, sf_dir)).select("session_id", "last_user_uuid")

@@ -36,11 +36,16 @@ def truthy(v: Column, path: str) -> Column:
 def read_lines(spark: SparkSession, path: str, session: Column | None = None) -> DataFrame:
     """(session_id, ord, raw) of files with a record a line; CRLF and blank lines are dropped.
 
-    ord numbers a file's lines in order; each file is a session unless told otherwise.
+    ord numbers a file's lines in order from 0; each file is a session unless told otherwise. Files are
+    read in splits: a line's place is its split's, then its own within it.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("session_id", F.input_file_name() if session is None else session)
-    split = files.select("session_id", F.posexplode(F.split("value", "\r?\n")).alias("ord", "raw"))
-    return split.where(F.regexp_replace("raw", f"{WS}+", "") != "")
+    rows = spark.read.option("lineSep", "\n").text(path)
+    placed = rows.select(
+        (F.col("_metadata.file_path") if session is None else session).alias("session_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "\r$", "").alias("raw"),
+    )
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("_file", "_split", "_line")) - 1
+    return placed.where(F.regexp_replace("raw", f"{WS}+", "") != "").select("session_id", number.alias("ord"), "raw")
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,28 +13,61 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.sources import sse
 
 
-def _blocks(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: Characters of an unfinished block at most; a block beyond is not an event stream.
+LONGEST = 16 << 20
+
+
+def _blocks(quiet: int | None, key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rest, n = state.get if state.exists else ("", 0)
-    rows = []
+    ended, rows = quiet is not None and state.hasTimedOut, []
     for frame in chunks:
         for chunk in frame.sort_values("seq")["chunk"]:
-            rest += chunk or ""
+            if chunk is None:
+                ended = True
+                continue
+            rest += chunk
             pieces = rest.replace("\r\n", "\n").split("\n\n")
             rest = pieces.pop()
             rows += [p for p in pieces if p.strip()]
-    state.update((rest, n + len(rows)))
+            if len(rest) > LONGEST:
+                raise ValueError(f"stream {key[0]}: a block of more than {LONGEST} characters")
+    if ended and rest.strip():
+        rows.append(rest)
+    if ended:
+        state.remove()
+    else:
+        state.update((rest, n + len(rows)))
+        if quiet is not None:
+            state.setTimeoutDuration(quiet)
     yield pd.DataFrame({"stream_id": [key[0]] * len(rows), "n": range(n, n + len(rows)), "block": rows})
 
 
-def blocks(chunks: DataFrame) -> DataFrame:
-    """Complete blocks of a stream of (stream_id, seq, chunk); state is a stream's unfinished text and its count.
+def blocks(chunks: DataFrame, quiet: int | None = None) -> DataFrame:
+    """Blocks of a stream of (stream_id, seq, chunk); state is a stream's unfinished text and its count.
 
-    Chunks of one stream must come in order of seq over micro-batches.
+    Chunks of one stream must come in order of seq over micro-batches. A null chunk ends a stream: what is
+    unfinished then is its last block. So do ``quiet`` milliseconds without a chunk, if given.
     """
-    grouped = chunks.groupBy("stream_id")
-    return grouped.applyInPandasWithState(_blocks, "stream_id string, n long, block string", "rest string, n long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if quiet is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("stream_id").applyInPandasWithState(partial(_blocks, quiet), "stream_id string, n long, block string", "rest string, n long", "append", timeout)
 
 
-def events(chunks: DataFrame) -> DataFrame:
+def events(chunks: DataFrame, quiet: int | None = None) -> DataFrame:
     """Parsed events of complete blocks; the batch form is sources.sse.events."""
-    return blocks(chunks).withColumn("e", sse.block_event(F.col("block"))).where("e IS NOT NULL").select("stream_id", "n", "e.*")
+    return blocks(chunks, quiet).withColumn("e", sse.block_event(F.col("block"))).where("e IS NOT NULL").select("stream_id", "n", "e.*")
+
+
+def side_files(chunks: DataFrame, folder: str, family: str) -> list:
+    """Starts the three files of a run: raw chunks, events, and each stream's text so far; gives the queries.
+
+    The last is rewritten after each micro-batch from all events on file.
+    """
+
+    def text(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").json(f"{folder}/events/batch={number}")  # the same again, if it is repeated
+        sse.outcome(spark.read.schema(batch.schema).json(f"{folder}/events"), family).select("stream_id", "text").write.mode("overwrite").json(f"{folder}/output")
+
+    raw = chunks.writeStream.format("json").option("path", f"{folder}/raw").option("checkpointLocation", f"{folder}/_raw").trigger(availableNow=True).start()
+    parsed = events(chunks).writeStream.foreachBatch(text).option("checkpointLocation", f"{folder}/_events").trigger(availableNow=True).start()
+    return [raw, parsed]

@@ -202,6 +202,32 @@ def test_sse_batch_and_stream_agree(spark, tmp_path):
     assert sorted((r.n, r.data) for r in spark.table("sse_out").collect()) == [(e.n, e.data) for e in batch]
 
 
+def test_unfinished_streams_are_flushed_and_filed(spark, tmp_path):
+    schema = "stream_id string, seq long, chunk string"
+    chunks = [("s", 0, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\nda'), ("s", 1, 'ta: {"choices":[{"delta":{"content":"b"}}]}'), ("s", 2, None), ("t", 0, 'data: {"choices":[{"delta":{"content":"open"}}]}')]
+    spark.createDataFrame(chunks, schema).coalesce(1).write.json(str(tmp_path / "in"), ignoreNullFields=False)
+    for q in sse_stream.side_files(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "out"), "chat"):
+        q.awaitTermination(120)
+    assert {r.stream_id: r.text for r in spark.read.json(str(tmp_path / "out" / "output")).collect()} == {"s": "ab"}
+    assert spark.read.json(str(tmp_path / "out" / "raw")).count() == 4
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    rows = [json.dumps({"i": i, "x": "y" * (i % 50)}) for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\r\n".join(rows) + "\n\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(rows[:5]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = transcripts.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by = {}
+    for r in got:
+        by.setdefault(r.session_id[-7:], {})[r.ord] = r.raw
+    assert [by["a.jsonl"][i] for i in range(4000)] == rows and [by["b.jsonl"][i] for i in range(5)] == rows[:5]
+
+
 def test_summary_validation(spark):
     base = {"session_id": "s", "current_work": "w", "optional_next_step": "n", "summary_blocks": [{"section": "A", "format": "bullet", "body": "- x", "source_spans": [{"start_line": 1, "end_line": 2}]}], "rules_and_invariants": [], "plans_and_task_state": [{"item": "p", "status": "blocked", "source_spans": [{"start_line": 1, "end_line": 1}]}], "promises_made": None, "pickup_state": {"cwd": "/a"}, "source_integrity": {"transcript_lines_seen": 9}}
     df = spark.read.schema(summary.SCHEMA).json(spark.sparkContext.parallelize([json.dumps(base)]))
