@@ -236,22 +236,18 @@ def intent_of_documents(spark, sf_dir):
     return d.select("doc_id", "kind", intents.priority(F.col("kind"), F.col("text")).alias("priority"))
 
 
-@query(f"""WITH RECURSIVE {E}, {_INTENT}, r AS (SELECT session_id, line, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY session_id ORDER BY CASE priority WHEN 'must_keep' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, line DESC) AS k FROM i),
-    w AS (SELECT session_id, line, k, t AS used, 1 AS many, true AS take FROM r WHERE k = 1
-          UNION ALL SELECT r.session_id, r.line, r.k, CASE WHEN w.used + r.t <= 120 AND w.many < 3 THEN w.used + r.t ELSE w.used END, CASE WHEN w.used + r.t <= 120 AND w.many < 3 THEN w.many + 1 ELSE w.many END, w.used + r.t <= 120 AND w.many < 3 FROM w JOIN r ON r.session_id = w.session_id AND r.k = w.k + 1)
-    SELECT session_id, line FROM w WHERE take""")
-def ledger_selection(spark, sf_dir):
-    """The greedy selection with small budgets; a message costs its text's tokens."""
-    m = ledger.with_priority(turns(spark, sf_dir).where("role = 'user' AND trim(text) <> ''")).withColumn("t", tokens(F.length("text")))
-    queue = F.array_sort(F.collect_list(F.struct("rank", (-F.col("line")).alias("newest"), "t")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("t"), F.array().cast("array<bigint>").alias("out"))
+#: Messages of plain transcripts as XML; the record's hash is that of its JSON.
+_MESSAGE = """x AS (SELECT *, '<user-message source="current" line="' || line || '" original_line="' || line || '" chars="' || length(text) || '" sha256="' || hash || '" record_sha256="' || sha256('{"type":"user","message":{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}}') || '">' || chr(10) || trim(text, ' ') || chr(10) || '</user-message>' AS xml FROM i)"""
 
-    def step(s, x):
-        take = (F.size(s["out"]) < 3) & ((F.size(s["out"]) == 0) | (s["t"] + x["t"] <= 120))
-        return F.when(take, F.struct((s["t"] + x["t"]).alias("t"), F.concat(s["out"], F.array(-x["newest"])).alias("out"))).otherwise(s)
 
-    return m.groupBy("session_id").agg(queue.alias("q")).select("session_id", F.explode(F.aggregate("q", start, step, lambda s: s["out"])).alias("line"))
+@query(f"""WITH RECURSIVE {E}, {_INTENT}, {_MESSAGE}, r AS (SELECT session_id, line, CAST(ceil(length(xml) / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY session_id ORDER BY CASE priority WHEN 'must_keep' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, line DESC) AS k FROM x),
+    w AS (SELECT session_id, line, k, t AS used, 1 AS many, true AS take FROM r WHERE k = 1
+          UNION ALL SELECT r.session_id, r.line, r.k, CASE WHEN w.used + r.t <= 260 AND w.many < 3 THEN w.used + r.t ELSE w.used END, CASE WHEN w.used + r.t <= 260 AND w.many < 3 THEN w.many + 1 ELSE w.many END, w.used + r.t <= 260 AND w.many < 3 FROM w JOIN r ON r.session_id = w.session_id AND r.k = w.k + 1)
+    SELECT session_id, CAST(line AS BIGINT) AS line FROM w WHERE take""")
+def ledger_selection(spark, sf_dir):
+    """The greedy selection with small budgets; a message costs the tokens of its XML."""
+    m = ledger.messages(entries(spark, sf_dir)).withColumn("ord", F.col("line"))
+    return ledger.selected(m, most=3, most_tokens=260, most_lines=0).select("session_id", F.col("line").cast("long").alias("line"))
 
 
 @query()

@@ -29,8 +29,8 @@ def lines(spark, sf_dir) -> DataFrame:
     j = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
     call = lambda name, *given: j('{"type":"assistant","message":{"role":"assistant","content":[{"type":"tool_use","id":"t1","name":"' + name + '","input":{', *given, "}}]}}")
     raw = (
-        F.when(k == 0, j('{"type":"user","uuid":"u-', F.col("conv_id").cast("string"), "-", turn, '","message":{"role":"user","content":', quoted(t), "}}"))
-        .when(k == 1, j('{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":', quoted(t), "}]}}"))
+        F.when(k == 0, j('{"type":"user","uuid":"u-', F.col("conv_id").cast("string"), "-", turn, '","cwd":"/w","gitBranch":"b', turn, '","message":{"role":"user","content":', quoted(t), "}}"))
+        .when(k == 1, j('{"type":"assistant","message":{"role":"assistant","model":"m', turn, '","content":[{"type":"text","text":', quoted(t), "}]}}"))
         .when(k == 2, call("Edit", '"file_path":"/w/f', turn, '.py","old_string":', quoted(F.left(t, F.lit(30))), ',"new_string":', quoted(F.substring(t, 31, 40))))
         .when(k == 3, j('{"type":"user","message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"t1","content":', quoted(t), "}]}}"))
         .when(k == 4, call("Write", '"file_path":"/w/f', turn, '.txt","content":', quoted(t)))
@@ -50,8 +50,8 @@ _NL = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')) + 1)"  # noqa
 #: The same records: session_id, line, k, text, turn, raw, hash; and their texts for prompts and evidence.
 R = f"""c AS (SELECT *, (conv_id + turn) % 8 AS k, left(text, 30) AS old, substr(text, 31, 40) AS new FROM conversations WHERE text IS NOT NULL),
     w AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, k, text, old, new, CASE k
-        WHEN 0 THEN '{{"type":"user","uuid":"u-' || conv_id || '-' || turn || '","message":{{"role":"user","content":' || {_J("text")} || '}}}}'
-        WHEN 1 THEN '{{"type":"assistant","message":{{"role":"assistant","content":[{{"type":"text","text":' || {_J("text")} || '}}]}}}}'
+        WHEN 0 THEN '{{"type":"user","uuid":"u-' || conv_id || '-' || turn || '","cwd":"/w","gitBranch":"b' || turn || '","message":{{"role":"user","content":' || {_J("text")} || '}}}}'
+        WHEN 1 THEN '{{"type":"assistant","message":{{"role":"assistant","model":"m' || turn || '","content":[{{"type":"text","text":' || {_J("text")} || '}}]}}}}'
         WHEN 2 THEN '{{"type":"assistant","message":{{"role":"assistant","content":[{{"type":"tool_use","id":"t1","name":"Edit","input":{{"file_path":"/w/f' || turn || '.py","old_string":' || {_J("old")} || ',"new_string":' || {_J("new")} || '}}}}]}}}}'
         WHEN 3 THEN '{{"type":"user","message":{{"role":"user","content":[{{"type":"tool_result","tool_use_id":"t1","content":' || {_J("text")} || '}}]}}}}'
         WHEN 4 THEN '{{"type":"assistant","message":{{"role":"assistant","content":[{{"type":"tool_use","id":"t1","name":"Write","input":{{"file_path":"/w/f' || turn || '.txt","content":' || {_J("text")} || '}}}}]}}}}'
@@ -272,14 +272,16 @@ def source_hashes(spark, sf_dir):
     return handoff.source_hashes(s.select("session_id", F.array(F.struct("start_line", "end_line")).alias("spans")), e)
 
 
-@query(f"""WITH {R} SELECT session_id, count(*) AS before_records, least(4, count(*) FILTER (WHERE k < 6)) + 2 AS after_records, CAST(ceil(sum(length(raw) + 1) / 4.0) AS BIGINT) AS before_tokens FROM r GROUP BY session_id""")
+@query(f"""WITH {R} SELECT session_id, count(*) AS before_records, least(4, count(*) FILTER (WHERE k < 6)) + 2 AS after_records, CAST(ceil(sum(length(raw) + 1) / 4.0) AS BIGINT) AS before_tokens, true AS ratio_of_both FROM r GROUP BY session_id""")
 def compaction_metrics(spark, sf_dir):
     """A compaction's size before and after."""
     from tessera.plans import compact
 
     e = records(spark, sf_dir)
     s = e.groupBy("session_id").agg(F.lit("done").alias("summary"))
-    return compact.results(e, compact.compacted(e, s, 4)).select("session_id", "before_records", "after_records", "before_tokens")
+    out = compact.results(e, compact.compacted(e, s, 4))
+    same = F.abs(F.col("ratio") - stats.reduction(F.col("before_tokens"), F.col("after_tokens") * 4)) < 1e-6
+    return out.select("session_id", "before_records", "after_records", "before_tokens", same.alias("ratio_of_both"))
 
 
 @query(f"""WITH {R} SELECT session_id, line, CAST(ceil(length(raw) / 4.0) AS BIGINT) AS tokens, strlen(raw) AS bytes, starts_with(ltrim(prompt), '@@tool ') AS formatted_edit FROM r WHERE k <> 7""")
@@ -305,7 +307,58 @@ def rejected_lines(spark, sf_dir):
     return artifacts.rejects(e, "parse", F.when(F.col("record").isNull(), F.concat(F.lit("line "), F.col("line").cast("string"))))
 
 
-@query(f"""WITH {R}, f AS (SELECT session_id, min(CASE WHEN k = 0 THEN 'u-' || session_id || '-' || turn END) AS x, max_by('u-' || session_id || '-' || turn, CASE WHEN k = 0 THEN line END) AS last_user_uuid FROM r GROUP BY session_id) SELECT session_id, last_user_uuid FROM f""")
+@query(f"""WITH {R} SELECT session_id, max_by('u-' || session_id || '-' || turn, CASE WHEN k = 0 THEN line END) AS last_user_uuid, max_by('m' || turn, CASE WHEN k = 1 THEN line END) AS model, min_by('/w', CASE WHEN k = 0 THEN line END) AS cwd, min_by('b' || turn, CASE WHEN k = 0 THEN line END) AS git_branch FROM r GROUP BY session_id""")
 def session_metadata(spark, sf_dir):
-    """The last user record of each session."""
-    return transcripts.metadata(records(spark, sf_dir)).select("session_id", "last_user_uuid")
+    """First folder and branch, last user record and model of each session."""
+    return transcripts.metadata(records(spark, sf_dir)).select("session_id", "last_user_uuid", "model", "cwd", "git_branch")
+
+
+@query(f"""WITH {R} SELECT session_id, line, sha256('<record line="' || lpad(line::VARCHAR, 6, '0') || '">' || chr(10) || raw || chr(10) || '</record>') AS rendered_sha256 FROM r""")
+def render_jsonl(spark, sf_dir):
+    """Raw lines in their wrapper."""
+    return render.rendered(records(spark, sf_dir), "jsonl").select("session_id", "line", sha256(F.col("rendered")).alias("rendered_sha256"))
+
+
+_LINES = [*(("unchanged", f"u{i}") for i in range(9)), ("removed", "old"), ("added", "new"), ("unchanged", "end")]
+_OBJECT = '{"path":"/w/a.py","diffLines":[' + ",".join(f'{{"type":"{t}","content":"{x}"}}' for t, x in _LINES) + "]}"
+_DIFF = ["@@file a.py", "@@file_abs /w/a.py", "--- a/a.py", "+++ b/a.py", " u0", " u1", " u2", "[... 3 unchanged lines ...]", " u6", " u7", " u8", "-old", "+new", " end"]
+_RESULT = '{"type":"user","message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"t","content":[{"type":"text","text":"T"},"second"]},{"type":"tool_result","tool_use_id":"u","content":Q}]}}'
+
+
+@query(f"""WITH w AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, replace('{_RESULT}', '"T"', {_J("'t' || turn")}) AS a FROM conversations WHERE text IS NOT NULL),
+    h AS (SELECT *, replace(a, ':Q}}', ':' || {_J(f"'{_OBJECT}'")} || '}}') AS raw FROM w), n AS (SELECT *, sha256(raw) AS hash, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) AS INTEGER) AS line FROM h)
+    SELECT session_id, line, '[tool_result]' || chr(10) || 't' || turn || chr(10) || 'second' || chr(10) || chr(10) || '[tool_result]' || chr(10) || '@@tool EditResult line=' || lpad(line::VARCHAR, 6, '0') || ' sha256=' || hash || chr(10) || replace('{"~".join(_DIFF)}', '~', chr(10))
+        || chr(10) || 'stats: +1 -1 lines | input_sha256=' || sha256('{_OBJECT}') AS prompt FROM n""")
+def structured_results(spark, sf_dir):
+    """Results of several parts, and one that is a difference."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    first, rest = _RESULT.split('"T"')
+    middle, last = rest.split(":Q}")
+    raw = F.concat(F.lit(first), quoted(F.concat(F.lit("t"), F.col("turn").cast("string"))), F.lit(middle + ":"), quoted(F.lit(_OBJECT)), F.lit("}" + last))
+    e = transcripts.numbered(c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ord"), raw.alias("raw")))
+    return tools.with_prompt_text(e, "prompt", F.lit(PREFIX)).select("session_id", "line", "prompt")
+
+
+@query(f"""WITH {R}, {_XML} SELECT session_id, CAST(line AS BIGINT) AS line, uuid, sha AS sha256, hash AS record_sha256, CAST(length(text) AS BIGINT) AS char_count, 'carried' AS source, trim(text, ' ') AS text FROM v""")
+def ledger_of_summary(spark, sf_dir):
+    """The ledger that an earlier round left in its summary, read back."""
+    m = ledger.messages(records(spark, sf_dir)).withColumn("xml", ledger.rendered())
+    body = m.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "xml"))), lambda s: s["xml"]), "\n").alias("x"))
+    raw = F.concat(F.lit('{"type":"user","isCompactSummary":true,"message":{"role":"user","content":'), quoted(F.col("x")), F.lit("}}"))
+    e = transcripts.numbered(body.select("session_id", F.lit(0).alias("ord"), raw.alias("raw")))
+    return ledger.from_summaries(e).select("session_id", "line", "uuid", "sha256", "record_sha256", "char_count", "source", "text")
+
+
+@query(f"""WITH {_FACTS}, s AS (SELECT kind, sum(rendered_bytes) AS b, sum(prompt_chars) AS p, count(*) AS n FROM f GROUP BY kind) SELECT kind FROM s ORDER BY b DESC, p DESC, n DESC LIMIT 3""")
+def largest_kinds(spark, sf_dir):
+    """The three largest kinds of records."""
+    g = stats.by_each(_facts(spark, sf_dir), ["kind"])
+    return stats.largest_first(g, 3).select(F.col("key").alias("kind"))
+
+
+@query()
+def renderer_report(spark, sf_dir):
+    """The whole report of the sentinel renderer; its tables have queries of their own."""
+    r = F.col("record")
+    e = _sentinel(spark, sf_dir).withColumns({"kind": transcripts.kind(r), "type": F.when(r.isNull(), "unparsed").otherwise(transcripts.get(r, "$.type")), "role": F.coalesce(transcripts.get(r, "$.message.role"), F.lit("(none)")), "compressed": F.col("stats.compressed"), "original_chars": F.col("stats.original_chars"), "omitted_chars": F.col("stats.omitted_chars")})
+    return reports.renderer_report(stats.measured(e, "raw", "body", "rendered"), transcripts.blocks(records(spark, sf_dir)))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals, text
 from tessera.functions.text import sha256
-from tessera.operators import diff, handoff, judging, ledger, prompts, ranking, reports, scoring, spans, stats, summary
+from tessera.operators import compress, diff, handoff, judging, ledger, prompts, ranking, render, reports, scoring, spans, stats, summary
 from tessera.plans import compact
 from tessera.plans.queries import E, query, table, turns
 from tessera.plans.record_queries import _J, _NL, quoted
-from tessera.sources import artifacts, sse
+from tessera.sources import artifacts, folders, sse
 
 
 @query(f"""WITH {E} SELECT session_id, line, '&lt;a b=&quot;' || replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped, true AS round_trip, 'last' AS attribute, 'x&y' AS other_attribute,
@@ -441,3 +441,53 @@ def capsule_rules(spark, sf_dir):
     digest = F.when(n % 3 == 0, "no").otherwise(F.col("hash"))
     t = turns(spark, sf_dir).select("session_id", F.concat(F.lit("ev-"), F.col("line").cast("string")).alias("id"), n.alias("start_line"), n.alias("end_line"), digest.alias("start_hash"), F.col("hash").alias("end_hash"), F.col("hash").alias("raw_slice_sha256"), F.array(F.struct(F.when(n % 3 == 1, n + 1).otherwise(n).alias("line"))).alias("text_segments"))
     return summary.capsule_errors(t)
+
+
+_DEEP = " " * 12
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a' || doc_id || chr(10) || ' b' || chr(10) || 'c' WHEN 1 THEN 'intro' || chr(10) || 'return ' || doc_id || chr(10) || '  + 2' || chr(10) || '+ 3' WHEN 2 THEN '        - a' || chr(10) || '        - b' || chr(10) || '        - c'
+    WHEN 3 THEN 'x' || chr(10) || '{_DEEP}for a' || chr(10) || '{_DEEP}  b' || chr(10) || '{_DEEP}12|c' ELSE '        | a |' || chr(10) || '        | b |' || chr(10) || '        | c |' END AS clean, CASE WHEN doc_id % 5 < 2 THEN 1 ELSE 0 END AS blocks FROM documents""")
+def dedented_code(spark, sf_dir):
+    """Blocks of code moved to the left; lists, tables and too short blocks stay."""
+    k, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    deep = lambda *ls: F.concat_ws("\n", *(F.concat(F.lit(x[0]), x[1]) if isinstance(x, tuple) else F.lit(x) for x in ls))
+    t = F.when(k == 0, deep((" " * 8 + "a", n), " " * 9 + "b", " " * 8 + "c")).when(k == 1, deep("intro", (_DEEP + "return ", n), _DEEP + "  + 2", _DEEP + "+ 3")).when(k == 2, deep(*(" " * 8 + f"- {x}" for x in "abc")))
+    t = t.when(k == 3, deep("x", _DEEP + "for a", _DEEP + "  b", _DEEP + "12|c")).otherwise(deep(*(" " * 8 + f"| {x} |" for x in "abc")))
+    out = render.with_clean(table(spark, sf_dir, "documents").select("doc_id", t.alias("t")), "t")
+    return out.select("doc_id", "clean", F.col("clean_stats.dedented_blocks").cast("int").alias("blocks"))
+
+
+@query("""SELECT doc_id, doc_id % 4 < 2 AS command, doc_id % 4 IN (1, 2) AS path, doc_id % 4 = 3 AS nothing, CASE doc_id % 4 WHEN 0 THEN 'npm run x' || doc_id WHEN 1 THEN 'scripts/go_' || doc_id || '.sh --all' WHEN 2 THEN '/a/b/c_' || doc_id || '.txt' ELSE 'None, really' END AS cleaned FROM documents""")
+def literal_tests(spark, sf_dir):
+    """Commands, paths, and values that say there is nothing."""
+    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    x = F.when(k == 0, F.concat(F.lit("`npm run x"), n, F.lit(".`"))).when(k == 1, F.concat(F.lit(" scripts/go_"), n, F.lit(".sh --all "))).when(k == 2, F.concat(F.lit('"/a/b/c_'), n, F.lit('.txt"'))).otherwise("None, really")
+    d = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"))
+    return d.select("doc_id", literals.is_command(F.col("x")).alias("command"), literals.is_path(F.col("x")).alias("path"), literals.is_nothing(F.col("x")).alias("nothing"), literals.clean_command(F.col("x")).alias("cleaned"))
+
+
+@query("""WITH t AS (SELECT doc_id, '@@tool Write' || chr(10) || '@@file a.txt' || chr(10) || coalesce(text, '') AS t FROM documents), n AS (SELECT *, length(t) AS n, left(t, 400) AS a, substr(t, greatest(length(t) - 200, 400) + 1) AS b FROM t),
+    c AS (SELECT *, n > 800 AND NOT regexp_matches(t, '-[^\n]+\n([+][^\n]+\n)+') AS cut FROM n)
+    SELECT doc_id, cut AS compressed, sha256(CASE WHEN cut THEN a || chr(10) || chr(10) || '[edit compressed: original_chars=' || n || ' omitted_chars=' || greatest(n - length(a) - length(b), 0) || ' line=' || doc_id || ' body_sha256=' || sha256(t) || ' record_sha256=' || sha256(t) || ']' || chr(10) || chr(10) || b ELSE t END) AS body_sha256 FROM c""")
+def shortened_edits(spark, sf_dir):
+    """Long formatted edits."""
+    t = F.concat(F.lit("@@tool Write\n@@file a.txt\n"), F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    c = d.select("doc_id", compress.shortened_edit(F.col("t"), F.col("doc_id"), sha256(F.col("t"))).alias("c"))
+    return c.select("doc_id", "c.compressed", sha256(F.col("c.body")).alias("body_sha256"))
+
+
+@query("""SELECT 'run' || (doc_id % 7) AS run_id, count(*) AS required, true AS state_read, '1<a>' || chr(10) || 'new' || chr(10) || '<b>2' AS page FROM documents WHERE doc_id < 70 GROUP BY 1""")
+def run_artifacts(spark, sf_dir):
+    """Fixtures and states written as JSON and read again, joined to the records that point to them."""
+    folder = folders.scratch(spark, "artifacts")
+    d = table(spark, sf_dir, "documents").where("doc_id < 70")
+    run = F.concat(F.lit("run"), (F.col("doc_id") % 7).cast("string"))
+    d.groupBy(run.alias("run_id")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("required_literals")).write.json(f"{folder}/fixtures")
+    fixtures = spark.read.schema("run_id string, required_literals array<string>").json(f"{folder}/fixtures")
+    many = fixtures.select("run_id", F.explode("required_literals").alias("literal")).join(artifacts.required_literals(fixtures), "literal").groupBy("run_id").agg(F.count(F.lit(1)).alias("required"))
+    states = fixtures.select(F.concat(F.lit("p/"), "run_id").alias("path"), F.lit("{}").alias("state"))
+    carried = artifacts.carried_states(fixtures.select(F.col("run_id").alias("session_id"), F.lit(1).alias("line"), F.concat(F.lit("p/"), "run_id").alias("state_path")), states)
+    page = stats.between_markers(F.lit("1<a>old<b>2"), "<a>", "<b>", F.lit("new"))
+    return many.join(carried.select(F.col("session_id").alias("run_id"), F.col("state").isNotNull().alias("state_read")), "run_id").withColumn("page", page)
