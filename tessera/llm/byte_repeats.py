@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import frames, kernel, runs, text_files
 from tessera.llm.suffix_groups import suffix_arrays
@@ -366,12 +365,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, part_bytes:
         raise ValueError("grams have 8 bytes at least, spans as many as a gram and fewer than 32768")
     spark = docs.sparkSession
     folder = frames.scratch(spark, "texts")
-    parts = max(256, frames.parts_for(docs, part_bytes))
+    parts = frames.buckets_for(docs, part_bytes, 256)
     files = text_files.write(docs, folder)
     asked = text_files.with_files(files, spark.createDataFrame([], "file int")).mapInArrow(_asked(folder, span, k, parts), ASKED)
-    told = frames.written(asked.repartitionById(parts, F.col("bucket")).mapInArrow(_told, TOLD), "shared")
+    told = frames.written(frames.by_bucket(asked, parts, _told, TOLD, "shared"), "shared")
     schema = "bucket int, file int, " + ", ".join(f"{c} binary" for c in (*(c for c, _ in CONTEXTS), *(f"cut_{c}" for c, _ in CUTS)))
     contexts = text_files.with_files(files, told).mapInArrow(_contexts(folder, span, k, parts), schema)
-    cuts = frames.written(contexts.repartitionById(parts, F.col("bucket")).mapInArrow(_decide(span), "file int, " + ", ".join(f"{c} binary" for c, _ in CUTS)), "cuts")
+    cuts = frames.written(frames.by_bucket(contexts, parts, _decide(span), "file int, " + ", ".join(f"{c} binary" for c, _ in CUTS), "cuts"), "cuts")
     frames.drop(told)
     return text_files.with_files(files, cuts).mapInArrow(_kept(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

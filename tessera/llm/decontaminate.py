@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from tessera.llm import frames, kernel
 
 SPAN, GRAM = 13, 7
-BITS = 24
 
 _SCHEMA = "key struct<id:string,mark:long>, n_words long, pos int, n int, whole boolean, hash long, gram string, before string, after string"
 
@@ -61,7 +60,7 @@ def _fingerprints(span: int, k: int, short: list[int], bitmap):
                 rows = [(None, None, None)] * texts.n
                 for n, alone, start, h in chosen(words, words.hashes()):
                     if bits is not None:
-                        take = bits[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                        take = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
                         start, h = start[take], h[take]
                     own = np.searchsorted(words.first, start, "right") - 1
                     for s, d in zip(start.tolist(), own.tolist(), strict=True):
@@ -118,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
         .groupBy("hash", "n", "whole", "gram", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
         .agg(F.collect_set("key.id").alias("items"))
     )
-    cast = frames.bitmap(known, "hash", BITS)
+    cast = frames.bitmap(known, "hash")
     found = keyed.mapInArrow(_fingerprints(span, k, short, cast), _SCHEMA)
     # Rows with pos -1 meet no fingerprint; the key spreads them over the join's partitions.
     found = found.withColumn("hash", F.when(F.col("pos") < 0, F.xxhash64("key")).otherwise(F.col("hash")))
@@ -150,5 +149,6 @@ def contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without its contaminated rows; all other rows and columns stay as they are."""
-    bad = decontaminate(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_mark"]), "left_anti")
+    key, mark = frames.fresh(docs, "id"), frames.fresh(docs, "mark")
+    bad = decontaminate(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == bad[mark]), "left_anti")

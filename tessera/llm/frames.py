@@ -49,8 +49,35 @@ def plan_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(sum(strings, F.lit(8).cast("long")))).first()[0] or 0
 
 
-def parts_for(df: DataFrame, target: int, least: int = 64, most: int = 1 << 16) -> int:
-    return max(least, min(most, -(-plan_bytes(df) // target)))
+#: Partitions of one shuffle at most, and bytes of input that a bucket stands for at most. More input takes more passes.
+PARTITIONS, LARGEST = 1 << 16, 64 << 20
+
+
+def parts_for(df: DataFrame, target: int, least: int = 64) -> int:
+    """Partitions for a frame of about ``target`` bytes each; never more than one shuffle can have."""
+    return max(least, min(PARTITIONS, -(-plan_bytes(df) // target)))
+
+
+def buckets_for(df: DataFrame, target: int, least: int = 64) -> int:
+    """Buckets for a frame: of about ``target`` bytes each while one shuffle can deal them, then of up to LARGEST, then as many as it takes."""
+    size = plan_bytes(df)
+    return max(least, -(-size // min(max(target, -(-size // PARTITIONS)), max(target, LARGEST))))
+
+
+def by_bucket(blocks: DataFrame, buckets: int, run, schema: str, name: str) -> DataFrame:
+    """blocks.mapInArrow(run) with a partition for each bucket; buckets beyond what one shuffle can deal are worked off in passes.
+
+    A pass makes its blocks anew and keeps those of its buckets only, so a task never holds more than one.
+    """
+    passes = -(-buckets // PARTITIONS)
+    if passes == 1:
+        return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+    out = None
+    for p in range(passes):
+        mine = blocks.where(F.col("bucket") % passes == p).repartitionById(-(-buckets // passes), F.floor(F.col("bucket") / passes).cast("int"))
+        made = written(mine.mapInArrow(run, schema), name)
+        out = made if out is None else out.union(made)
+    return out
 
 
 def even_ranges(df: DataFrame, key: str, n: int) -> list:
@@ -75,13 +102,21 @@ def range_of(key: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def bitmap(df: DataFrame, hashed: str, bits: int = 24):
-    """A broadcast set of the hashes' low ``bits`` bits: a filter of fixed size, 2**(bits - 3) bytes."""
-    at = F.col(hashed).bitwiseAND((1 << bits) - 1)
-    rows = df.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, int({hashed} & 63)))").alias("bits")).collect()  # at most 2**(bits - 6)
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in rows:
-        out[r.i] = r.bits
+#: A bitmap has 2**LEAST_BITS to 2**MOST_BITS bits; the latter are 16 MB to broadcast.
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+def bitmap(df: DataFrame, hashed: str):
+    """A broadcast set of hashes' low bits, some sixteen bits a hash up to a bound.
+
+    A filter that lets others pass too: what passes is joined afterwards.
+    """
+    many = df.agg(F.approx_count_distinct(hashed)).first()[0]
+    size = max(LEAST_BITS, min(MOST_BITS, (16 * many).bit_length()))
+    at = F.col(hashed).bitwiseAND((1 << size) - 1)
+    rows = df.groupBy(F.shiftright(at, 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, int({hashed} & 63)))").alias("bits")).toArrow()  # at most 2**(MOST_BITS - 6)
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[rows["i"].to_numpy()] = rows["bits"].to_numpy()
     return df.sparkSession.sparkContext.broadcast(out.tobytes())
 
 

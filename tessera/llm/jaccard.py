@@ -13,10 +13,10 @@ components:
 
 1. Each list's members are compared with one of them, the one that is in most lists, which tends to be
    the text that others were copied from. So a list of k members costs k candidates.
-2. What the links so far don't join is left of each list. All of its pairs are held against a bound in
-   numpy, from sketches that count differing cells of a partition of the universe: a pair whose cells
-   differ more often than its sizes allow can't link. Lists of more than BLOCK members are dealt to
-   pairs of blocks.
+2. What the links so far don't join is left of each list; lists that were compared with one member are
+   one list then. All of its pairs are held against a bound in numpy, from sketches that hold parities of
+   the cells of a partition of the universe: a pair whose cells differ more often than its sizes allow
+   can't link. Lists of more than BLOCK members are dealt to pairs of blocks.
 3. What is left is compared too, and all links together give the components.
 
 Candidates are verified on the texts: 64-bit shingle hashes first, and where those suffice the words.
@@ -280,18 +280,27 @@ def _verify(n: int, percent: int):
 
 
 def cells(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each set the sums, modulo 256, of its hashes in the cells of a partition of the universe.
+    """For each set the parities of its numbers of hashes in the cells of a partition of the universe, packed into 64-bit words.
 
-    There are as many cells as the least power of two that is at least the set's size. A cell that differs holds at least one
-    element that only one of two sets has. Neighbouring cells add up to those of a coarser partition.
+    There are four to eight cells for each element, a power of two. A cell whose parity differs holds at
+    least one element that only one of two sets has. Both halves of a sketch together, by exclusive or, are
+    that of a partition half as fine.
     """
-    size = np.maximum(np.diff(first), 1)
-    log = np.ceil(np.log2(size)).astype(np.int64)
+    size = np.maximum(np.diff(first), 16)
+    log = np.ceil(np.log2(size)).astype(np.int64) + 2
     edge = np.concatenate(([0], np.cumsum(1 << log)))
     doc = np.repeat(np.arange(len(size)), np.diff(first))
-    at = (h >> (U(63) - log[doc].astype(U)) >> U(1)).astype(np.int64) + edge[doc]
-    out = np.bincount(at, (kernel.mix(h) & U(255)).astype(np.float64), edge[-1]).astype(np.int64).astype(np.uint8)
-    return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    at = (kernel.mix(h) & ((U(1) << log[doc].astype(U)) - U(1))).astype(np.int64) + edge[doc]
+    odd = (np.bincount(at, minlength=edge[-1]) & 1).astype(bool)
+    words = np.packbits(odd, bitorder="little").view(U)
+    return [words[a:b] for a, b in zip((edge[:-1] >> 6).tolist(), (edge[1:] >> 6).tolist(), strict=True)]
+
+
+def _halved(x: np.ndarray, words: int) -> np.ndarray:
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def _sketches(n: int):
@@ -324,15 +333,10 @@ def _possible(label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: lis
         j = np.arange(i + 1, to[i])
         j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 2))]
         for w in np.unique(log[j]).tolist() if len(j) else []:
-            part = j[log[j] == w]
-            rows = whole[w][row_of[part]]
-            mine = whole[int(log[i])][row_of[i]]
-            if w > log[i]:
-                rows = rows.reshape(len(part), log[i], -1).sum(2, dtype=np.uint8)
-            elif w < log[i]:
-                mine = mine.reshape(w, -1).sum(1, dtype=np.uint8)
+            part, least = j[log[j] == w], min(w, int(log[i]))
+            rows, mine = _halved(whole[w][row_of[part]], least), _halved(whole[int(log[i])][row_of[i]], least)
             total = int(size[i]) + size[part]
-            fine = part[np.count_nonzero(rows != mine, axis=1) <= total * (100 - percent) // (100 + percent)]
+            fine = part[np.bitwise_count(rows ^ mine).sum(1, dtype=np.int64) <= total * (100 - percent) // (100 + percent)]
             if len(fine):
                 yield int(order[i]), order[fine]
 
@@ -347,7 +351,7 @@ def _rest(percent: int):
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             node, label, side, size = (rows[c].to_numpy() for c in ("node", "label", "side", "size"))
-            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["cells"]]
+            raw = [np.frombuffer(x.as_buffer(), U) for x in rows["cells"]]
             a, b = [], []
             for i, j in _possible(label, side, size, raw, percent):
                 a.append(np.full(len(j), node[i]))
@@ -409,13 +413,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, bucket_bytes:
     plan = bands(largest, percent, counts)
     known = info.where("doc_id IS NOT NULL AND n_shingles > 0")
     named = frames.written(known.groupBy("key", "check").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size")), "named")
-    buckets = frames.parts_for(docs, bucket_bytes)
+    buckets = frames.buckets_for(docs, bucket_bytes)
     index = docs.where("doc_id IS NOT NULL").mapInArrow(_index(n, plan, buckets), "bucket int, " + ", ".join(f"{c} binary" for c, _ in INDEX))
-    lists = index.repartitionById(buckets, F.col("bucket")).mapInArrow(_lists, "list long, key long")
+    lists = frames.by_bucket(index, buckets, _lists, "list long, key long", "lists")
     lists = frames.written(lists.join(named, "key").select("list", "node", "size").distinct(), "lists")
 
     often = lists.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
     centre = lists.join(often, "node").groupBy("list").agg(F.max(F.struct("often", "node", "size")).alias("c")).select("list", F.col("c.node").alias("a"), F.col("c.size").alias("size_a"))
+    centre = frames.written(centre, "centres")
     fits = (F.col("size") * 100 >= F.col("size_a") * percent) & (F.col("size_a") * 100 >= F.col("size") * percent)
     star = lists.join(centre, "list").where(fits & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b")).distinct()
     links = _links(docs, star, n, percent)
@@ -427,10 +432,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, bucket_bytes:
     label = graph.components(links)
     at = lists.join(label.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("list", "node", "size", F.coalesce("root", "node").alias("label"))
     at = frames.written(at, "labelled")
-    hashed = F.xxhash64("node")
-    live = at.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 20)).alias("s"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    # Lists of the same members are one; should names of different ones agree, it holds the members of both.
-    rest = at.join(live.select("list", F.xxhash64("x", "s", "m").alias("name")), "list").select(F.col("name").alias("list"), "node", "label").distinct()
+    live = at.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
+    # Lists with one centre are one: they are lists of the same texts, for the most part.
+    rest = at.join(live, "list").join(centre, "list").select(F.col("a").alias("list"), "node", "label").distinct()
     rest = frames.written(rest, "rest")
     blocks = rest.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     placed = rest.join(blocks, "list").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -439,7 +443,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, bucket_bytes:
     tasks = placed.join(sketches, placed.node == sketches.doc_id).select("list", "lo", "hi", "side", "node", "label", "size", "cells")
     more = tasks.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi").mapInArrow(_rest(percent), "a long, b long").distinct()
     found = _links(docs, more, n, percent)
-    frames.drop(at, rest)
+    frames.drop(at, rest, centre)
     label = graph.components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     component = label.select(F.col("node").alias("k"), F.col("root").alias("component"))
@@ -453,13 +457,14 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Rows with null doc_id, and empty sets, which link with nothing, all stay.
     """
-    groups = jaccard_groups(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_id"], "left_anti")
-    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_many"))
+    key, copies = frames.fresh(docs, "id"), frames.fresh(docs, "copies")
+    groups = jaccard_groups(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(groups, docs["doc_id"].cast("long") == groups[key], "left_anti")
+    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias(copies)).where(F.col(copies) > 1).select(F.col("doc_id").alias(copies))
     if many.isEmpty():
         return kept
-    single = kept.join(many, kept["doc_id"] == many["_many"], "left_anti")
-    rest = kept.join(many, kept["doc_id"] == many["_many"], "left_semi")
+    single = kept.join(many, kept["doc_id"] == many[copies], "left_anti")
+    rest = kept.join(many, kept["doc_id"] == many[copies], "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = rest.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.min_by(c, F.struct(F.col("text").isNotNull(), "text")).alias(c) for c in others))
     return single.unionByName(first.select(*docs.columns))

@@ -163,6 +163,130 @@ def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield packed(np.full(first.sum(), rows["bucket"][0].as_py()), "bucket", NAMES, hashes=five(h[first]), files=file[first], rows=row[first], places=place[first], flags=many | flag[first])
 
 
+class Index:
+    """Batches of texts, runs and hits in a shared folder; each is written once and never changed."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, fanout: int = 4):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        self.version, self.entries, self.buckets = 0, [], buckets
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            manifest = spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
+            self.version = manifest.agg(F.max("version")).first()[0]
+            rows = manifest.where(F.col("version") == self.version).collect()  # a row for each batch and run
+            self.entries = sorted((r.kind, r.number, r.path) for r in rows)
+            self.buckets = rows[0].buckets
+
+    def paths(self, kind: str) -> list[str]:
+        return [f"{self.folder}/{p}" for k, _, p in self.entries if k == kind]
+
+    def _next(self) -> int:
+        return max((n for _, n, _ in self.entries), default=-1) + 1
+
+    def _save(self, entries: list[tuple[str, int, str]]) -> None:
+        self.entries, self.version = sorted(entries), self.version + 1
+        rows = self.spark.createDataFrame([(self.version, *e, self.buckets) for e in self.entries], MANIFEST)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def files(self) -> DataFrame:
+        """(file, name) of all batches, names from the index's folder on."""
+        return self.spark.read.schema("file int, name string").parquet(*self.paths("files"))
+
+    def hits(self) -> DataFrame:
+        return self.spark.read.schema(HITS).parquet(*self.paths("hits"))
+
+    def add(self, *columns: np.ndarray) -> bool:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.rows += len(columns[0])
+        return self.rows >= self.limit
+
+    def take(self) -> list[np.ndarray] | None:
+        if not self.parts:
+            return None
+        out = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        self.parts, self.rows = [], 0
+        return out
+
+
+def five(x: np.ndarray) -> np.ndarray:
+    """The low 40 bits, five bytes a row."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def loaded(rows: pa.Table, *kinds: tuple) -> list[np.ndarray]:
+    """Columns of packed bytes as arrays; kind 5: of 40-bit numbers."""
+    out = []
+    for c, kind in kinds:
+        raw = np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column(c).chunks for x in chunk), np.uint8 if kind == 5 else kind)
+        if kind == 5:
+            wide = np.zeros((len(raw) // 5, 8), np.uint8)
+            wide[:, :5] = raw.reshape(-1, 5)
+            raw = wide.reshape(-1).view(U)
+        out.append(raw)
+    return out
+
+
+def blocks_of(h: np.ndarray, file: int, row: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a run from one block of a file: each hash once, sorted by bucket, the other places apart."""
+    order = np.argsort(h, kind="stable")
+    h, row, place = h[order], row[order].astype(np.uint32), place[order].astype(np.uint32)
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    flag = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
+    n, m = int(first.sum()), int((~first).sum())
+    yield packed(bucket_of(h[first], buckets), "bucket", NAMES, hashes=five(h[first]), files=np.full(n, file, np.int32), rows=row[first], places=place[first], flags=flag)
+    if m:
+        yield packed(np.full(m, file % buckets), "bucket", NAMES, known_files=np.full(m, file, np.int32), known_rows=row[~first], known_places=place[~first])
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U(16)) % U(buckets)).astype(np.int64)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of one bucket; ``new`` tells the batch's blocks from those of earlier runs."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    batches.clear()
+    is_new = np.asarray(rows["new"])
+    h, *place, flag, known_file, known_row, known_place = loaded(rows.filter(pa.array(is_new)), *KINDS)
+    old, *old_place = loaded(rows.filter(pa.array(~is_new)), *KINDS[:4])
+    del rows
+    order = np.argsort(h, kind="stable")
+    h, place, twin = h[order], [x[order] for x in place], flag[order].copy()
+    if len(h):
+        same = h[1:] == h[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+    out = []
+    if len(old) and len(h):
+        order = np.argsort(old, kind="stable")
+        old, old_place = old[order], [x[order] for x in old_place]
+        twin |= old[np.minimum(np.searchsorted(old, h), len(old) - 1)] == h
+        seen = h[np.minimum(np.searchsorted(h, old), len(h) - 1)] == old
+        out.append([x[seen] for x in old_place])
+    file, row, place = (np.concatenate(x) for x in zip(*out, [x[twin] for x in place], [known_file, known_row, known_place], strict=True))
+    if len(file):
+        yield packed(file, "file", ["rows", "places"], rows=row, places=place)
+
+
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One entry for each hash of a bucket, flagged if it had several."""
+    if not (got := [b for b in batches if b.num_rows]):
+        return
+    rows = pa.Table.from_batches(got)
+    h, file, row, place, flag, *_ = loaded(rows, *KINDS)
+    if not len(h):
+        return
+    order = np.argsort(h, kind="stable")
+    h, file, row, place, flag = h[order], file[order], row[order], place[order], flag[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    many = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
+    yield packed(np.full(first.sum(), rows["bucket"][0].as_py()), "bucket", NAMES, hashes=five(h[first]), files=file[first], rows=row[first], places=place[first], flags=many | flag[first])
+
+
 class Index:
     """Batches of texts, runs and hits in a shared folder; each is written once and never changed."""
 
@@ -212,7 +336,7 @@ class Index:
         new = read(f"{self.folder}/run-{name}").withColumn("new", F.lit(True))
         if old := self.paths("run"):
             new = new.union(read(*old).withColumn("new", F.lit(False)))
-        self._by_bucket(new).mapInArrow(_merge, HITS).write.parquet(f"{self.folder}/hits-{name}")
+        frames.by_bucket(new, self.buckets, _merge, HITS, "hits").write.parquet(f"{self.folder}/hits-{name}")
         self._save([*self.entries, ("files", n, f"files-{name}"), ("run", n, f"run-{name}"), ("hits", n, f"hits-{name}")])
         if len(self.paths("run")) >= self.fanout:
             self.compact()
@@ -224,7 +348,7 @@ class Index:
         """
         old, name = self.paths("run"), f"run-compacted-{uuid.uuid4().hex[:8]}"
         runs = self.spark.read.schema(RUN).parquet(*old)
-        self._by_bucket(runs).mapInArrow(_compacted, RUN).write.parquet(f"{self.folder}/{name}")
+        frames.by_bucket(runs, self.buckets, _compacted, RUN, "run").write.parquet(f"{self.folder}/{name}")
         self._save([*(e for e in self.entries if e[0] != "run"), ("run", self._next() - 1, name)])
         for path in old:
             frames.delete(self.spark, path)

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import frames, kernel, runs, text_files
 
@@ -203,19 +202,19 @@ def kept(index: runs.Index, span: int = SPAN, k: int = GRAM, with_text: bool = F
     names = ", ".join(f"{c} binary" for c in (*(c for c, _ in WINDOWS), *(f"cut_{c}" for c, _ in CUTS)))
     files = index.files()
     windows = text_files.with_files(files, index.hits()).mapInArrow(_windows(index.folder, span, k, index.buckets), f"bucket int, file int, {names}")
-    cuts = windows.repartitionById(index.buckets, F.col("bucket")).mapInArrow(_repeated(span), "file int, " + ", ".join(f"{c} binary" for c, _ in CUTS))
+    cuts = frames.by_bucket(windows, index.buckets, _repeated(span), "file int, " + ", ".join(f"{c} binary" for c, _ in CUTS), "cuts")
     cuts = frames.written(cuts, "cuts")
     return text_files.with_files(files, cuts).mapInArrow(_kept(index.folder, with_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(batches: list[DataFrame], span: int = SPAN, k: int = GRAM, with_text: bool = False, bucket_bytes: int = 2 << 20, folder: str | None = None, fanout: int = 4) -> DataFrame:
+def remove_repeats(batches: list[DataFrame], span: int = SPAN, k: int = GRAM, with_text: bool = False, bucket_bytes: int = 8 << 20, folder: str | None = None, fanout: int = 4) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of (doc_id, text) of all batches, and of those the folder's index has already.
 
     Batches are taken in one after the other; kept is the kept words joined by one space, or without
     with_text the SHA-256 of that. Windows are judged on all of the input.
     """
     spark = batches[0].sparkSession
-    buckets = max(64, sum(frames.parts_for(b, bucket_bytes, 1) for b in batches))
+    buckets = max(64, sum(frames.buckets_for(b, bucket_bytes, 1) for b in batches))
     index = runs.Index(spark, folder or frames.scratch(spark, "index"), buckets, fanout)
     for b in batches:
         index.add(b, anchors(span, k))

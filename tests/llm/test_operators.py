@@ -320,6 +320,46 @@ def test_index_compacts_and_stays_right(spark):
     assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
 
 
+def test_columns_of_any_name_stay(spark, rows):
+    names = ["_id", "_n", "_many", "_mark", "id", "key", "hash", "node", "list", "score"]
+    docs = spark.createDataFrame([(i, t, *range(10)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, " ".join(rows[5][1].split()[:20]), 5)], "item_id long, text string, _id int")
+    for df in (jaccard.representatives(docs), decontaminate.drop_contaminated(docs, bench), toxicity.drop_toxic(docs, toxicity.fit(pa.array(["a"]), np.array([0])), 2.0)):
+        got = df.collect()
+        assert df.columns == docs.columns and got and all(tuple(r)[2:] == tuple(range(10)) for r in got)
+
+
+def test_components(spark):
+    from tessera.llm import graph
+
+    links = spark.createDataFrame([(5, 3), (3, 1), (9, 8), (8, 9), (7, 7), (20, 19), (19, 18), (18, 17), (17, 16)], "a long, b long")
+    assert {(r.node, r.root) for r in graph.components(links).collect()} == {(1, 1), (3, 1), (5, 1), (8, 8), (9, 8), *((i, 16) for i in range(16, 21))}
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_buckets_beyond_one_shuffle_are_worked_off_in_passes(spark, monkeypatch):
+    rows = corpus(50, seed=15)
+    docs = docs_of(spark, rows)
+    runs_of = [lambda: substrings.remove_repeats([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")], with_text=True, fanout=2), lambda: byte_repeats.remove_repeats(docs).drop("kept"), lambda: jaccard.jaccard_groups(docs)]
+    want = [Counter(map(tuple, f().collect())) for f in runs_of]
+    monkeypatch.setattr(frames, "PARTITIONS", 30)
+    assert [Counter(map(tuple, f().collect())) for f in runs_of] == want
+
+
+def test_numbers_of_buckets():
+    class Sized:
+        def __init__(self, size):
+            self.size = size
+
+    size_of, frames.plan_bytes = frames.plan_bytes, lambda df: df.size
+    try:
+        for size in (0, 1 << 20, 1 << 30, 1 << 36, 1 << 40, 100 << 40):
+            n = frames.buckets_for(Sized(size), 1 << 20)
+            assert n >= 64 and -(-size // n) <= 64 << 20 and (n <= 1 << 16 or size > 4 << 40)
+    finally:
+        frames.plan_bytes = size_of
+
+
 def test_suffix_arrays_match_sorting():
     r = random.Random(3)
     for _ in range(60):
