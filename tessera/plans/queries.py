@@ -92,51 +92,51 @@ def recency_old_flag(spark, sf_dir):
 
 
 _HT = """h AS (SELECT doc_id, text, length(text) AS n, sha256(text) AS d, regexp_replace(left(text, 900), '\\n\\z', '') AS a,
-    regexp_replace(regexp_replace(substr(text, greatest(length(text) - 500, 900) + 1), '\\A\\n', ''), '\\n\\z', '') AS b FROM documents WHERE text IS NOT NULL)"""
+    regexp_replace(regexp_replace(substr(text, greatest(length(text) - 500, 900) + 1), '\\A\\n', ''), '\\n\\z', '') AS b FROM documents)"""
 
 
 @query(f"""WITH {_HT} SELECT doc_id, n > 2400 AS compressed, CASE WHEN n > 2400 THEN n END AS original_chars, CASE WHEN n > 2400 THEN greatest(n - length(a) - length(b), 0) END AS omitted_chars,
     sha256(CASE WHEN n > 2400 THEN a || chr(10) || chr(10) || '[tool output compressed: original_chars=' || n || ' omitted_chars=' || greatest(n - length(a) - length(b), 0) || ' line=' || doc_id || ' body_sha256=' || d || ' record_sha256=' || d || ']' || chr(10) || chr(10) || b ELSE text END) AS body_sha256 FROM h""")
 def headtail_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     c = compress.headtail(F.col("text"), F.col("doc_id"), sha256(F.col("text")))
     return d.select("doc_id", c.alias("c")).select("doc_id", "c.compressed", "c.original_chars", "c.omitted_chars", sha256(F.col("c.body")).alias("body_sha256"))
 
 
 @query("""SELECT doc_id, length(text) > 2400 AS compressed, sha256(CASE WHEN length(text) > 2400 THEN '[tool output masked: strategy=mask original_chars=' || length(text) || ' original_lines=' || (length(text) - length(replace(text, chr(10), '')) + 1)
-    || ' omitted_chars=' || length(text) || ' line=' || doc_id || ' body_sha256=' || sha256(text) || ' record_sha256=' || sha256(text) || ']' ELSE text END) AS body_sha256 FROM documents WHERE text IS NOT NULL""")
+    || ' omitted_chars=' || length(text) || ' line=' || doc_id || ' body_sha256=' || sha256(text) || ' record_sha256=' || sha256(text) || ']' ELSE text END) AS body_sha256 FROM documents""")
 def mask_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     c = compress.mask(F.col("text"), F.col("doc_id"), sha256(F.col("text")))
     return d.select("doc_id", c.alias("c")).select("doc_id", "c.compressed", sha256(F.col("c.body")).alias("body_sha256"))
 
 
-@query("""SELECT doc_id, sha256(CASE WHEN length(text) > 2000 THEN left(text, 1100) || chr(10) || '[... omitted ' || (length(text) - 2000) || ' chars ...]' || chr(10) || substr(text, greatest(length(text) - 900, 1100) + 1) ELSE text END) AS body_sha256 FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, sha256(CASE WHEN length(text) > 2000 THEN left(text, 1100) || chr(10) || '[... omitted ' || (length(text) - 2000) || ' chars ...]' || chr(10) || substr(text, greatest(length(text) - 900, 1100) + 1) ELSE text END) AS body_sha256 FROM documents""")
 def judge_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", sha256(compress.truncated(F.col("text"), 2000)).alias("body_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", sha256(compress.truncated(F.col("text"), 2000)).alias("body_sha256"))
 
 
 def _collapse_sql(least: int, head: int, tail: int, source: str, key: str) -> str:
-    return f"""WITH h AS (SELECT {key}, text, length(text) AS n, regexp_replace(left(text, {head}), '\\n\\z', '') AS a, regexp_replace(regexp_replace(substr(text, greatest(length(text) - {tail}, {head}) + 1), '\\A\\n', ''), '\\n\\z', '') AS b FROM {source} WHERE text IS NOT NULL)
+    return f"""WITH h AS (SELECT {key}, text, length(text) AS n, regexp_replace(left(text, {head}), '\\n\\z', '') AS a, regexp_replace(regexp_replace(substr(text, greatest(length(text) - {tail}, {head}) + 1), '\\A\\n', ''), '\\n\\z', '') AS b FROM {source})
     SELECT {key}, n > {least} AS compressed, sha256(CASE WHEN n > {least} THEN a || chr(10) || chr(10) || '[... omitted ' || greatest(n - length(a) - length(b), 0) || ' chars ...]' || chr(10) || chr(10) || b ELSE text END) AS body_sha256 FROM h"""
 
 
 @query(_collapse_sql(2400, 1200, 800, "documents", "doc_id"))
 def tail_collapse(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", compress.collapsed_tail(F.col("text")).alias("c"))
+    d = table(spark, sf_dir, "documents").select("doc_id", compress.collapsed_tail(F.col("text")).alias("c"))
     return d.select("doc_id", "c.compressed", sha256(F.col("c.body")).alias("body_sha256"))
 
 
 @query(_collapse_sql(300, 120, 100, "conversations", "conv_id, turn"))
 def user_collapse(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", compress.collapsed_message(F.col("text"), 300, 120, 100).alias("c"))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", compress.collapsed_message(F.col("text"), 300, 120, 100).alias("c"))
     return d.select("conv_id", "turn", "c.compressed", sha256(F.col("c.body")).alias("body_sha256"))
 
 
 _SPLICE = "replace(text, '. ', '.' || chr(10) || repeat('=', 24) || chr(10) || chr(10) || chr(10) || chr(10) || '  ' || chr(10))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_SPLICE} AS t FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH s AS (SELECT doc_id, coalesce({_SPLICE}, '') AS t FROM documents),
     l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM s),
     k AS (SELECT *, NOT regexp_full_match(x, '{{WS}}*') AS solid FROM l WHERE NOT regexp_full_match(regexp_replace(regexp_replace(x, '^{{WS}}+', ''), '{{WS}}+$', ''), '[=_*-]{{20,}}')),
     g AS (SELECT *, count(*) FILTER (WHERE solid) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM k),
@@ -144,7 +144,7 @@ _SPLICE = "replace(text, '. ', '.' || chr(10) || repeat('=', 24) || chr(10) || c
     SELECT doc_id, sha256(string_agg(CASE WHEN solid THEN x ELSE '' END, chr(10) ORDER BY i)) AS clean_sha256 FROM r WHERE solid OR run <= 2 GROUP BY doc_id""".replace("{{WS}}", "{WS}"))
 def separators_and_blank_runs(spark, sf_dir):
     gap = ".\n" + "=" * 24 + "\n\n\n\n  \n"
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit(". "), F.lit(gap)).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.replace("text", F.lit(". "), F.lit(gap)), F.lit("")).alias("t"))
     return render.with_clean_lines(d, "t").select("doc_id", sha256(F.col("clean")).alias("clean_sha256"))
 
 
@@ -230,9 +230,9 @@ def user_messages(spark, sf_dir):
 
 
 @query("""SELECT doc_id, kind, CASE WHEN kind = 'safety' THEN 'must_keep' WHEN strong OR kind IN ('correction', 'constraint') THEN 'high' ELSE 'normal' END AS priority FROM
-    (SELECT doc_id, """ + _KIND + """ AS kind, regexp_matches(lower(text), '\\b(do not|don''t|never|must|required|preserve|keep)\\b') AS strong FROM documents WHERE text IS NOT NULL)""")
+    (SELECT doc_id, """ + _KIND + """ AS kind, regexp_matches(lower(text), '\\b(do not|don''t|never|must|required|preserve|keep)\\b') AS strong FROM documents)""")
 def intent_of_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("kind", intents.kind(F.col("text")))
+    d = table(spark, sf_dir, "documents").withColumn("kind", intents.kind(F.col("text")))
     return d.select("doc_id", "kind", intents.priority(F.col("kind"), F.col("text")).alias("priority"))
 
 
@@ -412,9 +412,9 @@ def fence_capsules(spark, sf_dir):
     return spans.code_capsules(spans.rehydrated(spans.numbered(_spans(spark, sf_dir)), t))
 
 
-@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(s) AS n_lines, len(s) > 50 AS shortened FROM l""")
+@query("""WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents) SELECT doc_id, len(s) AS n_lines, len(s) > 50 AS shortened FROM l""")
 def write_block(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("b", diff.write_block(F.lit("Write"), F.lit("a.txt"), F.col("text")))
+    d = table(spark, sf_dir, "documents").withColumn("b", diff.write_block(F.lit("Write"), F.lit("a.txt"), F.col("text")))
     return d.select("doc_id", F.regexp_extract("b", r"stats: lines=(\d+) \| input_sha256=[0-9a-f]{64}\z", 1).cast("long").alias("n_lines"), F.col("b").rlike(r"\n\[\.\.\. \d+ lines omitted \.\.\.\]\n").alias("shortened"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import intents, literals, text
 from tessera.functions.text import RENDER_WS
-from tessera.operators import compress, diff, dspc, judging, ledger, prompts, ranking, render, scoring, spans, stats, summary, tools
+from tessera.operators import compress, diff, dspc, judging, ledger, prompts, ranking, render, reports, scoring, spans, stats, summary, tools
 from tessera.plans import compact
 from tessera.sources import artifacts, sse, transcripts
 from tessera.streaming import sse_stream
@@ -370,3 +370,14 @@ def test_blank_runs_match_a_loop(spark, text):
         if run <= 2:
             out.append("" if blank else line)
     assert value(spark, render.short_blank_runs(F.col("x")), x=text) == "\n".join(out)
+
+
+def test_judge_schema_and_report_sections(spark):
+    schema = reports.judge_schema(["a", "b"], "r1", {"state_sha256": "x"})
+    assert schema["properties"]["dimensions"]["minItems"] == 2 and schema["properties"]["candidate_hashes"]["properties"]["state_sha256"]["enum"] == ["x"]
+    assert schema["properties"]["total_level_score"]["maximum"] == 4 and "enum" not in schema["properties"]["candidate_hashes"]["properties"]["handoff_md_sha256"]
+    t = spark.createDataFrame([("b", 1500), ("a|c", 2)], "k string, n long")
+    one = reports.table(t, {"K": F.col("k"), "N": reports.thousands(F.col("n"))}, [F.col("n").desc()])
+    assert reports.sections([("## X", one)]).first().text == "## X\n\n| K | N |\n| --- | --- |\n| b | 1,500 |\n| a\\|c | 2 |"
+    with pytest.raises(ValueError):
+        reports.lane_suite(t, t, "other")
