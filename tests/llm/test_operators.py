@@ -80,19 +80,19 @@ def thue_morse(n):
     return a, b
 
 
-@pytest.mark.parametrize("n", [3, 5, 6, 10, 12])
-def test_no_hash_takes_two_words_for_one(spark, n):
-    a, b = thue_morse(n)
-    rows = [(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, a), (4, b)]
-    texts = next(kernel.slices(pa.array([a, b])))
-    assert len(set(kernel.bytes_hash(texts.data, texts.offsets[:-1], texts.offsets[1:]).tolist())) == 2
+def test_no_hash_takes_two_words_for_one(spark):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer, rows = Tokenizer.from_file(queries.tokenizer_path()), []
+    for n in (3, 5, 6, 10, 12):
+        a, b = thue_morse(n)
+        rows += [(10 * n + 1, f"{a} one two three four"), (10 * n + 2, f"{b} one two three four"), (10 * n + 3, a), (10 * n + 4, b)]
+        texts = next(kernel.slices(pa.array([a, b])))
+        assert len(set(kernel.bytes_hash(texts.data, texts.offsets[:-1], texts.offsets[1:]).tolist())) == 2
     ids, first = token_files.Encoder(queries.tokenizer_path()).encode(next(kernel.slices(pa.array([t for _, t in rows]))))
-    assert [ids[first[i] : first[i + 1]].tolist() for i in range(4)] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in rows]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs_of(spark, rows), 4, 85).collect()}
-    assert got == brute_groups(rows, 4, 85)
+    assert [ids[first[i] : first[i + 1]].tolist() for i in range(len(rows))] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in rows]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs_of(spark, rows), 4, 85).collect()} == brute_groups(rows, 4, 85)
+    a, b = thue_morse(10)
     kept = substrings.remove_repeats([docs_of(spark, [(1, " ".join([a] * 40)), (2, " ".join([b] * 3 + [a] * 30 + [b] * 3))])], with_text=True).collect()
     assert {r.doc_id: r.n_removed for r in kept} == {1: 40, 2: 0}
 
@@ -218,6 +218,28 @@ def brute_groups(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_jaccard_joins_a_large_group_of_near_copies(spark, monkeypatch):
+    """Two thousand edits of one text, and others that share half of it; blocks are so small that lists are dealt to many."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(w if r.random() > 0.002 else word() for w in base)) for i in range(2000)]
+    rows += [(3000 + i, " ".join([*base[:60], *(word() for _ in range(60))])) for i in range(150)]
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_groups(docs_of(spark, rows), 4, 85).collect()}
+    sets = {i: frozenset(tuple(t.split()[k : k + 4]) for k in range(117)) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    group = {0}
+    todo = [0]
+    while todo:
+        x = sets[todo.pop()]
+        new = [i for i, s in sets.items() if i not in group and near(x, s)]
+        group.update(new)
+        todo += new[:40]
+    assert len(group) > 1500 and {i for i, c in got.items() if c == 0} >= group
+    assert all(got[i] == i for i in range(3000, 3150))
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
 def test_jaccard_matches_brute_force(spark, n, percent):
     rows = corpus(120, seed=n)
