@@ -83,6 +83,7 @@ def _edges(sorted_numbers: np.ndarray) -> tuple[np.ndarray, list[int]]:
 def _asked(folder: str, span: int, k: int, buckets: int):
     """Rows of a bucket each: distinct anchors of one block, and which of them several of its documents have."""
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, name, _ in text_files.each_file(batches):
             for number, _, ids, null, texts in text_files.blocks(folder, name):
@@ -105,6 +106,7 @@ ASKED = "bucket int, file int, block int, hashes binary, several binary"
 TOLD = "file int, block int, bucket int, shared binary"
 
 
+@kernel.released
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row of a bucket a bit for each anchor: it stands elsewhere too."""
     batches = [b for b in batches if b.num_rows]
@@ -163,6 +165,7 @@ def _contexts(folder: str, span: int, k: int, buckets: int):
     names = [c for c, _ in CONTEXTS]
     cut_names = [f"cut_{c}" for c, _ in CUTS]
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, name, side in text_files.each_file(batches):
             told = {}
@@ -305,6 +308,7 @@ def decided(anchor: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.ndar
 
 
 def _decide(span: int):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
@@ -332,6 +336,7 @@ def _decide(span: int):
 
 
 def _kept(folder: str):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, name, side in text_files.each_file(batches):
             row, a, b = runs.loaded(side, *CUTS)

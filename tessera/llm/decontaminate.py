@@ -49,6 +49,7 @@ def _fingerprints(span: int, k: int, short: list[int], bitmap):
                 h, start = h[whole], start[whole]
             yield n, True, start, h
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else frames.bits(bitmap)
         for batch in batches:
@@ -97,6 +98,7 @@ def _short_lengths(items: DataFrame, span: int) -> list[int]:
     return sorted(r.n for r in counted.distinct().collect())
 
 
+@kernel.released
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in kernel.slices(kernel.column(batch, "text")):

@@ -122,6 +122,7 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _infos(n: int):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = kernel.column(batch, "doc_id")
@@ -178,6 +179,7 @@ def _index(n: int, plan: list[Band], buckets: int):
     tops = np.array([b.high for b in plan])
     names = [c for c, _ in INDEX]
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = runs.Buffer(FLUSH)
 
@@ -217,6 +219,7 @@ def _index(n: int, plan: list[Band], buckets: int):
     return run
 
 
+@kernel.released
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(list, key): sets of the partition's bucket whose signature others have too."""
     batches = [b for b in batches if b.num_rows]
@@ -250,6 +253,7 @@ def _shingles(text: bytes, n: int) -> set[tuple[bytes, ...]]:
 def _verify(n: int, percent: int):
     """Pairs of (a, b) whose texts link; rows of one a stand side by side."""
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, left = kernel.column(batch, "a").to_numpy(), kernel.column(batch, "text_a")
@@ -304,6 +308,7 @@ def _halved(x: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sketches(n: int):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = kernel.column(batch, "doc_id")
@@ -344,6 +349,7 @@ def _possible(label: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: lis
 def _rest(percent: int):
     """Candidates of lists, from rows (list, lo, hi, side, node, label, size, cells) sorted by the first three."""
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 

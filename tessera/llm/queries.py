@@ -15,7 +15,12 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 TOXIC = 0.3
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts of some kilobytes make some megabytes, which both sides hold several times.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -119,6 +119,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(16)) % U(buckets)).astype(np.int64)
 
 
+@kernel.released
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hits of one bucket; ``new`` tells the batch's blocks from those of earlier runs."""
     batches = [b for b in batches if b.num_rows]
@@ -148,6 +149,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(file, "file", ["rows", "places"], rows=row, places=place)
 
 
+@kernel.released
 def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each hash of a bucket, flagged if it had several."""
     if not (got := [b for b in batches if b.num_rows]):
@@ -243,6 +245,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(16)) % U(buckets)).astype(np.int64)
 
 
+@kernel.released
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hits of one bucket; ``new`` tells the batch's blocks from those of earlier runs."""
     batches = [b for b in batches if b.num_rows]
@@ -272,6 +275,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(file, "file", ["rows", "places"], rows=row, places=place)
 
 
+@kernel.released
 def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each hash of a bucket, flagged if it had several."""
     if not (got := [b for b in batches if b.num_rows]):

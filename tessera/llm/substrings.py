@@ -47,6 +47,7 @@ def anchors(span: int, k: int):
     """For runs.Index.add: blocks of a run from files."""
 
     def of(folder: str, buckets: int):
+        @kernel.released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for file, name, _ in text_files.each_file(batches):
                 for _, first, _, _, texts in text_files.blocks(folder, name):
@@ -92,6 +93,7 @@ def _windows(folder: str, span: int, k: int, buckets: int):
             a, b, c = spans(row[~first], start[~first], span)
             yield whole(runs.packed(np.full(len(a), file % buckets), "bucket", cut_names, cut_rows=a.astype(np.uint32), cut_starts=b.astype(np.uint32), cut_ends=c.astype(np.uint32)), file)
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, name, side in text_files.each_file(batches):
             hit_row, hit_place = runs.loaded(side, ("rows", np.uint32), ("places", np.uint32))
@@ -128,6 +130,7 @@ def spans(row: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np
 def _repeated(span: int):
     """Spans of the windows of one bucket that occur more than once."""
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
@@ -159,6 +162,7 @@ def _repeated(span: int):
 
 
 def _kept(folder: str, with_text: bool):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, name, side in text_files.each_file(batches):
             row, a, b = runs.loaded(side, *CUTS)

@@ -81,7 +81,7 @@ class Encoder:
     whose hash another piece has are given to the tokenizer anew. Forgetting pieces changes no id.
     """
 
-    def __init__(self, path: str, remember: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 400_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -210,6 +210,7 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _encode(tokenizer: str, end_id: int, level: int):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
@@ -241,6 +242,7 @@ def _skippable(magic: int, body: bytes) -> bytes:
 
 
 def _write(folder: str):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyarrow import fs
@@ -335,6 +337,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
 
 def _read(folder: str, wanted: list | None, digest: bool):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 

@@ -84,6 +84,7 @@ def bag(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, kernel.Words, np.n
     return d, count, words, one[w]
 
 
+@kernel.released
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each row its distinct words, one a line, and their counts."""
     for batch in batches:
@@ -211,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def _score(model):
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.drop_columns(["text"])
@@ -234,6 +236,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     keep = docs.schema
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
+    @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [cast.value.scores(texts) for texts in kernel.slices(kernel.column(batch, "text"))]
