@@ -51,6 +51,30 @@ def results(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("after_tokens") / F.col("before_tokens"), 9))
 
 
+def result_rows(before: DataFrame, after: DataFrame, messages: DataFrame, selected: DataFrame, carried: DataFrame, items: DataFrame, summaries: DataFrame, renderer: str = "onto") -> DataFrame:
+    """A row of metrics for each session's compaction.
+
+    before, after: entries and the compacted lines; messages, selected: the ledger and what of it fits; carried: messages of
+    earlier rounds; items: (session_id, kind, anchor, spans); summaries: (session_id, summary_blocks, ...) as summary.SCHEMA.
+    Sessions without messages, items or summaries have zeros there.
+    """
+    from tessera.operators import handoff, scoring, spans, stats
+
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
+    taken = selected.groupBy("session_id").agg(F.count(F.lit(1)).alias("handoff_user_message_selected_count"), F.sum("rendered_tokens").alias("handoff_user_message_token_estimate"), F.sum("rendered_lines").alias("handoff_user_message_line_count"))
+    sizes = {"summary_blocks": "summary_blocks_count", "rules_and_invariants": "rules_and_invariants_count", "plans_and_task_state": "plans_and_task_state_count", "promises_made": "promises_made_count"}
+    told = summaries.select("session_id", *(F.greatest(F.size(a), F.lit(0)).alias(n) for a, n in sizes.items()))
+    cited = scoring.span_metrics(spans.numbered(items)).withColumnsRenamed({"spans": "rehydrated_span_count", "invalid": "invalid_span_count", "unique_lines": "rehydrated_unique_lines"})
+    dense = scoring.density(scoring.density_counts(items)).withColumnsRenamed({"pass": "density_pass", "score": "density_score"}).drop("shortfalls", "promises")
+    out = results(before, after).join(stats.transcript_stats(before).select("session_id", F.col("citable").alias("citable_records"), F.col("bytes").alias("before_bytes")), "session_id")
+    out = out.join(after.groupBy("session_id").agg(F.sum(F.octet_length("raw") + 1).cast("long").alias("after_bytes")), "session_id")
+    for part in (handoff.message_metrics(messages), taken, count(carried, "carried_user_message_count"), told, cited, dense):
+        out = out.join(part, "session_id", "left")
+    out = out.fillna(0).withColumn("non_citable_records", F.col("before_records") - F.col("citable_records"))
+    out = out.withColumn("handoff_user_message_omitted_older_count", F.col("user_message_count") + F.col("carried_user_message_count") - F.col("handoff_user_message_selected_count"))
+    return out.withColumn("renderer", F.lit(renderer)).withColumn("density_pass", F.coalesce("density_pass", F.lit(False)))
+
+
 def verified(runs: DataFrame, spans: int = 30) -> DataFrame:
     """Recorded runs (run_id, ok, live, response, judge_pass, spans) that fail a check, with the first reason."""
     reason = F.when(~F.coalesce("ok", F.lit(False)), "not ok").when(~F.coalesce("live", F.lit(False)), "not live").when(F.coalesce(F.col("response") == "", F.lit(True)), "no response")

@@ -250,12 +250,6 @@ def ledger_selection(spark, sf_dir):
     return ledger.selected(m, most=3, most_tokens=260, most_lines=0).select("session_id", F.col("line").cast("long").alias("line"))
 
 
-@query()
-def ledger_rendered(spark, sf_dir):
-    m = ledger.messages(entries(spark, sf_dir)).withColumn("ord", F.col("line"))
-    return ledger.intent_events(ledger.selected(m, most=2, most_tokens=400, most_lines=40))
-
-
 @query(f"""WITH {E}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line DESC) AS k FROM e) SELECT session_id, line, hash, role FROM r WHERE k <= 3""")
 def latest_tail(spark, sf_dir):
     return stats.latest(turns(spark, sf_dir), 3).select("session_id", "line", "hash", "role")
@@ -406,12 +400,6 @@ def line_diff(spark, sf_dir):
     return pairs.select("session_id", "line", diff.counted(F.col("pairs"), "add").alias("added"), diff.counted(F.col("pairs"), "remove").alias("removed"), sha256(diff.diff_body(F.col("pairs"), F.lit("turn.txt"))).alias("body_sha256"))
 
 
-@query()
-def fence_capsules(spark, sf_dir):
-    t = turns(spark, sf_dir).withColumn("text", F.concat(F.lit("before\n```py\n"), F.col("text"), F.lit("\n```\nafter")))
-    return spans.code_capsules(spans.rehydrated(spans.numbered(_spans(spark, sf_dir)), t))
-
-
 @query("""WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS s FROM documents) SELECT doc_id, len(s) AS n_lines, len(s) > 50 AS shortened FROM l""")
 def write_block(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("b", diff.write_block(F.lit("Write"), F.lit("a.txt"), F.col("text")))

@@ -362,3 +362,23 @@ def renderer_report(spark, sf_dir):
     r = F.col("record")
     e = _sentinel(spark, sf_dir).withColumns({"kind": transcripts.kind(r), "type": F.when(r.isNull(), "unparsed").otherwise(transcripts.get(r, "$.type")), "role": F.coalesce(transcripts.get(r, "$.message.role"), F.lit("(none)")), "compressed": F.col("stats.compressed"), "original_chars": F.col("stats.original_chars"), "omitted_chars": F.col("stats.omitted_chars")})
     return reports.renderer_report(stats.measured(e, "raw", "body", "rendered"), transcripts.blocks(records(spark, sf_dir)))
+
+
+@query(f"""WITH {R}, {_XML}, mm AS (SELECT session_id, count(*) AS c, sum(length(text)) AS total, max(length(text)) AS longest, sum(ceil(length(rendered) / 4.0)) AS t FROM v GROUP BY session_id),
+    s AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE k < 6) AS kept, count(*) FILTER (WHERE line % 2 = 1) AS sp, count(*) FILTER (WHERE k <> 7) AS citable FROM r GROUP BY session_id)
+    SELECT s.session_id, n AS before_records, least(4, kept) + 2 AS after_records, citable AS citable_records, n - citable AS non_citable_records, coalesce(c, 0) AS user_message_count, CAST(coalesce(total, 0) AS BIGINT) AS user_message_total_chars, coalesce(longest, 0) AS user_message_max_chars,
+        coalesce(c, 0) AS handoff_user_message_selected_count, CAST(coalesce(t, 0) AS BIGINT) AS handoff_user_message_token_estimate, CAST(0 AS BIGINT) AS handoff_user_message_omitted_older_count, sp AS rehydrated_span_count, CAST(0 AS BIGINT) AS invalid_span_count, n AS rehydrated_unique_lines, sp AS evidence_capsules, 1 AS rules_and_invariants_count,
+        'onto' AS renderer, false AS density_pass FROM s LEFT JOIN mm ON mm.session_id = s.session_id""")
+def result_rows(spark, sf_dir):
+    """The metrics of whole compactions."""
+    from tessera.plans import compact
+
+    e = tools.with_evidence_text(records(spark, sf_dir))
+    heads = e.groupBy("session_id").agg(F.lit("done").alias("summary"))
+    m = ledger.messages(e).withColumn("ord", F.col("line"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
+    items = e.withColumn("n", n).where("line % 2 = 1").select("session_id", F.col("line").alias("anchor"), F.lit("blocks").alias("kind"), F.array(F.struct(F.col("line").cast("int").alias("start_line"), F.least(F.col("n"), F.col("line") + 1).cast("int").alias("end_line"))).alias("spans"))
+    one, none = F.array(F.struct(F.lit("r").alias("rule"))), F.lit(None).cast("array<string>")
+    summaries = heads.select("session_id", none.alias("summary_blocks"), one.alias("rules_and_invariants"), none.alias("plans_and_task_state"), none.alias("promises_made"))
+    out = compact.result_rows(e, compact.compacted(e, heads, 4), m, ledger.selected(m), m.where("line < 0"), items, summaries)
+    return out.select("session_id", "before_records", "after_records", "citable_records", "non_citable_records", "user_message_count", "user_message_total_chars", "user_message_max_chars", "handoff_user_message_selected_count", "handoff_user_message_token_estimate", "handoff_user_message_omitted_older_count", "rehydrated_span_count", "invalid_span_count", "rehydrated_unique_lines", "evidence_capsules", "rules_and_invariants_count", "renderer", "density_pass")
