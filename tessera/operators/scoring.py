@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +127,52 @@ def deterministic(runs: DataFrame) -> DataFrame:
     return out.withColumn("gate_pass", gate)
 
 
-def _listed(x: Column) -> Column:
-    return F.coalesce(F.exists(x, lambda v: F.trim(v) != ""), F.lit(False))
+#: Points for each sign of readiness.
+PICKUP_POINTS = {
+    "current_task": 0.7, "next_action": 0.7, "cwd": 0.3, "git_branch": 0.2, "pickup_rendered": 0.4, "command_extracted": 0.8, "command_rendered": 0.4, "action_concrete": 1.2, "active_files": 0.7, "verification": 0.7, "caveats_present": 0.3,
+    "tail_rendered": 0.5, "tail_count": 0.5, "tail_final": 0.3, "tail_policy": 0.2, "capsules": 0.5, "blocks": 0.3, "active_state": 0.2, "stale_run": 1.0, "pickup_first": 0.4, "tail_first": 0.4, "ok": 0.2,
+}
+#: Words of actions that need a command, of runs, of verification; marks of a finished run.
+ACTION_WORDS, RUN_WORDS, CHECK_WORDS = "run|execute|rerun|re-run|test|verify|build|command", "run|execute|rerun|re-run", "test|tests|tested|verify|verified|lint|check|pass|passed"
+FINISHED = r"(?i)completed \(exit code 0\)|<status>completed</status>|\"status\"\s*:\s*\"completed\""
+FINISHED_IN_TAIL = r"(?i)completed \(exit code 0\)"
+PICKUP, TAIL, USERS = "## Pickup State", "## Latest Transcript Tail", "## User Messages"
+TAIL_RECORDS, ACTION_CHARS = 8, 12
+
+
+def _place() -> dict[str, Column]:
+    """Whether folder and branch are those of the source, where it tells them."""
+    same = lambda own, source: F.when(F.col(source) != "", F.col(own) == F.col(source)).otherwise(F.col(own).isNotNull())
+    return {"cwd": same("cwd", "source_cwd"), "git_branch": same("git_branch", "source_branch")}
+
+
+def _action(full: Callable[[str], Column]) -> dict[str, Column]:
+    """An action that asks for a command has one, which the handoff shows; another is told in some words."""
+    asks = F.lower("next_action").rlike(word(ACTION_WORDS))
+    asks = F.coalesce(asks, F.lit(False))
+    return {
+        "current_task": full("current_task"), "next_action": full("next_action"), "action_concrete": ~asks & (F.length(F.trim("next_action")) >= ACTION_CHARS),
+        "command_extracted": asks & is_command(F.col("next_command")), "command_rendered": asks & full("next_command") & F.contains("handoff", "next_command"),
+    }
+
+
+def _history(listed: Callable[[str], Column]) -> dict[str, Column]:
+    """A finished run that is asked for again is explained; verification that the handoff speaks of is listed."""
+    asked = F.concat_ws("\n", "current_task", "next_action", "objective", "next_step").rlike("(?i)" + word(RUN_WORDS))
+    explained = listed("known_caveats") | (F.coalesce("conflicts", F.lit(0)) > 0) | F.array_join("tail_texts", "\n").rlike(FINISHED_IN_TAIL)
+    told = F.col("handoff").rlike("(?i)" + word(CHECK_WORDS))
+    return {"stale_run": ~(F.col("handoff").rlike(FINISHED) & asked) | explained, "verification": listed("tests_run") | ~told, "caveats_present": F.col("known_caveats").isNotNull() & F.col("conflicts").isNotNull(), "active_files": listed("active_files")}
+
+
+def _document(full: Callable[[str], Column]) -> dict[str, Column]:
+    """Pickup state and tail stand in the handoff, before the messages of users."""
+    at = lambda s: F.instr("handoff", s)
+    early = lambda s: (at(s) > 0) & ((at(USERS) == 0) | (at(s) < at(USERS)))
+    last = F.trim(F.get("tail_texts", F.size("tail_texts") - 1))
+    return {
+        "pickup_rendered": at(PICKUP) > 0, "pickup_first": early(PICKUP), "tail_rendered": at(TAIL) > 0, "tail_first": early(TAIL), "tail_policy": full("tail_policy"), "tail_final": last != "",
+        "tail_count": F.size("tail_texts") >= F.least(F.lit(TAIL_RECORDS), F.coalesce("lines_seen", F.lit(TAIL_RECORDS))),
+    }
 
 
 def pickup(states: DataFrame) -> DataFrame:
@@ -134,32 +180,13 @@ def pickup(states: DataFrame) -> DataFrame:
 
     Needs, by run: current_task, next_action, next_command, cwd, git_branch, source_cwd, source_branch,
     active_files, tests_run, known_caveats, conflicts (count, null if absent), objective, next_step, handoff,
-    tail_texts, tail_policy, lines_seen, capsules, blocks, ok.
+    tail_texts, tail_policy, lines_seen, capsules, blocks, ok. What a check can't tell counts as missed.
     """
-    c = F.col
-    full = lambda n: F.coalesce(F.trim(c(n)) != "", F.lit(False))
-    at = lambda s: F.instr("handoff", s)
-    verbs = F.coalesce(F.lower("next_action").rlike(word("run|execute|rerun|re-run|test|verify|build|command")), F.lit(False))
-    done = F.col("handoff").rlike(r"(?i)completed \(exit code 0\)|<status>completed</status>|\"status\"\s*:\s*\"completed\"")
-    asks = F.concat_ws("\n", "current_task", "next_action", "objective", "next_step").rlike("(?i)" + word("run|execute|rerun|re-run"))
-    stale = done & asks
-    resolved = _listed(c("known_caveats")) | (F.coalesce(c("conflicts"), F.lit(0)) > 0) | F.array_join("tail_texts", "\n").rlike(r"(?i)completed \(exit code 0\)")
-    verified = c("handoff").rlike("(?i)" + word("test|tests|tested|verify|verified|lint|check|pass|passed"))
-    before_users = lambda s: (at(s) > 0) & ((at("## User Messages") == 0) | (at(s) < at("## User Messages")))
-    checks = [
-        ("current_task", full("current_task"), 0.7), ("next_action", full("next_action"), 0.7),
-        ("cwd", F.when(c("source_cwd") != "", c("cwd") == c("source_cwd")).otherwise(c("cwd").isNotNull()), 0.3),
-        ("git_branch", F.when(c("source_branch") != "", c("git_branch") == c("source_branch")).otherwise(c("git_branch").isNotNull()), 0.2),
-        ("pickup_rendered", at("## Pickup State") > 0, 0.4),
-        ("command_extracted", verbs & is_command(c("next_command")), 0.8), ("command_rendered", verbs & full("next_command") & F.contains("handoff", "next_command"), 0.4),
-        ("action_concrete", ~verbs & (F.length(F.trim("next_action")) >= 12), 1.2), ("active_files", _listed(c("active_files")), 0.7),
-        ("verification", _listed(c("tests_run")) | ~verified, 0.7), ("caveats_present", c("known_caveats").isNotNull() & c("conflicts").isNotNull(), 0.3),
-        ("tail_rendered", at("## Latest Transcript Tail") > 0, 0.5), ("tail_count", F.size("tail_texts") >= F.least(F.lit(8), F.coalesce("lines_seen", F.lit(8))), 0.5),
-        ("tail_final", F.coalesce(F.trim(F.get("tail_texts", F.size("tail_texts") - 1)) != "", F.lit(False)), 0.3), ("tail_policy", full("tail_policy"), 0.2),
-        ("capsules", c("capsules") > 0, 0.5), ("blocks", c("blocks") > 0, 0.3), ("active_state", full("objective") & full("next_step"), 0.2),
-        ("stale_run", ~stale | resolved, 1.0), ("pickup_first", before_users("## Pickup State"), 0.4), ("tail_first", before_users("## Latest Transcript Tail"), 0.4), ("ok", c("ok"), 0.2),
-    ]
-    rows = F.array(*(F.struct(F.lit(n).alias("check"), F.when(F.coalesce(x, F.lit(False)), F.lit(w)).otherwise(0.0).alias("points")) for n, x, w in checks))
+    full = lambda n: F.trim(F.col(n)) != ""
+    listed = lambda n: F.coalesce(F.exists(F.col(n), lambda v: F.trim(v) != ""), F.lit(False))
+    state = {"capsules": F.col("capsules") > 0, "blocks": F.col("blocks") > 0, "active_state": full("objective") & full("next_step"), "ok": F.col("ok")}
+    met = _place() | _action(full) | _history(listed) | _document(full) | state
+    rows = F.array(*(F.struct(F.lit(n).alias("check"), F.when(F.coalesce(met[n], F.lit(False)), F.lit(p)).otherwise(0.0).alias("points")) for n, p in PICKUP_POINTS.items()))
     total = F.aggregate("checks", F.lit(0.0), lambda s, x: s + x["points"])
     return states.withColumn("checks", rows).withColumn("score", half_up(F.greatest(F.lit(0.0), F.least(F.lit(10.0), total)), 1))
 
