@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and gives rows with
 the columns of ``documents``; the last gives the token index. ``run`` writes each stage's rows to the
 shared folder and reads them again for the next.
+
+Defined cases, of all stages: an empty table gives no rows; columns of any name stay; null and empty texts
+count as texts without words or bytes. Each stage says what it does with null doc_ids and repeated rows.
 """
 
 from __future__ import annotations
@@ -17,27 +20,42 @@ REJECT = queries.TOXIC
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go, by text alone: null doc_ids and repeated rows are judged like others.
+
+    Without labels of both classes all rows have one score: the share of toxic labels.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, queries.table(spark, sf_dir, "labels")), REJECT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id. Null doc_ids stay."""
+    """One document of each group of near copies stays: the one with the least doc_id.
+
+    Rows with null doc_id, and those without words, all stay; of rows with one doc_id the one of least text does.
+    """
     return jaccard.representatives(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go, by the contamination rule."""
+    """Documents with benchmark passages go, by the contamination rule; null doc_ids and repeated rows are judged like others.
+
+    Benchmark rows with null item_id or without words forbid nothing.
+    """
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to tempered source weights, in a global random order."""
+    """Documents repeated to tempered source weights, in a global random order.
+
+    Null is a source of its own; rows with one doc_id, or with none, have equally many copies within their source.
+    """
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left; gives each document's place in them."""
+    """Token files of what is left, in ascending doc_id order; gives each document's place in them.
+
+    Copies stand side by side, ordered by their ids; null doc_ids come first; no rows give no file.
+    """
     folder = frames.scratch(spark, "tokens")
     token_files.write_tokens(docs, folder, queries.tokenizer_path(), queries.END_ID)
     return token_files.read_tokens(spark, folder, digest=True)
