@@ -289,6 +289,7 @@ def test_toxicity_learns_and_holds_out(spark):
     score = lambda t: float(model.scores(next(kernel.slices(pa.array([t]))))[0])
     base = " ".join(plain[:38])
     assert score(f"{base} grumblockk snarfwiit") > score(base)
+    assert all(score(f"{base} {w}") > score(base) for w in ("grumbl0ck", "gr0mblock", "snarfw1t", "5narfwit"))
     kept = toxicity.drop_toxic(docs, model, 0.5)
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
