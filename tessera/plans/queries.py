@@ -182,6 +182,10 @@ _SEG = """l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS x,
                + 0.1 * (1 + exp(-pow(seg - n / 2, 2) / (2 * pow(greatest(n * 0.25::DOUBLE, 1), 2)))), 9) AS alpha FROM sc)"""
 
 
+#: The same, with white space as the queries' SQL writes it, for other sources of texts.
+SENTENCES = _SEG.replace("{WS}", WS)
+
+
 def _long(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.length("text") > 2400).select(F.col("doc_id").alias("key"), "text")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256, tokens
 from tessera.operators import compress, handoff, ledger, render, reports, spans, stats, tools
-from tessera.plans.queries import query, table
+from tessera.plans.queries import SENTENCES, query, table
 from tessera.sources import artifacts, folders, transcripts
 
 PREFIX = "/w"
@@ -382,3 +382,22 @@ def result_rows(spark, sf_dir):
     summaries = heads.select("session_id", none.alias("summary_blocks"), one.alias("rules_and_invariants"), none.alias("plans_and_task_state"), none.alias("promises_made"))
     out = compact.result_rows(e, compact.compacted(e, heads, 4), m, ledger.selected(m), m.where("line < 0"), items, summaries)
     return out.select("session_id", "before_records", "after_records", "citable_records", "non_citable_records", "user_message_count", "user_message_total_chars", "user_message_max_chars", "handoff_user_message_selected_count", "handoff_user_message_token_estimate", "handoff_user_message_omitted_older_count", "rehydrated_span_count", "invalid_span_count", "rehydrated_unique_lines", "evidence_capsules", "rules_and_invariants_count", "renderer", "density_pass")
+
+
+_SOURCE = SENTENCES.replace("doc_id AS key", "key").replace("FROM documents WHERE length(text) > 2400", "FROM src WHERE length(text) > 200")
+
+
+@query(f"""WITH RECURSIVE {R}, o AS (SELECT *, {_TRIM("prompt")} AS t FROM r WHERE line <= n - 2 AND k = 3), src AS (SELECT session_id || ':' || line AS key, t AS text FROM o), {_SOURCE},
+    rr AS (SELECT key, seg, s, n, kept1, length(s) + 1 AS cost, row_number() OVER (PARTITION BY key ORDER BY alpha DESC, seg) AS i FROM al WHERE rank1 <= kept1 AND n > 1),
+    ww AS (SELECT key, seg, s, n, kept1, i, cost AS used, true AS take FROM rr WHERE i = 1
+           UNION ALL SELECT rr.key, rr.seg, rr.s, rr.n, rr.kept1, rr.i, CASE WHEN ww.used + rr.cost <= 150 THEN ww.used + rr.cost ELSE ww.used END, ww.used + rr.cost <= 150 FROM ww JOIN rr ON rr.key = ww.key AND rr.i = ww.i + 1),
+    gg AS (SELECT *, coalesce(lag(seg) OVER (PARTITION BY key ORDER BY seg), -1) AS before FROM ww WHERE take),
+    kk AS (SELECT key, any_value(n) AS n, any_value(kept1) AS kept1, count(*) AS many, string_agg(CASE WHEN seg > before + 1 THEN '[...]' || chr(10) ELSE '' END || s, chr(10) ORDER BY seg) || CASE WHEN max(seg) < any_value(n) - 1 THEN chr(10) || '[...]' ELSE '' END AS x FROM gg GROUP BY key),
+    b AS (SELECT session_id, line, CASE WHEN length(t) > 200 THEN '[tool output compressed: strategy=dspc original_chars=' || length(t) || ' omitted_chars=' || greatest(length(t) - length(x), 0) || ' line=' || line || ' body_sha256=' || sha256(t) || ' record_sha256=' || hash
+        || ' stage1_kept=' || kept1 || '/' || kk.n || ' stage2_kept=' || many || ']' || chr(10) || chr(10) || x ELSE t END AS body FROM o LEFT JOIN kk ON kk.key = session_id || ':' || line)
+    SELECT session_id, line, sha256('@@RECORD line=' || lpad(line::VARCHAR, 6, '0') || ' type=user role=user chars=' || length(body) || chr(10) || body || chr(10) || '@@END_RECORD line=' || lpad(line::VARCHAR, 6, '0')) AS rendered_sha256 FROM b""")
+def render_dspc(spark, sf_dir):
+    """Stale tool outputs as the sentinel renderer shows them with sentence selection."""
+    out = render.rendered(records(spark, sf_dir), "sentinel", after=2, strategy="dspc", least=200, head=100, tail=50).where("old")
+    out = out.where(F.coalesce(transcripts.is_tool_output(F.col("record")), F.lit(False)))
+    return out.select("session_id", "line", sha256(F.col("rendered")).alias("rendered_sha256"))
