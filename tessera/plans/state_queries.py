@@ -17,10 +17,11 @@ from tessera.sources import artifacts, folders, sse
 @query(f"""WITH {E} SELECT session_id, line, '&lt;a b=&quot;' || replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped, true AS round_trip, 'last' AS attribute, 'x&y' AS other_attribute,
     replace(replace(text, '|', '\\|'), chr(10), ' ') || '\\|x' AS cell, regexp_replace(text, '[ \\t]+(\\n|\\z)', '\\1', 'g') AS code, regexp_replace(replace(left(text, 20), '|', '/'), '{{WS}}+', '_', 'g') AS field, line AS number, '``````' AS fence,
     sha256('{{"text":' || {_J("text")} || '}}') AS fingerprint, false AS is_uuid, true AS is_sha, line % 3 > 0 AS is_range, floor(line / 3.0 * 10 + 0.5) / 10 AS rounded, CAST(line AS BIGINT) AS first_line, list_slice(list_distinct_ordered, 1, 3) AS firsts
-    FROM (SELECT *, CASE WHEN line % 2 = 0 THEN ['a', 'b', 'c d'] ELSE ['a', 'b'] END AS list_distinct_ordered FROM e)""".replace("{{WS}}", "{WS}"))
+    FROM (SELECT *, CASE WHEN line % 2 = 0 THEN ['a', 'b', 'c d'] ELSE ['a', 'b'] END AS list_distinct_ordered FROM (SELECT session_id, line, coalesce(text, '') AS text, coalesce(hash, sha256('')) AS hash FROM e))""".replace("{{WS}}", "{WS}"))
 def scalar_functions(spark, sf_dir):
     """Escapes, cells, code, fences, numbers, fingerprints, syntax tests, ranges, first distinct items."""
-    t, n = F.col("text"), F.col("line")
+    t, n = F.coalesce("text", F.lit("")), F.col("line")
+    digest = F.coalesce("hash", sha256(F.lit("")))
     xml = F.concat(F.lit('<a b="'), t)
     attributes = text.xml_attributes(F.lit('a="1" b="x&amp;y" a="last"'))
     items = F.when(n % 2 == 0, F.array(*map(F.lit, ("a", " a ", "", "b", "c  d", "e")))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit(" "), F.lit("a")))
@@ -28,7 +29,7 @@ def scalar_functions(spark, sf_dir):
     return turns(spark, sf_dir).select(
         "session_id", "line", text.xml_escape(xml).alias("escaped"), (text.xml_unescape(text.xml_escape(xml)) == xml).alias("round_trip"), attributes["a"].alias("attribute"), attributes["b"].alias("other_attribute"),
         text.cell(F.concat(t, F.lit("|x"))).alias("cell"), text.normal_code(F.concat(t, F.lit(" \t\r\n\n"))).alias("code"), text.row_field(F.left(t, F.lit(20))).alias("field"), text.leading_int(F.concat(F.lit(" "), n.cast("string"), F.lit("abc"))).alias("number"), text.fence(F.concat(t, F.lit("`````"))).alias("fence"),
-        text.fingerprint(F.struct(t.alias("text"))).alias("fingerprint"), text.is_uuid(F.col("hash")).alias("is_uuid"), text.is_sha256(F.col("hash")).alias("is_sha"), text.is_range(n, n + (n % 3) - F.when(n % 3 == 0, 1).otherwise(0)).alias("is_range"),
+        text.fingerprint(F.struct(t.alias("text"))).alias("fingerprint"), text.is_uuid(digest).alias("is_uuid"), text.is_sha256(digest).alias("is_sha"), text.is_range(n, n + (n % 3) - F.when(n % 3 == 0, 1).otherwise(0)).alias("is_range"),
         text.half_up(n / 3, 1).cast("double").alias("rounded"), spans.anchor_start(cited).cast("long").alias("first_line"), text.first_distinct(items, 3).alias("firsts"),
     )
 
