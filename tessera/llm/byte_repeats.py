@@ -370,7 +370,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, part_bytes:
         raise ValueError("grams have 8 bytes at least, spans as many as a gram and fewer than 32768")
     spark = docs.sparkSession
     folder = frames.scratch(spark, "texts")
-    parts = frames.buckets_for(docs, part_bytes, 256)
+    parts = frames.buckets_for(docs, part_bytes)
     files = text_files.write(docs, folder)
     asked = text_files.with_files(files, spark.createDataFrame([], "file int")).mapInArrow(_asked(folder, span, k, parts), ASKED)
     told = frames.written(frames.by_bucket(asked, parts, _told, TOLD, "shared"), "shared")
