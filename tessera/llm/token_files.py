@@ -81,7 +81,7 @@ class Encoder:
     whose hash another piece has are given to the tokenizer anew. Forgetting pieces changes no id.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, remember: int = 800_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
