@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_repeats, decontaminate, frames, jaccard, mixing, secret_scan, sketch, substrings, token_files, toxicity, url_lists
+from tessera.llm import byte_repeats, decontaminate, frames, infill, jaccard, mixing, packing, secret_scan, sketch, substrings, token_files, toxicity, url_lists, whitening
 
 #: Fixed values of the token contract.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+#: Fixed values of the packing contract.
+PACKED_TOKENIZER, CAPACITY = "word_bpe_49k.json", 4096
+#: Fixed values of the fill-in-the-middle contract.
+SEED, FORMED_OF_100, SUFFIX_FIRST_OF_100 = 7, 100, 50
 #: Fixed value of the toxicity contract.
 TOXIC = 0.3
 
@@ -24,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +102,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), frames.scratch(spark, "packed"), tokenizer_path(PACKED_TOKENIZER), END_ID, CAPACITY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"), SEED, FORMED_OF_100, SUFFIX_FIRST_OF_100)
+    digest = F.sha2(infill.restored(F.col("output"), F.col("form")), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), digest.alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_fingerprints": op10_fingerprints,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 
@@ -150,4 +172,12 @@ ORACLES: dict[str, str] = {
         n AS (SELECT doc_id, any_value(d.source) AS source, any_value(text) AS text, count(*) FILTER (WHERE cut <= u) AS copies FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY doc_id),
         x AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n)
         SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, sha256('mix:' || doc_id || ':' || copy) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256 FROM x""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+        k AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                   WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS x, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || x || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
