@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel
 
 SHORTEST, AROUND = 16, 48
-#: Characters of an assigned value at least, and candidates that are looked at for transitions and counts: the rest of a longer one adds to its length alone.
-ASSIGNED, LOOKED_AT = 6, 1024
+#: Characters of an assigned value at least.
+ASSIGNED = 6
 #: Words that go with secrets, words that go with other long strings, dictionary words.
 SECRET_WORDS = "access api apikey auth authorization bearer credential credentials key passphrase passwd password private pwd secret signing token".split()
 OTHER_WORDS = "blob build checksum commit digest etag example file fixture guid hash href html http https id image img md5 placeholder ref release revision sample sha sha1 sha256 src test url uuid version www".split()
@@ -44,6 +44,8 @@ ALPHA[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 _WORD = re.compile(rb"[A-Za-z][A-Za-z0-9]*")
 _VALUE = re.compile(rb"(?i)(?<![A-Za-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key)s?[\"'`]?\s{0,4}[:=]{1,2}\s{0,4}([\"'`]?)([^\s\"'`]{6,})")
+#: Between texts: more white space than an assignment may hold, so no match crosses it.
+_BETWEEN = b"\n" * 5
 _PARTS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -65,12 +67,12 @@ def candidates(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     limit = texts.offsets[np.searchsorted(texts.offsets, s, "right")] if len(s) else s
     for _ in range(2):  # padding
         e = e + ((e < limit) & (d[np.minimum(e, len(d) - 1)] == ord("=")))
-    found = [(m.start(2), m.end(2), m.start()) for m in _VALUE.finditer(d.tobytes())]
+    raw = _BETWEEN.join([texts.text(i) for i in range(texts.n)])
+    found = [(m.start(2), m.end(2)) for m in _VALUE.finditer(raw)]
     if found:
-        a, b, name = np.array(found).T
-        own = np.searchsorted(texts.offsets, a, "right") - 1
-        inside = (name >= texts.offsets[own]) & (a < texts.offsets[own + 1])
-        a, b = a[inside], np.minimum(b, texts.offsets[own + 1])[inside]
+        a, b = np.array(found).T
+        own = np.searchsorted(texts.offsets + len(_BETWEEN) * np.arange(texts.n + 1), a, "right") - 1
+        a, b = a - len(_BETWEEN) * own, b - len(_BETWEEN) * own
         enough = b - a >= ASSIGNED
         a, b = a[enough], b[enough]
         free = np.ones(len(s), bool)  # runs that no assigned value covers
@@ -97,7 +99,6 @@ FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "dis
 
 
 def features(value: bytes, before: bytes, after: bytes) -> list[float]:
-    size, value = len(value), value[:LOOKED_AT]
     x = np.frombuffer(value, np.uint8).astype(np.int64)
     n = len(x)
     kind = np.select([DIGIT[x], (x >= 65) & (x <= 90), (x >= 97) & (x <= 122)], [0, 1, 2], 3)
@@ -113,7 +114,7 @@ def features(value: bytes, before: bytes, after: bytes) -> list[float]:
     words_after = {w.lower().decode() for w in _WORD.findall(after)[:2]}
     tail = before.rstrip(b" \t\"'`")
     return [
-        size, *share, float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0, len(p) / n, float(-(p * np.log2(p)).sum()), surprise, covered / n,
+        n, *share, float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0, len(p) / n, float(-(p * np.log2(p)).sum()), surprise, covered / n,
         float(all(c in b"0123456789abcdefABCDEF-" for c in value)), float((x == 45).sum()), float(np.diff(same).max()) / n, float((np.abs(np.diff(x)) == 1).mean()) if n > 1 else 0.0,
         float(any(w in SECRET_WORDS or any(s in w for s in ("token", "secret", "passw", "apikey")) for w in words_before)), float(any(w in OTHER_WORDS for w in words_before)), float(any(w in OTHER_WORDS for w in words_after)),
         float(tail[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'", b"`")), float(before[-1:] in (b"/", b".", b"#")), float((x == 47).sum()), float(len(before) - len(tail)),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import frames, kernel
+from tessera.llm import frames, kernel, text_files
 
 #: Fixed values of the zstandard formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -245,9 +245,8 @@ def _write(folder: str):
     @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = text_files.store(folder)
         out, docs, counts, seek, width, shard, path = None, [], [], [], 2, 0, ""
         for batch in batches:
             if not batch.num_rows:
@@ -339,9 +338,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 def _read(folder: str, wanted: list | None, digest: bool):
     @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = text_files.store(folder)
         for batch in batches:
             for path, before in zip(kernel.column(batch, "path").to_pylist(), kernel.column(batch, "before").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{path}") as f:

@@ -584,6 +584,35 @@ def test_secret_candidates_of_any_length_and_kind():
     assert got == [(0, "correcthorse"), (1, "a1" * 400 + "=="), (2, "abc123def456ghij7890"), (5, "K!9$#x")]
 
 
+def test_secret_candidates_do_not_hang_on_neighbours():
+    texts = ["my password:", "token=hunter2xyz more", "password=abcdefgh", "", None, "  ", "= \"quoted77\"", "api_key: ", "secret", " := 'a b c d e f g'", "pwd='x" + "é" * 9 + "'", "see token", "\n", ":=zzzzzzzz", "a1" * 20, "a1" * 20, "key_" + "9" * 14]
+    found = lambda some: [(int(i), part.data[a:b].tobytes()) for part in kernel.slices(pa.array(some, pa.string())) for i, a, b in zip(*secret_scan.candidates(part), strict=True)]
+    alone = {i: [v for _, v in found([t])] for i, t in enumerate(texts)}
+    assert alone[1] == [b"hunter2xyz"] and alone[2] == [b"abcdefgh"]
+    for i, t in enumerate(texts):
+        for j, u in enumerate(texts):
+            assert found([t, u]) == [(0, v) for v in alone[i]] + [(1, v) for v in alone[j]]
+    assert found(texts) == [(i, v) for i in alone for v in alone[i]]
+
+
+def test_secret_scan_is_the_same_for_any_partitioning(spark):
+    r = random.Random(9)
+    parts = ["my password:", "token=hunter2xyz more", "password=abcdefgh", "", "= \"quoted77\"", "commit 0123456789abcdef0123456789abcdef", "api_key"]
+    docs = docs_of(spark, [(i, r.choice(parts)) for i in range(300)])
+    forest = secret_scan.fit(secret_scan.made_findings(400))
+    one, many = (sorted(map(tuple, secret_scan.scan(docs.repartition(n), forest).collect())) for n in (1, 64))
+    assert one == many and len(one) > 100
+
+
+def test_object_stores_are_read_by_their_own_names():
+    from tessera.llm import text_files
+
+    for uri in ("s3a://bucket/some/where", "s3n://bucket/some/where"):
+        store, root = text_files.store(f"{uri}?region=eu-west-1")
+        assert store.type_name == "s3" and root == "bucket/some/where"
+    assert "FileSystem.from_uri" not in open(token_files.__file__).read()
+
+
 def test_secret_scan_learns_from_documents(spark):
     r = random.Random(4)
     key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
