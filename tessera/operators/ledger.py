@@ -11,14 +11,22 @@ from tessera.operators import compress
 from tessera.sources import transcripts
 
 
+#: A message of the ledger.
+MESSAGE_TYPE = "struct<line:bigint,uuid:string,original_uuid:string,parent_uuid:string,timestamp:string,source:string,sha256:string,record_sha256:string,char_count:bigint,text:string>"
+
+
+def message_struct(record: Column, line: Column, record_hash: Column) -> Column:
+    """A user's record as a message: place, ids, hashes, length and text."""
+    text = transcripts.user_text(record)
+    ids = (transcripts.get(record, f"$.{n}").alias(a) for n, a in (("uuid", "uuid"), ("originalUuid", "original_uuid"), ("parentUuid", "parent_uuid"), ("timestamp", "timestamp")))
+    return F.struct(line.cast("long").alias("line"), *ids, F.lit("current").alias("source"), sha256(text).alias("sha256"), record_hash.alias("record_sha256"), F.length(text).cast("long").alias("char_count"), text.alias("text"))
+
+
 def messages(entries: DataFrame) -> DataFrame:
     """User messages of entries: place, ids, hashes, length and text."""
     r = F.col("record")
-    out = entries.where(transcripts.is_user_message(r)).withColumn("text", transcripts.user_text(r))
-    return out.select(
-        "session_id", "line", *(transcripts.get(r, f"$.{n}").alias(a) for n, a in (("uuid", "uuid"), ("originalUuid", "original_uuid"), ("parentUuid", "parent_uuid"), ("timestamp", "timestamp"))),
-        F.lit("current").alias("source"), sha256(F.col("text")).alias("sha256"), F.col("hash").alias("record_sha256"), F.length("text").cast("long").alias("char_count"), "text",
-    )
+    own = entries.where(transcripts.is_user_message(r))
+    return own.select("session_id", message_struct(r, F.col("line"), F.col("hash")).alias("m")).select("session_id", "m.*")
 
 
 def identity() -> Column:
@@ -27,6 +35,12 @@ def identity() -> Column:
     return F.coalesce(F.concat(F.lit("uuid:"), named), other)
 
 
+def names() -> Column:
+    """Keys that a carried message of the same one may have."""
+    named = lambda n: F.concat(F.lit("uuid:"), F.nullif(n, F.lit("")))
+    return F.array_distinct(F.filter(F.array(identity(), named("uuid"), named("original_uuid")), lambda k: k.isNotNull()))
+
+
 def merged(carried: DataFrame, current: DataFrame) -> DataFrame:
     """Carried messages that current ones don't replace, then the current ones; ``ord`` is the order by session.
 
@@ -34,7 +48,7 @@ def merged(carried: DataFrame, current: DataFrame) -> DataFrame:
     ones the last of both.
     """
     c, n = carried.withColumn("key", identity()), current.withColumn("key", identity())
-    named = n.select("session_id", F.explode(F.array_distinct(F.filter(F.array("key", F.concat(F.lit("uuid:"), F.nullif("uuid", F.lit(""))), F.concat(F.lit("uuid:"), F.nullif("original_uuid", F.lit("")))), lambda k: k.isNotNull()))).alias("key")).distinct()
+    named = n.select("session_id", F.explode(names()).alias("key")).distinct()
     by = Window.partitionBy("session_id", "key")
     last = F.row_number().over(by.orderBy(F.col("ord").desc()))
     c = c.join(named, ["session_id", "key"], "left_anti").withColumn("_first", F.min("ord").over(by)).withColumn("_r", last).where("_r = 1")
@@ -93,15 +107,41 @@ def intent_events(chosen: DataFrame) -> DataFrame:
     return chosen.select("session_id", F.format_string("intent-%04d", number).alias("id"), "kind", "priority", F.lit("active").alias("status"), "line", "source", F.col("sha256").alias("text_sha256"), F.col("rendered").alias("rendered_text"))
 
 
-def from_summaries(entries: DataFrame) -> DataFrame:
-    """Messages of the ledger that an earlier round left in a compact-summary record; others are not trusted."""
-    text = transcripts.plain_text(F.col("record"))
-    own = entries.where(transcripts.truthy(F.col("record"), "$.isCompactSummary"))
+#: Messages that one summary record may carry, for their order over records.
+PER_RECORD = 1 << 24
+
+
+def carried_place(record, at):
+    """Order of the at-th message of a record."""
+    return record * PER_RECORD + at
+
+
+def summary_messages(record: Column) -> Column:
+    """Messages of the ledger that an earlier round left in a compact-summary record, in order; other records have none."""
+    text = F.when(transcripts.truthy(record, "$.isCompactSummary"), transcripts.plain_text(record))
     pattern = r"(?s)<user-message ([^>]*)>\n(.*?)\n</user-message>"
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
-    flat = own.select("session_id", "line", F.posexplode(pairs).alias("at", "p"))
-    get = lambda n: F.regexp_extract("p.a", rf'(?:^|\s){n}="([^"]*)"', 1)
-    return flat.select("session_id", F.col("at").alias("ord"), get("line").try_cast("long").alias("line"), xml_unescape(F.nullif(get("uuid"), F.lit(""))).alias("uuid"), xml_unescape(F.nullif(get("original_uuid"), F.lit(""))).alias("original_uuid"), F.nullif(get("timestamp"), F.lit("")).alias("timestamp"), F.lit("carried").alias("source"), F.nullif(get("sha256"), F.lit("")).alias("sha256"), F.nullif(get("record_sha256"), F.lit("")).alias("record_sha256"), get("chars").try_cast("long").alias("char_count"), F.col("p.b").alias("text"))
+
+    def one(p: Column) -> Column:
+        got = lambda n: F.regexp_extract(p["a"], rf'(?:^|\s){n}="([^"]*)"', 1)
+        some = lambda n: F.nullif(got(n), F.lit(""))
+        fields = [("line", got("line").try_cast("long")), ("uuid", xml_unescape(some("uuid"))), ("original_uuid", xml_unescape(some("original_uuid"))), ("parent_uuid", F.lit(None).cast("string")), ("timestamp", some("timestamp")), ("source", F.lit("carried")), ("sha256", some("sha256")), ("record_sha256", some("record_sha256")), ("char_count", got("chars").try_cast("long")), ("text", p["b"])]
+        return F.struct(*(x.alias(n) for n, x in fields))
+
+    return F.coalesce(F.transform(pairs, one), F.array().cast(f"array<{MESSAGE_TYPE}>"))
+
+
+def from_summaries(entries: DataFrame) -> DataFrame:
+    """Messages of the ledger that an earlier round left in a compact-summary record; others are not trusted."""
+    flat = entries.select("session_id", F.posexplode(summary_messages(F.col("record"))).alias("ord", "m"))
+    return flat.select("session_id", "ord", "m.*").drop("parent_uuid")
+
+
+def of_entries(entries: DataFrame) -> DataFrame:
+    """The ledger of whole sessions: what summaries carry and current messages don't replace, then these."""
+    at = entries.select("session_id", F.col("line").alias("_line"), F.posexplode(summary_messages(F.col("record"))).alias("_at", "m"))
+    carried = at.select("session_id", carried_place(F.col("_line").cast("long"), F.col("_at")).alias("ord"), "m.*")
+    return merged(carried, messages(entries).withColumn("ord", F.col("line")))
 
 
 def leaked(messages_df: DataFrame, outputs: DataFrame, longer: int = 2400, probe: int = 700, least: int = 200) -> DataFrame:

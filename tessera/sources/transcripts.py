@@ -172,7 +172,14 @@ def numbered(lines: DataFrame, citable: bool = False) -> DataFrame:
     if citable:
         out = out.where("text <> ''")
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))
-    return out.withColumn("line", number).withColumn("hash", sha256(F.col("raw"))).withColumn("preview", preview(F.col("raw"), F.col("record")))
+    return described(out.withColumn("line", number))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Rows (raw, record) with hash, preview and, where it isn't there yet, text."""
+    if "text" not in rows.columns:
+        rows = rows.withColumn("text", evidence_text(F.col("record")))
+    return rows.withColumn("hash", sha256(F.col("raw"))).withColumn("preview", preview(F.col("raw"), F.col("record")))
 
 
 def blocks(entries: DataFrame) -> DataFrame:
