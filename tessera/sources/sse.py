@@ -36,15 +36,21 @@ def events(df: DataFrame) -> DataFrame:
     return df.select("stream_id", F.posexplode(blocks).alias("n", "e")).select("stream_id", "n", "e.*")
 
 
+def signs(family: str) -> tuple[Column, Column]:
+    """What an event (type, data, ok) adds to the text, and whether it ends the stream."""
+    f = FAMILIES[family]
+    return F.when(F.col("ok"), F.get_json_object("data", f["delta"])), F.expr(f["done"])
+
+
 def outcome(ev: DataFrame, family: str) -> DataFrame:
     """By stream: assembled text, completion, failure, last usage, id."""
     f = FAMILIES[family]
-    delta = F.when(F.col("ok"), F.get_json_object("data", f["delta"]))
+    delta, done = signs(family)
     full = F.get_json_object("data", "$.response.output_text")
     usage = F.coalesce(*(F.get_json_object("data", p) for p in f["usage"]))
     ordered = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", x.alias("x")))), lambda s: s["x"]), "")
     out = ev.groupBy("stream_id").agg(
-        ordered(delta).alias("deltas"), F.max_by(full, F.when(full.isNotNull(), F.col("n"))).alias("full"), F.max(F.expr(f["done"])).alias("completed"), F.max(F.expr(f["failed"])).alias("failed"),
+        ordered(delta).alias("deltas"), F.max_by(full, F.when(full.isNotNull(), F.col("n"))).alias("full"), F.max(done).alias("completed"), F.max(F.expr(f["failed"])).alias("failed"),
         F.max_by(usage, F.when(usage.isNotNull(), F.col("n"))).alias("usage"), (F.min_by(F.get_json_object("data", f["id"]), F.when(F.get_json_object("data", f["id"]).isNotNull(), F.col("n"))) if f["id"] else F.lit(None).cast("string")).alias("id"),
     )
     return out.withColumn("text", F.trim(F.coalesce(F.nullif("deltas", F.lit("")), "full", F.lit("")))).drop("deltas", "full")

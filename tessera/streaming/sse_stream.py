@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,17 +57,16 @@ def events(chunks: DataFrame, quiet: int | None = None) -> DataFrame:
     return blocks(chunks, quiet).withColumn("e", sse.block_event(F.col("block"))).where("e IS NOT NULL").select("stream_id", "n", "e.*")
 
 
-def side_files(chunks: DataFrame, folder: str, family: str) -> list:
-    """Starts the three files of a run: raw chunks, events, and each stream's text so far; gives the queries.
+#: Fixed value: columns of an events file.
+EVENT = "stream_id string, n long, event string, data string, type string, ok boolean"
 
-    The last is rewritten after each micro-batch from all events on file.
-    """
 
-    def text(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").json(f"{folder}/events/batch={number}")  # the same again, if it is repeated
-        sse.outcome(spark.read.schema(batch.schema).json(f"{folder}/events"), family).select("stream_id", "text").write.mode("overwrite").json(f"{folder}/output")
+def side_files(chunks: DataFrame, folder: str) -> list:
+    """Starts the files of a run, which grow by what each micro-batch brings: raw chunks, and events. Gives the queries."""
+    named = (("raw", chunks), ("events", events(chunks)))
+    return [df.writeStream.format("json").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/_{name}").trigger(availableNow=True).start() for name, df in named]
+
 
-    raw = chunks.writeStream.format("json").option("path", f"{folder}/raw").option("checkpointLocation", f"{folder}/_raw").trigger(availableNow=True).start()
-    parsed = events(chunks).writeStream.foreachBatch(text).option("checkpointLocation", f"{folder}/_events").trigger(availableNow=True).start()
-    return [raw, parsed]
+def texts_so_far(spark: SparkSession, folder: str, family: str) -> DataFrame:
+    """(stream_id, text): what the events on file say, put together when it is asked for."""
+    return sse.outcome(spark.read.schema(EVENT).json(f"{folder}/events"), family).select("stream_id", "text")

@@ -206,9 +206,9 @@ def test_unfinished_streams_are_flushed_and_filed(spark, tmp_path):
     schema = "stream_id string, seq long, chunk string"
     chunks = [("s", 0, 'data: {"choices":[{"delta":{"content":"a"}}]}\n\nda'), ("s", 1, 'ta: {"choices":[{"delta":{"content":"b"}}]}'), ("s", 2, None), ("t", 0, 'data: {"choices":[{"delta":{"content":"open"}}]}')]
     spark.createDataFrame(chunks, schema).coalesce(1).write.json(str(tmp_path / "in"), ignoreNullFields=False)
-    for q in sse_stream.side_files(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "out"), "chat"):
+    for q in sse_stream.side_files(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "out")):
         q.awaitTermination(120)
-    assert {r.stream_id: r.text for r in spark.read.json(str(tmp_path / "out" / "output")).collect()} == {"s": "ab"}
+    assert {r.stream_id: r.text for r in sse_stream.texts_so_far(spark, str(tmp_path / "out"), "chat").collect()} == {"s": "ab"}
     assert spark.read.json(str(tmp_path / "out" / "raw")).count() == 4
 
 
