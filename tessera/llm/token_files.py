@@ -35,7 +35,7 @@ LETTER, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
-ENCODED = "doc_id long, n_tokens long, width int, frame binary, check long"
+ENCODED = "doc_id long, n_tokens long, width int, frame binary, check long, shard int"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -209,7 +209,12 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _encode(tokenizer: str, end_id: int, level: int):
+def shards_of(doc: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """Number of cut points that are at most each doc_id; null ids get 0."""
+    return np.where(doc.is_null(), 0, np.searchsorted(cuts, np.asarray(doc.fill_null(0)), "right")).astype(np.int32)
+
+
+def _encode(tokenizer: str, end_id: int, level: int, cuts: np.ndarray):
     @kernel.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -229,9 +234,10 @@ def _encode(tokenizer: str, end_id: int, level: int):
                     raw = np.append(ids[first[i] : first[i + 1]], kind.type(end_id)).tobytes()
                     packed.append(packer.compress(raw))
                     checks.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
+                own = doc.slice(texts.first, texts.n)
                 yield pa.RecordBatch.from_arrays(
-                    [doc.slice(texts.first, texts.n), pa.array(np.diff(first) + 1), pa.array(np.full(texts.n, kind.itemsize, np.int32)), kernel.binary(packed), pa.array(np.array(checks, np.int64))],
-                    names=["doc_id", "n_tokens", "width", "frame", "check"],
+                    [own, pa.array(np.diff(first) + 1), pa.array(np.full(texts.n, kind.itemsize, np.int32)), kernel.binary(packed), pa.array(np.array(checks, np.int64)), pa.array(shards_of(own, cuts))],
+                    names=["doc_id", "n_tokens", "width", "frame", "check", "shard"],
                 )
 
     return run
@@ -328,7 +334,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     spark = docs.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, frames.parts_for(docs, shard_bytes, 1))
     cuts = frames.even_ranges(docs, "doc_id", n)
-    encoded = docs.mapInArrow(_encode(tokenizer, end_id, level), ENCODED).withColumn("shard", frames.range_of(F.col("doc_id"), cuts))
+    encoded = docs.mapInArrow(_encode(tokenizer, end_id, level, np.array(cuts, np.int64)), ENCODED)
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens", "frame")
     manifest = dealt.mapInArrow(_write(folder), MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")

@@ -141,6 +141,15 @@ def test_token_files_round_trip(spark, rows):
     assert all(r.ids_crc32 == zlib.crc32(np.array(encode(by_id[r.doc_id]), "<u4").tobytes()) for r in some)
 
 
+def test_shards_are_looked_up_among_many_cuts(spark):
+    cuts = np.arange(-50_000, 50_000) * 7
+    ids = pa.array([None, -10**6, -350_000, -1, 0, 6, 7, 8, 10**6], pa.int64())
+    assert token_files.shards_of(ids, cuts).tolist() == [0, 0, 1, 50_000, 50_001, 50_001, 50_002, 50_002, 100_000]
+    docs = docs_of(spark, [(1, "a")]).select("doc_id", "text")
+    plan = docs.mapInArrow(token_files._encode(queries.tokenizer_path(), 2, 3, cuts), token_files.ENCODED)
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 5000  # the plan doesn't grow with the cuts
+
+
 def test_token_files_find_damage(spark, rows, tmp_path):
     folder = f"file://{tmp_path}/t"
     manifest = token_files.write_tokens(docs_of(spark, rows), folder, queries.tokenizer_path(), 2).collect()
