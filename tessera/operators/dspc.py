@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS, lines, sha256, trim_ws
+from tessera.operators import greedy
 
 #: Query terms, share kept by the first stage, weights of attention, information and place, and the shape of the place's bell.
 QUERY_TERMS, KEEP = 12, 0.7
@@ -86,14 +87,9 @@ def scored(segs: DataFrame, keep: float = KEEP) -> DataFrame:
 def chosen(df: DataFrame, budget: int, keep: float = KEEP) -> DataFrame:
     """(key, n, kept1, segs): sentences by alpha while the budget lasts; ones too long are passed over, the first always stays."""
     s = scored(segments(df), keep).where("rank1 <= kept1")
-    rows = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("alpha")).alias("a"), "seg", "size"))).alias("s"), F.first("n").alias("n"), F.first("kept1").alias("kept1"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        used = acc["used"] + x["size"] + 1
-        return F.when((acc["used"] == 0) | (used <= budget), F.struct(used.alias("used"), F.concat(acc["out"], F.array(x["seg"])).alias("out"))).otherwise(acc)
-
-    return rows.select("key", "n", "kept1", F.array_sort(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("segs"))
+    sizes = s.select("key", "seg", "alpha", (F.col("size") + 1).alias("cost"), "n", "kept1")
+    kept = greedy.within(sizes, "key", [F.col("alpha").desc(), F.col("seg")], {"cost": budget})
+    return kept.groupBy("key").agg(F.first("n").alias("n"), F.first("kept1").alias("kept1"), F.array_sort(F.collect_list("seg")).alias("segs")).select("key", "n", "kept1", "segs")
 
 
 def joined(text: Column, n: Column, segs: Column) -> Column:

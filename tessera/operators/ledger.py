@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import intents
 from tessera.functions.text import or_else, sha256, tokens, xml_escape, xml_unescape
-from tessera.operators import compress
+from tessera.operators import compress, greedy
 from tessera.sources import transcripts
 
 
@@ -85,21 +85,9 @@ def selected(df: DataFrame, most: int = 64, most_tokens: int = 8000, most_lines:
     df = df.withColumn("rendered_tokens", tokens(F.length("rendered"))).withColumn("rendered_lines", (F.length("rendered") - F.length(F.replace("rendered", F.lit("\n"), F.lit(""))) + 1).cast("long"))
     if most == 0:
         return df.limit(0)
-    queue = F.array_sort(F.collect_list(F.struct("rank", (-F.col("ord")).alias("newest"), F.col("rendered_tokens").alias("t"), F.col("rendered_lines").alias("l"))))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("t"), zero.alias("l"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, x):
-        over = F.lit(False)
-        if most_tokens > 0:
-            over = over | (s["t"] + x["t"] > most_tokens)
-        if most_lines > 0:
-            over = over | (s["l"] + x["l"] > most_lines)
-        take = (F.size(s["out"]) < most) & ((F.size(s["out"]) == 0) | ~over)
-        return F.when(take, F.struct((s["t"] + x["t"]).alias("t"), (s["l"] + x["l"]).alias("l"), F.concat(s["out"], F.array((-x["newest"]).cast("long"))).alias("out"))).otherwise(s)
-
-    chosen = df.groupBy("session_id").agg(queue.alias("q")).select("session_id", F.explode(F.aggregate("q", start, step, lambda s: s["out"])).alias("_ord"))
-    return df.join(chosen, (df["ord"] == chosen["_ord"]) & (df["session_id"] == chosen["session_id"]), "left_semi")
+    sizes = df.select("session_id", "ord", "rank", F.col("rendered_tokens").alias("t"), F.col("rendered_lines").alias("l"))
+    chosen = greedy.within(sizes, "session_id", [F.col("rank"), F.col("ord").desc()], {"t": most_tokens or None, "l": most_lines or None}, most).select("session_id", "ord")
+    return df.join(chosen, ["session_id", "ord"], "left_semi").select(*df.columns)
 
 
 def intent_events(chosen: DataFrame) -> DataFrame:

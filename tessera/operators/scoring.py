@@ -192,11 +192,11 @@ def pickup(states: DataFrame) -> DataFrame:
 
 
 def rounds(metrics: DataFrame, growth: float = 1.1) -> DataFrame:
-    """Gates of compaction rounds against the first: (run_id, round, tokens, hashes, objective, next_step, missing, bad)."""
+    """Gates of compaction rounds against the first: (run_id, round, tokens, hashes, objective, next_step, missing, bad, echo)."""
     first = metrics.where("round = 1").select("run_id", F.col("tokens").alias("t1"), F.col("hashes").alias("h1"), F.col("objective").alias("o1"), F.col("next_step").alias("n1"))
     out = metrics.join(first, "run_id")
-    gates = {"kept_intents": F.size(F.array_except("h1", "hashes")) == 0, "same_objective": F.col("objective").eqNullSafe(F.col("o1")), "same_next_step": F.col("next_step").eqNullSafe(F.col("n1")), "no_missing": F.col("missing") == 0, "no_bad": F.col("bad") == 0, "bounded": F.col("tokens") <= F.ceil(F.col("t1") * growth)}
-    out = out.withColumns(gates)
+    gates = {"kept_intents": F.size(F.array_except("h1", "hashes")) == 0, "same_objective": F.col("objective").eqNullSafe(F.col("o1")), "same_next_step": F.col("next_step").eqNullSafe(F.col("n1")), "no_missing": F.col("missing") == 0, "no_bad": F.col("bad") == 0, "sound": F.col("echo"), "bounded": F.col("tokens") <= F.ceil(F.col("t1") * growth)}
+    out = out.withColumns({n: F.coalesce(g, F.lit(False)) for n, g in gates.items()})
     passed = F.lit(True)
     for g in gates:
         passed = passed & F.col(g)

@@ -57,9 +57,24 @@ def rehydrated(spans: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def source_line(segments: Column, at: Column) -> Column:
-    """The first segment whose range holds a position, both ends included."""
-    hit = F.filter(segments, lambda s: (at >= s["char_range"][0]) & (at <= s["char_range"][1]))
-    return F.get(hit, F.lit(0))["line"]
+    """The first segment whose range holds a position, both ends included; by halving, as ranges rise and don't meet.
+
+    struct(lo, hi): the answer, if there is one, is among the segments lo to hi - 1 (from 0). Of those that end before
+    the position none can be it, so the first that doesn't is looked at.
+    """
+    some = F.size(segments) > 0
+    halvings = F.ceil(F.log2(F.greatest(F.size(segments), F.lit(1)).cast("double") + 1)).cast("int") + 1
+    start = F.struct(F.lit(0).alias("lo"), F.size(segments).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        early = F.element_at(segments, F.least(mid + 1, F.size(segments)))["char_range"][1] < at
+        lo, hi = F.when(early, mid + 1).otherwise(s["lo"]), F.when(early, s["hi"]).otherwise(mid)
+        return F.when(s["lo"] < s["hi"], F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(s)
+
+    first = F.aggregate(F.sequence(F.lit(1), halvings), start, halve, lambda s: s["lo"])
+    hit = F.when(some, F.get(segments, first))
+    return F.when((at >= hit["char_range"][0]) & (at <= hit["char_range"][1]), hit["line"])
 
 
 _FENCE = re.compile(r"(^|\n)(`{3,}|~{3,})([^\n]*)\n(.*?)(\n\2)(?=\n|\Z)", re.S)

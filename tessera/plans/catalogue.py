@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.plans import queries, record_queries, state_queries  # noqa: F401
+from tessera.plans import loop_queries, queries, record_queries, state_queries  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

@@ -29,10 +29,16 @@ def preserved_tail(entries: DataFrame, most: int = TAIL) -> DataFrame:
 
 
 def compacted(entries: DataFrame, summaries: DataFrame, most: int = TAIL) -> DataFrame:
-    """(session_id, ord, raw) of the compacted transcript: boundary, summary with ledger, tail."""
+    """(session_id, ord, raw) of the compacted transcript: boundary, summary with ledger, tail.
+
+    The ledger holds what earlier rounds carried over, and the users' messages of this one.
+    """
+    return with_ledger(entries, summaries, ledger.selected(ledger.of_entries(entries)), most)
+
+
+def with_ledger(entries: DataFrame, summaries: DataFrame, chosen: DataFrame, most: int = TAIL) -> DataFrame:
+    """compacted with the messages of the ledger chosen before: (session_id, ord, rendered)."""
     tail = preserved_tail(entries, most)
-    msgs = ledger.messages(entries).withColumn("ord", F.col("line"))
-    chosen = ledger.selected(msgs)
     text = chosen.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rendered"))), lambda s: s["rendered"]), "\n").alias("messages"))
     heads = summaries.select("session_id", "summary").join(text, "session_id", "left")
     boundary = heads.select("session_id", F.lit(0).alias("ord"), F.to_json(F.struct(F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"), made_id(F.col("session_id"), F.lit("boundary"), F.lit("0")).alias("uuid"))).alias("raw"))

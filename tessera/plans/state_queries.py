@@ -227,17 +227,6 @@ def density_gate(spark, sf_dir):
     return scoring.density(d).select("lang", "evidence_capsules", "shortfalls", "pass", F.round("score", 9).alias("score"))
 
 
-@query("""SELECT 'r' || (doc_id % 10) AS run_id, (doc_id // 10) + 1 AS round, n_chars <= ceil(t1 * 1.1) AS bounded, d.doc_id % 3 = 0 AS no_missing, (n_chars <= ceil(t1 * 1.1)) AND d.doc_id % 3 = 0 AND (d.doc_id // 10 = 0 OR d.doc_id % 4 > 0) AS pass
-    FROM documents d JOIN (SELECT doc_id % 10 AS k, n_chars AS t1 FROM documents WHERE doc_id < 10) f ON f.k = d.doc_id % 10""")
-def round_gates(spark, sf_dir):
-    """Gates of rounds against the first one."""
-    d = table(spark, sf_dir, "documents")
-    own = F.concat(F.lit("r"), (F.col("doc_id") % 10).cast("string"))
-    later = F.col("doc_id") >= 10
-    m = d.select(own.alias("run_id"), (F.floor(F.col("doc_id") / 10) + 1).alias("round"), F.col("n_chars").alias("tokens"), F.when(later & (F.col("doc_id") % 4 == 0), F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("hashes"), F.lit("o").alias("objective"), F.lit("n").alias("next_step"), (F.col("doc_id") % 3).alias("missing"), F.lit(0).alias("bad"))
-    return scoring.rounds(m).select("run_id", "round", "bounded", "no_missing", "pass")
-
-
 @query("""SELECT CAST(doc_id AS VARCHAR) AS session_id, count(DISTINCT CASE WHEN a OR b THEN i END) AS coupled_lines, count(*) FILTER (WHERE a) AS the, count(*) FILTER (WHERE b) AS upper FROM
     (SELECT doc_id, i, contains(x, 'the') AS a, regexp_matches(x, '^[A-Z]') AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)) WHERE a OR b GROUP BY doc_id""")
 def coupling(spark, sf_dir):
