@@ -49,6 +49,42 @@ def span_metrics(spans: DataFrame) -> DataFrame:
     return counted.join(lines, "session_id", "left").withColumn("unique_lines", F.coalesce("unique_lines", F.lit(0).cast("long")))
 
 
+#: Fixed value: levels that a state can nest, as the parser has it.
+LEVELS = 1_000
+
+
+def spans_of(state: Column) -> Column:
+    """Every span that a state (VARIANT) lists under source_spans, wherever that is: array of (start_line, end_line).
+
+    A walk by levels without recursion: the values of all objects and arrays of one level are the next. Spans
+    whose ends aren't both whole numbers don't count.
+    """
+    whole = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "decimal(38,9)"))
+    end = lambda s, n: whole(F.try_variant_get(s, f"$.{n}", "variant"))
+    span = lambda s: F.struct(end(s, "start_line").alias("start_line"), end(s, "end_line").alias("end_line"))
+    good = lambda s: F.coalesce((s["start_line"] == F.floor(s["start_line"])) & (s["end_line"] == F.floor(s["end_line"])), F.lit(False))
+    none, kind = F.array().cast("array<variant>"), "array<struct<start_line:bigint,end_line:bigint>>"
+
+    def found(level: Column) -> Column:
+        listed = F.transform(level, lambda v: F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$.source_spans", "array<variant>"), none), span), good))
+        return F.flatten(listed).cast(kind)
+
+    def inside(v: Column) -> Column:
+        return F.filter(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none), lambda x: x.isNotNull())
+
+    def step(s: Column, _: Column) -> Column:
+        deeper = F.flatten(F.transform(s["level"], inside))
+        return F.when(F.size(s["level"]) > 0, F.struct(deeper.alias("level"), F.concat(s["spans"], found(s["level"])).alias("spans"))).otherwise(s)
+
+    start = F.struct(F.filter(F.array(state), lambda v: v.isNotNull()).alias("level"), F.array().cast(kind).alias("spans"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step, lambda s: s["spans"])
+
+
+def state_spans(states: DataFrame) -> DataFrame:
+    """(session_id, start_line, end_line): a row for each span anywhere in states (session_id, state as JSON)."""
+    return states.select("session_id", F.explode(spans_of(F.try_parse_json("state"))).alias("s")).select("session_id", "s.*")
+
+
 def evidence_metrics(capsules: DataFrame) -> DataFrame:
     """By session: capsules, bad ones (a hash or range that isn't one), empty segments, segment characters."""
     bad = ~F.coalesce(is_sha256(F.col("start_hash")) & is_sha256(F.col("end_hash")) & is_sha256(F.col("raw_slice_sha256")) & F.forall("text_segments", lambda s: is_range(s["char_range"][0], s["char_range"][1])), F.lit(False))

@@ -31,8 +31,8 @@ def pretty(texts: pd.Series) -> pd.Series:
 
 
 def bare(part: Column) -> Column:
-    """A part that has an input, but is no call or result and has no text."""
-    plain = F.coalesce(text_of(part, "$.text"), text_of(part, "$.content")).isNull() & (transcripts.deep_text(part) == "")
+    """A part that has an input, but is no call or result, has no text and lists no parts."""
+    plain = F.coalesce(text_of(part, "$.text"), text_of(part, "$.content")).isNull() & transcripts.listed(part).isNull()
     return F.coalesce(~F.coalesce(get(part, "$.type"), F.lit("")).isin(CALL, RESULT) & is_kind(part, "$.input", "OBJECT") & plain, F.lit(False))
 
 
@@ -52,8 +52,19 @@ def part_rows(entries: DataFrame) -> DataFrame:
     """(session_id, line, hash, prefix, part, p, given): a row for each content part; given is a call's input as JSON."""
     r = F.col("record")
     at = F.when(F.try_variant_get(r, "$.message.content", "variant").isNotNull(), "$.message.content").otherwise("$.content")
-    rows = entries.select("session_id", "line", "hash", "raw", "prefix", at.alias("at"), F.posexplode(transcripts.parts(r)).alias("part", "p"))
-    given = F.expr("get_json_object(raw, concat(at, '[', part, '].input'))")
+    placed = F.transform(transcripts.parts(r), lambda p, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
+    return _given(entries.withColumn("_parts", placed), at)
+
+
+def leaf_rows(entries: DataFrame) -> DataFrame:
+    """part_rows of the message's parts that list no others, at any depth, numbered in the order of the text."""
+    return _given(entries.withColumn("_parts", transcripts.leaves(transcripts.message_parts(F.col("record")))), F.lit("$.message.content"))
+
+
+def _given(entries: DataFrame, at: Column) -> DataFrame:
+    rows = entries.select("session_id", "line", "hash", "raw", "prefix", at.alias("at"), F.posexplode("_parts").alias("part", "x"))
+    rows = rows.select("session_id", "line", "hash", "raw", "prefix", "part", F.concat("at", "x.path", F.lit(".input")).alias("at"), "x.p")
+    given = F.expr("get_json_object(raw, at)")
     return rows.withColumn("given", F.when((get(F.col("p"), "$.type") == CALL) | bare(F.col("p")), F.coalesce(given, F.lit("{}")))).drop("raw", "at")
 
 
@@ -85,7 +96,7 @@ def texts(parts: DataFrame, evidence: bool = False) -> DataFrame:
     if evidence:
         result = F.when(shown != "", result).otherwise("")
     text = F.when(call & (name == "Write"), diff.write_block(F.lit("Write"), path, wrote, *meta)).when(call & (name == "apply_patch"), diff.patch_block(name, patch, *meta[:2])).when(call, other)
-    rest = rest.withColumn("text", text.when(kind == RESULT, result).otherwise(transcripts.deep_text(p) if evidence else transcripts.part_text(p)))
+    rest = rest.withColumn("text", text.when(kind == RESULT, result).otherwise(transcripts.part_text(p)))
     return calls.select(*key, "text").union(rest.select(*key, "text"))
 
 
@@ -105,10 +116,11 @@ def with_prompt_text(entries: DataFrame, out: str, prefix: Column | None = None)
 def with_evidence_text(entries: DataFrame, out: str = "text", prefix: Column | None = None) -> DataFrame:
     """entries with the text that spans are rehydrated from, tool calls and results formatted; empty for records that can't be cited."""
     r = F.col("record")
-    has = F.coalesce(F.exists(transcripts.parts(r), lambda p: F.coalesce(get(p, "$.type").isin(CALL, RESULT), F.lit(False)) | bare(p)), F.lit(False)) & is_kind(r, "$.message.content", "ARRAY")
+    tool = lambda p: F.coalesce(get(p, "$.type").isin(CALL, RESULT), F.lit(False)) | bare(p)
+    has = F.exists(transcripts.leaves(transcripts.message_parts(r)), lambda x: tool(x["p"]))
     with_tools = entries.where(has).withColumn("prefix", F.lit(None).cast("string") if prefix is None else prefix)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), "\n\n")
-    made = texts(part_rows(with_tools), evidence=True).groupBy("session_id", "line").agg(joined.alias("_made"))
+    made = texts(leaf_rows(with_tools), evidence=True).groupBy("session_id", "line").agg(joined.alias("_made"))
     plain = transcripts.evidence_text(r)
     attached = F.to_json(F.try_variant_get(r, "$.attachment", "variant"))
     plain = F.when(transcripts.truthy(r, "$.attachment") & (plain == attached), pretty(F.when(transcripts.truthy(r, "$.attachment"), F.get_json_object("raw", "$.attachment")))).otherwise(plain)

@@ -103,20 +103,61 @@ def prompt_text(record: Column, part: object = part_text) -> Column:
     return F.coalesce(content_text(record), or_else(rendered, fallback(record)))
 
 
+#: Fixed value: a text that nests more than a thousand levels isn't JSON to the parser, and each part inside another takes two.
+DEEPEST = 500
+TOOL_TYPES = ["tool_use", "tool_result"]
+
+
+def listed(part: Column) -> Column:
+    """The parts that a part without text of its own lists, as an array; null where there are none, and for tool calls and results."""
+    own = F.coalesce(text_of(part, "$.text"), text_of(part, "$.content"))
+    inner = F.try_variant_get(part, "$.content", "array<variant>")
+    return F.when(~F.coalesce(get(part, "$.type"), F.lit("")).isin(TOOL_TYPES) & own.isNull() & (F.size(inner) > 0), inner)
+
+
+def leaves(parts: Column) -> Column:
+    """All parts that list no others, at any depth, in the order of the text: array of (path, p).
+
+    A walk without recursion: each step puts the listed parts in their part's place, until none lists any. path
+    leads from the array to the part, as in [0].content[2].
+    """
+    placed = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
+
+    def opened(x: Column) -> Column:
+        inner = F.transform(listed(x["p"]), lambda p, i: F.struct(F.concat(x["path"], F.lit(".content["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
+        return F.coalesce(inner, F.array(x))
+
+    some = lambda xs: F.exists(xs, lambda x: listed(x["p"]).isNotNull())
+    start = F.struct(placed.alias("parts"), some(placed).alias("more"))
+
+    def step(s: Column, _: Column) -> Column:
+        wider = F.flatten(F.transform(s["parts"], opened))
+        return F.when(s["more"], F.struct(wider.alias("parts"), some(wider).alias("more"))).otherwise(s)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, step, lambda s: s["parts"])
+    return F.when(some(placed), walked).otherwise(placed)
+
+
 def deep_text(part: Column) -> Column:
-    """A part's text, or those of the parts that its content lists."""
-    inner = F.when(is_kind(part, "$.content", "ARRAY"), F.try_variant_get(part, "$.content", "array<variant>"))
-    nested = F.array_join(F.filter(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), part_text), lambda t: t != ""), "\n\n")
-    return or_else(part_text(part), nested)
+    """A part's text, or those of the parts inside it, however deep."""
+    return joined_text(leaves(F.array(part)))
+
+
+def joined_text(leaves: Column) -> Column:
+    return F.array_join(F.filter(F.transform(leaves, lambda x: part_text(x["p"])), lambda t: t != ""), "\n\n")
+
+
+def message_parts(record: Column) -> Column:
+    """Parts of the record's message; empty where its content isn't an array."""
+    return F.coalesce(F.try_variant_get(record, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def evidence_text(record: Column) -> Column:
     """Text that spans are rehydrated from; a record without any can't be cited.
 
-    The record's own content comes first, then the message's; parts may nest once.
+    The record's own content comes first, then the message's; parts may nest to any depth.
     """
-    inner = F.when(is_kind(record, "$.message.content", "ARRAY"), F.try_variant_get(record, "$.message.content", "array<variant>"))
-    rendered = F.array_join(F.filter(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), deep_text), lambda t: t != ""), "\n\n")
+    rendered = joined_text(leaves(message_parts(record)))
     result = F.when(truthy(record, "$.toolUseResult"), F.coalesce(text_of(record, "$.toolUseResult"), F.to_json(F.try_variant_get(record, "$.toolUseResult", "variant"))))
     attached = F.when(truthy(record, "$.attachment"), F.to_json(F.try_variant_get(record, "$.attachment", "variant")))
     return F.coalesce(text_of(record, "$.content"), text_of(record, "$.message.content"), F.nullif(rendered, F.lit("")), result, attached, fallback(record))
