@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import intents
-from tessera.functions.text import or_else, sha256, tokens, xml_escape, xml_unescape
+from tessera.functions import intents, token_counts
+from tessera.functions.text import or_else, sha256, xml_escape, xml_unescape
 from tessera.operators import compress, greedy
 from tessera.sources import transcripts
 
@@ -75,14 +75,15 @@ def with_priority(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", intents.rank(F.col("priority")))
 
 
-def selected(df: DataFrame, most: int = 64, most_tokens: int = 8000, most_lines: int = 300) -> DataFrame:
+def selected(df: DataFrame, most: int = 64, most_tokens: int = 8000, most_lines: int = 300, tokenizer: str | None = None) -> DataFrame:
     """Messages of (session_id, ord, ...) that fit the budgets: by rank, then newest first.
 
     The first always stays; one that doesn't fit is passed over. A budget of 0 tokens or lines is
-    none; 0 messages selects nothing. The greedy pass works on the sizes alone.
+    none; 0 messages selects nothing. The greedy pass works on the sizes alone. tokenizer: a file that tokens are counted
+    by; without one they are estimated.
     """
     df = with_priority(df).withColumn("rendered", rendered())
-    df = df.withColumn("rendered_tokens", tokens(F.length("rendered"))).withColumn("rendered_lines", (F.length("rendered") - F.length(F.replace("rendered", F.lit("\n"), F.lit(""))) + 1).cast("long"))
+    df = token_counts.counted(df, "rendered", "rendered_tokens", tokenizer).withColumn("rendered_lines", (F.length("rendered") - F.length(F.replace("rendered", F.lit("\n"), F.lit(""))) + 1).cast("long"))
     if most == 0:
         return df.limit(0)
     sizes = df.select("session_id", "ord", "rank", F.col("rendered_tokens").alias("t"), F.col("rendered_lines").alias("l"))

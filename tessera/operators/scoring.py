@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.literals import is_command
 from tessera.functions.text import half_up, is_range, is_sha256, word
+from tessera.operators import search
 
 #: Thresholds of the density gate.
 DENSITY = {"capsules": 30, "cited": 25, "promises": 0}
@@ -95,32 +96,9 @@ def evidence_metrics(capsules: DataFrame) -> DataFrame:
     )
 
 
-#: Up to so many literals are held in the plan; a fixture lists some dozens.
-FEW_LITERALS = 1_000
-#: Of more, so many first characters are looked for.
-PROBE = 12
-
-
 def literal_hits(literals: DataFrame, texts: DataFrame) -> DataFrame:
-    """(run_id, literal) pairs where the text holds the literal; empty and null literals are found nowhere.
-
-    A few literals are an array in the plan, filtered by each text. Many meet texts by equality of
-    their first characters with those at every place of a text.
-    """
-    lits = literals.where("literal <> ''").select("literal").distinct()
-    few = [r.literal for r in lits.limit(FEW_LITERALS + 1).collect()]
-    if len(few) <= FEW_LITERALS:
-        found = F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda x: F.contains(F.col("text"), x))
-        return texts.select("run_id", F.explode(found).alias("literal")).distinct()
-    lits = lits.withColumn("probe", F.left("literal", F.lit(PROBE)))
-    sizes = [r[0] for r in lits.select(F.length("probe")).distinct().collect()]  # at most PROBE numbers
-    at = F.flatten(F.array(*(F.transform(F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>")), _piece(n)) for n in sizes)))
-    probes = texts.select("run_id", "text", F.explode(F.array_distinct(at)).alias("probe"))
-    return probes.join(lits, "probe").where(F.contains("text", "literal")).select("run_id", "literal").distinct()
-
-
-def _piece(n: int):
-    return lambda i: F.substring(F.col("text"), i, F.lit(n))
+    """(run_id, literal) pairs where the text holds the literal; empty and null literals are found nowhere."""
+    return search.hits(literals, texts, "run_id")
 
 
 def missing_literals(literals: DataFrame, texts: DataFrame) -> DataFrame:

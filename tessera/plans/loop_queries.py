@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import token_counts
+from tessera.functions.text import sha256
+from tessera.operators import scoring, tools
 from tessera.plans import reask, rounds
 from tessera.plans.queries import _INTENT, E, query, table, turns
-from tessera.sources import folders, transcripts
+from tessera.plans.record_queries import _J, quoted
+from tessera.sources import folders, run_sink, transcripts
+from tessera.streaming import transcript_stream
 
 #: Thresholds for conversations of a few turns.
 LEAST = {"capsules": 4, "cited": 4, "promises": 0}
@@ -69,3 +74,103 @@ def round_gates(spark, sf_dir):
     out = rounds.rounds(lines, s.select("session_id", whole.alias("output")), literals, most_tokens=0, most_lines=0)
     digest = F.sha2(F.array_join("hashes", ","), 256)
     return out.select("run_id", "round", F.col("records").cast("int").alias("records"), "messages", digest.alias("high_sha256"), "capsules", F.col("missing").cast("int").alias("missing"), "same_objective", "sound")
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """(session_id, ord, raw): each turn's text in pieces, each inside a group beside the piece before it; one to six deep."""
+    c = table(spark, sf_dir, "conversations")
+    text, deep = F.coalesce("text", F.lit("")), (F.pmod("turn", F.lit(6)) + 1).cast("int")
+    wide = F.ceil(F.greatest(F.length(text), F.lit(1)) / deep).cast("int")
+    piece = lambda i: F.substring(text, i * wide + 1, wide)
+    # From the innermost piece outwards.
+    inner = F.aggregate(
+        F.transform(F.sequence(F.lit(1), deep), lambda i: piece(deep - i)), F.lit(""),
+        lambda acc, x: F.concat(F.lit('[{"type":"text","text":'), quoted(x), F.when(acc == "", "}]").otherwise(F.concat(F.lit('},{"type":"group","content":'), acc, F.lit("}]")))),
+    )
+    raw = F.concat(F.lit('{"type":"user","message":{"role":"user","content":'), inner, F.lit("}}"))
+    return c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("ord"), raw.alias("raw"))
+
+
+@query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, coalesce(text, '') AS text, turn % 6 + 1 AS deep, CAST(ceil(greatest(length(coalesce(text, '')), 1) / (turn % 6 + 1)) AS INTEGER) AS wide FROM conversations),
+    p AS (SELECT *, [substr(text, CAST(i * wide + 1 AS INTEGER), wide) FOR i IN range(0, deep) IF substr(text, CAST(i * wide + 1 AS INTEGER), wide) <> ''] AS pieces FROM c)
+    SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) AS INTEGER) AS line, sha256(array_to_string(pieces, chr(10) || chr(10))) AS text_sha256 FROM p WHERE len(pieces) > 0""")
+def nested_content(spark, sf_dir):
+    """Records whose text stands one to six parts deep, cited like others."""
+    return tools.citable(_nested(spark, sf_dir)).select("session_id", "line", sha256(F.col("text")).alias("text_sha256"))
+
+
+@query(f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, coalesce(text, '') AS text FROM conversations),
+    s AS (SELECT session_id, repeat('{{"x":[1,', CAST(turn % 5 AS INTEGER)) || '{{"unknown":' || {_J("text")} || ',"source_spans":[{{"start_line":' || (turn + 1) || ',"end_line":' || (turn + 1 + turn % 3) || '}},{{"start_line":1.5,"end_line":2}},{{"start_line":"1","end_line":2}},{{"start_line":' || (turn % 4) || ',"end_line":3}}]}}' || repeat(']}}', CAST(turn % 5 AS INTEGER)) AS state FROM t),
+    w AS (SELECT session_id, unnest(from_json(j.value, '["JSON"]')) AS span FROM s, json_tree(s.state) j WHERE j.key = 'source_spans' AND j.type = 'ARRAY'),
+    e AS (SELECT session_id, CAST(span ->> '$.start_line' AS BIGINT) AS a, CAST(span ->> '$.end_line' AS BIGINT) AS b FROM w WHERE json_type(span, '$.start_line') IN ('UBIGINT', 'BIGINT') AND json_type(span, '$.end_line') IN ('UBIGINT', 'BIGINT'))
+    SELECT session_id, count(*) AS spans, count(*) FILTER (WHERE a < 1 OR b < a) AS invalid, (SELECT count(DISTINCT x) FROM (SELECT unnest(range(a, b + 1)) AS x FROM e q WHERE q.session_id = e.session_id AND q.a >= 1)) AS unique_lines FROM e GROUP BY session_id""")
+def nested_spans(spark, sf_dir):
+    """Spans from any place of states, beside a turn's text and inside up to four levels of unknown fields."""
+    n = F.col("turn")
+    deep = F.pmod(n, F.lit(5)).cast("int")
+    span = lambda a, b: F.concat(F.lit('{"start_line":'), a.cast("string"), F.lit(',"end_line":'), b.cast("string"), F.lit("}"))
+    own = F.concat(F.lit('{"unknown":'), quoted(F.coalesce("text", F.lit(""))), F.lit(',"source_spans":['), F.concat_ws(",", span(n + 1, n + 1 + F.pmod(n, F.lit(3))), F.lit('{"start_line":1.5,"end_line":2}'), F.lit('{"start_line":"1","end_line":2}'), span(F.pmod(n, F.lit(4)), F.lit(3))), F.lit("]}"))
+    state = F.concat(F.repeat(F.lit('{"x":[1,'), deep), own, F.repeat(F.lit("]}"), deep))
+    states = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), state.alias("state"))
+    return scoring.span_metrics(scoring.state_spans(states))
+
+
+def _growing(spark, sf_dir) -> DataFrame:
+    """(session_id, ord, raw): users' and assistants' turns; each fourth is a summary that carries two messages, one of them still there."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    user = F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","uuid":"u-'), conv, F.lit("-"), turn, F.lit('","message":{"role":"'), F.col("role"), F.lit('","content":'), quoted(F.col("text")), F.lit("}}"))
+    one = lambda key: F.concat(F.lit('<user-message source="current" line="1" chars="4" uuid="'), key, F.lit('">\nkept\n</user-message>'))
+    carried = F.concat(one(F.concat(F.lit("u-"), conv, F.lit("-"), (F.col("turn") - 1).cast("string"))), F.lit("\n"), one(F.concat(F.lit("old-"), conv, F.lit("-"), turn)))
+    summary = F.concat(F.lit('{"type":"user","isCompactSummary":true,"message":{"role":"user","content":'), quoted(carried), F.lit("}}"))
+    raw = F.when(F.pmod("turn", F.lit(4)) == 3, summary).otherwise(user)
+    return c.select(conv.alias("session_id"), F.col("turn").alias("ord"), raw.alias("raw"))
+
+
+@query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, coalesce(text, '') AS text FROM conversations),
+    u AS (SELECT session_id, 'u-' || session_id || '-' || turn AS uuid, 1 AS side, turn * 2 AS place, 'current' AS source, text FROM c WHERE turn % 4 <> 3 AND role = 'user' AND regexp_replace(text, '{WS}+', '', 'g') <> ''),
+    k AS (SELECT session_id, 'u-' || session_id || '-' || (turn - 1) AS uuid, 0 AS side, turn * 2 AS place, 'carried' AS source, 'kept' AS text FROM c WHERE turn % 4 = 3 UNION ALL SELECT session_id, 'old-' || session_id || '-' || turn, 0, turn * 2 + 1, 'carried', 'kept' FROM c WHERE turn % 4 = 3),
+    a AS (SELECT * FROM u UNION ALL SELECT * FROM k WHERE uuid NOT IN (SELECT uuid FROM u))
+    SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY side, place) AS INTEGER) AS ord, uuid, source, sha256(text) AS text_sha256 FROM a""")
+def transcript_stream_ledger(spark, sf_dir):
+    """Transcripts read as a stream, cut in mid-line, over two runs of the query; the ledger that its changes lead to."""
+    transcript_stream.prepare(spark)
+    lines = folders.kept(_growing(spark, sf_dir), "lines")
+    w = Window.partitionBy("session_id").orderBy("ord")
+    half = F.floor(F.length("raw") / 2).cast("int")
+    rest = F.substring("raw", half + 1, F.length("raw") - half)
+    cut = lines.withColumn("before", F.lag(rest).over(w)).withColumn("last", F.lead("ord").over(w).isNull())
+    # A chunk is the end of a line, its line feed, and the first half of the next; the last one ends the session.
+    chunk = F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), F.left("raw", half), F.when(F.col("last"), F.concat(rest, F.lit("\n"))).otherwise(F.lit("")))
+    chunks = folders.kept(cut.select("session_id", F.format_string("%012d", "ord").alias("seq"), chunk.cast("binary").alias("chunk"), (F.col("ord") >= 3).alias("late")), "chunks")
+    folder = folders.scratch(spark, "stream")
+    for late in (False, True):
+        chunks.where(F.col("late") == late).select("session_id", "seq", "chunk").write.parquet(f"{folder}/in/late={late}")
+        source = spark.readStream.schema("session_id string, seq string, chunk binary").option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        changes = transcript_stream.ledger_changes(transcript_stream.lines(source))
+        run = changes.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = transcript_stream.ledger_of(spark.read.schema(transcript_stream.CHANGE).parquet(f"{folder}/changes"))
+    return out.select("session_id", "ord", "uuid", "source", sha256(F.col("text")).alias("text_sha256"))
+
+
+@query("""WITH d AS (SELECT CAST(doc_id // 10 AS VARCHAR) AS run_id, doc_id % 10 AS k, coalesce(text, '') AS text FROM documents), w AS (SELECT run_id FROM d GROUP BY run_id HAVING count(DISTINCT k) = 10)
+    SELECT run_id, ['summary', 'timeline', 'user_messages', 'spans', 'rehydrated', 'state', 'manifest', 'handoff', 'after_transcript', 'result'][k + 1] AS kind, strlen(text) AS bytes, sha256(text) AS sha256, true AS sound FROM d JOIN w USING (run_id)""")
+def run_folders(spark, sf_dir):
+    """Texts as artifacts of runs, ten each, written to run folders and read back by their manifests."""
+    d = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*map(F.lit, run_sink.KINDS)), F.pmod("doc_id", F.lit(10)).cast("int") + 1)
+    folder = folders.scratch(spark, "runs")
+    run_sink.write_runs(d.select(F.floor(F.col("doc_id") / 10).cast("string").alias("run_id"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("content")), folder)
+    read = run_sink.read_runs(spark, folder)
+    return read.select("run_id", "kind", F.octet_length("content").cast("long").alias("bytes"), sha256(F.col("content")).alias("sha256"), "sound")
+
+
+@query()
+def exact_token_counts(spark, sf_dir):
+    """Token counts of whole texts by a tokenizer file, beside the estimate; a test holds them against the tokenizer."""
+    import public_tokenizers
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = token_counts.counted(token_counts.counted(d, "text", "estimated"), "text", "exact", public_tokenizers.path("byte_bpe_50k.json"))
+    return both.select("doc_id", "estimated", "exact")

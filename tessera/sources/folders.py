@@ -27,3 +27,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     folder = scratch(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def store(uri: str):
+    """File system of pyarrow and path of a folder; the schemes of Hadoop's S3 connectors are read as s3."""
+    from pyarrow import fs
+
+    head, sep, rest = uri.partition(":")
+    if not sep:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(("s3" if head in ("s3a", "s3n") else head) + sep + rest)
