@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import token_counts
 from tessera.functions.text import sha256
-from tessera.operators import scoring, tools
+from tessera.operators import perturb, scoring, tools
 from tessera.plans import reask, rounds
 from tessera.plans.queries import _INTENT, E, query, table, turns
 from tessera.plans.record_queries import _J, quoted
@@ -174,3 +174,27 @@ def exact_token_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = token_counts.counted(token_counts.counted(d, "text", "estimated"), "text", "exact", public_tokenizers.path("byte_bpe_50k.json"))
     return both.select("doc_id", "estimated", "exact")
+
+
+_CLAIM = perturb.OVERSTATED
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(left(coalesce(text, ''), 40), '[^A-Za-z ]', ' ', 'g') AS x FROM documents),
+    s AS (SELECT doc_id, '# Handoff' AS head, '## Next Step' || chr(10) || '- [pending] ' || x AS nxt, '## Rules And Invariants' || chr(10) || '- keep ' || x AS rul, '## Open Constraints' || chr(10) || '- never ' || x AS con, '## Active Files' || chr(10) || '- f.py' AS act, '## Artifacts' || chr(10) || '- m' AS art, '## Work' || chr(10) || '- see `src/a.py` at /w/real' || chr(10) || t AS wrk FROM d),
+    v AS (SELECT doc_id, concat_ws(chr(10), head, nxt, rul, con, act, art, wrk) AS whole, unnest([
+        struct_pack(variant := 'clean', x := concat_ws(chr(10), head, nxt, rul, con, act, art, wrk)),
+        struct_pack(variant := 'drop_next_action', x := regexp_replace(regexp_replace(concat_ws(chr(10), head, rul, con, act, art, wrk), '(?im)^.*\[(?:pending|todo|in[_ -]?progress|open|active|[ ])\].*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')),
+        struct_pack(variant := 'drop_rules', x := concat_ws(chr(10), head, nxt, act, art, wrk)),
+        struct_pack(variant := 'inject_overstatement', x := concat_ws(chr(10), head, '', '- {_CLAIM}', nxt, rul, con, act, art, wrk)),
+        struct_pack(variant := 'factual_drift', x := concat_ws(chr(10), head, nxt, rul, con, act, art, replace(wrk, '/w/real', '/w/other'))),
+        struct_pack(variant := 'reformat_headers', x := regexp_replace(regexp_replace(concat_ws(chr(10), head, nxt, rul, con, act, art, wrk), '(?m)^## (.+)$', '=== \1 ===', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')),
+        struct_pack(variant := 'bullet_restyle', x := regexp_replace(concat_ws(chr(10), head, nxt, rul, con, act, art, wrk), '(?m)^- ', '* ', 'g'))]) AS v FROM s)
+    SELECT doc_id AS run_id, v.variant AS variant, v.variant = 'clean' OR v.x <> whole AS applied, sha256(v.x) AS text_sha256 FROM v""")
+def handoff_variants(spark, sf_dir):
+    """Handoffs made of whole documents, made worse or only different; what names files is told apart in a test."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    x = F.regexp_replace(F.left("text", F.lit(40)), "[^A-Za-z ]", " ")
+    part = lambda *xs: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in xs))
+    handoff = F.concat_ws("\n", F.lit("# Handoff"), part("## Next Step\n- [pending] ", x), part("## Rules And Invariants\n- keep ", x), part("## Open Constraints\n- never ", x), F.lit("## Active Files\n- f.py"), F.lit("## Artifacts\n- m"), part("## Work\n- see `src/a.py` at /w/real\n", F.col("text")))
+    v = perturb.variants(d.select(F.col("doc_id").alias("run_id"), handoff.alias("handoff")), F.lit("/w/real"), F.lit("/w/other"))
+    return v.where("variant <> 'strip_artifacts'").select("run_id", "variant", "applied", sha256(F.col("text")).alias("text_sha256"))

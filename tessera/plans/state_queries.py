@@ -255,20 +255,20 @@ def pickup_readiness(spark, sf_dir):
 
 
 def _trials(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id < 60")
+    d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     each = d.select(F.concat(F.lit("run"), (k % 3).cast("string")).alias("run_id"), k.alias("trial"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("criterion"))
     t = F.col("trial")
     return each.select("run_id", "trial", F.when((t % 5 == 1) & (F.col("criterion") == "b"), "odd").when((t % 5 == 2) & (F.col("criterion") == "b"), "a").otherwise(F.col("criterion")).alias("criterion"), F.when(t % 5 == 3, "vague").otherwise("clear").alias("level"), F.lit("q").alias("quote"), F.array(F.when(t % 5 == 4, "ev-9").otherwise("ev-1")).alias("refs"))
 
 
-@query("""SELECT 'run' || (doc_id % 3) AS run_id, doc_id AS trial, CASE doc_id % 5 WHEN 1 THEN 'unknown criterion' WHEN 2 THEN 'repeated criterion' WHEN 3 THEN 'unknown level' ELSE 'unknown ref' END AS error FROM documents WHERE doc_id < 60 AND doc_id % 5 > 0""")
+@query("""SELECT 'run' || (doc_id % 3) AS run_id, doc_id AS trial, CASE doc_id % 5 WHEN 1 THEN 'unknown criterion' WHEN 2 THEN 'repeated criterion' WHEN 3 THEN 'unknown level' ELSE 'unknown ref' END AS error FROM documents WHERE doc_id % 5 > 0""")
 def judge_rejects(spark, sf_dir):
     known = spark.createDataFrame([(f"run{i}", "ev-1") for i in range(3)], "run_id string, ref string")
     return judging.rejects(_trials(spark, sf_dir), ["a", "b"], known)
 
 
-@query("""SELECT 'run' || (doc_id % 3) AS run_id, 'ev-9' AS ref, true AS warned FROM documents WHERE doc_id < 60 AND doc_id % 5 = 4 GROUP BY 1""")
+@query("""SELECT 'run' || (doc_id % 3) AS run_id, 'ev-9' AS ref, true AS warned FROM documents WHERE doc_id % 5 = 4 GROUP BY 1""")
 def judge_references(spark, sf_dir):
     """References that verdicts name and nobody gave, and totals that differ from the counted ones."""
     capsules = spark.createDataFrame([(f"run{i}", "ev-1") for i in range(3)], "run_id string, id string")
@@ -379,14 +379,17 @@ def carried_messages(spark, sf_dir):
     return flat.drop("text").join(leaks, ["session_id", "line"], "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
 
 
-@query("""SELECT 'lane-' || l AS lane_id, CASE WHEN l < 4 THEN 'single' ELSE 'repeated' END AS suite, l % 2 = 1 AS missing, CASE WHEN l % 2 = 0 THEN l * 1500 / 1000.0 END AS wall, CASE WHEN l % 2 = 0 THEN l END AS used FROM (SELECT unnest(range(8)) AS l)""")
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS bought, CAST(sum(CASE WHEN event_type = 'purchase' THEN event_id % 50 END) AS BIGINT) AS spent FROM events GROUP BY user_id)
+    SELECT 'lane-' || user_id AS lane_id, CASE WHEN user_id % 2 = 0 THEN 'single' ELSE 'repeated' END AS suite, bought = 0 AS missing, CASE WHEN bought > 0 THEN bought * 1500 / 1000.0 END AS wall, spent AS used FROM u""")
 def lane_suites(spark, sf_dir):
-    """Lanes of all suites with their runs; lanes without one stay."""
-    lane = lambda a, b, suite: spark.range(a, b).select(F.concat(F.lit("lane-"), F.col("id").cast("string")).alias("lane_id"), F.concat(F.lit("dir"), F.col("id").cast("string")).alias("run_dir"), F.lit(suite).alias("suite"))
-    both = reports.lane_suite(lane(0, 4, "single"), lane(4, 8, "repeated"), "all")
-    results = spark.range(0, 8, 2).select(F.concat(F.lit("dir"), F.col("id").cast("string")).alias("run_dir"), (F.col("id") * 1500).alias("ms"), F.parse_json(F.concat(F.lit('{"output_tokens":'), F.col("id").cast("string"), F.lit("}"))).alias("usage"))
+    """Lanes of all suites with their runs: a lane for each user, a run where the user bought something; lanes without one stay."""
+    e = table(spark, sf_dir, "events")
+    lane = e.select("user_id").distinct().select(F.concat(F.lit("lane-"), F.col("user_id").cast("string")).alias("lane_id"), F.concat(F.lit("dir"), F.col("user_id").cast("string")).alias("run_dir"), F.when(F.col("user_id") % 2 == 0, "single").otherwise("repeated").alias("suite"))
+    both = reports.lane_suite(lane.where("suite = 'single'"), lane.where("suite = 'repeated'"), "all")
+    bought = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id") % 50).alias("spent"))
+    results = bought.select(F.concat(F.lit("dir"), F.col("user_id").cast("string")).alias("run_dir"), (F.col("n") * 1500).alias("ms"), F.parse_json(F.concat(F.lit('{"output_tokens":'), F.col("spent").cast("string"), F.lit("}"))).alias("usage"))
     out = ranking.lanes(both, results)
-    return out.select("lane_id", "suite", "missing", ranking.wall_seconds(F.col("ms")).alias("wall"), ranking.tokens_used(F.col("usage"), ["completion_tokens", "output_tokens"]).cast("int").alias("used"))
+    return out.select("lane_id", "suite", "missing", ranking.wall_seconds(F.col("ms")).alias("wall"), ranking.tokens_used(F.col("usage"), ["completion_tokens", "output_tokens"]).alias("used"))
 
 
 _SCORES = "r AS (SELECT source AS run_id, count(*) AS n, sum(n_chars) AS c FROM documents GROUP BY source)"
@@ -400,13 +403,13 @@ def score_markdown(spark, sf_dir):
     return reports.score_table(rows)
 
 
-@query("""WITH a AS (SELECT 'lane-' || user_id AS lane_id, CAST(count(*) % 90 AS DOUBLE) AS s, CASE WHEN user_id % 3 > 0 THEN CAST(count(*) AS DOUBLE) END AS w, user_id % 2 = 0 AS g FROM events WHERE user_id < 40 GROUP BY user_id),
+@query("""WITH a AS (SELECT 'lane-' || user_id AS lane_id, CAST(count(*) % 90 AS DOUBLE) AS s, CASE WHEN user_id % 3 > 0 THEN CAST(count(*) AS DOUBLE) END AS w, user_id % 2 = 0 AS g FROM events GROUP BY user_id),
     q AS (SELECT *, floor(0.65 * s * CASE WHEN g THEN 1.0 ELSE 0.88 END * 10 + 0.5) / 10 AS quality, CASE WHEN w > 0 THEN floor(least(100.0, 1500.0 / w) * 10 + 0.5) / 10 END AS speed FROM a),
     c AS (SELECT *, floor((0.6 * quality + 0.4 * speed) * 10 + 0.5) / 10 AS combined FROM q), k AS (SELECT *, CASE WHEN combined IS NOT NULL THEN row_number() OVER (PARTITION BY combined IS NULL ORDER BY combined DESC, quality DESC, w, lane_id) END AS rank FROM c)
     SELECT coalesce(rank::VARCHAR, '—') AS place, lane_id AS lane, coalesce(printf('%.1f', combined), '—') AS combined, printf('%.1f', quality) AS quality, coalesce(printf('%.1f', speed), '—') AS speed, CASE WHEN g THEN 'pass' ELSE 'fail' END AS gate FROM k""")
 def lane_table(spark, sf_dir):
     """The ranking as table cells."""
-    e = table(spark, sf_dir, "events").where("user_id < 40").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     rows = e.select(F.concat(F.lit("lane-"), F.col("user_id").cast("string")).alias("lane_id"), (F.col("n") % 90).cast("double").alias("deterministic_score"), F.lit(0.0).alias("judge_score"), (F.col("user_id") % 2 == 0).alias("gate_pass"), F.when(F.col("user_id") % 3 > 0, F.col("n").cast("double")).alias("wall_seconds"))
     return ranking.table(ranking.ranked(rows))
 
@@ -468,11 +471,11 @@ def shortened_edits(spark, sf_dir):
     return c.select("doc_id", "c.compressed", sha256(F.col("c.body")).alias("body_sha256"))
 
 
-@query("""SELECT 'run' || (doc_id % 7) AS run_id, count(*) AS required, true AS state_read, '1<a>' || chr(10) || 'new' || chr(10) || '<b>2' AS page FROM documents WHERE doc_id < 70 GROUP BY 1""")
+@query("""SELECT 'run' || (doc_id % 7) AS run_id, count(*) AS required, true AS state_read, '1<a>' || chr(10) || 'new' || chr(10) || '<b>2' AS page FROM documents GROUP BY 1""")
 def run_artifacts(spark, sf_dir):
     """Fixtures and states written as JSON and read again, joined to the records that point to them."""
     folder = folders.scratch(spark, "artifacts")
-    d = table(spark, sf_dir, "documents").where("doc_id < 70")
+    d = table(spark, sf_dir, "documents")
     run = F.concat(F.lit("run"), (F.col("doc_id") % 7).cast("string"))
     d.groupBy(run.alias("run_id")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("required_literals")).write.json(f"{folder}/fixtures")
     fixtures = spark.read.schema("run_id string, required_literals array<string>").json(f"{folder}/fixtures")
