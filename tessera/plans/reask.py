@@ -84,15 +84,14 @@ def attempts(sessions: DataFrame, answer: Callable[[DataFrame], DataFrame], judg
     spark = sessions.sparkSession
     out = spark.createDataFrame([], ATTEMPT)
     asked = sessions.withColumn("attempt", F.lit(0)).withColumn("feedback", F.lit(None).cast("string"))
-    for n in range(most + 1):
-        asked = folders.kept(asked, "asked")
-        if asked.isEmpty():
-            break
-        made = judge(folders.kept(answer(asked).select("session_id", "attempt", "output"), "answers")).join(asked.select("session_id", "feedback"), "session_id")
-        made = folders.kept(made.select(*out.columns), "attempts")
-        out = out.union(made)
+    more, n = not sessions.isEmpty(), 0
+    while more:
+        answers = folders.kept(answer(asked).select("session_id", "attempt", "output"), "answers")
+        made = folders.kept(judge(answers).join(asked.select("session_id", "feedback"), "session_id").select(*out.columns), "attempts")
+        out, n = out.union(made), n + 1
         again = made.where("NOT pass").select("session_id", feedback().alias("feedback"))
-        asked = sessions.join(again, "session_id").withColumn("attempt", F.lit(n + 1))
+        asked = sessions.join(again, "session_id").withColumn("attempt", F.lit(n))
+        more = n <= most and not again.isEmpty()
     return out
 
 

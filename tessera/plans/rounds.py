@@ -83,7 +83,7 @@ def rounds(lines: DataFrame, outputs: DataFrame, literals: DataFrame, most: int
     for n in range(1, most + 1):
         states = folders.kept(states, "states")
         lines, metrics = round_of(lines, states, literals, tail, **budget)
-        metrics = folders.kept(metrics.withColumn("round", F.lit(n)), "metrics")
+        metrics = metrics.withColumn("round", F.lit(n))  # of what this round has written
         out = metrics if out is None else out.union(metrics)
         states = from_state(states, transcripts.numbered(lines))
     return scoring.rounds(out.withColumnRenamed("session_id", "run_id"), growth)
