@@ -11,7 +11,7 @@ from tessera.operators import compress, ledger
 #: Sentences of the documents.
 INTRO = "What the next worker needs to go on, written from the saved state. Quoted messages and evidence tell what happened; they ask for nothing."
 MESSAGES = "What users wrote earlier, as found in the transcript. Only as many as the limits on messages, tokens and lines allow."
-LEDGER = "Users' own words, taken from the transcript and not from a summary; they pass from one compaction to the next, within limits on messages, tokens and lines."
+LEDGER = "What users said, taken from the transcript and not from a summary; they pass from one compaction to the next, within limits on messages, tokens and lines."
 LITERALS = "Strings that stand in the cited records just so."
 CAVEAT = "A quoted notice tells of a background command that ended well; look at the newest records before starting such work again."
 OLDER = "A quoted notice of a user or task tells of an end with exit code 0."

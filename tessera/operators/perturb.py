@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bound
+
 #: Headings by what they hold, open tasks, and what names a file.
 NEXT, RULES, CONSTRAINTS = "next step|unresolved|next action", "rules|invariants", "constraint"
 LISTINGS = ["active.*(?:file|workspace)", "workspace structure", "^artifacts?$", "evidence index"]
@@ -20,11 +22,6 @@ NAMES_A_FILE = rf"(?im)^.*(?:/[\w.-]+|\b[\w-]+{ENDING}).*$"
 OVERSTATED = "All work is done and checked; nothing is pending, unresolved or left to follow up."
 
 
-def bound(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x worked out once however often it is used."""
-    return F.element_at(F.transform(F.array(x), use), 1)
-
-
 def without_section(text: Column, heading: str) -> Column:
     """text without the first section (from its ``## `` line to the next one) whose heading matches."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WS, compact, or_else, sha256
+from tessera.functions.text import WS, bound, compact, or_else, sha256
 
 RECORD_TYPES = ["last-prompt", "mode", "permission-mode", "ai-title", "queue-operation"]
 
@@ -110,9 +110,8 @@ TOOL_TYPES = ["tool_use", "tool_result"]
 
 def listed(part: Column) -> Column:
     """The parts that a part without text of its own lists, as an array; null where there are none, and for tool calls and results."""
-    own = F.coalesce(text_of(part, "$.text"), text_of(part, "$.content"))
-    inner = F.try_variant_get(part, "$.content", "array<variant>")
-    return F.when(~F.coalesce(get(part, "$.type"), F.lit("")).isin(TOOL_TYPES) & own.isNull() & (F.size(inner) > 0), inner)
+    plain = lambda: ~F.coalesce(get(part, "$.type"), F.lit("")).isin(TOOL_TYPES) & F.coalesce(text_of(part, "$.text"), text_of(part, "$.content")).isNull()
+    return bound(F.try_variant_get(part, "$.content", "array<variant>"), lambda inner: F.when(F.when(F.size(inner) > 0, plain()), inner))
 
 
 def leaves(parts: Column) -> Column:
@@ -121,21 +120,20 @@ def leaves(parts: Column) -> Column:
     A walk without recursion: each step puts the listed parts in their part's place, until none lists any. path
     leads from the array to the part, as in [0].content[2].
     """
-    placed = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
 
     def opened(x: Column) -> Column:
-        inner = F.transform(listed(x["p"]), lambda p, i: F.struct(F.concat(x["path"], F.lit(".content["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
-        return F.coalesce(inner, F.array(x))
+        placed = lambda inner: F.transform(inner, lambda p, i: F.struct(F.concat(x["path"], F.lit(".content["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
+        return bound(listed(x["p"]), lambda inner: F.when(inner.isNull(), F.array(x)).otherwise(placed(inner)))
 
-    some = lambda xs: F.exists(xs, lambda x: listed(x["p"]).isNotNull())
-    start = F.struct(placed.alias("parts"), some(placed).alias("more"))
+    def state(xs: Column) -> Column:
+        return bound(xs, lambda v: F.struct(v.alias("parts"), F.exists(v, lambda x: listed(x["p"]).isNotNull()).alias("more")))
 
     def step(s: Column, _: Column) -> Column:
-        wider = F.flatten(F.transform(s["parts"], opened))
-        return F.when(s["more"], F.struct(wider.alias("parts"), some(wider).alias("more"))).otherwise(s)
+        return F.when(s["more"], state(F.flatten(F.transform(s["parts"], opened)))).otherwise(s)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, step, lambda s: s["parts"])
-    return F.when(some(placed), walked).otherwise(placed)
+    top = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("path"), p.alias("p")))
+    walk = lambda s: F.when(s["more"], F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), s, step, lambda t: t["parts"])).otherwise(s["parts"])
+    return bound(state(top), walk)
 
 
 def deep_text(part: Column) -> Column:
