@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compact, drop_newline_end, drop_newline_start, fence, first_distinct, or_else, sha256, trim_ws, xml_escape
@@ -65,8 +65,9 @@ def tail_records(entries: DataFrame, most: int = 12) -> DataFrame:
     """(session_id, records) of latest entries (line, type, role, timestamp, text), long texts collapsed."""
     c = compress.collapsed_tail(F.coalesce("text", F.lit("")))
     one = F.struct("line", "type", "role", "timestamp", c["compressed"].alias("collapsed"), c["omitted_chars"].alias("omitted_chars"), c["body"].alias("text"))
-    ordered = entries.groupBy("session_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
-    return ordered.select("session_id", F.slice("r", F.greatest(F.size("r") - most + 1, F.lit(1)), F.lit(most)).alias("records"))
+    last = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("line").desc()))
+    kept = entries.withColumn("_last", last).where(F.col("_last") <= most)
+    return kept.groupBy("session_id").agg(F.array_sort(F.collect_list(one)).alias("records"))
 
 
 def tail_section(records: Column, policy: Column) -> Column:
