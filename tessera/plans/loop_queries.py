@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import token_counts
 from tessera.functions.text import sha256
 from tessera.operators import perturb, scoring, tools
-from tessera.plans import reask, rounds
+from tessera.plans import reask, replay, rounds
 from tessera.plans.queries import _INTENT, E, query, table, turns
 from tessera.plans.record_queries import _J, quoted
 from tessera.sources import folders, run_sink, transcripts
@@ -198,3 +198,45 @@ def handoff_variants(spark, sf_dir):
     handoff = F.concat_ws("\n", F.lit("# Handoff"), part("## Next Step\n- [pending] ", x), part("## Rules And Invariants\n- keep ", x), part("## Open Constraints\n- never ", x), F.lit("## Active Files\n- f.py"), F.lit("## Artifacts\n- m"), part("## Work\n- see `src/a.py` at /w/real\n", F.col("text")))
     v = perturb.variants(d.select(F.col("doc_id").alias("run_id"), handoff.alias("handoff")), F.lit("/w/real"), F.lit("/w/other"))
     return v.where("variant <> 'strip_artifacts'").select("run_id", "variant", "applied", sha256(F.col("text")).alias("text_sha256"))
+
+
+#: What is wrong with a conversation's saved output, by its number.
+_SAVED = f"""f AS (SELECT session_id, line, role, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS hash FROM e), {_INTENT.replace("FROM e WHERE", "FROM f WHERE")},
+    r AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line) AS line, text FROM f),
+    n AS (SELECT session_id, count(*) AS n, CAST(session_id AS BIGINT) % 8 AS c FROM f GROUP BY session_id)"""
+
+
+@query(f"""WITH {E}, {_SAVED}, m AS (SELECT session_id, count(*) AS messages FROM i GROUP BY session_id),
+    p AS (SELECT n.session_id, string_agg('- span-000' || k || ' | Work | lines ' || r.line || '-' || r.line || ' | chars 0-' || length(r.text) || ' | code capsules 0' || chr(10) || '```' || chr(10) || regexp_replace(r.text, '\\n\\z', '') || chr(10) || '```', chr(10) || chr(10) ORDER BY k) AS parts
+        FROM n, (SELECT unnest([1, 2]) AS k) x, r WHERE r.session_id = n.session_id AND r.line = CASE k WHEN 1 THEN 1 ELSE n.n END GROUP BY n.session_id)
+    SELECT n.session_id, CASE c WHEN 1 THEN '{replay.NOT_JSON}' WHEN 2 THEN 'summary_blocks has a bad span' WHEN 3 THEN 'current_work must not be blank' WHEN 4 THEN 'rules_and_invariants has an unknown status' WHEN 5 THEN 'transcript_lines_seen differs' END AS error,
+        CASE WHEN c IN (0, 6, 7) THEN 10 END AS artifacts, CASE WHEN c IN (0, 6, 7) THEN CAST(least(64, coalesce(messages, 0)) AS BIGINT) END AS messages, CASE WHEN c IN (0, 6, 7) THEN true END AS sound,
+        CASE WHEN c IN (0, 6, 7) THEN sha256('## Work' || chr(10) || CASE c WHEN 7 THEN '' ELSE '- ' END || 'turn ' || n.n || chr(10) || '- last' || chr(10) || chr(10) || '## Rehydration Spans' || chr(10) || trim(parts, chr(10)) || chr(10)) END AS rehydrated_sha256
+    FROM n JOIN p USING (session_id) LEFT JOIN m USING (session_id)""")
+def replayed_runs(spark, sf_dir):
+    """Saved outputs of all conversations, five of eight broken in some way, replayed into run folders and read back."""
+    t = turns(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    lines = transcripts.from_turns(t.select(F.col("session_id").alias("conv_id"), (F.col("line") - 1).alias("turn"), "role", "text"))
+    c, n = F.pmod(F.col("session_id").cast("long"), F.lit(8)), F.col("n")
+    block = lambda form, body, a, b: F.struct(F.lit("Work").alias("section"), form.alias("format"), body.alias("body"), F.array(F.struct(a.alias("start_line"), b.alias("end_line"))).alias("source_spans"))
+    blocks = F.array(block(F.when(c == 7, "code_block").otherwise("bullet"), F.concat(F.lit("turn "), n.cast("string")), F.lit(1), F.lit(1)), block(F.lit("bullet"), F.lit("last"), n, F.when(c == 2, n + 1).otherwise(n)))
+    rule = F.struct(F.lit("keep rows").alias("rule"), F.when(c == 4, "kept").otherwise("superseded").alias("status"), F.array().cast("array<string>").alias("source_spans"))
+    rules = F.when(c == 4, F.array(rule)).otherwise(F.array().cast("array<struct<rule:string,status:string,source_spans:array<string>>>"))
+    output = F.to_json(F.struct(
+        blocks.alias("summary_blocks"), rules.alias("rules_and_invariants"), F.array().cast("array<string>").alias("plans_and_task_state"), F.when(c == 3, " ").otherwise("work").alias("current_work"), F.lit("go on").alias("optional_next_step"),
+        F.struct(F.lit("/w").alias("cwd")).alias("pickup_state"), F.struct(F.when(c == 5, n + 7).otherwise(n).alias("transcript_lines_seen")).alias("source_integrity"),
+    ))
+    s = t.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    made = s.select("session_id", F.when(c == 1, F.left(output, F.length(output) - 2)).otherwise(output).alias("value"))
+    root = folders.scratch(spark, "replay")
+    # A file for each session, in a folder of its name, as saved outputs lie.
+    made.repartition("session_id").write.partitionBy("session_id").text(f"{root}/saved")
+    saved = replay.saved(spark, f"{root}/saved/*").withColumn("session_id", F.regexp_replace("session_id", "^session_id=", ""))
+    out = replay.replayed(saved, lines, most_tokens=0, most_lines=0)
+    run_sink.write_runs(out.artifacts, f"{root}/runs")
+    runs = run_sink.read_runs(spark, f"{root}/runs")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("content")))
+    read = runs.groupBy(F.col("run_id").alias("session_id")).agg(
+        F.count(F.lit(1)).cast("int").alias("artifacts"), F.coalesce(F.size(F.from_json(of("user_messages"), "array<struct<id:string>>")), F.lit(0)).cast("long").alias("messages"), F.bool_and("sound").alias("sound"), sha256(of("rehydrated")).alias("rehydrated_sha256"),
+    )
+    return s.select("session_id").join(out.rejected.select("session_id", "error"), "session_id", "left").join(read, "session_id", "left")
