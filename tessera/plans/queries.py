@@ -72,12 +72,12 @@ def record_kind_counts(spark, sf_dir):
 
 
 @query(f"""WITH {E}, f AS (SELECT *, CAST(line AS VARCHAR) || '|' || role || chr(10) || text AS r FROM e),
-    g AS (SELECT 'role' AS grouping, role AS key, * FROM f UNION ALL SELECT 'session_id', session_id, * FROM f)
+    g0 AS (SELECT 'role' AS grouping, role AS key, * FROM f UNION ALL SELECT 'session_id', session_id, * FROM f), g AS (SELECT *, max(length(r)) OVER (PARTITION BY grouping, key) AS most FROM g0)
     SELECT grouping, key, count(*) AS records, CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes, CAST(sum(length(text)) AS BIGINT) AS raw_chars, CAST(sum(length(text)) AS BIGINT) AS prompt_chars,
-           CAST(sum(length(r)) AS BIGINT) AS rendered_chars, CAST(sum(strlen(r)) AS BIGINT) AS rendered_bytes, max(length(r)) AS max_rendered_chars FROM g GROUP BY grouping, key""")
+           CAST(sum(length(r)) AS BIGINT) AS rendered_chars, CAST(sum(strlen(r)) AS BIGINT) AS rendered_bytes, max(length(r)) AS max_rendered_chars, min(line) FILTER (WHERE length(r) = most) AS max_line FROM g GROUP BY grouping, key""")
 def render_stats_grouping_sets(spark, sf_dir):
     t = turns(spark, sf_dir).withColumn("r", F.concat(F.col("line").cast("string"), F.lit("|"), F.col("role"), F.lit("\n"), F.col("text")))
-    return stats.by_each(stats.measured(t, "text", "text", "r"), ["session_id", "role"]).drop("max_line")
+    return stats.by_each(stats.measured(t, "text", "text", "r"), ["session_id", "role"])
 
 
 @query(f"""WITH {E} SELECT session_id, line, strlen(text) AS rendered_bytes FROM e ORDER BY strlen(text) DESC, session_id, line LIMIT 15""")
@@ -352,19 +352,43 @@ def lane_ranking(spark, sf_dir):
     return ranking.ranked(lanes).select("lane_id", "quality", "speed", "combined", "rank")
 
 
-@query()
+#: The library's patterns without looking around, which the SQL's expressions lack: word borders stand for it, and separators
+#: that end one path and begin the next are doubled first.
+_DOUBLED = r"""regexp_replace(coalesce(html, ''), '([\s\v"''`])', '\1\1', 'g')"""
+_PATH = r"""(?:^|[\s\v("''`])((?:/[A-Za-z0-9._~+@:%-]+)+|(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.@:%+-]+)(?:$|[\s\v)"''`,;:])"""
+_GROUPS = [
+    ("html", r"(?m)^-\s+`((?:\\`|[^`]){2,220})`", 1), ("html", r"""(?:\b(?:uv run|uv sync|python3?)|\B\.venv/bin/python)[^\n`"]{0,140}""", 0), ("html", r"\b[A-Z][A-Z0-9_]{2,}\b", 0),
+    ("html", r"\b[a-z]+/[a-z0-9.+-]*(?:[a-z0-9]\b|[.+-]\B)", 0), ("html", r"(?m)^@@file ([^\n]+)$", 1), ("doubled", _PATH, 1), ("html", r"`([^`\n]{2,180})`", 1), ("html", r"\b[a-z][a-z0-9_-]{5,}(?:[a-z0-9_]\b|-\B)", 0),
+]
+_FIRST = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+_SQUEEZED = "trim(regexp_replace({}, '{WS}+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH f AS (SELECT page_id, regexp_extract_all({_DOUBLED}, '{_PATH}', 1) AS l FROM pages), d AS (SELECT page_id, {_FIRST("l")}[1:20] AS p FROM f) SELECT page_id, CAST(len(p) AS BIGINT) AS n_paths, p FROM d""")
 def path_literals(spark, sf_dir):
+    """Paths of whole pages."""
     p = table(spark, sf_dir, "pages").select("page_id", literals.paths(F.col("html")).alias("p"))
     return p.select("page_id", F.size("p").cast("long").alias("n_paths"), "p")
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, coalesce(html, '') AS html, {_DOUBLED} AS doubled FROM pages),
+    f AS (SELECT page_id, {", ".join(f"regexp_extract_all({text}, '{pattern}', {group}) AS r{i}" for i, (text, pattern, group) in enumerate(_GROUPS))} FROM t),
+    n AS (SELECT page_id, {", ".join(f"list_filter(list_transform(r{i}, lambda x: trim(left({_SQUEEZED.replace('{}', 'x')}, 180), ' ')), lambda x: length(x) >= 2) AS n{i}" for i in range(8))} FROM f),
+    d AS (SELECT page_id, {", ".join(f"{_FIRST(f'n{i}')} AS d{i}" for i in range(8))} FROM n),
+    o AS (SELECT * REPLACE (list_transform(list_sort(list_transform(d5, lambda x: struct_pack(a := NOT starts_with(x, '/'), b := -length(x), t := x))), lambda s: s.t) AS d5) FROM d),
+    w AS (SELECT page_id, list_concat({", ".join(f"d{i}[1:{cap}]" for i, (_, _, cap) in enumerate(literals.EVIDENCE))}) AS l FROM o)
+    SELECT page_id, {_FIRST("l")}[1:128] AS literals FROM w""")
 def evidence_quota(spark, sf_dir):
+    """Literals of whole pages, all eight groups within their caps."""
     return table(spark, sf_dir, "pages").select("page_id", literals.evidence(F.col("html")).alias("literals"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    f AS (SELECT doc_id, list_concat(regexp_extract_all(text, '`([^`\n]{{2,80}})`', 1), list_filter(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9_.:/-]+[A-Za-z0-9_]\b'), lambda x: lower(x) NOT IN ({", ".join(f"'{w}'" for w in literals.STOP)}) AND (regexp_matches(x, '[A-Z0-9_./:-]') OR length(x) >= 10))) AS l FROM t),
+    n AS (SELECT doc_id, list_filter(list_transform(l, lambda x: {_SQUEEZED.replace("{}", "x")}), lambda x: x <> '') AS n FROM f)
+    SELECT doc_id, {_FIRST("n")}[1:16] AS concepts FROM n""")
 def concepts(spark, sf_dir):
+    """Backticked spans and names of whole documents."""
     return table(spark, sf_dir, "documents").select("doc_id", literals.concepts(F.col("text")).alias("concepts"))
 
 
