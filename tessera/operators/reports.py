@@ -5,6 +5,9 @@ All tables are of report size: groups, top lists, runs; each is one row of text
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +119,14 @@ def judge_schema(criteria: list[str], rubric: str = "", hashes: dict[str, str] |
         total_level_score={"type": "integer", "minimum": 0, "maximum": 2 * len(criteria)}, overall_pass={"type": "boolean"},
         dimensions={"type": "array", "minItems": len(criteria), "maxItems": len(criteria), "items": verdict}, unknowns=listed, evidence_refs=listed,
     )
+
+
+def document_checks(documents: DataFrame, checks: dict[str, list[str]]) -> DataFrame:
+    """(doc, check, passed) of documents (doc, content): a check passes where one line matches all of its patterns.
+
+    A null or empty document passes only what an empty line matches; checks come in their given order within a document.
+    """
+    lines = F.split(F.coalesce("content", F.lit("")), "\n")
+    every = lambda patterns: lambda line: reduce(and_, (line.rlike(p) for p in patterns))
+    told = F.array(*(F.struct(F.lit(name).alias("check"), F.exists(lines, every(patterns)).alias("passed")) for name, patterns in checks.items()))
+    return documents.select("doc", F.explode(told).alias("c")).select("doc", "c.check", "c.passed")

@@ -14,23 +14,26 @@ from tessera.plans.record_queries import _J, _NL, quoted
 from tessera.sources import artifacts, folders, sse
 
 
-@query(f"""WITH {E} SELECT session_id, line, '&lt;a b=&quot;' || replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped, true AS round_trip, 'last' AS attribute, 'x&y' AS other_attribute,
+@query(f"""WITH {E}, t AS (SELECT session_id, line, coalesce(text, '') AS text, coalesce(hash, sha256('')) AS hash FROM e),
+    w AS (SELECT *, list_filter(list_transform(string_split(text, ' '), lambda x: trim(regexp_replace(x, '{{WS}}+', ' ', 'g'), ' ')), lambda x: x <> '') AS words FROM t)
+    SELECT session_id, line, '&lt;a b=&quot;' || replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped, true AS round_trip, text AS attribute, left(text, 9) || '&' AS other_attribute,
     replace(replace(text, '|', '\\|'), chr(10), ' ') || '\\|x' AS cell, regexp_replace(text, '[ \\t]+(\\n|\\z)', '\\1', 'g') AS code, regexp_replace(replace(left(text, 20), '|', '/'), '{{WS}}+', '_', 'g') AS field, line AS number, '``````' AS fence,
-    sha256('{{"text":' || {_J("text")} || '}}') AS fingerprint, false AS is_uuid, true AS is_sha, line % 3 > 0 AS is_range, floor(line / 3.0 * 10 + 0.5) / 10 AS rounded, CAST(line AS BIGINT) AS first_line, list_slice(list_distinct_ordered, 1, 3) AS firsts
-    FROM (SELECT *, CASE WHEN line % 2 = 0 THEN ['a', 'b', 'c d'] ELSE ['a', 'b'] END AS list_distinct_ordered FROM (SELECT session_id, line, coalesce(text, '') AS text, coalesce(hash, sha256('')) AS hash FROM e))""".replace("{{WS}}", "{WS}"))
+    sha256('{{"text":' || {_J("text")} || '}}') AS fingerprint, line % 2 = 0 AS is_uuid, line % 2 = 1 AS is_sha, line % 3 > 0 AS is_range, floor(line / 3.0 * 10 + 0.5) / 10 AS rounded, CAST(line AS BIGINT) AS first_line, list_filter(words, lambda v, i: list_position(words, v) = i)[1:3] AS firsts
+    FROM w""".replace("{{WS}}", "{WS}"))
 def scalar_functions(spark, sf_dir):
-    """Escapes, cells, code, fences, numbers, fingerprints, syntax tests, ranges, first distinct items."""
+    """Escapes, attributes, cells, code, fences, numbers, fingerprints, syntax tests, ranges and first distinct words of the turns' texts."""
     t, n = F.coalesce("text", F.lit("")), F.col("line")
     digest = F.coalesce("hash", sha256(F.lit("")))
+    # An even line's digest in the shape of a UUID.
+    named = F.when(n % 2 == 0, F.regexp_replace(F.left(digest, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).otherwise(digest)
     xml = F.concat(F.lit('<a b="'), t)
-    attributes = text.xml_attributes(F.lit('a="1" b="x&amp;y" a="last"'))
-    items = F.when(n % 2 == 0, F.array(*map(F.lit, ("a", " a ", "", "b", "c  d", "e")))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit(" "), F.lit("a")))
+    attributes = text.xml_attributes(F.concat(F.lit('a="1" b="'), text.xml_escape(F.concat(F.left(t, F.lit(9)), F.lit("&"))), F.lit('" a="'), text.xml_escape(t), F.lit('"')))
     cited = F.array(F.struct((n + 2).alias("start_line"), n.alias("end_line")), F.struct(n.alias("start_line"), n.alias("end_line")))
     return turns(spark, sf_dir).select(
         "session_id", "line", text.xml_escape(xml).alias("escaped"), (text.xml_unescape(text.xml_escape(xml)) == xml).alias("round_trip"), attributes["a"].alias("attribute"), attributes["b"].alias("other_attribute"),
         text.cell(F.concat(t, F.lit("|x"))).alias("cell"), text.normal_code(F.concat(t, F.lit(" \t\r\n\n"))).alias("code"), text.row_field(F.left(t, F.lit(20))).alias("field"), text.leading_int(F.concat(F.lit(" "), n.cast("string"), F.lit("abc"))).alias("number"), text.fence(F.concat(t, F.lit("`````"))).alias("fence"),
-        text.fingerprint(F.struct(t.alias("text"))).alias("fingerprint"), text.is_uuid(digest).alias("is_uuid"), text.is_sha256(digest).alias("is_sha"), text.is_range(n, n + (n % 3) - F.when(n % 3 == 0, 1).otherwise(0)).alias("is_range"),
-        text.half_up(n / 3, 1).cast("double").alias("rounded"), spans.anchor_start(cited).cast("long").alias("first_line"), text.first_distinct(items, 3).alias("firsts"),
+        text.fingerprint(F.struct(t.alias("text"))).alias("fingerprint"), text.is_uuid(named).alias("is_uuid"), text.is_sha256(named).alias("is_sha"), text.is_range(n, n + (n % 3) - F.when(n % 3 == 0, 1).otherwise(0)).alias("is_range"),
+        text.half_up(n / 3, 1).cast("double").alias("rounded"), spans.anchor_start(cited).cast("long").alias("first_line"), text.first_distinct(F.split(t, " "), 3).alias("firsts"),
     )
 
 
@@ -62,10 +65,10 @@ def evidence_literals(spark, sf_dir):
     return _told(spark, sf_dir).select("session_id", "line", F.array_except(F.filter(literals.evidence(F.col("told")), lambda x: x.rlike("[A-Z/]{2}|/|npm test$") & ~x.startswith("uv") & ~F.contains(x, F.lit(" of "))), F.array(F.lit("See"))).alias("literals"), F.contains("told", F.lit("failed")).alias("has_failed"))
 
 
-def _summaries(spark, sf_dir) -> DataFrame:
+def _summaries(spark, sf_dir, case=None) -> DataFrame:
     """A structured summary by conversation; some break a rule."""
     s = turns(spark, sf_dir).groupBy("session_id").agg(F.max("line").cast("int").alias("n"))
-    c = F.pmod(F.col("session_id").cast("long"), F.lit(6))
+    c = F.pmod(F.col("session_id").cast("long"), F.lit(6)) if case is None else case
     one = lambda a, b: F.array(F.struct(F.lit(a).cast("int").alias("start_line") if isinstance(a, int) else a.alias("start_line"), b.alias("end_line")))
     span = one(1, F.when(c == 2, F.col("n") + 1).otherwise(F.col("n")))
     block = lambda section, form, body: F.struct(F.lit(section).alias("section"), F.lit(form).alias("format"), body.alias("body"), span.alias("source_spans"))
@@ -85,10 +88,33 @@ def _summaries(spark, sf_dir) -> DataFrame:
 _S = f"{E}, s AS (SELECT session_id, CAST(max(line) AS INTEGER) AS n, CAST(session_id AS BIGINT) % 6 AS c FROM e GROUP BY session_id)"
 
 
-@query(f"""WITH {_S} SELECT session_id, 2 AS relaxed, CASE c WHEN 1 THEN 'current_work must not be blank' WHEN 4 THEN 'transcript_lines_seen differs' WHEN 2 THEN 'summary_blocks has a bad span' WHEN 3 THEN 'rules_and_invariants has an unknown status' END AS error FROM s""")
+#: What each case of a summary breaks: the array or field, its value, and the rule that names it.
+_RULES = ["current_work must not be blank", "optional_next_step must not be blank", "summary_blocks must be an array", "rules_and_invariants must be an array", "plans_and_task_state must be an array", None, "source_integrity is missing", "transcript_lines_seen differs", "pickup_state is missing",
+          "summary_blocks has an unknown format", None, "summary_blocks has a blank body", "summary_blocks has a bad span", "rules_and_invariants has a blank rule", "rules_and_invariants has an unknown status", "rules_and_invariants has a bad span",
+          "plans_and_task_state has a blank item", "plans_and_task_state has an unknown status", "plans_and_task_state has a bad span", "promises_made has a blank promise", "promises_made has an unknown status", "promises_made has a bad span"]
+
+
+@query(f"""WITH {E}, s AS (SELECT session_id, CAST(session_id AS BIGINT) % {len(_RULES) + 1} AS k FROM e GROUP BY session_id)
+    SELECT session_id, CASE k WHEN 11 THEN 3 WHEN 3 THEN NULL ELSE 2 END AS relaxed, CASE k {" ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_RULES, 1) if r)} END AS error FROM s""")
 def summary_rules(spark, sf_dir):
-    """Formats relaxed, then the first rule that a summary breaks."""
-    df = summary.with_defaults(summary.relaxed(_summaries(spark, sf_dir)))
+    """Formats relaxed, then the first rule that a summary breaks; each rule is broken in turn, two are mended first."""
+    df = _summaries(spark, sf_dir, F.lit(0))
+    k = F.pmod(F.col("session_id").cast("long"), F.lit(len(_RULES) + 1))
+    whole = {n: F.col(n) for n in df.columns}
+    last = lambda name, key, value: F.transform(name, lambda x, i: F.when(i == F.size(name) - 1, x.withField(key, value)).otherwise(x))
+    past = F.array(F.struct(F.lit(1).alias("start_line"), (F.col("n") + 1).alias("end_line")))
+    nothing = F.array().cast(df.schema["summary_blocks"].dataType.elementType["source_spans"].dataType)
+    backwards = F.array(F.struct(F.lit(2).alias("start_line"), F.lit(1).alias("end_line")))
+    broken = [
+        ("current_work", F.lit(" ")), ("optional_next_step", F.lit(None).cast("string")), *((a, F.lit(None).cast(df.schema[a].dataType)) for a in ("summary_blocks", "rules_and_invariants", "plans_and_task_state", "promises_made", "source_integrity")),
+        ("source_integrity", F.col("source_integrity").withField("transcript_lines_seen", F.col("n") + 5)), ("pickup_state", F.lit(None).cast(df.schema["pickup_state"].dataType)),
+        ("summary_blocks", last("summary_blocks", "format", F.lit("odd"))), ("summary_blocks", F.transform("summary_blocks", lambda b, i: F.when(i == 0, b.withField("body", F.lit("a\nb"))).otherwise(b))), ("summary_blocks", last("summary_blocks", "body", F.lit(" "))), ("summary_blocks", last("summary_blocks", "source_spans", past)),
+    ]
+    for a, t, spans_ in (("rules_and_invariants", "rule", nothing), ("plans_and_task_state", "item", backwards), ("promises_made", "promise", past)):
+        broken += [(a, last(a, t, F.lit(""))), (a, last(a, "status", F.lit("odd"))), (a, last(a, "source_spans", spans_))]
+    for i, (name, value) in enumerate(broken, 1):
+        whole[name] = F.when(k == i, value).otherwise(whole[name])
+    df = summary.with_defaults(summary.relaxed(df.select(*(x.alias(n) for n, x in whole.items()))))
     return df.select("session_id", "relaxed").join(summary.first_error(df, F.col("n")), "session_id")
 
 
@@ -414,11 +440,25 @@ def lane_table(spark, sf_dir):
     return ranking.table(ranking.ranked(rows))
 
 
-@query("""SELECT 'run' || doc_id AS run_id, CASE WHEN doc_id % 5 = 1 THEN 'not ok' WHEN doc_id % 5 = 2 THEN 'no response' WHEN doc_id % 5 = 3 THEN 'judge failed' ELSE 'too few spans' END AS reason FROM documents WHERE doc_id % 5 > 0""")
+@query(f"""WITH {E}, r AS (SELECT session_id AS run_id, count(*) AS spans, count(*) FILTER (WHERE role = 'user') > 1 AS ok, arg_min(role, line) = 'user' AS live, coalesce(arg_max(coalesce(text, ''), line), '') AS response, coalesce(max(length(text)), 0) > 200 AS judged FROM e GROUP BY session_id),
+    v AS (SELECT run_id, CASE WHEN NOT ok THEN 'not ok' WHEN NOT live THEN 'not live' WHEN response = '' THEN 'no response' WHEN NOT judged THEN 'judge failed' WHEN spans < 6 THEN 'too few spans' END AS reason FROM r) SELECT * FROM v WHERE reason IS NOT NULL""")
 def recorded_runs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 5
-    return compact.verified(d.select(F.concat(F.lit("run"), F.col("doc_id").cast("string")).alias("run_id"), (k != 1).alias("ok"), F.lit(True).alias("live"), F.when(k == 2, "").otherwise("r").alias("response"), (k != 3).alias("judge_pass"), F.when(k == 4, 29).otherwise(30).alias("spans")))
+    """Conversations as recorded runs: two messages of the user, the user first, an answer at the end, a text worth judging, six turns."""
+    line, t = F.col("line"), F.coalesce("text", F.lit(""))
+    runs = turns(spark, sf_dir).groupBy(F.col("session_id").alias("run_id")).agg(
+        (F.count_if(F.col("role") == "user") > 1).alias("ok"), (F.min_by("role", line) == "user").alias("live"), F.max_by(t, line).alias("response"), (F.max(F.length(t)) > 200).alias("judge_pass"), F.count(F.lit(1)).alias("spans"),
+    )
+    return compact.verified(runs, 6)
+
+
+#: Checks by name: patterns that one line must match all of.
+_CHECKS = {"a year": ["(?:19|20)[0-9]{2}"], "license and rights": ["(?i)licen[cs]e", "(?i)(?:right|copy|software)"], "a long line": ["^.{400}"], "an assignment": ["[A-Za-z_]+ *= *[^ ]", "[0-9]"], "an empty line": ["^$"]}
+
+
+@query("WITH d AS (SELECT doc_id AS doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) " + " UNION ALL ".join(f"""SELECT doc, '{name}' AS "check", len(list_filter(ls, lambda l: {" AND ".join(f"regexp_matches(l, '{p}')" for p in patterns)})) > 0 AS passed FROM d""" for name, patterns in _CHECKS.items()))
+def document_checks(spark, sf_dir):
+    """Documents held against checks of their lines."""
+    return reports.document_checks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content")), _CHECKS)
 
 
 @query(f"""WITH {E} SELECT session_id, 'intent-' || lpad(line::VARCHAR, 4, '0') AS id, CASE line % 4 WHEN 0 THEN 'unknown kind' WHEN 1 THEN 'text sha256 differs' ELSE 'bad line' END AS error FROM e WHERE line % 4 < 3""")
