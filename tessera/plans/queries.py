@@ -392,6 +392,32 @@ def concepts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", literals.concepts(F.col("text")).alias("concepts"))
 
 
+_CUT = "regexp_replace({}, '^{WS}+|{WS}+$', '', 'g')"
+_IN_QUOTES = r"""'(?s)\A(?:`.*`|".*"|''.*''|\(.*\))\z'"""
+_SCRIPT = rf"(?:\.{{0,2}}/|[A-Za-z0-9_.-]+/)[A-Za-z0-9_./:@%+-]+\.(?:{literals.ENDINGS})\b"
+_PICKUP = literals.PICKUP_PATH.replace("(?=$", "(?:$").replace(r"[\s", r"[\s\v").replace("'", "''")
+
+
+def _cleaned(x: str) -> str:
+    """SQL for a command or path without the marks around it."""
+    cut = lambda y: _CUT.replace("{}", y)
+    inner = f"CASE WHEN regexp_matches({cut(x)}, {_IN_QUOTES}) AND length({cut(x)}) > 1 THEN {cut(f'substr({cut(x)}, 2, length({cut(x)}) - 2)')} ELSE {cut(x)} END"
+    return cut(rf"regexp_replace({inner}, '[.。][\s\v]*\z', '')")
+
+
+@query(rf"""WITH t AS (SELECT page_id, coalesce(html, '') AS html, {_DOUBLED} AS doubled FROM pages),
+    f AS (SELECT page_id, list_concat(regexp_extract_all(html, '`([^`\n]{{2,400}})`', 1), CASE WHEN contains(html, ':') THEN [substr(html, instr(html, ':') + 1)] ELSE [] END, regexp_extract_all(html, '\b(?:{literals.TOOLS})[\s\v]+[^\n;]{{1,360}}', 0)[1:1], regexp_extract_all(html, '(?:^|[\s\v:`])({_SCRIPT}[^\n;]{{0,320}})', 1)[1:1]) AS offered,
+        regexp_extract_all(doubled, '{_PICKUP}', 1) AS found, regexp_extract_all(html, '(?i)\b(?:{literals.RUNNERS})[\s\v]+[^\n.;]*(?:test|check|lint|verify|gate|pytest|vitest|jest|cargo test)[^\n.;]*', 0) AS run FROM t),
+    c AS (SELECT page_id, list_transform(offered, lambda x: {_cleaned("x")}) AS offered, list_transform(found, lambda x: struct_pack(x := x, c := {_cleaned("x")})) AS found, list_transform(run, lambda x: {_SQUEEZED.replace("{}", "x")}) AS run FROM f),
+    k AS (SELECT page_id, list_filter(offered, lambda x: x <> '' AND length(x) <= 400 AND NOT regexp_matches(x, '^[^\s\v]+:[\s\v]+') AND (regexp_matches(x, '^(?:{literals.TOOLS})\b') OR regexp_matches(x, '^{_SCRIPT}'))) AS commands,
+        list_transform(list_filter(found, lambda p: p.c <> '' AND length(p.c) <= 240 AND NOT regexp_matches(p.c, '^https?://') AND (regexp_matches(p.c, '^(?:/|\.{{1,2}}/)') OR regexp_matches(p.c, '^(?:{literals.FOLDERS})/') OR regexp_matches(p.c, '/[^/\s\v]+\.[A-Za-z0-9]{{1,8}}$'))), lambda p: p.x) AS files, list_filter(run, lambda x: x <> '') AS run FROM c)
+    SELECT page_id, coalesce(commands[1], '') AS command, {_FIRST("files")}[1:12] AS files, {_FIRST("run")}[1:12] AS tests FROM k""")
+def pickup_of_pages(spark, sf_dir):
+    """What whole pages offer to go on with: a command, files, commands that test."""
+    none, t = F.array().cast("array<string>"), F.array(F.coalesce("html", F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", literals.next_command(t, F.lit("")).alias("command"), literals.pickup_files(t, none).alias("files"), literals.test_commands(t, none).alias("tests"))
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     block = F.concat(F.lit("event: "), F.col("event_type"), F.lit("\r\ndata: "), F.to_json(F.struct(F.col("event_type").alias("type"), F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("delta"))))
