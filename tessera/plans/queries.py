@@ -197,12 +197,14 @@ def dspc_tokens_df_idf(spark, sf_dir):
 
 @query(f"""WITH {_SEG} SELECT key, term, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 12""")
 def dspc_query_terms(spark, sf_dir):
-    return dspc.query_terms(dspc.terms(dspc.segments(_long(spark, sf_dir)))).select("key", "term", "rank")
+    return dspc.query_terms(dspc.segments(_long(spark, sf_dir))).select("key", "term", "rank")
 
 
 @query(f"""WITH {_SEG} SELECT key, seg, round(stage1, 6) AS stage1, round(attention, 6) AS attention, round(info, 6) AS info, round(alpha, 6) AS alpha FROM al""")
 def dspc_stage1(spark, sf_dir):
-    return dspc.scored(dspc.segments(_long(spark, sf_dir))).select("key", F.col("seg").cast("long").alias("seg"), *(F.round(c, 6).alias(c) for c in ("stage1", "attention", "info", "alpha")))
+    # Outer: a filter for what is empty would work scores out again, for each sentence.
+    s = dspc.scored(dspc.segments(_long(spark, sf_dir))).select("key", F.inline_outer("scores")).where("seg IS NOT NULL")
+    return s.select("key", F.col("seg").cast("long").alias("seg"), *(F.round(c, 6).alias(c) for c in ("stage1", "attention", "info", "alpha")))
 
 
 @query(f"""WITH RECURSIVE {_SEG}, r AS (SELECT key, seg, s, n, kept1, length(s) + 1 AS cost, row_number() OVER (PARTITION BY key ORDER BY alpha DESC, seg) AS k FROM al WHERE rank1 <= kept1 AND n > 1),
