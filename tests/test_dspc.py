@@ -13,7 +13,7 @@ from tessera.plans import catalogue as queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["dspc_selected", "dspc_query_terms", "dspc_tokens_df_idf"])
+@pytest.mark.parametrize("name", ["dspc_selected", "dspc_query_terms", "dspc_tokens_df_idf", "dspc_stage1"])
 def test_counts_once_in_the_row(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("Exchange"), plan.count("ArrowEvalPython [")) == (1, 1)
