@@ -12,6 +12,8 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -24,6 +26,9 @@ KINDS = ["summary", "timeline", "user_messages", "spans", "rehydrated", "state",
 MANIFEST = "run-manifest.json"
 ENTRY = "kind string, file string, sha256 string, bytes long, authority string, retention string, exposure string, redaction string"
 
+#: Bytes and rows of a batch that a task reads before it passes them on, more by one run at most.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
+
 
 class Written(WriterCommitMessage):
     def __init__(self, runs: int, incomplete: int):
@@ -110,10 +115,66 @@ def write_runs(df: DataFrame, folder: str, kinds: list[str] = KINDS) -> None:
     dealt.write.format("run_artifacts").option("kinds", json.dumps(kinds)).mode("append").save(folder)
 
 
+def _names(folder: str):
+    """Folders of runs, listed by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, root = folders.store(folder)
+            found = [i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory and not i.base_name.startswith((".", "_"))]
+            yield pa.RecordBatch.from_pydict({"run_id": pa.array(found, pa.string())})
+
+    return run
+
+
+def _content(store, path: str) -> bytes | None:
+    try:
+        with store.open_input_stream(path) as file:
+            return file.read()
+    except FileNotFoundError:
+        return None
+
+
+def _entries(folder: str, whole: bool, schema: pa.Schema):
+    """What the manifests of runs list, with the files' bytes if whole; some megabytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = folders.store(folder)
+        rows, size = [], 0
+        for name in (x for batch in batches for x in batch.column(0).to_pylist()):
+            try:
+                told = json.loads(_content(store, f"{root}/{name}/{MANIFEST}") or b"{}")
+            except ValueError:
+                continue
+            for entry in told.get("artifacts") or []:
+                row = {"run_id": told.get("run_id")} | entry
+                if whole:
+                    row["content"] = None if "/" in row["file"] else _content(store, f"{root}/{row['run_id']}/{row['file']}")
+                    size += len(row["content"] or b"")
+                rows.append(row)
+            if size > BATCH_BYTES or len(rows) > BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def _listed(spark: SparkSession, folder: str, whole: bool) -> DataFrame:
+    """Tasks open manifests and files by name, so that no list of files passes through the driver."""
+    schema = f"run_id string, {ENTRY}" + (", content binary" if whole else "")
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = pa.schema([(n, types[kind]) for n, kind in (x.split() for x in schema.split(", "))])
+    names = spark.range(0, 1, 1, 1).mapInArrow(_names(folder), "run_id string")
+    # By number, as names are too small for Spark to tell how much work they stand for.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return names.repartition(parts, "run_id").mapInArrow(_entries(folder, whole, fields), schema)
+
+
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, kind, file, sha256, bytes, policies) of all whole runs."""
-    found = spark.read.schema(f"run_id string, artifacts array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>").json(f"{folder}/*/{MANIFEST}")
-    return found.select("run_id", F.explode("artifacts").alias("a")).select("run_id", "a.*")
+    return _listed(spark, folder, whole=False)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,8 +185,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, kind, content, sound) of all whole runs; sound: the file's bytes are those that the manifest tells of."""
-    found = read_manifests(spark, folder).join(_files(spark, folder), ["run_id", "file"], "left")
-    found = found.withColumn("content", F.coalesce("content", F.when(F.col("bytes") == 0, F.lit(b""))))  # files without bytes aren't listed
+    found = _listed(spark, folder, whole=True)
     return found.select("run_id", "kind", F.col("content").cast("string").alias("content"), F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False)).alias("sound"))
 
 

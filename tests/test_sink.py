@@ -75,3 +75,16 @@ def test_object_stores_are_named_as_hadoop_names_them():
     store, root = folders.store("s3a://bucket/runs?region=eu-west-1")
     assert store.type_name == "s3" and root == "bucket/runs"
     assert folders.store("/tmp/x")[1] == "/tmp/x" and folders.store("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_no_list_of_files_passes_through_the_driver(spark, tmp_path):
+    """Tasks find runs and open their files by name; folders without a manifest, and manifests that are none, are passed over."""
+    run_sink.write_runs(artifacts(spark, ["r1", "r2", "r3"]), str(tmp_path))
+    os.mkdir(f"{tmp_path}/empty")
+    with open(f"{tmp_path}/r2/{run_sink.MANIFEST}", "w") as f:
+        f.write("{broken")
+    os.remove(f"{tmp_path}/r1/{run_sink.read_manifests(spark, str(tmp_path)).where("run_id = 'r1' AND kind = 'spans'").first().file}")
+    got = run_sink.read_runs(spark, str(tmp_path))
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.run_id, r.kind) for r in got.collect()) == sorted((r, k) for r in ("r1", "r3") for k in run_sink.KINDS)
+    assert [tuple(r) for r in got.where("NOT sound").select("run_id", "kind", "content").collect()] == [("r1", "spans", None)]
