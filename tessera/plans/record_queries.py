@@ -294,7 +294,7 @@ def record_sizes(spark, sf_dir):
 def lines_round_trip(spark, sf_dir):
     """Transcripts written as files of lines, a folder a session, and read again."""
     folder = folders.scratch(spark, "lines")
-    rows = lines(spark, sf_dir).repartition("session_id").sortWithinPartitions("session_id", "ord")
+    rows = folders.dealt(lines(spark, sf_dir), "session_id").sortWithinPartitions("session_id", "ord")
     rows.select("session_id", "raw").write.partitionBy("session_id").text(folder)
     again = transcripts.parsed(transcripts.read_lines(spark, folder, F.regexp_extract(F.col("_metadata.file_path"), "session_id=([^/]+)", 1)))
     return again.select("session_id", "ord", "raw", F.col("record").isNotNull().alias("parsed"))

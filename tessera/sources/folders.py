@@ -29,6 +29,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to tasks that write or read a file a key: a fixed number, as Spark merges partitions by bytes and files cost more."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def store(uri: str):
     """File system of pyarrow and path of a folder; the schemes of Hadoop's S3 connectors are read as s3."""
     from pyarrow import fs

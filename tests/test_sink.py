@@ -88,3 +88,9 @@ def test_no_list_of_files_passes_through_the_driver(spark, tmp_path):
     assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.run_id, r.kind) for r in got.collect()) == sorted((r, k) for r in ("r1", "r3") for k in run_sink.KINDS)
     assert [tuple(r) for r in got.where("NOT sound").select("run_id", "kind", "content").collect()] == [("r1", "spans", None)]
+
+
+def test_files_are_dealt_to_all_tasks(spark):
+    """Rows too small for Spark to keep their partitions still go to as many tasks as shuffles have."""
+    one = folders.dealt(spark.range(1000).selectExpr("CAST(id AS STRING) AS session_id"), "session_id")
+    assert one.select(F.spark_partition_id()).distinct().count() == 4
