@@ -230,7 +230,7 @@ def replayed_runs(spark, sf_dir):
     made = s.select("session_id", F.when(c == 1, F.left(output, F.length(output) - 2)).otherwise(output).alias("value"))
     root = folders.scratch(spark, "replay")
     # A file for each session, in a folder of its name, as saved outputs lie.
-    made.repartition("session_id").write.partitionBy("session_id").text(f"{root}/saved")
+    folders.dealt(made, "session_id").write.partitionBy("session_id").text(f"{root}/saved")
     saved = replay.saved(spark, f"{root}/saved/*").withColumn("session_id", F.regexp_replace("session_id", "^session_id=", ""))
     out = replay.replayed(saved, lines, most_tokens=0, most_lines=0)
     run_sink.write_runs(out.artifacts, f"{root}/runs")

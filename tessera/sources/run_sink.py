@@ -111,7 +111,7 @@ def write_runs(df: DataFrame, folder: str, kinds: list[str] = KINDS) -> None:
     """
     df.sparkSession.dataSource.register(RunArtifacts)
     rows = df.select(F.col("run_id").cast("string").alias("run_id"), "kind", "content").where("run_id IS NOT NULL AND kind IS NOT NULL")
-    dealt = rows.repartition("run_id").sortWithinPartitions("run_id", "kind")
+    dealt = folders.dealt(rows, "run_id").sortWithinPartitions("run_id", "kind")
     dealt.write.format("run_artifacts").option("kinds", json.dumps(kinds)).mode("append").save(folder)
 
 
@@ -167,9 +167,7 @@ def _listed(spark: SparkSession, folder: str, whole: bool) -> DataFrame:
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     fields = pa.schema([(n, types[kind]) for n, kind in (x.split() for x in schema.split(", "))])
     names = spark.range(0, 1, 1, 1).mapInArrow(_names(folder), "run_id string")
-    # By number, as names are too small for Spark to tell how much work they stand for.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return names.repartition(parts, "run_id").mapInArrow(_entries(folder, whole, fields), schema)
+    return folders.dealt(names, "run_id").mapInArrow(_entries(folder, whole, fields), schema)
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
