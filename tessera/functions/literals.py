@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import compact, first_distinct, trim_ws, word
+from tessera.functions.text import bound, compact, first_distinct, trim_ws, word
 
 #: Tools that begin commands, script endings, project folders, stop words.
 TOOLS = "npm|pnpm|yarn|bun|node|python3?|pytest|cargo|go|just|make|bash|sh|git|npx|uv|ruff|biome|tsc|vitest|jest|wrangler|claude"
@@ -90,22 +90,29 @@ def evidence(texts: Column, most: int = 128) -> Column:
 
 def clean_command(x: Column) -> Column:
     """Without one pair of enclosing marks and a full stop at the end."""
-    t = trim_ws(F.coalesce(x, F.lit("")))
-    enclosed = t.rlike(r"(?s)\A(?:`.*`|\".*\"|'.*'|\(.*\))\z") & (F.length(t) > 1)
-    t = F.when(enclosed, trim_ws(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    def opened(t: Column) -> Column:
+        enclosed = t.rlike(r"(?s)\A(?:`.*`|\".*\"|'.*'|\(.*\))\z") & (F.length(t) > 1)
+        return F.when(enclosed, trim_ws(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    t = bound(trim_ws(F.coalesce(x, F.lit(""))), opened)
     return trim_ws(F.regexp_replace(t, r"[.。]\s*\z", ""))
 
 
 def is_command(x: Column) -> Column:
-    t = clean_command(x)
-    known = t.rlike(rf"^(?:{TOOLS})(?![A-Za-z0-9_])") | t.rlike(f"^{SCRIPT}")
-    return (t != "") & (F.length(t) <= 400) & ~t.rlike(r"^[^\s]+:\s+") & known
+    def known(t: Column) -> Column:
+        named = t.rlike(rf"^(?:{TOOLS})(?![A-Za-z0-9_])") | t.rlike(f"^{SCRIPT}")
+        return (t != "") & (F.length(t) <= 400) & ~t.rlike(r"^[^\s]+:\s+") & named
+
+    return bound(clean_command(x), known)
 
 
 def is_path(x: Column) -> Column:
-    t = clean_command(x)
-    shaped = t.rlike(r"^(?:/|\.{1,2}/)") | t.rlike(rf"^(?:{FOLDERS})/") | t.rlike(r"/[^/\s]+\.[A-Za-z0-9]{1,8}$")
-    return (t != "") & (F.length(t) <= 240) & ~t.rlike("^https?://") & shaped
+    def known(t: Column) -> Column:
+        shaped = t.rlike(r"^(?:/|\.{1,2}/)") | t.rlike(rf"^(?:{FOLDERS})/") | t.rlike(r"/[^/\s]+\.[A-Za-z0-9]{1,8}$")
+        return (t != "") & (F.length(t) <= 240) & ~t.rlike("^https?://") & shaped
+
+    return bound(clean_command(x), known)
 
 
 def is_nothing(x: Column) -> Column:
@@ -118,10 +125,11 @@ def next_command(texts: Column, prior: Column) -> Column:
 
     def offered(t: Column) -> Column:
         colon = F.when(F.instr(t, ":") > 0, F.array(F.substring(t, F.instr(t, ":") + 1, F.length(t)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(all_of(t, r"`([^`\n]{2,400})`", 1), colon, F.slice(all_of(t, rf"(?<![A-Za-z0-9_])(?:{TOOLS})\s+[^\n;]{{1,360}}", 0), 1, 1), F.slice(all_of(t, rf"(?:^|[\s:`])({SCRIPT}[^\n;]{{0,320}})", 1), 1, 1))
+        first = lambda pattern, group: F.array(F.regexp_extract(F.coalesce(t, F.lit("")), pattern, group))  # empty where there is none, which is no command
+        return F.concat(all_of(t, r"`([^`\n]{2,400})`", 1), colon, first(rf"(?<![A-Za-z0-9_])(?:{TOOLS})\s+[^\n;]{{1,360}}", 0), first(rf"(?:^|[\s:`])({SCRIPT}[^\n;]{{0,320}})", 1))
 
     found = F.filter(F.flatten(F.transform(texts, offered)), is_command)
-    return F.when(is_command(prior), clean_command(prior)).otherwise(F.coalesce(clean_command(F.get(found, F.lit(0))), F.lit("")))
+    return F.when(is_command(prior), clean_command(prior)).otherwise(clean_command(F.get(found, F.lit(0))))
 
 
 def pickup_files(texts: Column, given: Column, most: int = 12) -> Column:

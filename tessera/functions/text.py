@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space as JavaScript has it, and as rendered bodies have it (with U+200B).
 WS = r"[\t-\r    -     　﻿]"
+WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 RENDER_WS = r"[\t-\r    -​    　﻿]"
 #: White space of rendered bodies within a line.
 BLANK = "[" + r"\t\x0b-\r" + RENDER_WS.removeprefix(r"[\t-\r")
@@ -44,7 +45,7 @@ def compact(x: Column) -> Column:
 
 
 def trim_ws(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def sha256(x: Column) -> Column:
