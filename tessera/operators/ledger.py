@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import intents, token_counts
-from tessera.functions.text import or_else, sha256, xml_escape, xml_unescape
+from tessera.functions.text import bound, or_else, sha256, xml_escape, xml_unescape
 from tessera.operators import compress, greedy
 from tessera.sources import transcripts
 
@@ -17,9 +17,9 @@ MESSAGE_TYPE = "struct<line:bigint,uuid:string,original_uuid:string,parent_uuid:
 
 def message_struct(record: Column, line: Column, record_hash: Column) -> Column:
     """A user's record as a message: place, ids, hashes, length and text."""
-    text = transcripts.user_text(record)
-    ids = (transcripts.get(record, f"$.{n}").alias(a) for n, a in (("uuid", "uuid"), ("originalUuid", "original_uuid"), ("parentUuid", "parent_uuid"), ("timestamp", "timestamp")))
-    return F.struct(line.cast("long").alias("line"), *ids, F.lit("current").alias("source"), sha256(text).alias("sha256"), record_hash.alias("record_sha256"), F.length(text).cast("long").alias("char_count"), text.alias("text"))
+    ids = [transcripts.get(record, f"$.{n}").alias(a) for n, a in (("uuid", "uuid"), ("originalUuid", "original_uuid"), ("parentUuid", "parent_uuid"), ("timestamp", "timestamp"))]
+    made = lambda text: F.struct(line.cast("long").alias("line"), *ids, F.lit("current").alias("source"), sha256(text).alias("sha256"), record_hash.alias("record_sha256"), F.length(text).cast("long").alias("char_count"), text.alias("text"))
+    return bound(transcripts.user_text(record), made)
 
 
 def messages(entries: DataFrame) -> DataFrame:
@@ -75,15 +75,25 @@ def with_priority(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", intents.rank(F.col("priority")))
 
 
+def sized(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Messages with their XML, its tokens and lines."""
+    df = token_counts.counted(df.withColumn("rendered", rendered()), "rendered", "rendered_tokens", tokenizer)
+    return df.withColumn("rendered_lines", (F.length("rendered") - F.length(F.replace("rendered", F.lit("\n"), F.lit(""))) + 1).cast("long"))
+
+
 def selected(df: DataFrame, most: int = 64, most_tokens: int = 8000, most_lines: int = 300, tokenizer: str | None = None) -> DataFrame:
     """Messages of (session_id, ord, ...) that fit the budgets: by rank, then newest first.
 
     The first always stays; one that doesn't fit is passed over. A budget of 0 tokens or lines is
-    none; 0 messages selects nothing. The greedy pass works on the sizes alone. tokenizer: a file that tokens are counted
-    by; without one they are estimated.
+    none; 0 messages selects nothing. The greedy pass works on the sizes alone; without budgets there are only messages to
+    count, and no size is worked out before they are chosen. tokenizer: a file that tokens are counted by; without one they
+    are estimated.
     """
-    df = with_priority(df).withColumn("rendered", rendered())
-    df = token_counts.counted(df, "rendered", "rendered_tokens", tokenizer).withColumn("rendered_lines", (F.length("rendered") - F.length(F.replace("rendered", F.lit("\n"), F.lit(""))) + 1).cast("long"))
+    df = with_priority(df)
+    if most and not most_tokens and not most_lines:
+        place = F.row_number().over(Window.partitionBy("session_id").orderBy("rank", F.col("ord").desc()))
+        return sized(df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place"), tokenizer)
+    df = sized(df, tokenizer)
     if most == 0:
         return df.limit(0)
     sizes = df.select("session_id", "ord", "rank", F.col("rendered_tokens").alias("t"), F.col("rendered_lines").alias("l"))
@@ -128,9 +138,24 @@ def from_summaries(entries: DataFrame) -> DataFrame:
 
 def of_entries(entries: DataFrame) -> DataFrame:
     """The ledger of whole sessions: what summaries carry and current messages don't replace, then these."""
-    at = entries.select("session_id", F.col("line").alias("_line"), F.posexplode(summary_messages(F.col("record"))).alias("_at", "m"))
+    carried = entries.select("session_id", "line", summary_messages(F.col("record")).alias("carried"))
+    return _of_both(carried, messages(entries))
+
+
+def own_message(record: Column, line: Column, record_hash: Column) -> Column:
+    """The user's message that a record is; null for others."""
+    return F.when(transcripts.is_user_message(record), message_struct(record, line, record_hash))
+
+
+def of_messages(entries: DataFrame) -> DataFrame:
+    """of_entries from (session_id, line, carried, own), summary_messages and own_message of each record; written before, as each is read several times."""
+    return _of_both(entries, entries.where("own IS NOT NULL").select("session_id", "own.*"))
+
+
+def _of_both(entries: DataFrame, current: DataFrame) -> DataFrame:
+    at = entries.select("session_id", F.col("line").alias("_line"), F.posexplode("carried").alias("_at", "m"))
     carried = at.select("session_id", carried_place(F.col("_line").cast("long"), F.col("_at")).alias("ord"), "m.*")
-    return merged(carried, messages(entries).withColumn("ord", F.col("line")))
+    return merged(carried, current.withColumn("ord", F.col("line")))
 
 
 def leaked(messages_df: DataFrame, outputs: DataFrame, longer: int = 2400, probe: int = 700, least: int = 200) -> DataFrame:

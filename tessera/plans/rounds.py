@@ -7,7 +7,7 @@ citations on the record that carries it, as no model is asked again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import or_else, sha256, tokens
@@ -19,10 +19,26 @@ from tessera.sources import folders, transcripts
 SECTION, NO_WORK, NO_STEP = "Current State", "The state of work was kept.", "Go on from the saved state."
 
 
+def record_columns() -> list[Column]:
+    """All that a round asks of a line's record; the same for each round, so built once."""
+    r = F.col("record")
+    made = {"hash": sha256(F.col("raw")), "text": transcripts.evidence_text(r), "is_summary": transcripts.truthy(r, "$.isCompactSummary"), "carried": ledger.summary_messages(r), "own": ledger.own_message(r, F.col("line"), sha256(F.col("raw")))}
+    return [F.col("session_id"), F.col("line"), F.col("raw"), *(x.alias(n) for n, x in made.items())]
+
+
+def entries_of(lines: DataFrame, columns: list[Column]) -> DataFrame:
+    """Entries of lines (session_id, ord, raw), with ``columns`` of record_columns, written once.
+
+    A round reads its entries some ten times; none of its steps parses a record or looks for messages again.
+    """
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))
+    numbered = lines.select("session_id", "raw", number.alias("line"))  # lines are dealt, not what is made of them
+    return folders.kept(transcripts.parsed(numbered).select(*columns), "entries")
+
+
 def summary_line(entries: DataFrame) -> DataFrame:
     """(session_id, seen, cited): lines of a session, and the line of its summary record (the first one where there is none)."""
-    is_summary = transcripts.truthy(F.col("record"), "$.isCompactSummary")
-    return entries.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("seen"), F.coalesce(F.min(F.when(is_summary, F.col("line"))), F.lit(1)).cast("int").alias("cited"))
+    return entries.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("seen"), F.coalesce(F.min(F.when(F.col("is_summary"), F.col("line"))), F.lit(1)).cast("int").alias("cited"))
 
 
 def from_state(states: DataFrame, entries: DataFrame) -> DataFrame:
@@ -46,11 +62,11 @@ def _sections() -> Column:
     return handoff.blocks_section(c("summary_blocks"), c("rules_and_invariants"), c("plans_and_task_state"), c("promises_made"))
 
 
-def round_of(lines: DataFrame, states: DataFrame, literals: DataFrame, tail: int = compact.TAIL, **budget: int) -> tuple[DataFrame, DataFrame]:
-    """One round: the lines it writes, and its metrics by session."""
-    e = transcripts.numbered(lines)
-    chosen = folders.kept(ledger.selected(ledger.of_entries(e), **budget).select("session_id", "ord", "sha256", "priority", "rendered"), "chosen")
-    after = folders.kept(compact.with_ledger(e, states.select("session_id", _sections().alias("summary")), chosen, tail), "after")
+def round_of(e: DataFrame, states: DataFrame, literals: DataFrame, tail: int = compact.TAIL, columns: list[Column] | None = None, **budget: int) -> tuple[DataFrame, DataFrame]:
+    """One round over entries: the entries of what it writes (without ``columns``, for the last one, its lines), and its metrics by session."""
+    chosen = folders.kept(ledger.selected(ledger.of_messages(e), **budget).select("session_id", "ord", "sha256", "priority", "rendered"), "chosen")
+    after = compact.with_ledger(transcripts.parsed(e), states.select("session_id", _sections().alias("summary")), chosen, tail)
+    after = entries_of(after, columns) if columns else folders.kept(after, "after")
     text = reask.rehydrated(states, e)
     state = F.to_json(F.col("s"))
     # Artifacts go to the folder with the hash of what was meant, and are read again to see what is there.
@@ -71,7 +87,7 @@ def round_of(lines: DataFrame, states: DataFrame, literals: DataFrame, tail: int
     for part in (intents, bad, lost):
         out = out.join(part, "session_id", "left")
     out = out.fillna(0, ["messages", "bad", "missing"]).withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
-    return after, out
+    return after, folders.kept(out, "metrics")
 
 
 def rounds(lines: DataFrame, outputs: DataFrame, literals: DataFrame, most: int = 5, tail: int = 0, growth: float = 1.1, **budget: int) -> DataFrame:
@@ -79,11 +95,14 @@ def rounds(lines: DataFrame, outputs: DataFrame, literals: DataFrame, most: int
 
     lines: (session_id, ord, raw); outputs: (session_id, output) of the first round; literals: (session_id, literal) that must stay.
     """
-    states, out = reask.parsed(outputs).where("s IS NOT NULL").select("session_id", "s"), None
+    # Outputs are few bytes and much work: dealt to all tasks, and parsed once, as a filter before the write would do it again.
+    states = folders.kept(reask.parsed(folders.dealt(outputs, "session_id")).select("session_id", "s"), "states").where("s IS NOT NULL")
+    columns = record_columns()
+    e, out = entries_of(lines, columns), None
     for n in range(1, most + 1):
-        states = folders.kept(states, "states")
-        lines, metrics = round_of(lines, states, literals, tail, **budget)
+        e, metrics = round_of(e, states, literals, tail, columns if n < most else None, **budget)
         metrics = metrics.withColumn("round", F.lit(n))  # of what this round has written
         out = metrics if out is None else out.union(metrics)
-        states = from_state(states, transcripts.numbered(lines))
+        if n < most:
+            states = folders.kept(from_state(states, e), "states")
     return scoring.rounds(out.withColumnRenamed("session_id", "run_id"), growth)

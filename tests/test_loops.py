@@ -4,8 +4,9 @@ import json
 
 import pytest
 
-from tessera.operators import scoring
+from tessera.operators import ledger, scoring
 from tessera.plans import reask, rounds
+from tessera.sources import folders
 
 LEAST = {"capsules": 2, "cited": 2, "promises": 1}
 
@@ -98,3 +99,36 @@ def test_damaged_artifacts_and_lost_intents_fail_their_gates(spark):
     schema = "run_id string, round int, tokens long, hashes array<string>, objective string, next_step string, missing int, bad int, echo boolean"
     got = {r["round"]: r["pass"] for r in scoring.rounds(spark.createDataFrame([tuple(x.values()) for x in rows], schema)).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False, 8: False, 9: True}
+
+
+def test_a_round_parses_its_lines_once(spark, monkeypatch):
+    """No step of a round but the one that writes its entries parses a line; a ledger without budgets is chosen without a pass in Python."""
+    lines = spark.createDataFrame([("s", i, json.dumps({"type": r, "message": {"role": r, "content": t}})) for i, (r, t) in enumerate([("user", "never push"), ("assistant", "ok"), ("user", "go on")])], "session_id string, ord int, raw string")
+    outputs = spark.createDataFrame([("s", output([1, 3]))], "session_id string, output string")
+    literals = spark.createDataFrame([("s", "never push")], "session_id string, literal string")
+    plans, kept = [], folders.kept
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(folders, "kept", seen)
+    got = rounds.rounds(lines, outputs, literals, most=3, tail=0, most_tokens=0, most_lines=0)
+    parsing = [(name, n) for name, plan in [*plans, ("end", got._jdf.queryExecution().optimizedPlan().toString())] if (n := plan.count("parseJson(raw"))]
+    assert parsing == [("entries", 1)] * 3
+    assert not any("MapInArrow" in plan for _, plan in plans)
+    assert [(r["round"], r.messages, len(r.hashes), r.missing, r.bad) for r in got.orderBy("round").collect()] == [(n, 2, 1, 0, 0) for n in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 64])
+def test_a_ledger_without_budgets_has_the_strongest_and_newest(spark, most):
+    texts = {"a": ["go on", "never push", "the token", "go on", "keep it"], "b": ["go on"] * 70, "c": ["the key"]}
+    rows = [(s, i, "u", t) for s, ts in texts.items() for i, t in enumerate(ts)]
+    schema = "session_id string, ord int, uuid string, text string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "cast(null AS string) AS source", "ord AS line", "length(text) AS char_count", "'h' AS sha256", "'r' AS record_sha256", "cast(null AS string) AS original_uuid", "cast(null AS string) AS timestamp")
+    got = ledger.selected(df, most, most_tokens=0, most_lines=0)
+    wide = ledger.selected(df, most, most_tokens=10**9, most_lines=10**9)
+    strength = {"the token": 0, "the key": 0, "never push": 1, "keep it": 1, "go on": 2}
+    want = {(s, o) for s, ts in texts.items() for _, o in sorted((strength[t], -i) for i, t in enumerate(ts))[:most] for o in [-o]}
+    assert {(r.session_id, r.ord) for r in got.collect()} == want and got.columns == wide.columns
+    assert sorted(got.collect()) == sorted(wide.collect())
