@@ -11,7 +11,7 @@ from tessera.operators import perturb, scoring, tools
 from tessera.plans import reask, replay, rounds
 from tessera.plans.queries import _INTENT, E, query, table, turns
 from tessera.plans.record_queries import _J, quoted
-from tessera.sources import folders, run_sink, transcripts
+from tessera.sources import folders, run_sink, saved_files, transcripts
 from tessera.streaming import transcript_stream
 
 #: Thresholds for conversations of a few turns.
@@ -230,9 +230,8 @@ def replayed_runs(spark, sf_dir):
     made = s.select("session_id", F.when(c == 1, F.left(output, F.length(output) - 2)).otherwise(output).alias("value"))
     root = folders.scratch(spark, "replay")
     # A file for each session, in a folder of its name, as saved outputs lie.
-    folders.dealt(made, "session_id").write.partitionBy("session_id").text(f"{root}/saved")
-    saved = replay.saved(spark, f"{root}/saved/*").withColumn("session_id", F.regexp_replace("session_id", "^session_id=", ""))
-    out = replay.replayed(saved, lines, most_tokens=0, most_lines=0)
+    saved_files.write_files(made.select(F.col("session_id").alias("run_id"), F.lit("output.txt").alias("kind"), F.col("value").alias("content")), f"{root}/saved")
+    out = replay.replayed(replay.saved(spark, f"{root}/saved/*"), lines, most_tokens=0, most_lines=0)
     run_sink.write_runs(out.artifacts, f"{root}/runs")
     runs = run_sink.read_runs(spark, f"{root}/runs")
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("content")))

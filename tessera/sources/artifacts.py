@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sha256
+from tessera.sources import saved_files
 
 #: Policies by artifact kind; others have the default.
 POLICIES = {
@@ -18,9 +19,9 @@ DEFAULT_POLICY = ("derived", "session", "private", "none")
 
 def read_artifacts(spark: SparkSession, pattern: str) -> DataFrame:
     """(run_id, kind, content): whole files of run folders; the folder is the run, the file name the kind."""
-    path = F.input_file_name()
-    files = spark.read.text(pattern, wholetext=True)
-    return files.select(F.element_at(F.split(path, "/"), -2).alias("run_id"), F.regexp_extract(path, r"([^/]+?)(?:\.[a-z]+)?$", 1).alias("kind"), F.col("value").alias("content"))
+    path = F.col("path")
+    files = saved_files.read_files(spark, pattern)
+    return files.select(F.element_at(F.split(path, "/"), -2).alias("run_id"), F.regexp_extract(path, r"([^/]+?)(?:\.[a-z]+)?$", 1).alias("kind"), F.col("content").cast("string").alias("content"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

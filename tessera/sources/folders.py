@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,9 +31,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df dealt by key to tasks that write or read a file a key: a fixed number, as Spark merges partitions by bytes and files cost more."""
+    """df dealt by key to tasks that write or read a file a key: a fixed number, as Spark merges partitions by bytes and files cost more.
+
+    By the key's hash: rows that are grouped by the key itself already would be left where they are, in partitions that Spark merges.
+    """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64(key))
 
 
 def store(uri: str):

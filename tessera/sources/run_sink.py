@@ -19,16 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tessera.sources import artifacts, folders
+from tessera.sources import artifacts, folders, saved_files
 
 #: The ten artifacts of a run.
 KINDS = ["summary", "timeline", "user_messages", "spans", "rehydrated", "state", "manifest", "handoff", "after_transcript", "result"]
 MANIFEST = "run-manifest.json"
 ENTRY = "kind string, file string, sha256 string, bytes long, authority string, retention string, exposure string, redaction string"
 
-#: Bytes and rows of a batch that a task reads before it passes them on, more by one run at most.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 10_000
-
 
 class Written(WriterCommitMessage):
     def __init__(self, runs: int, incomplete: int):
@@ -51,15 +48,15 @@ class RunWriter(DataSourceWriter):
             whole = set(self.kinds) <= {e["kind"] for e in held}
             counts[0 if whole else 1] += 1
             if whole:
-                _put(store, f"{root}/{now}/{MANIFEST}", json.dumps({"run_id": now, "artifacts": held}).encode(), attempt)
+                saved_files.put(store, f"{root}/{now}", MANIFEST, json.dumps({"run_id": now, "artifacts": held}).encode(), attempt)
 
         for row in iterator:
             if row.run_id != now:
                 finish()
                 now, held = row.run_id, []
-                _named(now)
+                saved_files.named(now)
                 store.create_dir(f"{root}/{now}", recursive=True)
-            data, name = (row.content or "").encode(), f"{_named(row.kind)}-{attempt}"
+            data, name = (row.content or "").encode(), f"{saved_files.named(row.kind)}-{attempt}"
             with store.open_output_stream(f"{root}/{now}/{name}") as out:
                 out.write(data)
             policy = dict(zip(("authority", "retention", "exposure", "redaction"), artifacts.POLICIES.get(row.kind, artifacts.DEFAULT_POLICY), strict=True))
@@ -72,26 +69,12 @@ class RunWriter(DataSourceWriter):
         done = [m for m in messages if m is not None]
         total = {"runs": sum(m.runs for m in done), "incomplete": sum(m.incomplete for m in done)}
         store.create_dir(root, recursive=True)
-        _put(store, f"{root}/commit-{uuid.uuid4().hex}.json", json.dumps(total).encode(), "commit")
+        saved_files.put(store, root, f"commit-{uuid.uuid4().hex}.json", json.dumps(total).encode(), "commit")
 
     def abort(self, messages: list[Written | None]) -> None:
         """Whole runs stay; files that no manifest names are left for ``unnamed``."""
 
 
-def _named(x: str) -> str:
-    """x, if it can be a file's name."""
-    if not x or "/" in x or x.startswith((".", "_")):
-        raise ValueError(f"{x!r} is no name of a run or an artifact")
-    return x
-
-
-def _put(store, path: str, data: bytes, attempt: str) -> None:
-    """Writes a file that is there whole or not at all."""
-    with store.open_output_stream(f"{path}.{attempt}") as out:
-        out.write(data)
-    store.move(f"{path}.{attempt}", path)
-
-
 class RunArtifacts(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -127,14 +110,6 @@ def _names(folder: str):
     return run
 
 
-def _content(store, path: str) -> bytes | None:
-    try:
-        with store.open_input_stream(path) as file:
-            return file.read()
-    except FileNotFoundError:
-        return None
-
-
 def _entries(folder: str, whole: bool, schema: pa.Schema):
     """What the manifests of runs list, with the files' bytes if whole; some megabytes at a time."""
 
@@ -143,16 +118,16 @@ def _entries(folder: str, whole: bool, schema: pa.Schema):
         rows, size = [], 0
         for name in (x for batch in batches for x in batch.column(0).to_pylist()):
             try:
-                told = json.loads(_content(store, f"{root}/{name}/{MANIFEST}") or b"{}")
+                told = json.loads(saved_files.content(store, f"{root}/{name}/{MANIFEST}") or b"{}")
             except ValueError:
                 continue
             for entry in told.get("artifacts") or []:
                 row = {"run_id": told.get("run_id")} | entry
                 if whole:
-                    row["content"] = None if "/" in row["file"] else _content(store, f"{root}/{row['run_id']}/{row['file']}")
+                    row["content"] = None if "/" in row["file"] else saved_files.content(store, f"{root}/{row['run_id']}/{row['file']}")
                     size += len(row["content"] or b"")
                 rows.append(row)
-            if size > BATCH_BYTES or len(rows) > BATCH_ROWS:
+            if size > saved_files.BATCH_BYTES or len(rows) > saved_files.BATCH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, size = [], 0
         if rows:

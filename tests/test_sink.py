@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import folders, run_sink
+from tessera.sources import folders, run_sink, saved_files
+from tessera.sources.artifacts import read_artifacts
 
 
 def artifacts(spark, runs, kinds=run_sink.KINDS):
@@ -94,3 +95,40 @@ def test_files_are_dealt_to_all_tasks(spark):
     """Rows too small for Spark to keep their partitions still go to as many tasks as shuffles have."""
     one = folders.dealt(spark.range(1000).selectExpr("CAST(id AS STRING) AS session_id"), "session_id")
     assert one.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_groups_are_dealt_to_all_tasks(spark):
+    """Groups by the key lie as they would be dealt; they are dealt all the same, as Spark would merge them into one task."""
+    some = spark.range(1000).selectExpr("CAST(id % 500 AS STRING) AS session_id").groupBy("session_id").count()
+    assert folders.dealt(some, "session_id").select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_saved_files_are_written_and_read_by_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(f"s {i}", "output.txt", None if i == 3 else f"é {i}\n") for i in range(40)] + [(None, "output.txt", "x")], "run_id string, kind string, content string")
+    saved_files.write_files(df, f"{tmp_path}/saved")
+    assert {os.listdir(f"{tmp_path}/saved/s {i}")[0] for i in range(40)} == {"output.txt"} and len(os.listdir(f"{tmp_path}/saved")) == 40
+    got = read_artifacts(spark, f"{tmp_path}/saved/*")
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    # A file without a byte gives no row.
+    assert sorted(got.collect()) == [(r, "output", c) for r, _, c in sorted(df.where("run_id IS NOT NULL AND content IS NOT NULL").collect())]
+    with pytest.raises(Exception, match="no name"):
+        saved_files.write_files(spark.createDataFrame([("../out", "k", "")], df.schema), f"{tmp_path}/saved")
+
+
+def test_patterns_of_saved_files(spark, tmp_path):
+    """As Spark reads them: folders at any depth, hidden names only where a pattern matches them, patterns on any level."""
+    for name in ("a1/x.json", "a2/x.json", "b1/y.txt", "b1/in/z.txt", "_old/x.json", ".tmp/x.json", "a1/.x.json.1", "a1/.x.json.crc", "a1/_SUCCESS", "k=_1/x.json", "a,c/{x", "top.txt"):
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}", "w") as f:
+            f.write(name)
+    patterns = ["*", "*/*", "*/x.json", "a[1-9]", "[^a]*/*", "{a1,b1}/*", "?1/*.{json,txt}", "a1/x.json", "b1", "", "a,c", "*,c/*", r"a,c/\{*", "b*/in/*", "top.*", "*/*/*"]
+    for p in patterns:
+        told = spark.read.text(f"{tmp_path}/{p}", wholetext=True, recursiveFileLookup=True)
+        for root in (str(tmp_path), f"file://{tmp_path}"):
+            got = saved_files.read_files(spark, f"{root}/{p}".rstrip("/")).select(F.col("content").cast("string"))
+            assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in told.collect()) != [], p
+    with open(f"{tmp_path}/a2/.x.json.{'0' * 32}", "w") as f:
+        f.write("half of it")
+    assert [bytes(r.content) for r in saved_files.read_files(spark, f"{tmp_path}/a2/*").collect()] == [b"a2/x.json"]
+    with pytest.raises(Exception, match="nothing"):
+        saved_files.read_files(spark, f"{tmp_path}/none*").collect()
